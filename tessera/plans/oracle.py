@@ -1,0 +1,123 @@
+"""DuckDB twins of the registered queries.
+
+Written by a different method than the Spark side wherever possible: dense
+all-pairs scoring instead of candidate sets, window running sums instead of
+folds, recursive CTEs for sequential recurrences, bitmask enumeration for
+itemsets.  Tables are pre-registered views named like the parquet files.
+"""
+
+from __future__ import annotations
+
+from tessera.functions.text import ENGLISH_STOP_WORDS
+
+SQL: dict[str, str] = {}
+
+WS = r"list_filter(regexp_split_to_array({x}, '\s+'), lambda t: t <> '')"
+
+
+def _ws(x: str) -> str:
+    return WS.format(x=x)
+
+
+def bm25_ctes(doc_from: str, query_from: str) -> str:
+    """CTEs d, dl, post, cs, idf, q, qt, pairs (raw BM25 of matching pairs)."""
+    return f"""
+d AS (SELECT doc_id, coalesce(source, '') AS source, {_ws('text')} AS toks FROM {doc_from}),
+dl AS (SELECT doc_id, source, len(toks) AS dl FROM d),
+post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM d) GROUP BY doc_id, term),
+cs AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+dft AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+idf0 AS (SELECT term, df, ln((SELECT n FROM cs) - df + 0.5) - ln(df + 0.5) AS idf FROM dft),
+idf AS (SELECT term, df, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM idf0) ELSE idf END AS idf FROM idf0),
+q AS ({query_from}),
+qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_ws('query')}) AS term FROM q) GROUP BY query_id, term),
+pairs AS (
+  SELECT qt.query_id, post.doc_id,
+         sum(qtf * idf.idf * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl.dl / (SELECT avgdl FROM cs)))) AS raw
+  FROM qt JOIN idf USING (term) JOIN post USING (term) JOIN dl USING (doc_id)
+  GROUP BY qt.query_id, post.doc_id)"""
+
+
+ALL_QUERIES = "SELECT item_id AS query_id, text AS query, []::VARCHAR[] AS kb FROM benchmark"
+KB_QUERIES = """SELECT b.item_id AS query_id, b.text AS query,
+       CASE WHEN d.source IS NULL THEN []::VARCHAR[] ELSE [d.source] END AS kb
+FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id"""
+
+
+def _norm(x: str, part: str = "query_id") -> str:
+    return (f"CASE WHEN max({x}) OVER (PARTITION BY {part}) = min({x}) OVER (PARTITION BY {part}) THEN 0.5 "
+            f"ELSE ({x} - min({x}) OVER (PARTITION BY {part})) / (max({x}) OVER (PARTITION BY {part}) - min({x}) OVER (PARTITION BY {part})) END")
+
+
+def _bm25_search(query_from: str, extra_cols: str) -> str:
+    return f"""
+WITH {bm25_ctes('documents', query_from)},
+dense AS (
+  SELECT q.query_id, dl.doc_id, coalesce(p.raw, 0.0) AS raw
+  FROM q JOIN dl ON (len(q.kb) = 0 OR list_contains(q.kb, dl.source))
+  LEFT JOIN pairs p ON p.query_id = q.query_id AND p.doc_id = dl.doc_id),
+nrm AS (SELECT query_id, doc_id, round({_norm('raw')}, 6) AS score FROM dense),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM nrm)
+SELECT r.query_id, r.rank, r.doc_id, r.score, {extra_cols}
+FROM r JOIN documents d USING (doc_id) WHERE r.rank <= 10"""
+
+
+SQL["bm25_search"] = _bm25_search(ALL_QUERIES, "coalesce(d.source, '') AS source, d.lang")
+SQL["kb_search"] = _bm25_search(KB_QUERIES, "coalesce(d.source, '') AS source")
+
+VEC_CTES = """
+dv AS (SELECT e.vec_id AS doc_id, e.embedding::DOUBLE[] AS v FROM embeddings e JOIN documents x ON x.doc_id = e.vec_id),
+qv AS (SELECT e.vec_id AS query_id, e.embedding::DOUBLE[] AS v FROM embeddings e WHERE e.vec_id IN (SELECT item_id FROM benchmark))"""
+
+SQL["semantic_search"] = f"""
+WITH {VEC_CTES},
+dense AS (SELECT qv.query_id, dv.doc_id, list_inner_product(qv.v, dv.v) AS sem FROM qv, dv),
+nrm AS (SELECT query_id, doc_id, round({_norm('sem')}, 6) AS score FROM dense),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM nrm)
+SELECT r.query_id, r.rank, r.doc_id, r.score, coalesce(d.source, '') AS source
+FROM r JOIN documents d USING (doc_id) WHERE r.rank <= 10"""
+
+HYBRID_CTES = f"""
+{bm25_ctes('(SELECT * FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))', ALL_QUERIES)},
+{VEC_CTES},
+dense AS (
+  SELECT qv.query_id, dv.doc_id, coalesce(p.raw, 0.0) AS raw, list_inner_product(qv.v, dv.v) AS sem
+  FROM qv JOIN dv ON true
+  LEFT JOIN pairs p ON p.query_id = qv.query_id AND p.doc_id = dv.doc_id),
+nrm AS (SELECT query_id, doc_id, {_norm('raw')} AS bn, {_norm('sem')} AS sn FROM dense),
+fused AS (SELECT query_id, doc_id, round(bn, 6) AS bm25, round(sn, 6) AS semantic, round(0.6 * bn + 0.4 * sn, 6) AS score FROM nrm),
+hyb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused) WHERE rank <= 10)"""
+
+SQL["hybrid_search"] = f"""
+WITH {HYBRID_CTES}
+SELECT h.query_id, h.rank, h.doc_id, h.score, h.bm25, h.semantic, coalesce(d.source, '') AS source
+FROM hyb h JOIN documents d USING (doc_id)"""
+
+SQL["rerank_features"] = f"""
+WITH {HYBRID_CTES},
+fb AS (SELECT doc_id, avg(greatest(1, 1 + 4 * quality - toxic)) / 5.0 AS fb FROM labels GROUP BY doc_id)
+SELECT h.query_id, h.doc_id, h.score,
+       round(length(d.text) / 1000.0, 6) AS length,
+       round(coalesce(len(list_intersect(list_distinct({_ws('b.text')}), {_ws('d.text')})) / nullif(len(list_distinct({_ws('b.text')})), 0), 0.0), 6) AS overlap,
+       0.8 AS freshness,
+       round(coalesce(fb.fb, 0.9), 6) AS feedback
+FROM hyb h JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = h.query_id LEFT JOIN fb USING (doc_id)"""
+
+SQL["corpus_stats"] = f"""
+WITH {bm25_ctes('documents', ALL_QUERIES)}
+SELECT term, df, round(idf, 6) AS idf, (SELECT n FROM cs) AS n_docs, round((SELECT avgdl FROM cs), 6) AS avgdl FROM idf"""
+
+SQL["latest_feedback"] = """
+WITH fb AS (SELECT event_id, ts, user_id AS doc_id, (1 + event_id % 5)::INTEGER AS score FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts DESC, event_id DESC) AS rn,
+             max(ts) OVER (PARTITION BY doc_id) AS mts, count(*) OVER (PARTITION BY doc_id) AS n FROM fb)
+SELECT doc_id, score, mts AS ts, n AS n_feedback FROM r WHERE rn = 1"""
+
+SQL["top_queries"] = """
+WITH lg AS (SELECT ts, event_type AS query FROM events),
+m AS (SELECT max(ts) AS as_of FROM lg)
+SELECT query, count(*) AS n FROM lg, m
+WHERE ts > as_of - INTERVAL 7 DAYS AND ts <= as_of
+GROUP BY query ORDER BY n DESC, query LIMIT 10"""
+
+STOP_LIST = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS) + "]"
