@@ -121,3 +121,81 @@ WHERE ts > as_of - INTERVAL 7 DAYS AND ts <= as_of
 GROUP BY query ORDER BY n DESC, query LIMIT 10"""
 
 STOP_LIST = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS) + "]"
+
+# ---------------------------------------------------------------- documents
+
+SENTS = r"""list_filter(list_transform(string_split(regexp_replace({x}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
+                                  lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"""
+STRUCTURED = "(contains({x}, '# ') OR contains({x}, '## ') OR contains({x}, '<h1>') OR contains({x}, '<div'))"
+HEADING = r"^\s*(#+ \s*\S|<h\d>)"
+
+
+def _chunks_sql(src: str, id_col: str, text: str) -> str:
+    """Structured: running sum of heading lines.  Otherwise: recursive walk over sentences."""
+    st = STRUCTURED.format(x=text)
+    return f"""
+WITH RECURSIVE
+src AS (SELECT {id_col} AS id, {text} AS t FROM {src}),
+ln AS (SELECT id, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i
+       FROM src WHERE {STRUCTURED.format(x='t')}),
+grp AS (SELECT id, i, line, sum(CASE WHEN i > 1 AND regexp_matches(line, '{HEADING}') THEN 1 ELSE 0 END)
+               OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM ln),
+structured AS (SELECT id, g + 1 AS chunk_no, string_agg(line, chr(10) ORDER BY i) AS chunk FROM grp GROUP BY id, g),
+ss AS (SELECT id, {SENTS.format(x='t')} AS sents FROM src WHERE NOT {STRUCTURED.format(x='t')}),
+s AS (SELECT id, unnest(sents) AS sent, unnest(range(1, len(sents) + 1)) AS i FROM ss),
+walk(id, i, chunk_no, cur) AS (
+  SELECT id, i, 1, length(sent) FROM s WHERE i = 1
+  UNION ALL
+  SELECT w.id, s.i,
+         CASE WHEN w.cur + length(s.sent) > 1000 THEN w.chunk_no + 1 ELSE w.chunk_no END,
+         CASE WHEN w.cur + length(s.sent) > 1000 THEN length(s.sent) ELSE w.cur + length(s.sent) END
+  FROM walk w JOIN s ON s.id = w.id AND s.i = w.i + 1),
+packed AS (SELECT w.id, w.chunk_no, string_agg(s.sent, ' ' ORDER BY s.i) AS chunk FROM walk w JOIN s USING (id, i) GROUP BY w.id, w.chunk_no),
+allc AS (SELECT * FROM structured UNION ALL SELECT * FROM packed)
+SELECT id AS {id_col}, chunk_no::BIGINT AS chunk_no, chunk, length(chunk)::BIGINT AS n_chars FROM allc"""
+
+
+SQL["doc_chunks"] = _chunks_sql("documents", "doc_id", "text")
+SQL["page_chunks"] = _chunks_sql("pages", "page_id", "replace(html, '<h1>', chr(10) || '<h1>')")
+
+TITLE_LINE = r"list_filter(list_transform(string_split({x}, chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), lambda l: length(l) BETWEEN 1 AND 99)[1]"
+HTML_TITLE = r"""CASE WHEN regexp_matches({x}, '(?i)<html[\s>]') AND regexp_matches({x}, '(?is)<title[^>]*>.*?</title>')
+          AND regexp_extract({x}, '(?is)<title[^>]*>(.*?)</title>', 1) <> ''
+     THEN replace(replace(replace(replace(replace(regexp_extract({x}, '(?is)<title[^>]*>(.*?)</title>', 1),
+          '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') END"""
+DATES = r"array_to_string(regexp_extract_all({x}, '(\d{{4}}-\d{{2}}-\d{{2}})', 1), ',')"
+
+
+def _title(x: str) -> str:
+    return f"coalesce({HTML_TITLE.format(x=x)}, {TITLE_LINE.format(x=x)})"
+
+
+SQL["doc_metadata"] = f"SELECT doc_id, {_title('text')} AS title, {DATES.format(x='text')} AS dates FROM documents"
+SQL["page_metadata"] = f"SELECT page_id, {_title('html')} AS title, {DATES.format(x='html')} AS dates FROM pages"
+SQL["order_dates"] = f"""
+WITH o AS (SELECT o_orderkey, 'order ' || o_orderkey || ' on ' || strftime(o_orderdate, '%Y-%m-%d') AS text FROM orders)
+SELECT o_orderkey, {DATES.format(x='text')} AS dates, {TITLE_LINE.format(x='text')} AS title FROM o"""
+
+WORDS = r"regexp_extract_all({x}, '([\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s])', 1)"
+SQL["quality_features"] = f"""
+WITH w AS (SELECT doc_id, length(text)::BIGINT AS n_chars, {WORDS.format(x='text')} AS words FROM documents)
+SELECT doc_id, n_chars, len(words)::BIGINT AS n_words,
+       round(len(list_filter(words, lambda x: list_contains({STOP_LIST}, lower(x)))) / nullif(len(words), 0), 6) AS stop_ratio,
+       round(1 - len(list_distinct(words)) / nullif(len(words), 0), 6) AS repetition
+FROM w"""
+
+SQL["skip_processed"] = """
+WITH done AS (SELECT DISTINCT md5(d.text) AS h FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM labels)),
+n AS (SELECT md5(text) AS file_hash, min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY md5(text))
+SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.h = n.file_hash)"""
+
+LINES = r"CASE WHEN {x} = '' THEN []::VARCHAR[] ELSE regexp_split_to_array(regexp_replace({x}, '(\r\n|\n|\r)$', ''), '\r\n|\n|\r') END"
+SQL["version_delta"] = f"""
+WITH v AS (SELECT conv_id AS doc_id, turn AS version, text FROM conversations WHERE role = 'assistant'),
+vp AS (SELECT doc_id, version, text, coalesce(lag(text) OVER (PARTITION BY doc_id ORDER BY version), '') AS prev FROM v),
+cur AS (SELECT doc_id, version, line, count(*) AS n FROM (SELECT doc_id, version, unnest({LINES.format(x='text')}) AS line FROM vp) GROUP BY ALL),
+old AS (SELECT doc_id, version, line, count(*) AS n FROM (SELECT doc_id, version, unnest({LINES.format(x='prev')}) AS line FROM vp) GROUP BY ALL),
+d AS (SELECT coalesce(c.doc_id, o.doc_id) AS doc_id, coalesce(c.version, o.version) AS version, coalesce(c.line, o.line) AS line,
+             coalesce(c.n, 0) - coalesce(o.n, 0) AS diff
+      FROM cur c FULL OUTER JOIN old o ON c.doc_id = o.doc_id AND c.version = o.version AND c.line = o.line)
+SELECT doc_id, version, line, CASE WHEN diff > 0 THEN 'added' ELSE 'removed' END AS change, abs(diff)::BIGINT AS n FROM d WHERE diff <> 0"""
