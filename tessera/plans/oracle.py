@@ -199,3 +199,32 @@ d AS (SELECT coalesce(c.doc_id, o.doc_id) AS doc_id, coalesce(c.version, o.versi
              coalesce(c.n, 0) - coalesce(o.n, 0) AS diff
       FROM cur c FULL OUTER JOIN old o ON c.doc_id = o.doc_id AND c.version = o.version AND c.line = o.line)
 SELECT doc_id, version, line, CASE WHEN diff > 0 THEN 'added' ELSE 'removed' END AS change, abs(diff)::BIGINT AS n FROM d WHERE diff <> 0"""
+
+# ---------------------------------------------------------------- behaviour
+
+def _sessions_sql(gap_seconds: int) -> str:
+    return f"""
+e AS (SELECT event_id, user_id, ts, event_type, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
+f AS (SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) >= {gap_seconds * 1_000_000} THEN 1 ELSE 0 END)
+                 OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sno FROM e),
+g AS (SELECT *, min(ts) OVER (PARTITION BY user_id, sno) AS session_start FROM f),
+s AS (SELECT event_id, user_id, ts, event_type, session_start,
+             sha256(user_id::VARCHAR || '-' || epoch_us(session_start)::VARCHAR || 'tessera-session-salt') AS session_id FROM g)"""
+
+
+SQL["sessions"] = f"WITH {_sessions_sql(1800)} SELECT event_id, user_id, ts, event_type, session_id, session_start FROM s"
+SQL["session_summary"] = f"""
+WITH {_sessions_sql(1800)}
+SELECT user_id, session_id, session_start, max(ts) + INTERVAL 1800 SECONDS AS session_end, count(*) AS n_events,
+       array_to_string(list_sort(list(DISTINCT event_type)), ',') AS items
+FROM s GROUP BY user_id, session_id, session_start"""
+SQL["frequent_patterns"] = f"""
+WITH {_sessions_sql(12 * 3600)},
+b AS (SELECT session_id, list(DISTINCT event_type) AS basket FROM s GROUP BY session_id),
+n AS (SELECT count(*) AS n FROM b),
+types AS (SELECT list_sort(list(DISTINCT event_type)) AS all_types FROM events),
+subsets AS (SELECT list_filter(all_types, lambda x, i: ((m >> (i - 1)) & 1) = 1) AS items
+            FROM types, range(1, (1 << len(all_types))::BIGINT) r(m)),
+c AS (SELECT s.items, count(*) FILTER (WHERE list_has_all(b.basket, s.items)) AS freq FROM subsets s, b GROUP BY s.items)
+SELECT array_to_string(items, ',') AS items, freq, round(freq / (SELECT n FROM n), 6) AS support
+FROM c WHERE freq >= ceil(0.05::DOUBLE * (SELECT n FROM n))"""
