@@ -228,3 +228,53 @@ subsets AS (SELECT list_filter(all_types, lambda x, i: ((m >> (i - 1)) & 1) = 1)
 c AS (SELECT s.items, count(*) FILTER (WHERE list_has_all(b.basket, s.items)) AS freq FROM subsets s, b GROUP BY s.items)
 SELECT array_to_string(items, ',') AS items, freq, round(freq / (SELECT n FROM n), 6) AS support
 FROM c WHERE freq >= ceil(0.05::DOUBLE * (SELECT n FROM n))"""
+
+# ---------------------------------------------------------------- evaluation
+
+STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+EVAL_CTES = f"""
+cases AS (
+  SELECT u.conv_id::VARCHAR || '-' || u.turn::VARCHAR AS case_id, u.conv_id, u.turn, a.text AS expected,
+         'cat' || (u.turn % 3)::VARCHAR AS category
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user'),
+resp AS (
+  SELECT 'model-' || m::VARCHAR AS model, case_id, category, expected, conv_id % 5 AS run,
+         CASE WHEN (conv_id * 31 + turn * 7) % 10 >= m THEN '  ' || expected || chr(10) ELSE 'I do not know.' END AS response
+  FROM cases, range(0, 5) r(m)),
+ncase AS (SELECT category, count(*) AS n_cases FROM cases GROUP BY category),
+acc AS (
+  SELECT r.model, r.category AS dim, 'accuracy' AS metric,
+         sum(CASE WHEN {STRIP.format(x='r.response')} = {STRIP.format(x='r.expected')} THEN 1.0 ELSE 0.0 END) / n.n_cases AS score,
+         n.n_cases, count(*) AS n_responses
+  FROM resp r JOIN ncase n USING (category) GROUP BY r.model, r.category, n.n_cases)"""
+
+SQL["eval_scores"] = f"WITH {EVAL_CTES} SELECT model, dim, metric, round(score, 6) AS score, n_cases, n_responses FROM acc"
+SQL["eval_composite"] = f"""
+WITH {EVAL_CTES}, w(dim, weight) AS (VALUES ('cat0', 0.5::DOUBLE), ('cat1', 0.3::DOUBLE), ('cat2', 0.2::DOUBLE))
+SELECT model, round(sum(weight * score) / sum(weight), 6) AS composite FROM acc JOIN w USING (dim) GROUP BY model"""
+SQL["eval_radar"] = f"""
+WITH {EVAL_CTES}
+SELECT model, round(max(score) FILTER (WHERE dim = 'cat0'), 6) AS cat0, round(max(score) FILTER (WHERE dim = 'cat1'), 6) AS cat1,
+       round(max(score) FILTER (WHERE dim = 'cat2'), 6) AS cat2 FROM acc GROUP BY model"""
+SQL["eval_recommend"] = f"""
+WITH {EVAL_CTES},
+req(req_id, dim, weight) AS (VALUES (1, 'cat0', 1.0::DOUBLE), (1, 'cat1', 0.0::DOUBLE), (1, 'cat2', 0.0::DOUBLE),
+                                  (2, 'cat0', 0.2::DOUBLE), (2, 'cat1', 0.3::DOUBLE), (2, 'cat2', 0.5::DOUBLE)),
+c AS (SELECT req_id, model, sum(weight * score) / (sqrt(sum(weight * weight)) * sqrt(sum(score * score))) AS cosine
+      FROM req JOIN acc USING (dim) GROUP BY req_id, model),
+r AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY cosine DESC NULLS LAST, model) AS rank FROM c)
+SELECT req_id::BIGINT AS req_id, rank, model, round(cosine, 6) AS cosine FROM r WHERE rank <= 3"""
+SQL["eval_strengths"] = f"""
+WITH {EVAL_CTES}
+SELECT dim, model, round(score, 6) AS score FROM
+  (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY score DESC, model) AS rn FROM acc) WHERE rn = 1"""
+SQL["eval_trend"] = f"""
+WITH {EVAL_CTES},
+h AS (SELECT model, run::BIGINT AS run,
+             avg(CASE WHEN {STRIP.format(x='response')} = {STRIP.format(x='expected')} THEN 1.0 ELSE 0.0 END) AS score
+      FROM resp GROUP BY model, run)
+SELECT model, run, round(score, 6) AS score,
+       round(score - lag(score) OVER (PARTITION BY model ORDER BY run), 6) AS delta,
+       round(avg(score) OVER (PARTITION BY model ORDER BY run ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS moving_avg
+FROM h"""
