@@ -31,13 +31,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.numeric import round6
+
 from tessera.functions import text as T
 from tessera.plans.guards import bounded_broadcast, collect_bounded
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 ALPHA = 0.6
 TOP_K = 10
-SCORE_DIGITS = 6
 
 
 @dataclass
@@ -292,7 +293,7 @@ def bm25_search(queries: DataFrame, docs: DataFrame, k: int = TOP_K, index: Corp
     st = stats_for(pairs, allowed)
     fill = first_ids(index, q, k).join(pairs.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("raw", F.lit(0.0))
     cands = pairs.unionByName(fill).join(st, "query_id")
-    scored = cands.select("query_id", "doc_id", F.round(normalized(F.col("raw")), SCORE_DIGITS).alias("score"))
+    scored = cands.select("query_id", "doc_id", round6(normalized(F.col("raw"))).alias("score"))
     return top_k(scored, k).select("query_id", "rank", "doc_id", "score")
 
 
@@ -304,7 +305,7 @@ def semantic_search(queries: DataFrame, qvecs: DataFrame, dvecs: DataFrame, k: i
     params = st.select("query_id", "mn", "mx", F.lit(0.0).alias("c0"), F.lit(0.0).alias("alpha"))
     cands = semantic_candidates(qv, dvecs, params, k)
     scored = cands.join(st.select("query_id", "mn", "mx"), "query_id").select(
-        "query_id", "doc_id", F.round(normalized(F.col("sem")), SCORE_DIGITS).alias("score")
+        "query_id", "doc_id", round6(normalized(F.col("sem"))).alias("score")
     )
     return top_k(scored, k).select("query_id", "rank", "doc_id", "score")
 
@@ -335,9 +336,9 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, qvecs: DataFrame, dvecs:
     fused = F.lit(alpha) * normalized(F.col("raw"), "bmn", "bmx") + F.lit(1 - alpha) * normalized(F.col("sem"), "smn", "smx")
     scored = cands.join(st, "query_id").select(
         "query_id", "doc_id",
-        F.round(normalized(F.col("raw"), "bmn", "bmx"), SCORE_DIGITS).alias("bm25"),
-        F.round(normalized(F.col("sem"), "smn", "smx"), SCORE_DIGITS).alias("semantic"),
-        F.round(fused, SCORE_DIGITS).alias("score"),
+        round6(normalized(F.col("raw"), "bmn", "bmx")).alias("bm25"),
+        round6(normalized(F.col("sem"), "smn", "smx")).alias("semantic"),
+        round6(fused).alias("score"),
     )
     return top_k(scored, k).select("query_id", "rank", "doc_id", "score", "bm25", "semantic")
 

@@ -56,7 +56,7 @@ dense AS (
   SELECT q.query_id, dl.doc_id, coalesce(p.raw, 0.0) AS raw
   FROM q JOIN dl ON (len(q.kb) = 0 OR list_contains(q.kb, dl.source))
   LEFT JOIN pairs p ON p.query_id = q.query_id AND p.doc_id = dl.doc_id),
-nrm AS (SELECT query_id, doc_id, round({_norm('raw')}, 6) AS score FROM dense),
+nrm AS (SELECT query_id, doc_id, (floor(({_norm('raw')}) * 1000000 + 0.5) / 1000000) AS score FROM dense),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM nrm)
 SELECT r.query_id, r.rank, r.doc_id, r.score, {extra_cols}
 FROM r JOIN documents d USING (doc_id) WHERE r.rank <= 10"""
@@ -72,7 +72,7 @@ qv AS (SELECT e.vec_id AS query_id, e.embedding::DOUBLE[] AS v FROM embeddings e
 SQL["semantic_search"] = f"""
 WITH {VEC_CTES},
 dense AS (SELECT qv.query_id, dv.doc_id, list_inner_product(qv.v, dv.v) AS sem FROM qv, dv),
-nrm AS (SELECT query_id, doc_id, round({_norm('sem')}, 6) AS score FROM dense),
+nrm AS (SELECT query_id, doc_id, (floor(({_norm('sem')}) * 1000000 + 0.5) / 1000000) AS score FROM dense),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM nrm)
 SELECT r.query_id, r.rank, r.doc_id, r.score, coalesce(d.source, '') AS source
 FROM r JOIN documents d USING (doc_id) WHERE r.rank <= 10"""
@@ -85,7 +85,7 @@ dense AS (
   FROM qv JOIN dv ON true
   LEFT JOIN pairs p ON p.query_id = qv.query_id AND p.doc_id = dv.doc_id),
 nrm AS (SELECT query_id, doc_id, {_norm('raw')} AS bn, {_norm('sem')} AS sn FROM dense),
-fused AS (SELECT query_id, doc_id, round(bn, 6) AS bm25, round(sn, 6) AS semantic, round(0.6 * bn + 0.4 * sn, 6) AS score FROM nrm),
+fused AS (SELECT query_id, doc_id, (floor((bn) * 1000000 + 0.5) / 1000000) AS bm25, (floor((sn) * 1000000 + 0.5) / 1000000) AS semantic, (floor((0.6 * bn + 0.4 * sn) * 1000000 + 0.5) / 1000000) AS score FROM nrm),
 hyb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused) WHERE rank <= 10)"""
 
 SQL["hybrid_search"] = f"""
@@ -97,15 +97,15 @@ SQL["rerank_features"] = f"""
 WITH {HYBRID_CTES},
 fb AS (SELECT doc_id, avg(greatest(1, 1 + 4 * quality - toxic)) / 5.0 AS fb FROM labels GROUP BY doc_id)
 SELECT h.query_id, h.doc_id, h.score,
-       round(length(d.text) / 1000.0, 6) AS length,
-       round(coalesce(len(list_intersect(list_distinct({_ws('b.text')}), {_ws('d.text')})) / nullif(len(list_distinct({_ws('b.text')})), 0), 0.0), 6) AS overlap,
+       (floor((length(d.text) / 1000.0) * 1000000 + 0.5) / 1000000) AS length,
+       (floor((coalesce(len(list_intersect(list_distinct({_ws('b.text')}), {_ws('d.text')})) / nullif(len(list_distinct({_ws('b.text')})), 0), 0.0)) * 1000000 + 0.5) / 1000000) AS overlap,
        0.8 AS freshness,
-       round(coalesce(fb.fb, 0.9), 6) AS feedback
+       (floor((coalesce(fb.fb, 0.9)) * 1000000 + 0.5) / 1000000) AS feedback
 FROM hyb h JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = h.query_id LEFT JOIN fb USING (doc_id)"""
 
 SQL["corpus_stats"] = f"""
 WITH {bm25_ctes('documents', ALL_QUERIES)}
-SELECT term, df, round(idf, 6) AS idf, (SELECT n FROM cs) AS n_docs, round((SELECT avgdl FROM cs), 6) AS avgdl FROM idf"""
+SELECT term, df, (floor((idf) * 1000000 + 0.5) / 1000000) AS idf, (SELECT n FROM cs) AS n_docs, (floor(((SELECT avgdl FROM cs)) * 1000000 + 0.5) / 1000000) AS avgdl FROM idf"""
 
 SQL["latest_feedback"] = """
 WITH fb AS (SELECT event_id, ts, user_id AS doc_id, (1 + event_id % 5)::INTEGER AS score FROM events),
@@ -180,8 +180,8 @@ WORDS = r"regexp_extract_all({x}, '([\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s])', 1
 SQL["quality_features"] = f"""
 WITH w AS (SELECT doc_id, length(text)::BIGINT AS n_chars, {WORDS.format(x='text')} AS words FROM documents)
 SELECT doc_id, n_chars, len(words)::BIGINT AS n_words,
-       round(len(list_filter(words, lambda x: list_contains({STOP_LIST}, lower(x)))) / nullif(len(words), 0), 6) AS stop_ratio,
-       round(1 - len(list_distinct(words)) / nullif(len(words), 0), 6) AS repetition
+       (floor((len(list_filter(words, lambda x: list_contains({STOP_LIST}, lower(x)))) / nullif(len(words), 0)) * 1000000 + 0.5) / 1000000) AS stop_ratio,
+       (floor((1 - len(list_distinct(words)) / nullif(len(words), 0)) * 1000000 + 0.5) / 1000000) AS repetition
 FROM w"""
 
 SQL["skip_processed"] = """
@@ -226,7 +226,7 @@ types AS (SELECT list_sort(list(DISTINCT event_type)) AS all_types FROM events),
 subsets AS (SELECT list_filter(all_types, lambda x, i: ((m >> (i - 1)) & 1) = 1) AS items
             FROM types, range(1, (1 << len(all_types))::BIGINT) r(m)),
 c AS (SELECT s.items, count(*) FILTER (WHERE list_has_all(b.basket, s.items)) AS freq FROM subsets s, b GROUP BY s.items)
-SELECT array_to_string(items, ',') AS items, freq, round(freq / (SELECT n FROM n), 6) AS support
+SELECT array_to_string(items, ',') AS items, freq, (floor((freq / (SELECT n FROM n)) * 1000000 + 0.5) / 1000000) AS support
 FROM c WHERE freq >= ceil(0.05::DOUBLE * (SELECT n FROM n))"""
 
 # ---------------------------------------------------------------- evaluation
@@ -249,14 +249,14 @@ acc AS (
          n.n_cases, count(*) AS n_responses
   FROM resp r JOIN ncase n USING (category) GROUP BY r.model, r.category, n.n_cases)"""
 
-SQL["eval_scores"] = f"WITH {EVAL_CTES} SELECT model, dim, metric, round(score, 6) AS score, n_cases, n_responses FROM acc"
+SQL["eval_scores"] = f"WITH {EVAL_CTES} SELECT model, dim, metric, (floor((score) * 1000000 + 0.5) / 1000000) AS score, n_cases, n_responses FROM acc"
 SQL["eval_composite"] = f"""
 WITH {EVAL_CTES}, w(dim, weight) AS (VALUES ('cat0', 0.5::DOUBLE), ('cat1', 0.3::DOUBLE), ('cat2', 0.2::DOUBLE))
-SELECT model, round(sum(weight * score) / sum(weight), 6) AS composite FROM acc JOIN w USING (dim) GROUP BY model"""
+SELECT model, (floor((sum(weight * score) / sum(weight)) * 1000000 + 0.5) / 1000000) AS composite FROM acc JOIN w USING (dim) GROUP BY model"""
 SQL["eval_radar"] = f"""
 WITH {EVAL_CTES}
-SELECT model, round(max(score) FILTER (WHERE dim = 'cat0'), 6) AS cat0, round(max(score) FILTER (WHERE dim = 'cat1'), 6) AS cat1,
-       round(max(score) FILTER (WHERE dim = 'cat2'), 6) AS cat2 FROM acc GROUP BY model"""
+SELECT model, (floor((max(score) FILTER (WHERE dim = 'cat0')) * 1000000 + 0.5) / 1000000) AS cat0, (floor((max(score) FILTER (WHERE dim = 'cat1')) * 1000000 + 0.5) / 1000000) AS cat1,
+       (floor((max(score) FILTER (WHERE dim = 'cat2')) * 1000000 + 0.5) / 1000000) AS cat2 FROM acc GROUP BY model"""
 SQL["eval_recommend"] = f"""
 WITH {EVAL_CTES},
 req(req_id, dim, weight) AS (VALUES (1, 'cat0', 1.0::DOUBLE), (1, 'cat1', 0.0::DOUBLE), (1, 'cat2', 0.0::DOUBLE),
@@ -264,17 +264,103 @@ req(req_id, dim, weight) AS (VALUES (1, 'cat0', 1.0::DOUBLE), (1, 'cat1', 0.0::D
 c AS (SELECT req_id, model, sum(weight * score) / (sqrt(sum(weight * weight)) * sqrt(sum(score * score))) AS cosine
       FROM req JOIN acc USING (dim) GROUP BY req_id, model),
 r AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY cosine DESC NULLS LAST, model) AS rank FROM c)
-SELECT req_id::BIGINT AS req_id, rank, model, round(cosine, 6) AS cosine FROM r WHERE rank <= 3"""
+SELECT req_id::BIGINT AS req_id, rank, model, (floor((cosine) * 1000000 + 0.5) / 1000000) AS cosine FROM r WHERE rank <= 3"""
 SQL["eval_strengths"] = f"""
 WITH {EVAL_CTES}
-SELECT dim, model, round(score, 6) AS score FROM
+SELECT dim, model, (floor((score) * 1000000 + 0.5) / 1000000) AS score FROM
   (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY score DESC, model) AS rn FROM acc) WHERE rn = 1"""
 SQL["eval_trend"] = f"""
 WITH {EVAL_CTES},
 h AS (SELECT model, run::BIGINT AS run,
              avg(CASE WHEN {STRIP.format(x='response')} = {STRIP.format(x='expected')} THEN 1.0 ELSE 0.0 END) AS score
       FROM resp GROUP BY model, run)
-SELECT model, run, round(score, 6) AS score,
-       round(score - lag(score) OVER (PARTITION BY model ORDER BY run), 6) AS delta,
-       round(avg(score) OVER (PARTITION BY model ORDER BY run ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS moving_avg
+SELECT model, run, (floor((score) * 1000000 + 0.5) / 1000000) AS score,
+       (floor((score - lag(score) OVER (PARTITION BY model ORDER BY run)) * 1000000 + 0.5) / 1000000) AS delta,
+       (floor((avg(score) OVER (PARTITION BY model ORDER BY run ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) * 1000000 + 0.5) / 1000000) AS moving_avg
 FROM h"""
+
+# ---------------------------------------------------------------- routing
+
+REGISTRY = """reg(model_idx, model, cost) AS (VALUES (0, 'gpt-3.5', 0.002::DECIMAL(18,6)), (1, 'claude-2', 0.0018::DECIMAL(18,6)),
+  (2, 'stable-diffusion', 0.005::DECIMAL(18,6)), (3, 'whisper', 0.003::DECIMAL(18,6)), (4, 'palm-2', 0.0015::DECIMAL(18,6)))"""
+
+TTL_CTES = """
+tr AS (SELECT md5(props) AS cache_key, event_id AS req_id, ts, epoch_us(ts) AS t,
+              row_number() OVER (PARTITION BY md5(props) ORDER BY epoch_us(ts), event_id) AS i FROM events),
+tw(cache_key, i, exp, sid, hit) AS (
+  SELECT cache_key, i, t + 3600000000, req_id, false FROM tr WHERE i = 1
+  UNION ALL
+  SELECT tr.cache_key, tr.i, CASE WHEN tr.t < tw.exp THEN tw.exp ELSE tr.t + 3600000000 END,
+         CASE WHEN tr.t < tw.exp THEN tw.sid ELSE tr.req_id END, tr.t < tw.exp
+  FROM tw JOIN tr ON tr.cache_key = tw.cache_key AND tr.i = tw.i + 1),
+ttl AS (SELECT tr.cache_key, tr.req_id, tr.ts, tw.hit, tw.sid AS served_by FROM tw JOIN tr USING (cache_key, i))"""
+
+
+def _budget_ctes(src: str) -> str:
+    """Sequential walk per UTC day over ``src(req_id, ts, cost, qok)``: admit iff spent + cost <= 0.5."""
+    return f"""
+br AS (SELECT req_id, ts, CAST(ts AS DATE) AS day, cost, qok,
+              row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY epoch_us(ts), req_id) AS i FROM {src}),
+bw(day, i, spent, adm, before) AS (
+  SELECT day, i, CASE WHEN cost <= 0.5 AND qok THEN cost ELSE 0 END::DECIMAL(18,6), cost <= 0.5, 0::DECIMAL(18,6) FROM br WHERE i = 1
+  UNION ALL
+  SELECT br.day, br.i, (bw.spent + CASE WHEN bw.spent + br.cost <= 0.5 AND br.qok THEN br.cost ELSE 0 END)::DECIMAL(18,6),
+         bw.spent + br.cost <= 0.5, bw.spent
+  FROM bw JOIN br ON br.day = bw.day AND br.i = bw.i + 1),
+bud AS (SELECT br.req_id, br.day, br.ts, br.cost, bw.adm AS admitted, bw.before AS spent_before FROM bw JOIN br USING (day, i))"""
+
+
+REQ = f"""{REGISTRY},
+rq AS (SELECT e.event_id AS req_id, e.ts, reg.model, reg.cost, e.value / 50.0 >= 0.5 AS qok, e.value / 50.0 AS quality
+       FROM events e JOIN reg ON reg.model_idx = e.event_id % 5)"""
+
+SQL["ttl_cache"] = f"WITH RECURSIVE {TTL_CTES} SELECT cache_key, req_id, ts, hit, served_by FROM ttl"
+SQL["budget_admission"] = f"WITH RECURSIVE {REQ}, {_budget_ctes('rq')} SELECT day, req_id, ts, cost, admitted, spent_before FROM bud"
+
+ROUTE_CTES = f"""{REQ}, {TTL_CTES},
+miss AS (SELECT rq.* FROM rq JOIN ttl USING (req_id) WHERE NOT ttl.hit),
+{_budget_ctes('miss')},
+routed AS (
+  SELECT rq.req_id, CAST(rq.ts AS DATE) AS day, rq.model, rq.cost,
+         CASE WHEN ttl.hit THEN 'cache_hit' WHEN NOT bud.admitted THEN 'budget_exceeded'
+              WHEN rq.quality < 0.5 THEN 'quality_failed' ELSE 'ok' END AS status
+  FROM rq JOIN ttl USING (req_id) LEFT JOIN bud USING (req_id))"""
+
+SQL["route_log"] = f"WITH RECURSIVE {ROUTE_CTES} SELECT req_id, day, model, status FROM routed"
+SQL["outcome_counts"] = f"WITH RECURSIVE {ROUTE_CTES} SELECT status, count(*) AS n FROM routed GROUP BY status"
+SQL["spending_report"] = f"""WITH RECURSIVE {ROUTE_CTES}
+SELECT day, model, sum(cost)::DECIMAL(18,6) AS spend, count(*) AS calls, GROUPING(day, model)::BIGINT AS level
+FROM routed WHERE status = 'ok' GROUP BY ROLLUP (day, model)"""
+
+PERF_CTES = f"""{REGISTRY},
+pr AS (SELECT reg.model, e.event_id AS req_id, e.event_type <> 'error' AS success, e.value / 1000.0 AS latency,
+              row_number() OVER (PARTITION BY reg.model ORDER BY epoch_us(e.ts), e.event_id) AS n
+       FROM events e JOIN reg ON reg.model_idx = e.event_id % 5),
+pw(model, n, sr, lat) AS (
+  SELECT model, n, CASE WHEN success THEN 0.9::DOUBLE * 1.0 + 0.1 ELSE 0.9::DOUBLE * 1.0 END,
+         CASE WHEN success THEN latency ELSE 0.0::DOUBLE END FROM pr WHERE n = 1
+  UNION ALL
+  SELECT pr.model, pr.n, CASE WHEN pr.success THEN 0.9::DOUBLE * pw.sr + 0.1 ELSE 0.9::DOUBLE * pw.sr END,
+         CASE WHEN pr.success THEN (pw.lat * (pr.n - 1) + pr.latency) / pr.n ELSE pw.lat END
+  FROM pw JOIN pr ON pr.model = pw.model AND pr.n = pw.n + 1),
+perf AS (SELECT pr.model, pr.req_id, pr.n, pr.success, pw.sr, pw.lat FROM pw JOIN pr USING (model, n))"""
+
+SQL["model_performance"] = f"""WITH RECURSIVE {PERF_CTES}
+SELECT model, req_id, n, (floor((sr) * 1000000 + 0.5) / 1000000) AS success_rate, (floor((lat) * 1000000 + 0.5) / 1000000) AS avg_latency FROM perf"""
+SQL["model_summary"] = f"""WITH RECURSIVE {PERF_CTES}
+SELECT model, max(n) AS calls, count(*) FILTER (WHERE NOT success) AS failures,
+       (floor((arg_max(sr, n)) * 1000000 + 0.5) / 1000000) AS success_rate, (floor((arg_max(lat, n)) * 1000000 + 0.5) / 1000000) AS avg_latency FROM perf GROUP BY model"""
+
+_BOUNDS = ["0.005", "0.01", "0.025", "0.05", "0.1", "0.25", "0.5"]
+SQL["latency_histogram"] = " UNION ALL ".join(
+    [f"SELECT '{b}' AS le, count(*) FILTER (WHERE value / 1000.0 <= {b}) AS n FROM events" for b in _BOUNDS]
+    + ["SELECT '+Inf' AS le, count(*) AS n FROM events"])
+
+USER_INPUTS = "SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS input_id, text AS input FROM conversations WHERE role = 'user'"
+SQL["workflow_runs"] = f"""
+WITH u AS ({USER_INPUTS})
+SELECT input_id, 'claude-2 response to preprocess:' || input || chr(10) || chr(10) || 'gpt-3.5 response to generate:' || input
+       || chr(10) || chr(10) || 'palm-2 response to refine:' || input AS result, 3::BIGINT AS n_steps FROM u"""
+SQL["input_features"] = rf"""
+WITH u AS ({USER_INPUTS})
+SELECT input_id, length(input)::BIGINT AS length, length(regexp_replace(input, '[\p{{L}}\p{{N}}]', '', 'g'))::BIGINT AS special_chars FROM u"""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.numeric import round6
+
 from tessera.operators import behavior as Bh
 from tessera.plans import fixtures as fx
 from tessera.plans.catalog import register
@@ -29,4 +31,4 @@ def frequent_patterns(spark, sf_dir):
     """FP-growth over 12-hour sessions, minimum support 0.05."""
     s = Bh.sessionize(fx.table(spark, sf_dir, "events"), 12 * 3600, SALT)
     fp = Bh.frequent_patterns(Bh.session_baskets(s, 12 * 3600), 0.05)
-    return fp.select(F.array_join("items", ",").alias("items"), "freq", F.round("support", 6).alias("support"))
+    return fp.select(F.array_join("items", ",").alias("items"), "freq", round6("support").alias("support"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.numeric import round6
+
 from tessera.functions import text as T
 from tessera.operators import documents as D
 from tessera.plans import fixtures as fx
@@ -45,7 +47,7 @@ def order_dates(spark, sf_dir):
 @register("quality_features")
 def quality_features(spark, sf_dir):
     q = D.quality_features(fx.table(spark, sf_dir, "documents"))
-    return q.select("doc_id", "n_chars", "n_words", F.round("stop_ratio", 6).alias("stop_ratio"), F.round("repetition", 6).alias("repetition"))
+    return q.select("doc_id", "n_chars", "n_words", round6("stop_ratio").alias("stop_ratio"), round6("repetition").alias("repetition"))
 
 
 @register("skip_processed")
@@ -77,4 +79,4 @@ def quality_scores(spark, sf_dir):
     feats = D.quality_features(fx.table(spark, sf_dir, "documents"))
     train = feats.join(fx.table(spark, sf_dir, "labels"), "doc_id")
     model = D.fit_quality(train)
-    return D.score_quality(model, feats).select("doc_id", F.round("p_quality", 6).alias("p_quality"), "low_quality")
+    return D.score_quality(model, feats).select("doc_id", round6("p_quality").alias("p_quality"), "low_quality")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.numeric import round6
+
 from tessera.operators import evaluation as E
 from tessera.plans import fixtures as fx
 from tessera.plans.catalog import register
@@ -21,31 +23,31 @@ def _scores(spark, sf_dir):
 @register("eval_scores")
 def eval_scores(spark, sf_dir):
     s = E.batch_evaluate(fx.eval_cases(spark, sf_dir), fx.eval_responses(spark, sf_dir))
-    return s.select("model", "dim", "metric", F.round("score", 6).alias("score"), "n_cases", "n_responses")
+    return s.select("model", "dim", "metric", round6("score").alias("score"), "n_cases", "n_responses")
 
 
 @register("eval_composite")
 def eval_composite(spark, sf_dir):
     w = spark.createDataFrame(WEIGHTS, "dim string, weight double")
-    return E.composite(_scores(spark, sf_dir), w).select("model", F.round("composite", 6).alias("composite"))
+    return E.composite(_scores(spark, sf_dir), w).select("model", round6("composite").alias("composite"))
 
 
 @register("eval_radar")
 def eval_radar(spark, sf_dir):
     r = E.radar(_scores(spark, sf_dir), DIMS)
-    return r.select("model", *[F.round(d, 6).alias(d) for d in DIMS])
+    return r.select("model", *[round6(d).alias(d) for d in DIMS])
 
 
 @register("eval_recommend")
 def eval_recommend(spark, sf_dir):
     req = spark.createDataFrame(REQUIREMENTS, "req_id int, dim string, weight double")
     r = E.recommend(req, _scores(spark, sf_dir), 3)
-    return r.select(F.col("req_id").cast("bigint").alias("req_id"), "rank", "model", F.round("cosine", 6).alias("cosine"))
+    return r.select(F.col("req_id").cast("bigint").alias("req_id"), "rank", "model", round6("cosine").alias("cosine"))
 
 
 @register("eval_strengths")
 def eval_strengths(spark, sf_dir):
-    return E.strengths(_scores(spark, sf_dir)).select("dim", "model", F.round("score", 6).alias("score"))
+    return E.strengths(_scores(spark, sf_dir)).select("dim", "model", round6("score").alias("score"))
 
 
 @register("eval_trend")
@@ -60,9 +62,9 @@ def eval_trend(spark, sf_dir):
         .select("model", F.lit("all").alias("dim"), F.lit("accuracy").alias("metric"), F.col("run").cast("bigint").alias("run"), "score")
     )
     t = E.trend(hist, 3)
-    return t.select("model", "run", F.round("score", 6).alias("score"), F.round("delta", 6).alias("delta"), F.round("moving_avg", 6).alias("moving_avg"))
+    return t.select("model", "run", round6("score").alias("score"), round6("delta").alias("delta"), round6("moving_avg").alias("moving_avg"))
 
 
 @register("eval_results")
 def eval_results(spark, sf_dir):
-    return E.result_rows(_scores(spark, sf_dir).select("model", "dim", F.round("score", 6).alias("score")), "conversations", F.lit("2024-01-01T00:00:00")).select("model", "scores", "metadata")
+    return E.result_rows(_scores(spark, sf_dir).select("model", "dim", round6("score").alias("score")), "conversations", F.lit("2024-01-01T00:00:00")).select("model", "scores", "metadata")

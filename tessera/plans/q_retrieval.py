@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.numeric import round6
+
 from tessera.operators import retrieval as R
 from tessera.plans import fixtures as fx
 from tessera.plans.catalog import register
@@ -40,7 +42,7 @@ def hybrid_search(spark, sf_dir):
 @register("corpus_stats")
 def corpus_stats(spark, sf_dir):
     s = R.corpus_stats(fx.documents(spark, sf_dir))
-    return s.select("term", "df", F.round("idf", 6).alias("idf"), "n_docs", F.round("avgdl", 6).alias("avgdl"))
+    return s.select("term", "df", round6("idf").alias("idf"), "n_docs", round6("avgdl").alias("avgdl"))
 
 
 @register("latest_feedback")
@@ -60,5 +62,5 @@ def rerank_features(spark, sf_dir):
     q = fx.search_queries(spark, sf_dir)
     hits = R.hybrid_search(q, docs, fx.query_vectors(spark, sf_dir), fx.doc_vectors(spark, sf_dir), k=10)
     feats = R.rerank_features(hits.select("query_id", "doc_id", "score"), q, docs, fx.feedback_from_labels(spark, sf_dir))
-    return feats.select("query_id", "doc_id", "score", F.round("length", 6).alias("length"), F.round("overlap", 6).alias("overlap"),
-                        F.round("freshness", 6).alias("freshness"), F.round("feedback", 6).alias("feedback"))
+    return feats.select("query_id", "doc_id", "score", round6("length").alias("length"), round6("overlap").alias("overlap"),
+                        round6("freshness").alias("freshness"), round6("feedback").alias("feedback"))
