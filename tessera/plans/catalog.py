@@ -27,7 +27,7 @@ def register(name: str):
 
 def _import_modules():
     # modules register their queries on import
-    from tessera.plans import q_behavior, q_documents, q_evaluation, q_governance, q_retrieval, q_routing  # noqa: F401
+    from tessera.plans import q_behavior, q_documents, q_evaluation, q_governance, q_monitoring, q_retrieval, q_routing  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

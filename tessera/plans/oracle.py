@@ -364,3 +364,72 @@ SELECT input_id, 'claude-2 response to preprocess:' || input || chr(10) || chr(1
 SQL["input_features"] = rf"""
 WITH u AS ({USER_INPUTS})
 SELECT input_id, length(input)::BIGINT AS length, length(regexp_replace(input, '[\p{{L}}\p{{N}}]', '', 'g'))::BIGINT AS special_chars FROM u"""
+
+# ---------------------------------------------------------------- governance
+
+
+def r6(x: str) -> str:
+    return f"(floor(({x}) * 1000000 + 0.5) / 1000000)"
+
+
+SQL["rule_filter"] = """
+SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_quantity FROM lineitem
+WHERE l_returnflag IS NOT DISTINCT FROM 'R' AND l_linestatus IS NOT DISTINCT FROM 'F'"""
+
+CALLS = """c AS (SELECT event_id, ts, event_type AS tool, props AS params, value,
+                  (['admin', 'developer', 'guest', 'unknown'])[user_id % 4 + 1] AS role FROM events)"""
+SQL["permission_audit"] = f"""
+WITH {CALLS},
+rm(role, perms) AS (VALUES ('admin', ['*']), ('developer', ['api:access', 'data:process']), ('guest', ['basic:read'])),
+rq(tool, required) AS (VALUES ('view', ['basic:read']), ('click', ['api:access']), ('signup', ['data:process']),
+                              ('purchase', ['api:access', 'data:process']), ('error', []::VARCHAR[])),
+x AS (SELECT c.event_id, c.tool, c.role, coalesce(rm.perms, []::VARCHAR[]) AS perms, coalesce(rq.required, []::VARCHAR[]) AS required
+      FROM c LEFT JOIN rm USING (role) LEFT JOIN rq USING (tool)),
+y AS (SELECT *, CASE WHEN list_contains(perms, '*') THEN []::VARCHAR[]
+                     ELSE list_sort(list_distinct(list_filter(required, lambda r: NOT list_contains(perms, r)))) END AS miss FROM x)
+SELECT event_id, tool, role, len(miss) = 0 AS allowed, array_to_string(miss, ',') AS missing FROM y"""
+
+SQL["validate_params"] = """
+WITH p AS (SELECT event_id, json_extract_string(props, '$.k') AS k_raw, json_extract_string(props, '$.limit') AS l_raw FROM events)
+SELECT event_id,
+       TRY_CAST(k_raw AS INTEGER) AS k,
+       CASE WHEN l_raw IS NULL THEN 10 ELSE TRY_CAST(l_raw AS INTEGER) END AS "limit",
+       (k_raw IS NOT NULL AND TRY_CAST(k_raw AS INTEGER) IS NOT NULL AND (l_raw IS NULL OR TRY_CAST(l_raw AS INTEGER) IS NOT NULL)) AS is_valid,
+       concat_ws(';', CASE WHEN k_raw IS NULL THEN 'k: field required' WHEN TRY_CAST(k_raw AS INTEGER) IS NULL THEN 'k: not a valid int' END,
+                      CASE WHEN l_raw IS NOT NULL AND TRY_CAST(l_raw AS INTEGER) IS NULL THEN 'limit: not a valid int' END) AS errors
+FROM p"""
+
+SQL["call_keys"] = """
+WITH kv0 AS (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events),
+kv AS (SELECT event_id, k, json_extract_string(props, '$."' || k || '"') AS v FROM kv0),
+canon AS (SELECT event_id, '{' || string_agg('"' || k || '":"' || v || '"', ',' ORDER BY k) || '}' AS j FROM kv GROUP BY event_id),
+keys AS (SELECT e.event_id, e.event_type || ':' || md5(canon.j) AS call_key FROM events e JOIN canon USING (event_id))
+SELECT call_key, count(*) AS n, min(event_id) AS first_event FROM keys GROUP BY call_key"""
+
+SQL["tool_outcomes"] = """
+SELECT event_type AS tool, count(*) AS invocations, count(*) FILTER (WHERE value < 100) AS successes,
+       count(*) FILTER (WHERE value >= 100) AS failures FROM events GROUP BY event_type"""
+
+# ---------------------------------------------------------------- monitoring
+
+SQL["search_metrics"] = f"""
+SELECT CAST(ts AS DATE) AS day, count(*) AS total, count(*) FILTER (WHERE event_id % 4 = 0) AS cache_hits,
+       {r6("count(*) FILTER (WHERE event_id % 4 = 0) / count(*)")} AS hit_rate, {r6("avg(value)")} AS avg_response_ms
+FROM events GROUP BY ROLLUP (CAST(ts AS DATE))"""
+
+SQL["running_metrics"] = f"""
+SELECT CAST(ts AS DATE) AS day, event_id,
+       row_number() OVER w AS n, {r6("(sum(round(value * 100)::BIGINT) OVER w)::DOUBLE / row_number() OVER w / 100.0::DOUBLE")} AS running_avg
+FROM events WINDOW w AS (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+SQL["request_rate"] = f"""
+WITH {REGISTRY},
+r AS (SELECT date_trunc('minute', e.ts) AS m, reg.model FROM events e JOIN reg ON reg.model_idx = e.event_id % 5),
+w AS (SELECT m - to_minutes(k) AS window_start, model FROM r, range(0, 5) t(k))
+SELECT window_start, model, count(*) AS n, {r6("count(*) / 300.0::DOUBLE")} AS rate FROM w GROUP BY window_start, model"""
+
+SQL["anomalies"] = f"""
+WITH h AS (SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL),
+z AS (SELECT *, (n - avg(n) OVER w) / nullif(stddev_samp(n) OVER w, 0) AS z FROM h
+      WINDOW w AS (PARTITION BY event_type ORDER BY hour ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
+SELECT event_type, hour, n, {r6("z")} AS z, coalesce(abs(z) > 3, false) AS anomaly FROM z"""
