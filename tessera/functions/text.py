@@ -116,11 +116,12 @@ def sentences(c) -> Column:
 
 
 # F7
-def pack_sentences(sents, max_length: int = 1000) -> Column:
-    """Greedy packing: a sentence that would overflow the running length starts a new chunk.
+def chunk_starts(sents, max_length: int = 1000) -> Column:
+    """Greedy packing: 1-based index of the first sentence of each chunk.
 
-    The fold only records the 1-based start index of each chunk (appends happen
-    once per chunk, not per sentence); chunk texts are slices of the sentence array.
+    A sentence that would push the running length over ``max_length`` starts a
+    new chunk; an oversized sentence stays whole (and never leaves an empty
+    chunk behind, D25).  The fold appends once per chunk, not per sentence.
     """
     s = _c(sents)
     init = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("len"), F.lit(0).alias("i"))
@@ -135,12 +136,19 @@ def pack_sentences(sents, max_length: int = 1000) -> Column:
             i.alias("i"),
         )
 
-    starts = F.aggregate(s, init, step)["starts"]
-    bounds = F.concat(starts, F.array(F.size(s) + 1))
-    return F.transform(
-        starts,
-        lambda st, k: F.array_join(F.slice(s, st, F.element_at(bounds, k + 2) - st), " "),
-    )
+    return F.aggregate(s, init, step)["starts"]
+
+
+def slice_chunks(sents, starts, sep: str = " ") -> Column:
+    """Chunk texts from sentence array and chunk start indexes (both should be plain column references)."""
+    s, st = _c(sents), _c(starts)
+    bounds = F.concat(st, F.array(F.size(s) + 1))
+    return F.transform(st, lambda b, k: F.array_join(F.slice(s, b, F.element_at(bounds, k + 2) - b), sep))
+
+
+def pack_sentences(sents, max_length: int = 1000) -> Column:
+    """Single-expression form of F7 (for small inputs; ``chunk_documents`` materialises the steps)."""
+    return slice_chunks(sents, chunk_starts(sents, max_length))
 
 
 # F8

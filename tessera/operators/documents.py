@@ -19,8 +19,17 @@ LINE_BREAK = r"\r\n|\n|\r"
 
 # F8 (F4-F7)
 def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_length: int = 1000) -> DataFrame:
-    """``doc_id, chunk_no (1-based), chunk, n_chars``; structured texts split at headings, others by sentence packing."""
-    return docs.select(id_col, F.posexplode(T.hybrid_chunks(text_col, max_length)).alias("pos", "chunk")).select(
+    """``doc_id, chunk_no (1-based), chunk, n_chars``; structured texts split at headings, others by sentence packing.
+
+    Sentences and chunk starts are separate projections, so the sentence
+    split runs once per document (HOF lambdas get no common-subexpression
+    elimination); one document is one row, no shuffle.
+    """
+    x = docs.select(id_col, text_col, T.is_structured(text_col).alias("_st"))
+    x = x.select(id_col, text_col, "_st", F.when(~F.col("_st"), T.sentences(text_col)).alias("_sents"))
+    x = x.select(id_col, text_col, "_st", "_sents", T.chunk_starts("_sents", max_length).alias("_starts"))
+    chunks = F.when(F.col("_st"), T.structural_chunks(text_col)).otherwise(T.slice_chunks("_sents", "_starts"))
+    return x.select(id_col, F.posexplode(chunks).alias("pos", "chunk")).select(
         id_col, (F.col("pos") + 1).cast("bigint").alias("chunk_no"), "chunk", F.length("chunk").cast("bigint").alias("n_chars")
     )
 
@@ -38,11 +47,20 @@ def extract_metadata(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 # G13 (F10-F12)
 def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    words = T.word_tokens(text_col)
-    x = docs.select(id_col, F.length(text_col).cast("bigint").alias("n_chars"), words.alias("words"))
+    """Length, stop-word ratio and repetition over word tokens.
+
+    Stop words are counted with ``StopWordsRemover`` (JVM hash set, case-insensitive).
+    """
+    from pyspark.ml.feature import StopWordsRemover
+
+    x = docs.select(id_col, F.length(text_col).cast("bigint").alias("n_chars"), T.word_tokens(text_col).alias("words"))
+    rem = StopWordsRemover(inputCol="words", outputCol="_kept", stopWords=T.ENGLISH_STOP_WORDS, caseSensitive=False, locale="en_US")
+    x = rem.transform(x)
+    n = F.size("words")
     return x.select(
-        id_col, "n_chars", F.size("words").cast("bigint").alias("n_words"),
-        T.stop_word_ratio("words").alias("stop_ratio"), T.repetition_score("words").alias("repetition"),
+        id_col, "n_chars", n.cast("bigint").alias("n_words"),
+        F.try_divide((n - F.size("_kept")).cast("double"), n.cast("double")).alias("stop_ratio"),
+        T.repetition_score("words").alias("repetition"),
     )
 
 

@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,12 +56,14 @@ def corpus_index(docs: DataFrame, k1: float = K1, b: float = B, eps: float = EPS
     """Okapi BM25 corpus statistics over whitespace tokens."""
     toks = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("source"), T.ws_tokens("text").alias("toks"))
     toks = toks.select("doc_id", "source", "toks", F.size("toks").alias("dl"))
+    # The index is read by the scoring join and by three scalar statistics:
+    # tokenise once and keep postings / document lengths (spilling to disk).
     postings = (
         toks.select("doc_id", "dl", F.explode("toks").alias("term"))
         .groupBy("doc_id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    doc_rows = toks.select("doc_id", "source", "dl")
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    doc_rows = toks.select("doc_id", "source", "dl").persist(StorageLevel.MEMORY_AND_DISK)
     n_docs = doc_rows.select(F.count(F.lit(1))).scalar()
     avgdl = doc_rows.select(F.avg("dl")).scalar()
     df_t = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -68,7 +71,7 @@ def corpus_index(docs: DataFrame, k1: float = K1, b: float = B, eps: float = EPS
     mean_idf = raw.select(F.avg("idf_raw")).scalar()
     terms = raw.select(
         "term", "df", F.when(F.col("idf_raw") < 0, F.lit(eps) * mean_idf).otherwise(F.col("idf_raw")).alias("idf")
-    )
+    ).persist(StorageLevel.MEMORY_AND_DISK)
     return CorpusIndex(postings, terms, doc_rows, n_docs, avgdl)
 
 
@@ -90,8 +93,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
 # J5
 def bm25_scores(queries: DataFrame, index: CorpusIndex, k1: float = K1, b: float = B, max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """Raw BM25 score of every (query, doc) pair sharing at least one term."""
-    qt = query_terms(queries).join(index.terms.select("term", "idf"), "term")
-    qt = bounded_broadcast(qt, max_broadcast_rows)
+    raw_terms = query_terms(queries)
+    # Each (query, term) matches at most one vocabulary row, so the query-side
+    # count bounds the joined size without computing the corpus vocabulary.
+    small = raw_terms.count() <= max_broadcast_rows
+    qt = raw_terms.join(index.terms.select("term", "idf"), "term")
+    qt = F.broadcast(qt) if small else qt
     tf, dl = F.col("tf"), F.col("dl")
     contrib = F.col("qtf") * F.col("idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * dl / index.avgdl))
     return (
@@ -289,7 +296,8 @@ def bm25_search(queries: DataFrame, docs: DataFrame, k: int = TOP_K, index: Corp
     q = _queries_norm(queries)
     index = index or corpus_index(docs)
     allowed = _allowed_counts(q, index)
-    pairs = kb_filter(bm25_scores(q, index), q, index.docs)
+    # matched pairs feed the per-query stats, the fill anti-join and the candidates: materialise once
+    pairs = kb_filter(bm25_scores(q, index), q, index.docs).persist(StorageLevel.MEMORY_AND_DISK)
     st = stats_for(pairs, allowed)
     fill = first_ids(index, q, k).join(pairs.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("raw", F.lit(0.0))
     cands = pairs.unionByName(fill).join(st, "query_id")
@@ -322,7 +330,7 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, qvecs: DataFrame, dvecs:
     corpus = docs.join(dvecs.select("doc_id"), "doc_id", "left_semi")
     index = corpus_index(corpus)
     allowed = _allowed_counts(q, index)
-    pairs = kb_filter(bm25_scores(q, index), q, index.docs)
+    pairs = kb_filter(bm25_scores(q, index), q, index.docs).persist(StorageLevel.MEMORY_AND_DISK)
     bst = stats_for(pairs, allowed).select("query_id", F.col("mn").alias("bmn"), F.col("mx").alias("bmx"))
     qv = qvecs.join(q.select("query_id", F.col("kb_ids").alias("kb")), "query_id")
     sst = semantic_stats(qv, dv)

@@ -24,3 +24,14 @@ def collect_bounded(df: DataFrame, max_rows: int, what: str) -> pd.DataFrame:
     if len(head) > max_rows:
         raise ValueError(f"{what}: more than {max_rows} rows; process it in blocks")
     return head
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when a scan yields fewer partitions than the cluster runs in parallel.
+
+    Text tables stored as one large row group would otherwise tokenise in a
+    single task.  On large inputs (many splits) this is a no-op: no shuffle.
+    """
+    sc = df.sparkSession.sparkContext
+    want = min_partitions or sc.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
