@@ -433,3 +433,20 @@ WITH h AS (SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM
 z AS (SELECT *, (n - avg(n) OVER w) / nullif(stddev_samp(n) OVER w, 0) AS z FROM h
       WINDOW w AS (PARTITION BY event_type ORDER BY hour ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
 SELECT event_type, hour, n, {r6("z")} AS z, coalesce(abs(z) > 3, false) AS anomaly FROM z"""
+
+# ---------------------------------------------------------------- clustering
+
+SQL["vector_clusters"] = """
+WITH RECURSIVE
+pts AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+nb AS (SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON a.id <> b.id AND list_distance(a.v, b.v) <= 1.1),
+deg AS (SELECT pts.id, 1 + count(nb.b) AS n FROM pts LEFT JOIN nb ON nb.a = pts.id GROUP BY pts.id),
+core AS (SELECT id FROM deg WHERE n >= 2),
+ce AS (SELECT a, b FROM nb WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+reach(id, root) AS (SELECT id, id FROM core UNION SELECT ce.b, reach.root FROM reach JOIN ce ON ce.a = reach.id),
+comp AS (SELECT id, min(root) AS c FROM reach GROUP BY id),
+cid AS (SELECT c, dense_rank() OVER (ORDER BY c) - 1 AS cluster_id FROM (SELECT DISTINCT c FROM comp)),
+border AS (SELECT nb.a AS id, min(cid.cluster_id) AS cluster_id FROM nb JOIN comp ON comp.id = nb.b JOIN cid USING (c)
+           WHERE nb.a NOT IN (SELECT id FROM core) GROUP BY nb.a),
+lab AS (SELECT comp.id, cid.cluster_id FROM comp JOIN cid USING (c) UNION ALL SELECT id, cluster_id FROM border)
+SELECT pts.id AS vec_id, coalesce(lab.cluster_id, -1)::BIGINT AS cluster_id FROM pts LEFT JOIN lab USING (id)"""

@@ -64,3 +64,24 @@ def rerank_features(spark, sf_dir):
     feats = R.rerank_features(hits.select("query_id", "doc_id", "score"), q, docs, fx.feedback_from_labels(spark, sf_dir))
     return feats.select("query_id", "doc_id", "score", round6("length").alias("length"), round6("overlap").alias("overlap"),
                         round6("freshness").alias("freshness"), round6("feedback").alias("feedback"))
+
+
+@register("vector_clusters")
+def vector_clusters(spark, sf_dir):
+    """DBSCAN (eps 1.1, min_samples 2) over all embedding vectors as one result set in id order."""
+    from tessera.operators import clustering as C
+
+    e = fx.table(spark, sf_dir, "embeddings")
+    pts = e.select(F.lit(0).cast("bigint").alias("key"), F.col("vec_id").alias("pid"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))
+    return C.dbscan(pts, eps=1.1, min_samples=2).select(F.col("pid").alias("vec_id"), "cluster_id")
+
+
+@register("collapsed_hits")
+def collapsed_hits(spark, sf_dir):
+    """Hybrid top-10 per query, clustered on document vectors (eps 1.1), one hit per cluster."""
+    from tessera.operators import clustering as C
+
+    docs = fx.documents(spark, sf_dir)
+    dv = fx.doc_vectors(spark, sf_dir)
+    hits = R.hybrid_search(fx.search_queries(spark, sf_dir), docs, fx.query_vectors(spark, sf_dir), dv, k=10)
+    return C.collapse_clusters(C.cluster_results(hits, dv, eps=1.1, min_samples=2)).select("query_id", "rank", "doc_id", "score", "cluster_id")
