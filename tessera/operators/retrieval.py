@@ -418,3 +418,26 @@ def rerank_features(hits: DataFrame, queries: DataFrame, docs: DataFrame, feedba
         T.freshness(age).alias("freshness"),
     )
     return feedback_score(x, feedback)
+
+
+# M2 / M4 / L2
+RERANK_FEATURES = ["score", "length", "overlap", "freshness", "feedback"]
+
+
+def fit_reranker(train: DataFrame, label: str = "label", trees: int = 100, seed: int = 42):
+    """Random-forest regressor on the five rerank features; refit from feedback on a schedule (M4)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    return Pipeline(stages=[
+        VectorAssembler(inputCols=RERANK_FEATURES, outputCol="features", handleInvalid="keep"),
+        RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=trees, seed=seed),
+    ]).fit(train.withColumn(label, F.col(label).cast("double")))
+
+
+def rerank(model, feats: DataFrame, k: int = TOP_K) -> DataFrame:
+    """Predicted relevance per hit, re-ranked per query (ties by doc_id)."""
+    out = model.transform(feats).withColumnRenamed("prediction", "predicted").drop("features")
+    w = Window.partitionBy("query_id").orderBy(F.col("predicted").desc(), F.col("doc_id"))
+    return out.withColumn("rerank", F.row_number().over(w).cast("bigint")).where(F.col("rerank") <= F.lit(k))

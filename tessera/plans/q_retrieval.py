@@ -85,3 +85,16 @@ def collapsed_hits(spark, sf_dir):
     dv = fx.doc_vectors(spark, sf_dir)
     hits = R.hybrid_search(fx.search_queries(spark, sf_dir), docs, fx.query_vectors(spark, sf_dir), dv, k=10)
     return C.collapse_clusters(C.cluster_results(hits, dv, eps=1.1, min_samples=2)).select("query_id", "rank", "doc_id", "score", "cluster_id")
+
+
+@register("reranked_hits")
+def reranked_hits(spark, sf_dir):
+    """Reranker trained on labelled documents' feedback (1..5), applied to the hybrid top-10 (M2, M4, L2)."""
+    docs = fx.documents(spark, sf_dir)
+    q = fx.search_queries(spark, sf_dir)
+    fb = fx.feedback_from_labels(spark, sf_dir)
+    hits = R.hybrid_search(q, docs, fx.query_vectors(spark, sf_dir), fx.doc_vectors(spark, sf_dir), k=10)
+    feats = R.rerank_features(hits.select("query_id", "doc_id", "score"), q, docs, fb)
+    train = feats.join(fb.withColumnRenamed("score", "label"), "doc_id")
+    model = R.fit_reranker(train, "label", trees=100, seed=42)
+    return R.rerank(model, feats).select("query_id", "doc_id", "rerank", round6("predicted").alias("predicted"))
