@@ -170,15 +170,20 @@ def decode_basic_entities(c) -> Column:
 
 
 # F9b
-def html_title(c) -> Column:
+def has_html_title(c) -> Column:
     t = _c(c)
-    raw = F.regexp_extract(t, HTML_TITLE, 1)
-    has = t.rlike(HTML_MARK) & t.rlike(r"(?is)<title[^>]*>.*?</title>")
-    return F.when(has & (raw != ""), decode_basic_entities(raw))
+    return t.rlike(HTML_MARK) & t.rlike(r"(?is)<title[^>]*>.*?</title>")
+
+
+def html_title(c) -> Column:
+    """Text of the first ``<title>`` element, basic entities decoded; null when empty."""
+    raw = F.regexp_extract(_c(c), HTML_TITLE, 1)
+    return F.when(raw != "", decode_basic_entities(raw))
 
 
 def title(c) -> Column:
-    return F.coalesce(html_title(c), first_title_line(c))
+    """HTML pages: the ``<title>`` text (null if empty); otherwise the first short non-blank line."""
+    return F.when(has_html_title(c), html_title(c)).otherwise(first_title_line(c))
 
 
 # F9c

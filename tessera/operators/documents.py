@@ -104,8 +104,7 @@ def version_line_delta(versions: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("struct<added:array<string>, removed:array<string>>")
-def _ordered_diff(prev: pd.Series, cur: pd.Series) -> pd.DataFrame:
+def _ordered_diff_batch(prev: pd.Series, cur: pd.Series) -> pd.DataFrame:
     added, removed = [], []
     for a, b in zip(prev, cur):
         diff = list(difflib.Differ().compare((a or "").splitlines(), (b or "").splitlines()))
@@ -118,7 +117,8 @@ def _ordered_diff(prev: pd.Series, cur: pd.Series) -> pd.DataFrame:
 def version_diff_ordered(versions: DataFrame) -> DataFrame:
     """Exact ordered line diff (stdlib difflib) between consecutive versions, Arrow-batched."""
     v = with_previous(versions)
-    return v.select("doc_id", "version", _ordered_diff("prev", "content").alias("d")).select(
+    udf = F.pandas_udf(_ordered_diff_batch, "struct<added:array<string>, removed:array<string>>")
+    return v.select("doc_id", "version", udf("prev", "content").alias("d")).select(
         "doc_id", "version", F.col("d.added").alias("added"), F.col("d.removed").alias("removed")
     )
 

@@ -159,15 +159,14 @@ SQL["doc_chunks"] = _chunks_sql("documents", "doc_id", "text")
 SQL["page_chunks"] = _chunks_sql("pages", "page_id", "replace(html, '<h1>', chr(10) || '<h1>')")
 
 TITLE_LINE = r"list_filter(list_transform(string_split({x}, chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), lambda l: length(l) BETWEEN 1 AND 99)[1]"
-HTML_TITLE = r"""CASE WHEN regexp_matches({x}, '(?i)<html[\s>]') AND regexp_matches({x}, '(?is)<title[^>]*>.*?</title>')
-          AND regexp_extract({x}, '(?is)<title[^>]*>(.*?)</title>', 1) <> ''
-     THEN replace(replace(replace(replace(replace(regexp_extract({x}, '(?is)<title[^>]*>(.*?)</title>', 1),
-          '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') END"""
+HAS_HTML_TITLE = r"""(regexp_matches({x}, '(?i)<html[\s>]') AND regexp_matches({x}, '(?is)<title[^>]*>.*?</title>'))"""
+HTML_TITLE = r"""replace(replace(replace(replace(replace(nullif(regexp_extract({x}, '(?is)<title[^>]*>(.*?)</title>', 1), ''),
+          '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')"""
 DATES = r"array_to_string(regexp_extract_all({x}, '(\d{{4}}-\d{{2}}-\d{{2}})', 1), ',')"
 
 
 def _title(x: str) -> str:
-    return f"coalesce({HTML_TITLE.format(x=x)}, {TITLE_LINE.format(x=x)})"
+    return f"CASE WHEN {HAS_HTML_TITLE.format(x=x)} THEN {HTML_TITLE.format(x=x)} ELSE {TITLE_LINE.format(x=x)} END"
 
 
 SQL["doc_metadata"] = f"SELECT doc_id, {_title('text')} AS title, {DATES.format(x='text')} AS dates FROM documents"
