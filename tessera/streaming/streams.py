@@ -150,7 +150,8 @@ def stream_ingest(spark, src_dir: str, store: str, checkpoint: str, trigger: dic
     from tessera.sources.files import parse_binary_rows
     from tessera.sources.stores import save_processed
 
-    stream = spark.readStream.format("binaryFile").load(src_dir)
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    stream = spark.readStream.format("binaryFile").schema(schema).load(src_dir)
 
     def each(batch: DataFrame, epoch: int):
         save_processed(parse_binary_rows(batch).where(F.col("error").isNull()), store)
