@@ -29,7 +29,9 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     x = x.select(id_col, text_col, "_st", F.when(~F.col("_st"), T.sentences(text_col)).alias("_sents"))
     x = x.select(id_col, text_col, "_st", "_sents", T.chunk_starts("_sents", max_length).alias("_starts"))
     chunks = F.when(F.col("_st"), T.structural_chunks(text_col)).otherwise(T.slice_chunks("_sents", "_starts"))
-    return x.select(id_col, F.posexplode(chunks).alias("pos", "chunk")).select(
+    # posexplode_outer + null filter: a plain posexplode makes Spark infer a size(chunks) > 0 filter
+    # that re-runs the whole chunking expression a second time
+    return x.select(id_col, F.posexplode_outer(chunks).alias("pos", "chunk")).where(F.col("pos").isNotNull()).select(
         id_col, (F.col("pos") + 1).cast("bigint").alias("chunk_no"), "chunk", F.length("chunk").cast("bigint").alias("n_chars")
     )
 
@@ -92,8 +94,8 @@ def with_previous(versions: DataFrame) -> DataFrame:
 def version_line_delta(versions: DataFrame) -> DataFrame:
     """Bag difference of lines between consecutive versions: ``doc_id, version, line, change, n``."""
     v = with_previous(versions)
-    cur = v.select("doc_id", "version", F.explode(lines("content")).alias("line")).groupBy("doc_id", "version", "line").agg(F.count(F.lit(1)).alias("n_new"))
-    old = v.select("doc_id", "version", F.explode(lines("prev")).alias("line")).groupBy("doc_id", "version", "line").agg(F.count(F.lit(1)).alias("n_old"))
+    cur = v.select("doc_id", "version", F.explode_outer(lines("content")).alias("line")).where(F.col("line").isNotNull()).groupBy("doc_id", "version", "line").agg(F.count(F.lit(1)).alias("n_new"))
+    old = v.select("doc_id", "version", F.explode_outer(lines("prev")).alias("line")).where(F.col("line").isNotNull()).groupBy("doc_id", "version", "line").agg(F.count(F.lit(1)).alias("n_old"))
     d = cur.join(old, ["doc_id", "version", "line"], "full_outer").select(
         "doc_id", "version", "line", (F.coalesce("n_new", F.lit(0)) - F.coalesce("n_old", F.lit(0))).alias("diff")
     )

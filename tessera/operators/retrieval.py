@@ -36,6 +36,7 @@ from tessera.functions.numeric import round6
 
 from tessera.functions import text as T
 from tessera.plans.guards import bounded_broadcast, collect_bounded
+from tessera.session import materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 ALPHA = 0.6
@@ -57,13 +58,20 @@ def corpus_index(docs: DataFrame, k1: float = K1, b: float = B, eps: float = EPS
     toks = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("source"), T.ws_tokens("text").alias("toks"))
     toks = toks.select("doc_id", "source", "toks", F.size("toks").alias("dl"))
     # The index is read by the scoring join and by three scalar statistics:
-    # tokenise once and keep postings / document lengths (spilling to disk).
+    # tokenise once and write postings / document lengths / terms as tables in
+    # the shared checkpoint folder (computed once, lineage cut, survives executor loss).
     postings = (
-        toks.select("doc_id", "dl", F.explode("toks").alias("term"))
+        # explode_outer + null filter: plain explode infers a size(toks) > 0 filter that Spark pushes
+        # below the scan-side repartition, tokenising the corpus twice
+        toks.select("doc_id", "dl", F.explode_outer("toks").alias("term")).where(F.col("term").isNotNull())
         .groupBy("doc_id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    doc_rows = toks.select("doc_id", "source", "dl").persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    postings = materialize(postings, "postings")
+    lengths = postings.groupBy("doc_id").agg(F.first("dl").alias("dl"))
+    doc_rows = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("source")).join(lengths, "doc_id", "left").select(
+        "doc_id", "source", F.coalesce("dl", F.lit(0)).alias("dl"))
+    doc_rows = materialize(doc_rows, "doc_lengths")
     n_docs = doc_rows.select(F.count(F.lit(1))).scalar()
     avgdl = doc_rows.select(F.avg("dl")).scalar()
     df_t = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -71,7 +79,8 @@ def corpus_index(docs: DataFrame, k1: float = K1, b: float = B, eps: float = EPS
     mean_idf = raw.select(F.avg("idf_raw")).scalar()
     terms = raw.select(
         "term", "df", F.when(F.col("idf_raw") < 0, F.lit(eps) * mean_idf).otherwise(F.col("idf_raw")).alias("idf")
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    terms = materialize(terms, "terms")
     return CorpusIndex(postings, terms, doc_rows, n_docs, avgdl)
 
 
@@ -84,7 +93,7 @@ def corpus_stats(docs: DataFrame, k1: float = K1, b: float = B, eps: float = EPS
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, qtf): duplicate query tokens count once per occurrence."""
     return (
-        queries.select("query_id", F.explode(T.ws_tokens("query")).alias("term"))
+        queries.select("query_id", F.explode_outer(T.ws_tokens("query")).alias("term")).where(F.col("term").isNotNull())
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
@@ -297,7 +306,7 @@ def bm25_search(queries: DataFrame, docs: DataFrame, k: int = TOP_K, index: Corp
     index = index or corpus_index(docs)
     allowed = _allowed_counts(q, index)
     # matched pairs feed the per-query stats, the fill anti-join and the candidates: materialise once
-    pairs = kb_filter(bm25_scores(q, index), q, index.docs).persist(StorageLevel.MEMORY_AND_DISK)
+    pairs = materialize(kb_filter(bm25_scores(q, index), q, index.docs), "bm25_pairs")
     st = stats_for(pairs, allowed)
     fill = first_ids(index, q, k).join(pairs.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("raw", F.lit(0.0))
     cands = pairs.unionByName(fill).join(st, "query_id")
@@ -330,7 +339,7 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, qvecs: DataFrame, dvecs:
     corpus = docs.join(dvecs.select("doc_id"), "doc_id", "left_semi")
     index = corpus_index(corpus)
     allowed = _allowed_counts(q, index)
-    pairs = kb_filter(bm25_scores(q, index), q, index.docs).persist(StorageLevel.MEMORY_AND_DISK)
+    pairs = materialize(kb_filter(bm25_scores(q, index), q, index.docs), "bm25_pairs")
     bst = stats_for(pairs, allowed).select("query_id", F.col("mn").alias("bmn"), F.col("mx").alias("bmx"))
     qv = qvecs.join(q.select("query_id", F.col("kb_ids").alias("kb")), "query_id")
     sst = semantic_stats(qv, dv)

@@ -41,13 +41,13 @@ WORKFLOW_STEPS = [
 ]
 
 
-TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "benchmark": "item_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet table; text tables get spread over the cluster when the scan has too few splits."""
+    """Parquet table; text tables get spread (by their key) when the scan has too few splits."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spread(df, [TEXT_TABLES[name]]) if name in TEXT_TABLES else df
 
 
 def registry(spark: SparkSession) -> DataFrame:

@@ -26,12 +26,16 @@ def collect_bounded(df: DataFrame, max_rows: int, what: str) -> pd.DataFrame:
     return head
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when a scan yields fewer partitions than the cluster runs in parallel.
+def spread(df: DataFrame, keys: list[str] | None = None, min_partitions: int | None = None) -> DataFrame:
+    """Repartition only when a scan yields fewer partitions than the cluster runs in parallel.
 
     Text tables stored as one large row group would otherwise tokenise in a
-    single task.  On large inputs (many splits) this is a no-op: no shuffle.
+    single task.  Hash-partitioning by the row key also lets later per-row
+    aggregations (e.g. postings grouped by doc_id, term) run without a shuffle.
+    On large inputs (many splits) this is a no-op.
     """
     sc = df.sparkSession.sparkContext
     want = min_partitions or sc.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, *keys) if keys else df.repartition(want)
