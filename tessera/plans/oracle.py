@@ -449,3 +449,27 @@ border AS (SELECT nb.a AS id, min(cid.cluster_id) AS cluster_id FROM nb JOIN com
            WHERE nb.a NOT IN (SELECT id FROM core) GROUP BY nb.a),
 lab AS (SELECT comp.id, cid.cluster_id FROM comp JOIN cid USING (c) UNION ALL SELECT id, cluster_id FROM border)
 SELECT pts.id AS vec_id, coalesce(lab.cluster_id, -1)::BIGINT AS cluster_id FROM pts LEFT JOIN lab USING (id)"""
+
+SQL["collapsed_hits"] = f"""
+WITH RECURSIVE {HYBRID_CTES},
+hv AS (SELECT h.query_id, h.doc_id, h.rank, h.score, e.embedding::DOUBLE[] AS v FROM hyb h JOIN embeddings e ON e.vec_id = h.doc_id),
+nb AS (SELECT a.query_id, a.rank AS a, b.rank AS b FROM hv a JOIN hv b ON a.query_id = b.query_id AND a.rank <> b.rank
+       AND list_distance(a.v, b.v) <= 1.1),
+deg AS (SELECT hv.query_id, hv.rank, 1 + count(nb.b) AS n FROM hv LEFT JOIN nb ON nb.query_id = hv.query_id AND nb.a = hv.rank GROUP BY ALL),
+core AS (SELECT query_id, rank FROM deg WHERE n >= 2),
+ce AS (SELECT nb.* FROM nb JOIN core c1 ON c1.query_id = nb.query_id AND c1.rank = nb.a JOIN core c2 ON c2.query_id = nb.query_id AND c2.rank = nb.b),
+reach(query_id, id, root) AS (SELECT query_id, rank, rank FROM core
+                              UNION SELECT ce.query_id, ce.b, reach.root FROM reach JOIN ce ON ce.query_id = reach.query_id AND ce.a = reach.id),
+comp AS (SELECT query_id, id, min(root) AS c FROM reach GROUP BY query_id, id),
+cid AS (SELECT query_id, c, dense_rank() OVER (PARTITION BY query_id ORDER BY c) - 1 AS cluster_id FROM (SELECT DISTINCT query_id, c FROM comp)),
+lab AS (SELECT comp.query_id, comp.id AS rank, cid.cluster_id FROM comp JOIN cid USING (query_id, c)),
+x AS (SELECT hv.query_id, hv.rank, hv.doc_id, hv.score, coalesce(lab.cluster_id, -1)::BIGINT AS cluster_id
+      FROM hv LEFT JOIN lab USING (query_id, rank)),
+y AS (SELECT *, row_number() OVER (PARTITION BY query_id, cluster_id ORDER BY rank) AS rn FROM x)
+SELECT query_id, rank, doc_id, score, cluster_id FROM y WHERE cluster_id < 0 OR rn = 1"""
+
+SQL["eval_results"] = f"""
+WITH {EVAL_CTES}
+SELECT model, to_json(map_from_entries(list(struct_pack(k := dim, v := {r6('score')}) ORDER BY dim)))::VARCHAR AS scores,
+       '{{"test_set":"conversations"}}' AS metadata
+FROM acc GROUP BY model"""
