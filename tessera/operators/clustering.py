@@ -10,6 +10,8 @@ first appearance) and ``vec`` an ``array<float>``.
 * core points: neighbours including self >= ``min_samples``.
 * clusters (G15): connected components of core points by iterated min-label
   propagation over core-core edges; lineage is cut with reliable checkpoints.
+* groups proven small by a size check (one query's top-k) run in one task
+  per group with the same rules; large groups use the distributed path.
 * border points take the earliest cluster among their core neighbours;
   cluster ids are dense in order of each cluster's first core point;
   noise is -1.  This is the labelling sequential DBSCAN produces.
@@ -92,8 +94,56 @@ def connected_min_label(nodes: DataFrame, edges: DataFrame, max_iter: int = 100,
     raise RuntimeError("connected components did not converge")
 
 
-def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 2) -> DataFrame:
-    """``key, pid, cluster_id`` (-1 = noise) for every point."""
+def _dbscan_group(pos: np.ndarray, mat: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
+    """Labels for one small group, same rules as the distributed path (input in any order)."""
+    n = len(pos)
+    d = np.sqrt(((mat[:, None, :] - mat[None, :, :]) ** 2).sum(axis=2))
+    adj = d <= eps
+    core = adj.sum(axis=1) >= min_samples
+    comp = np.full(n, -1)
+    order = np.argsort(pos, kind="stable")
+    for start in order:
+        if not core[start] or comp[start] >= 0:
+            continue
+        comp[start] = start
+        stack = [start]
+        while stack:
+            i = stack.pop()
+            for j in np.nonzero(adj[i] & core)[0]:
+                if comp[j] < 0:
+                    comp[j] = start
+                    stack.append(j)
+    labels = np.full(n, -1, dtype=np.int64)
+    roots = sorted({c for c in comp if c >= 0}, key=lambda c: pos[c])
+    rid = {c: k for k, c in enumerate(roots)}
+    for i in range(n):
+        if comp[i] >= 0:
+            labels[i] = rid[comp[i]]
+    for i in np.nonzero(~core)[0]:
+        nbr = [labels[j] for j in np.nonzero(adj[i] & core)[0]]
+        if nbr:
+            labels[i] = min(nbr)
+    return labels
+
+
+def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 2, small_group: int = 2000) -> DataFrame:
+    """``key, pid, cluster_id`` (-1 = noise) for every point.
+
+    Groups proven small (largest group <= ``small_group`` points, e.g. one
+    query's top-k hits) are clustered inside one task per group; otherwise the
+    distributed epsilon-join + connected-components path runs.
+    """
+    largest = points.groupBy("key").count().select(F.max("count")).collect()[0][0] or 0
+    if largest <= small_group:
+        key_type = points.schema["key"].dataType.simpleString()
+
+        def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
+            mat = np.stack(pdf["vec"].map(lambda v: np.asarray(v, dtype=np.float64)).values)
+            lab = _dbscan_group(pdf["pos"].to_numpy(np.int64), mat, eps, min_samples)
+            return pd.DataFrame({"key": pdf["key"].to_numpy(), "pid": pdf["pid"].to_numpy(np.int64), "cluster_id": lab})
+
+        return points.select("key", "pid", "pos", "vec").groupBy("key").applyInPandas(
+            per_group, f"key {key_type}, pid long, cluster_id long")
     pts = cut_lineage(points.select("key", "pid", "pos", "vec"))
     nb = neighbour_pairs(pts, eps)
     nb = cut_lineage(nb)

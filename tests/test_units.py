@@ -312,13 +312,13 @@ def brute_dbscan(points, eps, min_samples):
     return [(-1 if l is None else l) for l in labels]
 
 
-@pytest.mark.parametrize("min_samples", [2, 4])
-def test_dbscan_matches_brute_force(spark, min_samples):
+@pytest.mark.parametrize("min_samples,small_group", [(2, 0), (4, 0), (2, 2000), (4, 2000)])
+def test_dbscan_matches_brute_force(spark, min_samples, small_group):
     rnd = random.Random(11)
     pts = [(rnd.gauss(c, 0.3), rnd.gauss(c, 0.3)) for c in (0, 3, 6) for _ in range(12)] + [(rnd.uniform(-5, 10), rnd.uniform(-5, 10)) for _ in range(10)]
     rnd.shuffle(pts)
     df = spark.createDataFrame([(0, i, i, list(p)) for i, p in enumerate(pts)], "key long, pid long, pos long, vec array<float>")
-    got = {r.pid: r.cluster_id for r in C.dbscan(df, eps=0.5, min_samples=min_samples).collect()}
+    got = {r.pid: r.cluster_id for r in C.dbscan(df, eps=0.5, min_samples=min_samples, small_group=small_group).collect()}
     import numpy as np
     f32 = [tuple(float(np.float32(v)) for v in p) for p in pts]
     want = brute_dbscan(f32, 0.5, min_samples)
