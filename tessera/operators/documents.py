@@ -125,6 +125,32 @@ def version_diff_ordered(versions: DataFrame) -> DataFrame:
     )
 
 
+# Hash skip -> chunk -> metadata -> quality, per new content
+def process_documents(docs: DataFrame, done_hashes: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      max_length: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Process only content not seen before.
+
+    Returns ``(summary, chunks)``: one summary row per new content hash
+    (representative id, title, dates, chunk count, quality features) and the
+    chunk rows of those documents.  Error rows from ingest should be split
+    off before (``where(error is null)``).
+    """
+    new = skip_processed(docs, done_hashes, id_col, text_col)
+    todo = docs.join(new.select(id_col, "file_hash", "n_copies"), id_col)
+    chunks = chunk_documents(todo, id_col, text_col, max_length)
+    n_chunks = chunks.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_chunks"))
+    meta = extract_metadata(todo, id_col, text_col)
+    qual = quality_features(todo, id_col, text_col)
+    summary = (
+        todo.select(id_col, "file_hash", "n_copies")
+        .join(meta, id_col)
+        .join(qual, id_col)
+        .join(n_chunks, id_col, "left")
+        .withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)).cast("bigint"))
+    )
+    return summary, chunks
+
+
 # M1 / P8
 def fit_quality(train: DataFrame, label_col: str = "quality", seed: int = 42):
     """Logistic regression on the three quality features (length, stop-word ratio, repetition)."""

@@ -473,3 +473,12 @@ WITH {EVAL_CTES}
 SELECT model, to_json(map_from_entries(list(struct_pack(k := dim, v := {r6('score')}) ORDER BY dim)))::VARCHAR AS scores,
        '{{"test_set":"conversations"}}' AS metadata
 FROM acc GROUP BY model"""
+
+
+SQL["processed_documents"] = f"""
+WITH n AS ({SQL["skip_processed"]}),
+c AS (SELECT doc_id, count(*) AS n_chunks FROM ({SQL["doc_chunks"]}) GROUP BY doc_id),
+q AS ({SQL["quality_features"]})
+SELECT n.file_hash, n.doc_id, n.n_copies, {_title('d.text')} AS title, coalesce(c.n_chunks, 0)::BIGINT AS n_chunks,
+       q.n_chars, q.n_words, q.stop_ratio, q.repetition
+FROM n JOIN documents d USING (doc_id) JOIN q USING (doc_id) LEFT JOIN c USING (doc_id)"""

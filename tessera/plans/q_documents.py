@@ -80,3 +80,13 @@ def quality_scores(spark, sf_dir):
     train = feats.join(fx.table(spark, sf_dir, "labels"), "doc_id")
     model = D.fit_quality(train)
     return D.score_quality(model, feats).select("doc_id", round6("p_quality").alias("p_quality"), "low_quality")
+
+
+@register("processed_documents")
+def processed_documents(spark, sf_dir):
+    """Batch flow over the document table: labelled documents count as processed; new content is chunked and scored."""
+    docs = fx.table(spark, sf_dir, "documents")
+    done = docs.join(fx.table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select(T.content_hash("text").alias("file_hash"))
+    summary, _ = D.process_documents(docs, done)
+    return summary.select("file_hash", "doc_id", "n_copies", "title", "n_chunks", "n_chars", "n_words",
+                          round6("stop_ratio").alias("stop_ratio"), round6("repetition").alias("repetition"))
