@@ -107,3 +107,27 @@ def test_stream_ingest_skips_known_hashes(spark, tmpdir_path):
     St.stream_ingest(spark, src, store, os.path.join(tmpdir_path, "ck")).awaitTermination()
     rows = spark.read.parquet(store).collect()
     assert sorted(r.content for r in rows) == ["one", "two"]
+
+
+def test_stream_rate_equals_batch(spark, event_dir):
+    from tessera.operators import monitoring as M
+
+    s = _stream(spark, event_dir)
+    reg = fx.registry(spark).select("model_idx", "model")
+    req = s.select("ts", F.pmod("event_id", F.lit(5)).cast("int").alias("model_idx"), "user_id").join(reg, "model_idx")
+    got = {(r.window_start, r.model, r.n) for r in _run(spark, St.stream_rate(req), "rate_s").collect()
+           if r.window_start.year < 2029}
+    b = fx.request_log(spark, SF_SMALL).join(reg, "model_idx")
+    want = {(r.window_start.replace(tzinfo=None), r.model, r.n) for r in M.request_rate(b).select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "model", "n").collect()}
+    assert got == want
+
+
+def test_stream_search_metrics_equals_batch(spark, event_dir):
+    s = _stream(spark, event_dir).where("user_id >= 0")
+    log = s.select("ts", F.col("value").alias("response_ms"), (F.pmod("event_id", F.lit(4)) == 0).alias("cache_hit"))
+    got = {(r.window_start, r.total, r.cache_hits) for r in _run(spark, St.stream_search_metrics(log), "sm_s", "update").collect()}
+    b = fx.search_log(spark, SF_SMALL).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("cache_hit").alias("hits"))
+    want = {(r.h, r.n, r.hits) for r in b.collect()}
+    assert got == want

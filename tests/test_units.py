@@ -375,3 +375,20 @@ def test_read_test_sets(spark, tmpdir_path):
         json.dump(doc, fh)
     out = sorted((r.test_set, r.pos, r.input, r.expected, r.criteria) for r in ST.read_test_sets(spark, p).collect())
     assert out == [("reading", 0, "q1", "a1", None), ("writing", 0, "q2", None, ["x", "y"]), ("writing", 1, "q3", "a3", None)]
+
+
+def test_consistency_metric(spark):
+    resp = spark.createDataFrame([("m", "c1", "a"), ("m", "c1", "a"), ("m", "c1", "b"), ("m", "c2", "x")], "model string, case_id string, response string")
+    out = {r.case_id: r.consistency for r in E.consistency(resp).collect()}
+    assert out == {"c1": pytest.approx(2 / 3), "c2": 1.0}
+
+
+def test_csv_as_markdown_and_json_export(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "t.csv")
+    with open(p, "w") as fh:
+        fh.write("a,b\n1,\n3,4\n")
+    rows = sorted(r.markdown_row for r in FS.csv_as_markdown(spark, p).collect())
+    assert rows == ["| 1 |  |", "| 3 | 4 |"]
+    out = os.path.join(tmpdir_path, "json")
+    ST.export_json(spark.createDataFrame([(1, "x")], "id long, v string"), out)
+    assert [json.loads(r.value) for r in spark.read.text(out).collect()] == [{"id": 1, "v": "x"}]
