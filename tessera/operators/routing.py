@@ -172,3 +172,37 @@ def run_workflow(inputs: DataFrame, steps: DataFrame, fn, workflow: str, max_ste
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "response"))), lambda e: e["response"]), "\n\n").alias("result"),
         F.count(F.lit(1)).alias("n_steps"),
     )
+
+
+# M5
+def shingles(c: Column, n: int = 3) -> Column:
+    """Distinct character n-grams (the whole string when shorter than n)."""
+    return F.array_distinct(F.when(F.length(c) <= n, F.array(c)).otherwise(
+        F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))))
+
+
+def similar_inputs(req: DataFrame, threshold: float = 0.8, col: str = "input", n: int = 3) -> DataFrame:
+    """Pairs of distinct inputs whose shingle sets have Jaccard similarity >= ``threshold`` (exact).
+
+    Prefix-filtered set-similarity join: exact copies are collapsed first; every
+    set is ordered by global token frequency (rarest first); two sets can reach
+    the threshold only if their prefixes of length ``|s| - ceil(t*|s|) + 1``
+    share a token, so candidates come from an equi-join on prefix tokens and
+    are verified exactly.  No false negatives, no all-pairs join.
+    """
+    d = req.groupBy(col).agg(F.count(F.lit(1)).alias("n_requests")).select(
+        F.md5(col).alias("h"), col, "n_requests", shingles(F.col(col), n).alias("toks"))
+    freq = d.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
+    ranked = d.select("h", F.explode("toks").alias("tok")).join(freq, "tok").groupBy("h").agg(
+        F.array_sort(F.collect_list(F.struct("f", "tok"))).alias("ordered"))
+    sz = F.size("ordered")
+    plen = sz - F.ceil(F.lit(threshold) * sz).cast("int") + 1
+    pref = ranked.select("h", F.explode(F.slice("ordered", 1, plen)).alias("e")).select("h", F.col("e.tok").alias("tok"))
+    cand = pref.alias("a").join(pref.alias("b"), "tok").where(F.col("a.h") < F.col("b.h")).select(
+        F.col("a.h").alias("ha"), F.col("b.h").alias("hb")).distinct()
+    sa = d.select(F.col("h").alias("ha"), F.col(col).alias("input_a"), F.col("toks").alias("ta"))
+    sb = d.select(F.col("h").alias("hb"), F.col(col).alias("input_b"), F.col("toks").alias("tb"))
+    x = cand.join(sa, "ha").join(sb, "hb")
+    inter = F.size(F.array_intersect("ta", "tb"))
+    jac = inter / (F.size("ta") + F.size("tb") - inter)
+    return x.select("input_a", "input_b", jac.alias("jaccard")).where(F.col("jaccard") >= F.lit(threshold))

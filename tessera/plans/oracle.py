@@ -482,3 +482,13 @@ q AS ({SQL["quality_features"]})
 SELECT n.file_hash, n.doc_id, n.n_copies, {_title('d.text')} AS title, coalesce(c.n_chunks, 0)::BIGINT AS n_chunks,
        q.n_chars, q.n_words, q.stop_ratio, q.repetition
 FROM n JOIN documents d USING (doc_id) JOIN q USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
+SQL["similar_inputs"] = f"""
+WITH d AS (SELECT DISTINCT props AS input FROM events),
+s AS (SELECT input, CASE WHEN length(input) <= 3 THEN [input]
+                         ELSE list_distinct(list_transform(range(1, length(input) - 1), lambda i: substring(input, i, 3))) END AS toks FROM d),
+p AS (SELECT a.input AS input_a, b.input AS input_b,
+             len(list_intersect(a.toks, b.toks)) / (len(a.toks) + len(b.toks) - len(list_intersect(a.toks, b.toks))) AS j
+      FROM s a JOIN s b ON a.input < b.input)
+SELECT input_a, input_b, {r6('j')} AS jaccard FROM p WHERE j >= 0.6"""

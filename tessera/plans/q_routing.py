@@ -111,3 +111,12 @@ def model_selector(spark, sf_dir):
     model = Rt.fit_selector(emb, "embedding", "label", trees=100)
     out = Rt.select_model(model, emb, fx.registry(spark))
     return out.select("vec_id", "label", "model_idx", "model", round6("confidence").alias("confidence"))
+
+
+@register("similar_inputs")
+def similar_inputs(spark, sf_dir):
+    """Request inputs with character-trigram Jaccard >= 0.6 to another distinct input (M5, exact)."""
+    r = Rt.similar_inputs(_requests(spark, sf_dir), 0.6, "input", 3)
+    a = F.least("input_a", "input_b")
+    b = F.greatest("input_a", "input_b")
+    return r.select(a.alias("input_a"), b.alias("input_b"), round6("jaccard").alias("jaccard"))
