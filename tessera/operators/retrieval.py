@@ -223,8 +223,32 @@ def _scores_block(payload: dict, pdf: pd.DataFrame):
     return s, mask
 
 
+def _query_blocks(qvecs: DataFrame, max_queries: int):
+    """Split the query table into hash blocks of at most about ``max_queries`` rows (one broadcast each)."""
+    n = qvecs.count()
+    nb = max(1, -(-n // max_queries))
+    if nb == 1:
+        return [qvecs]
+    return [qvecs.where(F.pmod(F.xxhash64("query_id"), F.lit(nb)) == b) for b in range(nb)]
+
+
+def _union(frames):
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def semantic_stats(qvecs: DataFrame, dvecs: DataFrame, max_queries: int = 50_000) -> DataFrame:
-    """Per query: min, max and count of the exact inner product over allowed docs (pass 1)."""
+    """Per query: min, max and count of the exact inner product over allowed docs (pass 1).
+
+    Query sets above ``max_queries`` are processed in hash blocks, each block
+    one bounded broadcast and one streaming pass over the document vectors.
+    """
+    return _union([_semantic_stats_block(b, dvecs, 2 * max_queries) for b in _query_blocks(qvecs, max_queries)])
+
+
+def _semantic_stats_block(qvecs: DataFrame, dvecs: DataFrame, max_queries: int) -> DataFrame:
     spark = dvecs.sparkSession
     qv = collect_bounded(qvecs.select("query_id", "qvec", "kb"), max_queries, "query vectors")
     bc = spark.sparkContext.broadcast(_vector_payload(qv, None))
@@ -246,6 +270,12 @@ def semantic_stats(qvecs: DataFrame, dvecs: DataFrame, max_queries: int = 50_000
 
 
 def semantic_candidates(qvecs: DataFrame, dvecs: DataFrame, params: DataFrame, k: int, max_queries: int = 50_000, band: float = 2e-6) -> DataFrame:
+    """Pass 2 over hash blocks of queries (see ``_semantic_candidates_block``)."""
+    return _union([_semantic_candidates_block(b, dvecs, params.join(b.select("query_id"), "query_id", "left_semi"), k, 2 * max_queries, band)
+                   for b in _query_blocks(qvecs, max_queries)])
+
+
+def _semantic_candidates_block(qvecs: DataFrame, dvecs: DataFrame, params: DataFrame, k: int, max_queries: int = 50_000, band: float = 2e-6) -> DataFrame:
     """Pass 2: per partition, the top-k docs per query by the rank key
     ``alpha*c0 + (1-alpha)*norm(sem)`` plus every doc within ``band`` below the
     k-th key (so rounding to 6 digits in the final ranking cannot change the set).

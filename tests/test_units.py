@@ -392,3 +392,17 @@ def test_csv_as_markdown_and_json_export(spark, tmpdir_path):
     out = os.path.join(tmpdir_path, "json")
     ST.export_json(spark.createDataFrame([(1, "x")], "id long, v string"), out)
     assert [json.loads(r.value) for r in spark.read.text(out).collect()] == [{"id": 1, "v": "x"}]
+
+
+def test_semantic_query_blocks_equal_single_block(spark):
+    from tessera.plans import fixtures as fx
+    from conftest import SF_SMALL
+
+    q = R._queries_norm(fx.search_queries(spark, SF_SMALL))
+    qv = fx.query_vectors(spark, SF_SMALL).join(q.select("query_id", F.col("kb_ids").alias("kb")), "query_id")
+    dv = fx.doc_vectors(spark, SF_SMALL).withColumn("source", F.lit(""))
+    one = {r.query_id: r for r in R.semantic_stats(qv, dv).collect()}
+    many = {r.query_id: r for r in R.semantic_stats(qv, dv, max_queries=7).collect()}
+    assert set(one) == set(many) and len(one) > 7
+    for k, r in one.items():  # BLAS may sum in a different order for other block shapes
+        assert (r.n, r.mn, r.mx) == (many[k].n, pytest.approx(many[k].mn, abs=1e-12), pytest.approx(many[k].mx, abs=1e-12))
