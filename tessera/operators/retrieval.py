@@ -348,7 +348,8 @@ def semantic_search(queries: DataFrame, qvecs: DataFrame, dvecs: DataFrame, k: i
     """Semantic mode: exact inner product, normalised per query, top-k."""
     q = _queries_norm(queries)
     qv = qvecs.join(q.select("query_id", F.col("kb_ids").alias("kb")), "query_id")
-    st = semantic_stats(qv, dvecs)
+    # per-query stats feed pass 2 and the final scores: one pass, written once (Q rows)
+    st = materialize(semantic_stats(qv, dvecs), "semantic_stats")
     params = st.select("query_id", "mn", "mx", F.lit(0.0).alias("c0"), F.lit(0.0).alias("alpha"))
     cands = semantic_candidates(qv, dvecs, params, k)
     scored = cands.join(st.select("query_id", "mn", "mx"), "query_id").select(
@@ -365,6 +366,7 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, qvecs: DataFrame, dvecs:
     BM25 match.  Any document outside that set has k documents ahead of it.
     """
     q = _queries_norm(queries)
+    # document vectors with their KB (the scan is pruned to doc_id, source, vector; cheap to re-read)
     dv = dvecs.join(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source")), "doc_id")
     corpus = docs.join(dvecs.select("doc_id"), "doc_id", "left_semi")
     index = corpus_index(corpus)
@@ -372,7 +374,7 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, qvecs: DataFrame, dvecs:
     pairs = materialize(kb_filter(bm25_scores(q, index), q, index.docs), "bm25_pairs")
     bst = stats_for(pairs, allowed).select("query_id", F.col("mn").alias("bmn"), F.col("mx").alias("bmx"))
     qv = qvecs.join(q.select("query_id", F.col("kb_ids").alias("kb")), "query_id")
-    sst = semantic_stats(qv, dv)
+    sst = materialize(semantic_stats(qv, dv), "semantic_stats")
     c0 = F.when(F.col("bmx") == F.col("bmn"), F.lit(0.5)).otherwise((F.lit(0.0) - F.col("bmn")) / (F.col("bmx") - F.col("bmn")))
     params = sst.join(bst, "query_id").select("query_id", "mn", "mx", c0.alias("c0"), F.lit(float(alpha)).alias("alpha"))
     sem_c = semantic_candidates(qv, dv, params, k)
