@@ -23,6 +23,7 @@ HEADLINE = [
     "ttl_cache", "budget_admission", "route_log", "model_performance",
     "permission_audit", "validate_params", "tool_outcomes",
     "running_metrics", "request_rate",
+    "processed_documents", "similar_inputs", "vector_clusters", "spending_report", "anomalies",
 ]
 
 
