@@ -406,3 +406,13 @@ def test_semantic_query_blocks_equal_single_block(spark):
     assert set(one) == set(many) and len(one) > 7
     for k, r in one.items():  # BLAS may sum in a different order for other block shapes
         assert (r.n, r.mn, r.mx) == (many[k].n, pytest.approx(many[k].mn, abs=1e-12), pytest.approx(many[k].mx, abs=1e-12))
+
+
+def test_scans_are_pruned_and_filters_pushed(spark):
+    from conftest import SF_SMALL
+    import __spark_entry__ as entry
+
+    meta = entry.queries()["doc_metadata"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in meta or "struct<doc_id:bigint,text:string>" in meta
+    rf = entry.queries()["rule_filter"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in rf and "l_returnflag" in rf.split("PushedFilters")[1][:200]
