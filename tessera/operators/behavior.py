@@ -1,47 +1,33 @@
 """User behaviour: sessions with inactivity expiry, baskets, frequent patterns.
 
-Sessionisation is two-level so that a user holding a large share of all events
-never lands in one task: windows run inside (user, time bucket); one small
-per-bucket aggregate carries the previous bucket's last timestamp and latest
-session start across bucket borders.
+Sessionisation is an ordered parallel scan (see ``sequence``): events are
+range-partitioned by (user, time), so a user holding a large share of all
+events never lands in one task; the previous event time and current session
+start are carried across partition borders.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MICROS = 1_000_000
+from tessera.operators import sequence as S
 
 
-def sessionize(events: DataFrame, gap_seconds: int = 1800, salt: str = "", bucket_seconds: int = 3600,
-               user_col: str = "user_id", ts_col: str = "ts", id_col: str = "event_id") -> DataFrame:
+def sessionize(events: DataFrame, gap_seconds: int = 1800, salt: str = "", user_col: str = "user_id", ts_col: str = "ts",
+               id_col: str = "event_id", n_parts: int | None = None) -> DataFrame:
     """Per-event session assignment (W5) with a pseudonymous id.
 
     A gap ``>= gap_seconds`` since the user's previous event starts a new
-    session.  ``session_id = sha256(user-start_micros || salt)``.
+    session.  ``session_id = sha256(user-start_micros || salt)``.  Runs as an
+    ordered parallel scan over (user, time), so a user with a large share of
+    all events is split over many partitions.
     """
-    t = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    e = events.withColumn("_t", t).withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_seconds * MICROS)))
-    w_in = Window.partitionBy(user_col, "_b").orderBy("_t", id_col)
-    e = e.withColumn("_prev", F.lag("_t").over(w_in))
-
-    per_b = e.groupBy(user_col, "_b").agg(F.max("_t").alias("_last"))
-    w_b = Window.partitionBy(user_col).orderBy("_b")
-    per_b = per_b.withColumn("_carry_last", F.lag("_last").over(w_b))
-    e = e.join(per_b.select(user_col, "_b", "_carry_last"), [user_col, "_b"])
-    prev = F.coalesce("_prev", "_carry_last")
-    e = e.withColumn("_new", prev.isNull() | (F.col("_t") - prev >= F.lit(gap_seconds * MICROS)))
-
-    new_t = F.when(F.col("_new"), F.col("_t"))
-    e = e.withColumn("_local_start", F.max(new_t).over(w_in.rowsBetween(Window.unboundedPreceding, 0)))
-    starts = e.groupBy(user_col, "_b").agg(F.max(new_t).alias("_bstart"))
-    starts = starts.withColumn("_carry_start", F.max("_bstart").over(w_b.rowsBetween(Window.unboundedPreceding, -1)))
-    e = e.join(starts.select(user_col, "_b", "_carry_start"), [user_col, "_b"])
-    start = F.coalesce("_local_start", "_carry_start")
+    s = S.session_starts(events, user_col, gap_seconds, ts_col, id_col, n_parts)
+    start = F.col("session_start_us")
     sid = F.sha2(F.concat(F.concat_ws("-", F.col(user_col).cast("string"), start.cast("string")), F.lit(salt)), 256)
-    out = e.withColumn("session_id", sid).withColumn("session_start", F.timestamp_micros(start).cast(events.schema[ts_col].dataType))
-    return out.drop("_t", "_b", "_prev", "_carry_last", "_new", "_local_start", "_carry_start")
+    return s.withColumn("session_id", sid).withColumn(
+        "session_start", F.timestamp_micros(start).cast(events.schema[ts_col].dataType)).drop("session_start_us")
 
 
 # G3

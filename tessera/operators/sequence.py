@@ -230,6 +230,47 @@ class TTLKernel:
         return res
 
 
+class SessionKernel:
+    """Inactivity sessions: a gap ``>= gap`` since the key's previous event starts a session.
+
+    State = (last event time, current session start), both in micros.
+    """
+
+    def __init__(self, t: str, gap: int, keep: list[str]):
+        self.t, self.gap, self.keep = t, gap, keep
+        self.columns = [t, *keep]
+
+    def _starts(self, t: np.ndarray, carry):
+        new = np.empty(len(t), dtype=bool)
+        new[1:] = (t[1:] - t[:-1]) >= self.gap
+        new[0] = carry is None or (t[0] - carry[0]) >= self.gap
+        marks = np.where(new, t, np.iinfo(np.int64).min)
+        start = np.maximum.accumulate(marks)
+        if not new[0]:
+            start = np.where(start == np.iinfo(np.int64).min, carry[1], start)
+        return start
+
+    def transfer(self, seg):
+        t = seg[self.t].to_numpy(np.int64)
+        inner = np.nonzero((t[1:] - t[:-1]) >= self.gap)[0]
+        last_inner = int(t[inner[-1] + 1]) if len(inner) else None
+        return {"t0": int(t[0]), "last_t": int(t[-1]), "last_inner": last_inner}
+
+    def fresh_out(self, seg):
+        t = seg[self.t].to_numpy(np.int64)
+        return [int(t[-1]), int(self._starts(t, None)[-1])]
+
+    def compose(self, tr, incoming):
+        cont = incoming is not None and tr["t0"] - incoming[0] < self.gap
+        first_start = incoming[1] if cont else tr["t0"]
+        return [tr["last_t"], tr["last_inner"] if tr["last_inner"] is not None else first_start]
+
+    def apply(self, seg, carry):
+        res = seg[self.keep].copy()
+        res["session_start_us"] = self._starts(seg[self.t].to_numpy(np.int64), carry)
+        return res
+
+
 class PrefixSumKernel:
     """Exclusive prefix sum (int64 units) of ``contrib`` over rows not removed by per-key rules.
 
@@ -333,3 +374,14 @@ def admit_by_budget(req: DataFrame, budget: str, key: str = "day", ts: str = "ts
         for r in first:
             rules.setdefault(r["_key"], []).append((int(r["_t"]), int(r[rid]), int(r["_cost"])))
     raise RuntimeError("budget admission did not converge: costs are not from a small set; use a per-key fold")
+
+
+def session_starts(events: DataFrame, key: str, gap_seconds: int, ts: str = "ts", rid: str = "event_id",
+                   n_parts: int | None = None) -> DataFrame:
+    """Every event with ``session_start_us`` (micros) of its inactivity session, as an ordered scan."""
+    x = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    s = ordered_partitions(x, key, ["_t", rid], n_parts)
+    keep = [c for c in x.columns]
+    kernel = SessionKernel("_t", gap_seconds * 1_000_000, keep)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.select(*keep).schema.fields)
+    return run_scan(s, key, kernel, f"{schema}, session_start_us long").drop("_t")

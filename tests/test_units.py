@@ -164,8 +164,8 @@ def test_hybrid_plan_has_no_cartesian(spark):
 def test_sessionize_gap_exactly_30_minutes_and_bucket_carry(spark):
     rows = [(1, 1, ts(0)), (2, 1, ts(1799)), (3, 1, ts(1799 + 1800)), (4, 1, ts(1799 + 1800 + 7200)), (5, 2, ts(10))]
     ev = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz").withColumn("event_type", F.lit("view"))
-    for bucket in (60, 3600, 86400):  # sessions must not depend on the bucket size
-        s = {r.event_id: r.session_start for r in Bh.sessionize(ev, 1800, "salt", bucket_seconds=bucket).collect()}
+    for parts in (1, 3, 5):  # sessions must not depend on how the scan is partitioned
+        s = {r.event_id: r.session_start for r in Bh.sessionize(ev, 1800, "salt", n_parts=parts).collect()}
         assert s[1] == s[2] == ts(0)
         assert s[3] == ts(3599)
         assert s[4] == ts(3599 + 7200)
@@ -416,3 +416,20 @@ def test_scans_are_pruned_and_filters_pushed(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in meta or "struct<doc_id:bigint,text:string>" in meta
     rf = entry.queries()["rule_filter"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in rf and "l_returnflag" in rf.split("PushedFilters")[1][:200]
+
+
+def test_sessionize_hot_user_equals_naive(spark):
+    rnd = random.Random(13)
+    rows = []
+    for i in range(3000):
+        u = 1 if rnd.random() < 0.6 else rnd.randint(2, 9)
+        rows.append((i, u, rnd.randint(0, 400_000)))
+    ev = spark.createDataFrame([(i, u, ts(t), "view") for i, u, t in rows], "event_id long, user_id long, ts timestamp_ntz, event_type string")
+    got = {r.event_id: r.session_start for r in Bh.sessionize(ev, 1800, "x", n_parts=7).collect()}
+    last, start, want = {}, {}, {}
+    for i, u, t in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        if u not in last or t - last[u] >= 1800:
+            start[u] = t
+        last[u] = t
+        want[i] = ts(start[u])
+    assert got == want
