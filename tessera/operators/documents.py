@@ -9,7 +9,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -85,9 +85,14 @@ def lines(c) -> "F.Column":
 
 
 def with_previous(versions: DataFrame) -> DataFrame:
-    """Previous content per document (``''`` for the first version), by ``lag`` within the document."""
-    w = Window.partitionBy("doc_id").orderBy("version")
-    return versions.withColumn("prev", F.lag("content", 1, "").over(w))
+    """Previous content per document (``''`` for the first version).
+
+    An ordered scan rather than ``lag`` over a per-document window, so a
+    document with a huge number of versions is split over partitions.
+    """
+    from tessera.operators.sequence import lag_scan
+
+    return lag_scan(versions.select("doc_id", "version", "content"), "doc_id", ["version"], "content", "prev", "")
 
 
 # J2a / X1

@@ -271,6 +271,29 @@ class SessionKernel:
         return res
 
 
+class LagKernel:
+    """Previous value of a column within the key (``default`` for the first row); carry = last value."""
+
+    def __init__(self, col: str, out: str, default, keep: list[str]):
+        self.col, self.out, self.default, self.keep = col, out, default, keep
+        self.columns = list(dict.fromkeys([col, *keep]))
+
+    def transfer(self, seg):
+        return {"last": seg[self.col].iloc[-1]}
+
+    def fresh_out(self, seg):
+        return seg[self.col].iloc[-1]
+
+    def compose(self, tr, incoming):
+        return tr["last"]
+
+    def apply(self, seg, carry):
+        res = seg[self.keep].copy()
+        vals = seg[self.col].tolist()
+        res[self.out] = [self.default if carry is None else carry] + vals[:-1]
+        return res
+
+
 class PrefixSumKernel:
     """Exclusive prefix sum (int64 units) of ``contrib`` over rows not removed by per-key rules.
 
@@ -385,3 +408,13 @@ def session_starts(events: DataFrame, key: str, gap_seconds: int, ts: str = "ts"
     kernel = SessionKernel("_t", gap_seconds * 1_000_000, keep)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.select(*keep).schema.fields)
     return run_scan(s, key, kernel, f"{schema}, session_start_us long").drop("_t")
+
+
+def lag_scan(df: DataFrame, key: str, order: list[str], col: str, out: str = "prev", default=None,
+             n_parts: int | None = None) -> DataFrame:
+    """``lag(col)`` per key in ``order`` as an ordered scan: a key with a huge share of rows is split."""
+    s = ordered_partitions(df, key, order, n_parts)
+    keep = list(df.columns)
+    kernel = LagKernel(col, out, default, keep)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.select(*keep).schema.fields)
+    return run_scan(s, key, kernel, f"{schema}, {out} {s.schema[col].dataType.simpleString()}")

@@ -433,3 +433,15 @@ def test_sessionize_hot_user_equals_naive(spark):
         last[u] = t
         want[i] = ts(start[u])
     assert got == want
+
+
+def test_lag_scan_hot_key_equals_naive(spark):
+    rnd = random.Random(21)
+    rows = [(("hot" if rnd.random() < 0.7 else f"d{rnd.randint(0, 5)}"), v, f"c{v}") for v in range(1500)]
+    df = spark.createDataFrame(rows, "doc string, version long, content string")
+    got = {r.version: r.prev for r in S.lag_scan(df, "doc", ["version"], "content", "prev", "", n_parts=6).collect()}
+    last, want = {}, {}
+    for d, v, c in sorted(rows, key=lambda r: (r[0], r[1])):
+        want[v] = last.get(d, "")
+        last[d] = c
+    assert got == want
