@@ -445,3 +445,19 @@ def test_lag_scan_hot_key_equals_naive(spark):
         want[v] = last.get(d, "")
         last[d] = c
     assert got == want
+
+
+def test_embed_and_batch_invoke_hooks(spark):
+    import pandas as pd
+    from tessera.operators import hooks as H
+
+    df = spark.createDataFrame([(1, "ab"), (2, "abcd")], "id long, text string")
+    emb = H.embed(df, lambda s: s.map(lambda t: [float(len(t)), 1.0]))
+    assert {r.id: list(r.embedding) for r in emb.collect()} == {1: [2.0, 1.0], 2: [4.0, 1.0]}
+    calls = spark.createDataFrame([(1, "m", "p")], "id long, model string, prompt string")
+    assert H.batch_invoke(calls, H.stub_model).collect()[0].response == "m response to p"
+
+    def boom(batch: pd.DataFrame):
+        raise RuntimeError("down")
+
+    assert H.batch_invoke(calls, boom).collect()[0].response is None
