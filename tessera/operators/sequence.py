@@ -32,11 +32,20 @@ from tessera.session import cut_lineage
 SUMMARY_SCHEMA = "pid int, first_key string, last_key string, payload string"
 
 
-def ordered_partitions(df: DataFrame, key: str, order: list[str], n_parts: int | None = None) -> DataFrame:
-    """Range-partitioned, sorted, checkpointed copy with a ``_pid`` column."""
-    spark = df.sparkSession
-    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order).withColumn("_pid", F.spark_partition_id())
+ROWS_PER_RANGE = 500_000
+
+
+def ordered_partitions(df: DataFrame, key: str, order: list[str], n_parts: int | None = None,
+                       rows_per_partition: int = ROWS_PER_RANGE) -> DataFrame:
+    """Range-partitioned, sorted, checkpointed copy with a ``_pid`` column.
+
+    Without ``n_parts`` the range count follows the data (one count job):
+    about ``rows_per_partition`` rows per range, so partitions stay bounded at
+    any scale and a hot key spans as many ranges as its size needs.
+    """
+    if not n_parts:
+        n_parts = max(1, -(-df.count() // rows_per_partition))
+    s = df.repartitionByRange(n_parts, key, *order).sortWithinPartitions(key, *order).withColumn("_pid", F.spark_partition_id())
     return cut_lineage(s)
 
 

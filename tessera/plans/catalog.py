@@ -30,9 +30,23 @@ def _import_modules():
     from tessera.plans import q_behavior, q_documents, q_evaluation, q_governance, q_monitoring, q_retrieval, q_routing  # noqa: F401
 
 
+def _prepared(fn):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from tessera.session import ensure_checkpoint_dir, ship_package
+
+        ensure_checkpoint_dir(spark)
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Registered queries; each makes sure the package is on the executors and a checkpoint folder is set."""
     _import_modules()
-    return dict(QUERIES)
+    return {name: _prepared(fn) for name, fn in QUERIES.items()}
 
 
 __all__ = ["register", "queries", "fx", "F"]
