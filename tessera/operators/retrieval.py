@@ -48,8 +48,8 @@ class CorpusIndex:
     postings: DataFrame  # doc_id, term, tf, dl
     terms: DataFrame  # term, df, idf
     docs: DataFrame  # doc_id, source, dl
-    n_docs: Column  # scalar subquery
-    avgdl: Column  # scalar subquery
+    n_docs: Column  # literal
+    avgdl: Column  # literal
 
 
 # G1
@@ -72,11 +72,13 @@ def corpus_index(docs: DataFrame, k1: float = K1, b: float = B, eps: float = EPS
     doc_rows = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("source")).join(lengths, "doc_id", "left").select(
         "doc_id", "source", F.coalesce("dl", F.lit(0)).alias("dl"))
     doc_rows = materialize(doc_rows, "doc_lengths")
-    n_docs = doc_rows.select(F.count(F.lit(1))).scalar()
-    avgdl = doc_rows.select(F.avg("dl")).scalar()
+    # corpus scalars computed once (one aggregate row) and used as literals, instead of
+    # scalar subqueries that every consuming plan would re-execute
+    n, mean_dl = doc_rows.agg(F.count(F.lit(1)), F.avg("dl")).collect()[0]
+    n_docs, avgdl = F.lit(int(n)), F.lit(mean_dl).cast("double")
     df_t = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df_t.select("term", "df", (F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf_raw"))
-    mean_idf = raw.select(F.avg("idf_raw")).scalar()
+    mean_idf = F.lit(raw.agg(F.avg("idf_raw")).collect()[0][0]).cast("double")
     terms = raw.select(
         "term", "df", F.when(F.col("idf_raw") < 0, F.lit(eps) * mean_idf).otherwise(F.col("idf_raw")).alias("idf")
     )
