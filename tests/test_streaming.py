@@ -131,3 +131,14 @@ def test_stream_search_metrics_equals_batch(spark, event_dir):
         F.count(F.lit(1)).alias("n"), F.count_if("cache_hit").alias("hits"))
     want = {(r.h, r.n, r.hits) for r in b.collect()}
     assert got == want
+
+
+def test_stream_spend_equals_batch(spark, event_dir):
+    s = _stream(spark, event_dir)  # sentinels stay in: they advance the watermark past the last day
+    reg = fx.registry(spark).select("model_idx", "model", "cost")
+    calls = s.select("ts", F.pmod("event_id", F.lit(5)).cast("int").alias("model_idx")).join(reg, "model_idx")
+    got = {(r.day, r.model, str(r.spend), r.calls) for r in _run(spark, St.stream_spend(calls), "spend_s").collect() if r.day.year < 2029}
+    b = fx.request_log(spark, SF_SMALL).join(reg, "model_idx").groupBy(F.to_date(F.col("ts").cast("timestamp")).alias("day"), "model").agg(
+        F.sum("cost").alias("spend"), F.count(F.lit(1)).alias("calls"))
+    want = {(r.day, r.model, str(r.spend), r.calls) for r in b.collect()}
+    assert got == want
