@@ -50,13 +50,24 @@ def main() -> None:
     warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.01")
     if os.path.isdir(warm_dir) and warm_dir.rstrip("/") != sf_dir:
         for n in names:
-            qs[n](spark, warm_dir).write.format("noop").mode("overwrite").save()
-    times = {n: round(run(n), 3) for n in names}
+            try:
+                qs[n](spark, warm_dir).write.format("noop").mode("overwrite").save()
+            except Exception as e:  # noqa: BLE001 - a warm-up failure must not stop the bench
+                print(f"warm-up {n} failed: {e}", file=sys.stderr)
+    times, errors = {}, {}
+    for n in names:
+        try:
+            times[n] = round(run(n), 3)
+        except Exception as e:  # noqa: BLE001 - record and keep measuring the others
+            errors[n] = str(e)[:300]
     m = re.search(r"sf([0-9.]+)$", sf_dir)
-    print(json.dumps({
+    out = {
         "metric": "total_sec", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": float(m.group(1)) if m else sf_dir, "cpus": int(cpus),
-    }))
+    }
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
     spark.stop()
 
 
