@@ -363,9 +363,11 @@ def semantic_search(queries: DataFrame, qvecs: DataFrame, dvecs: DataFrame, k: i
 def hybrid_search(queries: DataFrame, docs: DataFrame, qvecs: DataFrame, dvecs: DataFrame, alpha: float = ALPHA, k: int = TOP_K) -> DataFrame:
     """``alpha * bm25_norm + (1 - alpha) * semantic_norm`` over documents that have a vector.
 
-    Candidates: every BM25-matched pair, plus per query the top-k (with a
-    rounding band) among all documents under the score they would have with no
-    BM25 match.  Any document outside that set has k documents ahead of it.
+    Candidates: per query the top-k (with a rounding band) among all documents
+    under the score they would have with no BM25 match, the BM25 top-k, and every
+    BM25-matched document whose upper bound reaches the k-th best exact score of
+    those (threshold pruning).  Any document outside that set has k documents
+    ahead of it, so only surviving pairs are joined with the document vectors.
     """
     q = _queries_norm(queries)
     # document vectors with their KB (the scan is pruned to doc_id, source, vector; cheap to re-read)
@@ -380,11 +382,26 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, qvecs: DataFrame, dvecs:
     c0 = F.when(F.col("bmx") == F.col("bmn"), F.lit(0.5)).otherwise((F.lit(0.0) - F.col("bmn")) / (F.col("bmx") - F.col("bmn")))
     params = sst.join(bst, "query_id").select("query_id", "mn", "mx", c0.alias("c0"), F.lit(float(alpha)).alias("alpha"))
     sem_c = semantic_candidates(qv, dv, params, k)
-    matched = pair_dot(pairs, qvecs, dv)
-    extra = sem_c.join(matched.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("raw", F.lit(0.0))
-    cands = matched.unionByName(extra.select("query_id", "doc_id", "raw", "sem"))
     st = bst.join(sst.select("query_id", F.col("mn").alias("smn"), F.col("mx").alias("smx")), "query_id")
-    fused = F.lit(alpha) * normalized(F.col("raw"), "bmn", "bmx") + F.lit(1 - alpha) * normalized(F.col("sem"), "smn", "smx")
+    bn = normalized(F.col("raw"), "bmn", "bmx")
+    fused = F.lit(alpha) * bn + F.lit(1 - alpha) * normalized(F.col("sem"), "smn", "smx")
+
+    # Threshold pruning of BM25-matched pairs before they meet the document vectors:
+    # exact scores for a small seed set (BM25 top-k + semantic candidates) give a
+    # lower bound LB (k-th best rounded score) per query; a matched document whose
+    # upper bound alpha*bm25 + (1-alpha) is below LB - band cannot enter the top-k.
+    seed_ids = top_k(pairs, k, score="raw").select("query_id", "doc_id").unionByName(sem_c.select("query_id", "doc_id")).distinct()
+    seed = seed_ids.join(pairs.select("query_id", "doc_id", "raw"), ["query_id", "doc_id"], "left").fillna(0.0, ["raw"])
+    seed = materialize(pair_dot(seed, qvecs, dv), "hybrid_seed")
+    w = Window.partitionBy("query_id").orderBy(F.col("h").desc(), F.col("doc_id"))
+    lb = (seed.join(st, "query_id").withColumn("h", round6(fused)).withColumn("r", F.row_number().over(w))
+          .where(F.col("r") == F.lit(k)).select("query_id", F.col("h").alias("lb")))
+    band = 2e-6
+    survivors = (pairs.join(F.broadcast(st), "query_id").join(F.broadcast(lb), "query_id", "left")
+                 .where(F.col("lb").isNull() | (F.lit(alpha) * bn + F.lit(1 - alpha) >= F.col("lb") - F.lit(band)))
+                 .select("query_id", "doc_id", "raw")
+                 .join(seed_ids, ["query_id", "doc_id"], "left_anti"))
+    cands = seed.unionByName(pair_dot(survivors, qvecs, dv).select("query_id", "doc_id", "raw", "sem"))
     scored = cands.join(st, "query_id").select(
         "query_id", "doc_id",
         round6(normalized(F.col("raw"), "bmn", "bmx")).alias("bm25"),
