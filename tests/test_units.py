@@ -461,3 +461,34 @@ def test_embed_and_batch_invoke_hooks(spark):
         raise RuntimeError("down")
 
     assert H.batch_invoke(calls, boom).collect()[0].response is None
+
+
+def test_hybrid_with_pruning_equals_brute_force(spark):
+    import numpy as np
+
+    rnd = random.Random(31)
+    rng = np.random.default_rng(31)
+    words = list("abcdefghijkl")
+    corpus = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 15))) for _ in range(80)]
+    vecs = rng.normal(size=(80, 6)).astype(np.float32)
+    queries = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4))) for _ in range(6)]
+    qv = rng.normal(size=(6, 6)).astype(np.float32)
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(corpus)], "doc_id long, text string, source string")
+    dvecs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "doc_id long, dvec array<float>")
+    q = spark.createDataFrame([(j, t, []) for j, t in enumerate(queries)], "query_id long, query string, kb_ids array<string>")
+    qvecs = spark.createDataFrame([(j, v.tolist()) for j, v in enumerate(qv)], "query_id long, qvec array<float>")
+    k = 5
+    got = {}
+    for r in R.hybrid_search(q, docs, qvecs, dvecs, alpha=0.6, k=k).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.doc_id, r.score))
+
+    def norm(x):
+        lo, hi = min(x), max(x)
+        return [0.5] * len(x) if hi == lo else [(v - lo) / (hi - lo) for v in x]
+
+    for j, text in enumerate(queries):
+        bm = norm(brute_bm25(corpus, text))
+        sem = norm([float(np.dot(qv[j].astype(np.float64), vecs[i].astype(np.float64))) for i in range(80)])
+        fused = [math.floor((0.6 * b + 0.4 * s) * 1e6 + 0.5) / 1e6 for b, s in zip(bm, sem)]
+        want = sorted(range(80), key=lambda i: (-fused[i], i))[:k]
+        assert [d for _, d, _ in sorted(got[j])] == want
