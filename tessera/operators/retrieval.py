@@ -360,7 +360,8 @@ def semantic_search(queries: DataFrame, qvecs: DataFrame, dvecs: DataFrame, k: i
     return top_k(scored, k).select("query_id", "rank", "doc_id", "score")
 
 
-def hybrid_search(queries: DataFrame, docs: DataFrame, qvecs: DataFrame, dvecs: DataFrame, alpha: float = ALPHA, k: int = TOP_K) -> DataFrame:
+def hybrid_search(queries: DataFrame, docs: DataFrame, qvecs: DataFrame, dvecs: DataFrame, alpha: float = ALPHA, k: int = TOP_K,
+                  prune_above: int = 1_000_000) -> DataFrame:
     """``alpha * bm25_norm + (1 - alpha) * semantic_norm`` over documents that have a vector.
 
     Candidates: per query the top-k (with a rounding band) among all documents
@@ -390,6 +391,11 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, qvecs: DataFrame, dvecs:
     # exact scores for a small seed set (BM25 top-k + semantic candidates) give a
     # lower bound LB (k-th best rounded score) per query; a matched document whose
     # upper bound alpha*bm25 + (1-alpha) is below LB - band cannot enter the top-k.
+    if pairs.count() <= prune_above:  # few matched pairs: score them all directly (cheaper than a seed stage)
+        matched = pair_dot(pairs, qvecs, dv)
+        extra = sem_c.join(matched.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("raw", F.lit(0.0))
+        cands = matched.select("query_id", "doc_id", "raw", "sem").unionByName(extra.select("query_id", "doc_id", "raw", "sem"))
+        return _fused_top_k(cands, st, alpha, k)
     seed_ids = top_k(pairs, k, score="raw").select("query_id", "doc_id").unionByName(sem_c.select("query_id", "doc_id")).distinct()
     seed = seed_ids.join(pairs.select("query_id", "doc_id", "raw"), ["query_id", "doc_id"], "left").fillna(0.0, ["raw"])
     seed = materialize(pair_dot(seed, qvecs, dv), "hybrid_seed")
@@ -401,7 +407,13 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, qvecs: DataFrame, dvecs:
                  .where(F.col("lb").isNull() | (F.lit(alpha) * bn + F.lit(1 - alpha) >= F.col("lb") - F.lit(band)))
                  .select("query_id", "doc_id", "raw")
                  .join(seed_ids, ["query_id", "doc_id"], "left_anti"))
-    cands = seed.unionByName(pair_dot(survivors, qvecs, dv).select("query_id", "doc_id", "raw", "sem"))
+    cands = seed.select("query_id", "doc_id", "raw", "sem").unionByName(pair_dot(survivors, qvecs, dv).select("query_id", "doc_id", "raw", "sem"))
+    return _fused_top_k(cands, st, alpha, k)
+
+
+def _fused_top_k(cands: DataFrame, st: DataFrame, alpha: float, k: int) -> DataFrame:
+    bn = normalized(F.col("raw"), "bmn", "bmx")
+    fused = F.lit(alpha) * bn + F.lit(1 - alpha) * normalized(F.col("sem"), "smn", "smx")
     scored = cands.join(st, "query_id").select(
         "query_id", "doc_id",
         round6(normalized(F.col("raw"), "bmn", "bmx")).alias("bm25"),

@@ -463,7 +463,8 @@ def test_embed_and_batch_invoke_hooks(spark):
     assert H.batch_invoke(calls, boom).collect()[0].response is None
 
 
-def test_hybrid_with_pruning_equals_brute_force(spark):
+@pytest.mark.parametrize("prune_above", [0, 10**9])
+def test_hybrid_with_pruning_equals_brute_force(spark, prune_above):
     import numpy as np
 
     rnd = random.Random(31)
@@ -479,7 +480,7 @@ def test_hybrid_with_pruning_equals_brute_force(spark):
     qvecs = spark.createDataFrame([(j, v.tolist()) for j, v in enumerate(qv)], "query_id long, qvec array<float>")
     k = 5
     got = {}
-    for r in R.hybrid_search(q, docs, qvecs, dvecs, alpha=0.6, k=k).collect():
+    for r in R.hybrid_search(q, docs, qvecs, dvecs, alpha=0.6, k=k, prune_above=prune_above).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.doc_id, r.score))
 
     def norm(x):
