@@ -30,6 +30,16 @@ m AS (SELECT k.doc_id, k.pos, k.line, coalesce(f.first <> k.doc_id, false) AS go
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id
+""",
+    "op9_substrings": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS t FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT t, min(doc_id) AS first FROM s GROUP BY t HAVING count(DISTINCT doc_id) > 1),
+g AS (SELECT DISTINCT doc_id, i + k AS i FROM (SELECT s.doc_id, s.i, unnest(generate_series(0, 12)) AS k FROM s JOIN f USING (t) WHERE f.first < s.doc_id)),
+a AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM d),
+m AS (SELECT a.doc_id, a.i, a.x, g.i IS NOT NULL AS gone FROM a LEFT JOIN g ON g.doc_id = a.doc_id AND g.i = a.i),
+r AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(x, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
 """,
     "op10_contamination": f"""
 WITH d AS ({_shingles("documents", "doc_id")}), b AS ({_shingles("benchmark", "item_id")}),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, contamination, exact, html, lines, quality, toxicity
+from tessera.llm import bpe, contamination, exact, html, lines, quality, substrings, toxicity
 from tessera.session import ensure_checkpoint_dir, ship_package
 
 #: The vocabulary of operator 1 (another rank file and pattern can be given to ``bpe``).
@@ -65,12 +65,17 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_toxicity, op4_quality, op6_exact, op7_html, op8_lines, op10_contamination)
+    f.__name__: f for f in (op1_bpe, op2_toxicity, op4_quality, op6_exact, op7_html, op8_lines, op9_substrings, op10_contamination)
 }
 
 
