@@ -16,6 +16,15 @@ def _shingles(table: str, key: str) -> str:
 
 
 SQL = {
+    "op3_jaccard": f"""
+WITH RECURSIVE d AS MATERIALIZED ({_shingles("documents", "doc_id")}),
+n AS MATERIALIZED (SELECT id, count(*) AS n FROM d GROUP BY id),
+c AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM d x JOIN d y USING (s) WHERE x.id <> y.id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM c JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+r AS (SELECT id AS node, id AS seen FROM n UNION SELECT l.b, r.seen FROM r JOIN l ON l.a = r.node)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.least, doc_id) AS component_id
+FROM documents LEFT JOIN n ON n.id = doc_id LEFT JOIN (SELECT node, min(seen) AS least FROM r GROUP BY node) m ON m.node = doc_id
+""",
     "op6_exact": f"""
 WITH n AS (SELECT doc_id, {LOWER.format("coalesce(text, '')")} AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, contamination, exact, html, lines, quality, substrings, toxicity
+from tessera.llm import bpe, contamination, exact, html, jaccard, lines, quality, substrings, toxicity
 from tessera.session import ensure_checkpoint_dir, ship_package
 
 #: The vocabulary of operator 1 (another rank file and pattern can be given to ``bpe``).
@@ -39,6 +39,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_lang")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), fold(F.col("doc_id"), 4) == 2
     model = quality.train(docs, table(spark, sf_dir, "labels"), ~held)
@@ -75,7 +79,7 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_toxicity, op4_quality, op6_exact, op7_html, op8_lines, op9_substrings, op10_contamination)
+    f.__name__: f for f in (op1_bpe, op2_toxicity, op3_jaccard, op4_quality, op6_exact, op7_html, op8_lines, op9_substrings, op10_contamination)
 }
 
 
