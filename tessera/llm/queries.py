@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, contamination, exact, html, jaccard, lines, quality, substrings, toxicity
+from tessera.llm import bpe, contamination, exact, html, jaccard, lines, pii, quality, substrings, toxicity
 from tessera.session import ensure_checkpoint_dir, ship_package
 
 #: The vocabulary of operator 1 (another rank file and pattern can be given to ``bpe``).
@@ -49,6 +49,16 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts are those of the base spans; ``spans`` has the added ones too, and ``n_added`` their number."""
+    out = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    of_kind = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{k}") for k in pii.ORDER]
+    added = (F.size("spans") - F.size(base)).cast("long").alias("n_added")
+    return out.select("doc_id", *counts, F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"), added)
+
+
 def op6_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history is the older half of the ids, the incoming rows are the younger one; every row is in the result."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -79,7 +89,7 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_toxicity, op3_jaccard, op4_quality, op6_exact, op7_html, op8_lines, op9_substrings, op10_contamination)
+    f.__name__: f for f in (op1_bpe, op2_toxicity, op3_jaccard, op4_quality, op5_pii, op6_exact, op7_html, op8_lines, op9_substrings, op10_contamination)
 }
 
 
