@@ -38,13 +38,14 @@ from xxhash import xxh3_128_digest
 from tessera.llm.graph import components
 from tessera.llm.packed import pack, pack_plain, part_bits, part_cuts, unpack, unpack_plain
 from tessera.llm.words import MIX_2, as_bytes, mix, shingles, slices
+from tessera.plans.guards import bounded_broadcast
 from tessera.session import materialize
 
-SIZE, GROUPS, STARS = 5, 32, 4
-#: Documents sampled to order shingles, the fewest of them that make a shingle frequent, and the most that are listed.
-SAMPLE, OFTEN, LISTED = 5000, 3, 200_000
-#: Points of a leaf and children of a node; texts compared with one hub in a task.
-LEAF, FANOUT, PER_HUB = 32, 16, 2000
+SIZE, GROUPS, STARS = 5, 64, 4
+#: Share of the documents sampled to order shingles and the most that are; the fewest of them that make a shingle frequent; the most that are listed.
+SHARE, SAMPLE, OFTEN, LISTED = 0.1, 100_000, 3, 400_000
+#: Points of a leaf and children of a node; texts compared with one hub in a task; rows that say which texts to compare that are broadcast at most.
+LEAF, FANOUT, PER_HUB, BROADCAST = 32, 16, 2000, 300_000
 SKETCH = "doc_id long, n long, key binary, stars array<long>, counts binary, prefix binary"
 
 
@@ -58,7 +59,7 @@ def frequent(docs: DataFrame, text: str = "text"):
             found, counts = np.unique(np.concatenate(sets), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts, pa.int64())], ["h", "seen"])
 
-    sample = docs.select(text).sample(min(1.0, SAMPLE / max(1, rows)), seed=3)
+    sample = docs.select(text).sample(min(SHARE, SAMPLE / max(1, rows)), seed=3)
     counted = sample.mapInArrow(run, "h long, seen long").groupBy("h").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= OFTEN)
     listed = counted.orderBy(F.desc("seen"), "h").limit(LISTED).toPandas()
     hashes, seen = listed["h"].to_numpy(np.int64).view(np.uint64), listed["seen"].to_numpy(np.int64)
@@ -93,7 +94,7 @@ def sketch(docs: DataFrame, listed, text: str = "text") -> DataFrame:
                 rows[0].append(len(held))
                 rows[1].append(xxh3_128_digest(held.tobytes()))
                 rows[2].append([int(mix(held ^ s).min().view(np.int64)) for s in salts] if len(held) else [])
-                rows[3].append(np.bincount((held * MIX_2 >> np.uint64(59)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes())
+                rows[3].append(np.bincount((held * MIX_2 >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes())
                 rows[4].append(prefix(held, listed.value).tobytes() if len(held) else b"")
             kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *map(pa.array, rows, kinds)], ["doc_id", "n", "key", "stars", "counts", "prefix"])
@@ -152,7 +153,8 @@ def verify(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
                             break
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
-    texts = docs.select("doc_id", text).join(spread.union(copies), "doc_id")
+    roles = spread.union(copies)  # a few numbers a pair; beyond the bound the texts are shuffled to them instead
+    texts = docs.select("doc_id", text).join(bounded_broadcast(roles, BROADCAST), "doc_id")
     return texts.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "partner").mapInArrow(run, "a long, b long")
 
 
