@@ -1,7 +1,8 @@
 """N-gram Jaccard join by R-trees over count vectors (operator 3).
 
 A document's set holds its distinct 5-word shingles (A-Z lower-cased).  Shingles are
-hashed into ``GROUPS`` groups, and the counts by group are the document's point.  Two
+hashed into ``GROUPS`` groups, and the counts by group are the document's point (nodes
+of trees sum them to ``COARSE``).  Two
 sets share at most the sum of the smaller of their counts in each group, and a Jaccard
 similarity of 0.8 needs an overlap of 4/9 of their sizes' sum.
 
@@ -41,7 +42,11 @@ from tessera.llm.words import MIX_2, as_bytes, mix, shingles, slices
 from tessera.plans.guards import bounded_broadcast
 from tessera.session import materialize
 
-SIZE, GROUPS, STARS = 5, 64, 4
+SIZE, STARS = 5, 4
+#: Groups of a point, and groups that nodes of a tree tell apart (each the sum of several).
+GROUPS, COARSE = 512, 64
+#: Pairs whose points are compared at a time.
+COMPARED = 4096
 #: Share of the documents sampled to order shingles and the most that are; the fewest of them that make a shingle frequent; the most that are listed.
 SHARE, SAMPLE, OFTEN, LISTED = 0.1, 100_000, 3, 400_000
 #: Points of a leaf and children of a node; texts compared with one hub in a task; rows that say which texts to compare that are broadcast at most.
@@ -94,7 +99,7 @@ def sketch(docs: DataFrame, listed, text: str = "text") -> DataFrame:
                 rows[0].append(len(held))
                 rows[1].append(xxh3_128_digest(held.tobytes()))
                 rows[2].append([int(mix(held ^ s).min().view(np.int64)) for s in salts] if len(held) else [])
-                rows[3].append(np.bincount((held * MIX_2 >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes())
+                rows[3].append(pack_plain(point(held)))
                 rows[4].append(prefix(held, listed.value).tobytes() if len(held) else b"")
             kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *map(pa.array, rows, kinds)], ["doc_id", "n", "key", "stars", "counts", "prefix"])
@@ -102,6 +107,24 @@ def sketch(docs: DataFrame, listed, text: str = "text") -> DataFrame:
     return docs.select("doc_id", text).mapInArrow(run, SKETCH)
 
 
+def point(held: np.ndarray) -> np.ndarray:
+    """How many shingles each group has."""
+    return np.bincount((held * MIX_2 % np.uint64((1 << 61) - 1) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
+
+
+def coarse(points: np.ndarray) -> np.ndarray:
+    return points.reshape(len(points), COARSE, -1).sum(2, dtype=np.int64)
+
+
+def near_pairs(points: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``near`` for the pairs (i, j) of places."""
+    out = np.empty(len(i), bool)
+    for begin in range(0, len(i), COMPARED):
+        a, b = i[begin : begin + COMPARED], j[begin : begin + COMPARED]
+        out[begin : begin + COMPARED] = near(points[a], points[b], sizes[a], sizes[b])
+    return out
+
+
 def near(first: np.ndarray, second: np.ndarray, n_first: np.ndarray, n_second: np.ndarray) -> np.ndarray:
     """Whether the summed minima of points allow a Jaccard similarity of 0.8."""
     return 9 * np.minimum(first, second).sum(-1, dtype=np.int64) >= 4 * (n_first + n_second)
@@ -117,9 +140,12 @@ def star_pairs(classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(f"counts_{s}").to_pylist()), np.uint32).reshape(-1, GROUPS) for s in "ab")
-            fit = near(a, b, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
-            yield batch.select(["a", "b"]).filter(pa.array(fit))
+            n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            for begin in range(0, batch.num_rows, COMPARED):
+                part = batch.slice(begin, COMPARED)
+                a, b = (np.array([unpack_plain(x, np.uint32) for x in part.column(f"counts_{s}").to_pylist()]) for s in "ab")
+                fit = near(a, b, n_a[begin : begin + COMPARED], n_b[begin : begin + COMPARED])
+                yield part.select(["a", "b"]).filter(pa.array(fit))
 
     return pairs.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(run, "a long, b long")
 
@@ -163,7 +189,8 @@ class Tree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> None:
         self.order = np.lexsort((points.argmax(1), sizes))
-        self.points, self.sizes, self.labels = points[self.order], sizes[self.order], labels[self.order]
+        self.fine, self.sizes, self.labels = points[self.order], sizes[self.order], labels[self.order]
+        self.points = coarse(self.fine)
         #: Of each level from the leaves up: largest counts, least size, and the only label (-1: several).
         self.levels = []
         tops, least, low, high, width = self.points, self.sizes, self.labels, self.labels, LEAF
@@ -190,8 +217,10 @@ class Tree:
             if len(nodes):
                 fit = near(points, self.points[nodes][None], sizes, self.sizes[nodes][None]) & (labels != self.labels[nodes][None])
                 i, j = np.nonzero(fit)
-                later = nodes[j] > begin + i
-                yield self.order[begin + i[later]], self.order[nodes[j[later]]]
+                i, j = begin + i, nodes[j]
+                i, j = i[j > i], j[j > i]
+                fit = near_pairs(self.fine, self.sizes, i, j)
+                yield self.order[i[fit]], self.order[j[fit]]
 
 
 def forest_pairs(classes: DataFrame, bits: int) -> DataFrame:
@@ -205,7 +234,7 @@ def forest_pairs(classes: DataFrame, bits: int) -> DataFrame:
             order = np.argsort(hashes, kind="stable")
             hashes, own = hashes[order], own[order]
             facts = [batch.column(c).to_numpy() for c in ("rep", "n", "label")]
-            counts = np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.uint32).reshape(-1, GROUPS)
+            counts = np.array([unpack_plain(x, np.uint32) for x in batch.column("counts").to_pylist()])
             rows: list[list] = [[] for _ in range(7)]
             for part, begin, end in part_cuts(hashes, bits, 64 - bits):
                 used, local = np.unique(own[begin:end], return_inverse=True)
@@ -221,7 +250,7 @@ def forest_pairs(classes: DataFrame, bits: int) -> DataFrame:
         own = np.concatenate([x.astype(np.int64) + o for x, o in zip(own, offsets)])
         hashes, reps = np.concatenate(hashes), np.concatenate(reps)
         sizes, labels = np.concatenate(column("sizes", np.int64)), np.concatenate(column("labels", np.int64))
-        points = np.concatenate([x.reshape(-1, GROUPS) for x in column("counts", np.uint32)]).astype(np.int64)
+        points = np.concatenate([x.reshape(-1, GROUPS) for x in column("counts", np.uint32)])
         order = np.argsort(hashes, kind="stable")
         hashes, own = hashes[order], own[order]
         begins = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1]))
@@ -233,7 +262,7 @@ def forest_pairs(classes: DataFrame, bits: int) -> DataFrame:
         found = []
         if len(twos):
             pair = np.unique(np.sort(np.stack([own[twos], own[twos + 1]], axis=1), axis=1), axis=0)
-            found.append(pair[near(points[pair[:, 0]], points[pair[:, 1]], sizes[pair[:, 0]], sizes[pair[:, 1]])])
+            found.append(pair[near_pairs(points, sizes, pair[:, 0], pair[:, 1])])
         seen: set[bytes] = set()
         for begin, end in zip(begins.tolist(), ends.tolist()):
             if end - begin > 2:
@@ -257,7 +286,7 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     classes = materialize(filled.groupBy("key").agg(smallest).select("key", F.col("r.doc_id").alias("rep"), "r.n", "r.stars", "r.counts", "r.prefix"), "jaccard-classes")
     first = materialize(components(materialize(verify(star_pairs(classes), docs, text), "jaccard-stars")), "jaccard-first")
     labelled = classes.join(first, classes.rep == first.node, "left").withColumn("label", F.coalesce("component", "rep"))
-    bits = part_bits(classes.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8, 1_000_000)
+    bits = part_bits(classes.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8, 2_000_000, 4)
     pairs = materialize(forest_pairs(labelled.select("rep", "n", "label", "counts", "prefix"), bits), "jaccard-pairs")
     links = materialize(verify(pairs, docs, text), "jaccard-links")
     of = labelled.select("key", F.col("rep"), "label")

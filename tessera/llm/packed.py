@@ -45,9 +45,9 @@ def part_cuts(keys: np.ndarray, bits: int, width: int) -> list[tuple[int, int, i
     return [(part, begin, end) for part, (begin, end) in enumerate(zip([0, *ends], ends)) if end > begin]
 
 
-def part_bits(numbers: int, each: int = 2_000_000) -> int:
-    """Bits that name a part, so that a part gets about ``each`` of so many numbers; 64 parts at least."""
-    return max(6, int(np.ceil(np.log2(max(1, numbers / each)))))
+def part_bits(numbers: int, each: int = 2_000_000, least: int = 6) -> int:
+    """Bits that name a part, so that a part gets about ``each`` of so many numbers; ``least`` at least."""
+    return max(least, int(np.ceil(np.log2(max(1, numbers / each)))))
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
