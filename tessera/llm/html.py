@@ -146,6 +146,11 @@ LABELLED = (
     "<p><a href=/i>Imprint</a></p><p><a href=/c>Contact us here</a></p></body>",
     "<body><nav><a href=/>A menu whose single entry is as long as any sentence in the text of the page itself</a></nav><article><p>+Short.</p><p>+<a href=/l>Linked words only</a></p><p>+A list of things: one, two, three, four, five, six, seven, eight, nine and ten.</p></article>"
     "<footer>A footer that goes on and on about who made this page and when and why, with no link in it</footer></body>",
+    "<body><nav><a href=/>Home</a></nav><article><h1>+Cut off</h1><p>+The rest of this page was never",
+    "<body><div id=main><p>+Just one",
+    "<body><p>+No frame, no menu, and after this only paragraph of the page there is nothing else to be read",
+    "<body><article><p>+Two words</p></article></body>",
+    "<body><p><a href=/>Only a link</a></p></body>",
 )
 
 
