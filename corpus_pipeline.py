@@ -45,9 +45,9 @@ def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text by operator 1, and whether they decode to it."""
     ranks = queries.vocabulary(spark)
-    tokens = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", "text"), ranks, queries.PATTERN), ranks)
+    tokens = bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", "text"), ranks, queries.PATTERN, decoded="decoded")
     whole = F.coalesce(F.col("text"), F.lit("")).cast("binary") == F.col("decoded")
-    return tokens.select("doc_id", "lang", "source", "n_chars", *bpe.digests(tokens), whole.alias("decodes"), "ids")
+    return tokens.select("doc_id", "lang", "source", "n_chars", *bpe.digests(), whole.alias("decodes"), "ids")
 
 
 STAGES = [

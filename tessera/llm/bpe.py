@@ -33,7 +33,9 @@ from tessera.llm.words import SLICE_BYTES, slices
 SHIFT = 9
 LOW = (1 << SHIFT) - 1
 #: Words and pre-tokens that a worker remembers besides those of the slice at hand; longer pre-tokens merge one by one and are not remembered.
-CACHED, LONGEST = 200_000, 64
+CACHED, LONGEST = 100_000, 64
+#: Text bytes that are split into words at a time.
+ENCODED_BYTES = 2 << 20
 #: White space of any kind before a space: there a text can't be cut at its spaces.
 SPACED = re.compile("[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000] ")
 
@@ -292,19 +294,31 @@ def vocabulary_bytes(spark, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
-def encode(docs: DataFrame, vocabulary, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with array<int> column ``ids``: each match of ``pattern`` in the whole text, merged by the vocabulary's ranks."""
+def _joined(table: list[bytes], ids: list[int]) -> bytes:
+    return b"".join(map(table.__getitem__, ids))
+
+
+def encode(docs: DataFrame, vocabulary, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with array<int> column ``ids``: each match of ``pattern`` in the whole text, merged by the vocabulary's ranks.
+
+    With ``decoded`` also a binary column of that name: the bytes of those ids, as ``decode``
+    gives them, without another pass through Python.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary, pattern)
-        for batch in slices(batches, text):
+        encoder, table = _encoder(vocabulary, pattern), _vocabulary(vocabulary).tokens
+        for batch in slices(batches, text, ENCODED_BYTES):
             found = encoder.encode(batch.column(text).to_pylist())
             flat = pa.array(np.frombuffer(b"".join(found), np.int32))
-            lists = pa.ListArray.from_arrays(_bounded(found, 4), flat)
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, ids])
+            columns, names = [pa.ListArray.from_arrays(_bounded(found, 4), flat)], [ids]
+            if decoded:
+                columns.append(pa.array([_joined(table, np.frombuffer(x, np.int32).tolist()) for x in found], pa.binary()))
+                names.append(decoded)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 
-    schema = docs.drop(ids).withColumn(ids, F.lit(None).cast("array<int>")).schema
-    return docs.drop(ids).mapInArrow(run, schema)
+    kept = docs.drop(ids, *([decoded] if decoded else []))
+    new = {ids: F.lit(None).cast("array<int>")} | ({decoded: F.lit(None).cast("binary")} if decoded else {})
+    return kept.mapInArrow(run, kept.withColumns(new).schema)
 
 
 def decode(tokens: DataFrame, vocabulary, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -317,14 +331,14 @@ def decode(tokens: DataFrame, vocabulary, ids: str = "ids", decoded: str = "deco
             step = max(1, SLICE_BYTES // 4 * batch.num_rows // max(1, len(column.flatten())))
             for begin in range(0, batch.num_rows, step):
                 part = batch.slice(begin, step)
-                out = [b"".join(map(table.__getitem__, x)) if x else b"" for x in part.column(ids).to_pylist()]
+                out = [_joined(table, x or []) for x in part.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, decoded])
 
     schema = tokens.drop(decoded).withColumn(decoded, F.lit(None).cast("binary")).schema
     return tokens.drop(decoded).mapInArrow(run, schema)
 
 
-def digests(tokens: DataFrame, ids: str = "ids", decoded: str = "decoded") -> list:
+def digests(ids: str = "ids", decoded: str = "decoded") -> list:
     """Columns n_tokens, ids_sha256 (ids in decimal, joined by spaces) and decoded_sha256."""
     listed = F.coalesce(F.array_join(F.col(ids).cast("array<string>"), " "), F.lit(""))
     return [

@@ -29,8 +29,8 @@ def vocabulary(spark: SparkSession):
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = vocabulary(spark)
-    tokens = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, PATTERN).drop("text")
-    return bpe.decode(tokens, ranks).select("doc_id", *bpe.digests(tokens))
+    tokens = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, PATTERN, decoded="decoded")
+    return tokens.select("doc_id", *bpe.digests())
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from xxhash import xxh3_64_intdigest
 
 #: Distinct words whose hashes a worker remembers; the cache starts anew when it is full.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 120_000
 #: Text bytes that a task holds as words at a time (a single longer text is held whole).
 SLICE_BYTES = 4 << 20
 #: Odd multiplier of the rolling hash, and the constants of its final mix.

@@ -62,6 +62,7 @@ def test_encoding_is_that_of_the_library(spark, odd_docs, odd_texts):
     for r in rows:
         assert r.ids == LIBRARY.encode_ordinary(r.text or "")
         assert bytes(r.decoded) == (r.text or "").encode()
+    assert sorted(bpe.encode(odd_docs, ranks, queries.PATTERN, decoded="decoded").collect(), key=repr) == sorted(rows, key=repr)
 
 
 @settings(max_examples=150, deadline=None)
@@ -93,7 +94,7 @@ def test_a_very_long_pre_token_takes_near_linear_time():
 def test_digests_of_ids(spark, no_docs):
     ranks = bpe.vocabulary_bytes(spark, public_tokenizers.path(queries.RANK_FILE))
     tokens = bpe.encode(frame(spark, [(1, "two words"), (2, None)]), ranks, queries.PATTERN)
-    got = bpe.decode(tokens, ranks).select("doc_id", *bpe.digests(tokens)).collect()
+    got = bpe.decode(tokens, ranks).select("doc_id", *bpe.digests()).collect()
     for r, text in zip(sorted(got), ("two words", "")):
         ids = LIBRARY.encode_ordinary(text)
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(text))
