@@ -225,7 +225,7 @@ class Tree:
 
 def forest_pairs(classes: DataFrame, bits: int) -> DataFrame:
     """(a, b) of classes of different labels that share a shingle of both prefixes, if their points allow a link."""
-    schema = "part int, hashes binary, own binary, reps binary, sizes binary, labels binary, counts binary"
+    schema = "part int, hashes binary, own binary, reps binary, sizes binary, labels binary, counts binary, lengths binary"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "prefix"):
@@ -234,14 +234,15 @@ def forest_pairs(classes: DataFrame, bits: int) -> DataFrame:
             order = np.argsort(hashes, kind="stable")
             hashes, own = hashes[order], own[order]
             facts = [batch.column(c).to_numpy() for c in ("rep", "n", "label")]
-            counts = np.array([unpack_plain(x, np.uint32) for x in batch.column("counts").to_pylist()])
-            rows: list[list] = [[] for _ in range(7)]
+            counts = batch.column("counts").to_pylist()
+            lengths = np.fromiter(map(len, counts), np.uint32, len(counts))
+            rows: list[list] = [[] for _ in range(8)]
             for part, begin, end in part_cuts(hashes, bits, 64 - bits):
                 used, local = np.unique(own[begin:end], return_inverse=True)
-                packed = [part, pack(hashes[begin:end]), pack_plain(local.astype(np.uint32)), *(pack_plain(x[used]) for x in facts), pack_plain(counts[used])]
+                packed = [part, pack(hashes[begin:end]), pack_plain(local.astype(np.uint32)), *(pack_plain(x[used]) for x in facts), b"".join([counts[i] for i in used.tolist()]), pack_plain(lengths[used])]
                 for column, value in zip(rows, packed):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], ["part", "hashes", "own", "reps", "sizes", "labels", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], ["part", "hashes", "own", "reps", "sizes", "labels", "counts", "lengths"])
 
     def search(rows: pa.Table) -> pa.Table:
         column = lambda name, kind: [unpack_plain(x, kind) for x in rows.column(name).to_pylist()]
@@ -250,14 +251,22 @@ def forest_pairs(classes: DataFrame, bits: int) -> DataFrame:
         own = np.concatenate([x.astype(np.int64) + o for x, o in zip(own, offsets)])
         hashes, reps = np.concatenate(hashes), np.concatenate(reps)
         sizes, labels = np.concatenate(column("sizes", np.int64)), np.concatenate(column("labels", np.int64))
-        points = np.concatenate([x.reshape(-1, GROUPS) for x in column("counts", np.uint32)])
         order = np.argsort(hashes, kind="stable")
         hashes, own = hashes[order], own[order]
         begins = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1]))
         ends = np.append(begins[1:], len(hashes))
         of = labels[own]
         mixed = np.minimum.reduceat(of, begins) != np.maximum.reduceat(of, begins)
+        used = np.repeat(mixed, ends - begins)
         begins, ends = begins[mixed], ends[mixed]
+        # from here on only classes that meet another label, and their points
+        met = np.unique(own[used])
+        packed, stops = b"".join(rows.column("counts").to_pylist()), np.cumsum(np.concatenate(column("lengths", np.uint32)), dtype=np.int64)
+        kind = np.uint16 if sizes.max() < 1 << 16 else np.uint32  # no count exceeds its set's size
+        points = np.array([unpack_plain(packed[stops[i - 1] if i else 0 : stops[i]], np.uint32).astype(kind) for i in met.tolist()], kind).reshape(-1, GROUPS)
+        place = np.zeros(len(reps), np.int64)
+        place[met] = np.arange(len(met))
+        own, reps, sizes, labels = place[own], reps[met], sizes[met], labels[met]
         twos = begins[ends - begins == 2]
         found = []
         if len(twos):
@@ -286,7 +295,7 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     classes = materialize(filled.groupBy("key").agg(smallest).select("key", F.col("r.doc_id").alias("rep"), "r.n", "r.stars", "r.counts", "r.prefix"), "jaccard-classes")
     first = materialize(components(materialize(verify(star_pairs(classes), docs, text), "jaccard-stars")), "jaccard-first")
     labelled = classes.join(first, classes.rep == first.node, "left").withColumn("label", F.coalesce("component", "rep"))
-    bits = part_bits(classes.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8, 2_000_000, 4)
+    bits = part_bits(classes.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8, 1_000_000, 4)
     pairs = materialize(forest_pairs(labelled.select("rep", "n", "label", "counts", "prefix"), bits), "jaccard-pairs")
     links = materialize(verify(pairs, docs, text), "jaccard-links")
     of = labelled.select("key", F.col("rep"), "label")
