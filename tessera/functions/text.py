@@ -43,6 +43,8 @@ HEADING_LINE = r"^\s*(#+ \s*\S|<h\d>)"
 HTML_TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 HTML_MARK = r"(?i)<html[\s>]"
 SEP = "\u0001"
+# What Python's str.split and str.strip take as white space (a regular expression class).
+SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
 def _c(c) -> Column:
@@ -51,7 +53,7 @@ def _c(c) -> Column:
 
 def strip(c) -> Column:
     """Python ``str.strip()``: remove leading and trailing whitespace."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(_c(c), f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 # F1
@@ -69,7 +71,7 @@ def call_key(name, params_map) -> Column:
 # F13
 def ws_tokens(c) -> Column:
     """Python ``str.split()`` with no argument: runs of whitespace, no empty tokens."""
-    return F.filter(F.split(_c(c), r"\s+"), lambda t: t != "")
+    return F.filter(F.split(_c(c), f"[{SPACE}]+"), lambda t: t != "")
 
 
 # F10

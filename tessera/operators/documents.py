@@ -6,9 +6,6 @@ Documents are independent, so everything except J1/J2 is a narrow
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,25 +108,6 @@ def version_line_delta(versions: DataFrame) -> DataFrame:
     )
 
 
-def _ordered_diff_batch(prev: pd.Series, cur: pd.Series) -> pd.DataFrame:
-    added, removed = [], []
-    for a, b in zip(prev, cur):
-        diff = list(difflib.Differ().compare((a or "").splitlines(), (b or "").splitlines()))
-        added.append([x[2:] for x in diff if x.startswith("+ ")])
-        removed.append([x[2:] for x in diff if x.startswith("- ")])
-    return pd.DataFrame({"added": added, "removed": removed})
-
-
-# J2b
-def version_diff_ordered(versions: DataFrame) -> DataFrame:
-    """Exact ordered line diff (stdlib difflib) between consecutive versions, Arrow-batched."""
-    v = with_previous(versions)
-    udf = F.pandas_udf(_ordered_diff_batch, "struct<added:array<string>, removed:array<string>>")
-    return v.select("doc_id", "version", udf("prev", "content").alias("d")).select(
-        "doc_id", "version", F.col("d.added").alias("added"), F.col("d.removed").alias("removed")
-    )
-
-
 # Hash skip -> chunk -> metadata -> quality, per new content
 def process_documents(docs: DataFrame, done_hashes: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       max_length: int = 1000) -> tuple[DataFrame, DataFrame]:

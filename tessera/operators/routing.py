@@ -170,7 +170,7 @@ def run_workflow(inputs: DataFrame, steps: DataFrame, fn, workflow: str, max_ste
     resp = batch_invoke(x, fn, "response string")
     return resp.groupBy("input_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "response"))), lambda e: e["response"]), "\n\n").alias("result"),
-        F.count(F.lit(1)).alias("n_steps"),
+        F.count("response").alias("n_steps"),
     )
 
 
@@ -196,7 +196,7 @@ def similar_inputs(req: DataFrame, threshold: float = 0.8, col: str = "input", n
     ranked = d.select("h", F.explode("toks").alias("tok")).join(freq, "tok").groupBy("h").agg(
         F.array_sort(F.collect_list(F.struct("f", "tok"))).alias("ordered"))
     sz = F.size("ordered")
-    plen = sz - F.ceil(F.lit(threshold) * sz).cast("int") + 1
+    plen = sz - F.ceil(F.lit(threshold) * sz - F.lit(1e-9)).cast("int") + 1
     pref = ranked.select("h", F.explode(F.slice("ordered", 1, plen)).alias("e")).select("h", F.col("e.tok").alias("tok"))
     cand = pref.alias("a").join(pref.alias("b"), "tok").where(F.col("a.h") < F.col("b.h")).select(
         F.col("a.h").alias("ha"), F.col("b.h").alias("hb")).distinct()

@@ -68,12 +68,6 @@ def version_delta(spark, sf_dir):
     return D.version_line_delta(_versions(spark, sf_dir))
 
 
-@register("version_diff")
-def version_diff(spark, sf_dir):
-    d = D.version_diff_ordered(_versions(spark, sf_dir))
-    return d.select("doc_id", "version", F.size("added").cast("bigint").alias("n_added"), F.size("removed").cast("bigint").alias("n_removed"))
-
-
 @register("quality_scores")
 def quality_scores(spark, sf_dir):
     feats = D.quality_features(fx.table(spark, sf_dir, "documents"))

@@ -6,6 +6,7 @@ exists), in parquet, to folders given by the caller.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -33,6 +34,11 @@ def read_test_sets(spark: SparkSession, path: str) -> DataFrame:
     return x.select("test_set", F.posexplode("cases").alias("pos", "case")).select("test_set", "pos", "case.*")
 
 
+def missing(e: AnalysisException) -> bool:
+    """Whether a read failed because there is nothing yet; all other errors are real."""
+    return e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 # S9
 def save_processed(processed: DataFrame, store: str) -> DataFrame:
     """Append rows whose ``file_hash`` is not in the store yet; returns the rows written."""
@@ -40,7 +46,9 @@ def save_processed(processed: DataFrame, store: str) -> DataFrame:
     try:
         known = spark.read.parquet(store).select("file_hash")
         new = processed.join(known, "file_hash", "left_anti")
-    except Exception:  # noqa: BLE001 - empty / missing store
+    except AnalysisException as e:
+        if not missing(e):
+            raise
         new = processed
     new = new.dropDuplicates(["file_hash"])
     new.write.mode("append").parquet(store)

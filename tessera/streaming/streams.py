@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -127,6 +128,7 @@ def stream_admission(req: DataFrame, budget: str, ts: str = "ts", rid: str = "re
 def stream_feedback(fb: DataFrame, snapshot_dir: str, checkpoint: str, trigger: dict | None = None):
     """Upsert latest feedback per document into versioned parquet snapshots (``snapshot_dir/v=<epoch>``)."""
     from tessera.operators.retrieval import latest_feedback
+    from tessera.sources.stores import missing
 
     def merge(batch: DataFrame, epoch: int):
         spark = batch.sparkSession
@@ -134,8 +136,10 @@ def stream_feedback(fb: DataFrame, snapshot_dir: str, checkpoint: str, trigger:
             prev = spark.read.parquet(snapshot_dir)
             prev = prev.where(F.col("v") == prev.select(F.max("v")).scalar()).drop("v")
             prev_rows = prev.select("doc_id", "score", "ts", F.lit(-1).cast("bigint").alias("event_id"))
-        except Exception:  # noqa: BLE001 - first batch
-            prev_rows = None
+        except AnalysisException as e:
+            if not missing(e):
+                raise
+            prev_rows = None  # first batch
         rows = batch.select("doc_id", "score", "ts", "event_id")
         allr = rows if prev_rows is None else prev_rows.unionByName(rows)
         latest_feedback(allr).drop("n_feedback").write.mode("overwrite").parquet(f"{snapshot_dir}/v={epoch}")
