@@ -45,8 +45,8 @@ from tessera.session import materialize
 SIZE, STARS = 5, 4
 #: Groups of a point, and groups that nodes of a tree tell apart (each the sum of several).
 GROUPS, COARSE = 512, 64
-#: Pairs whose points are compared at a time.
-COMPARED = 4096
+#: Pairs whose points are compared at a time; points of a search; nodes or points they are compared with at a time.
+COMPARED, ASKED, BLOCK = 4096, 64, 512
 #: Share of the documents sampled to order shingles and the most that are; the fewest of them that make a shingle frequent; the most that are listed.
 SHARE, SAMPLE, OFTEN, LISTED = 0.1, 100_000, 3, 400_000
 #: Points of a leaf and children of a node; texts compared with one hub in a task; rows that say which texts to compare that are broadcast at most.
@@ -113,7 +113,7 @@ def point(held: np.ndarray) -> np.ndarray:
 
 
 def coarse(points: np.ndarray) -> np.ndarray:
-    return points.reshape(len(points), COARSE, -1).sum(2, dtype=np.int64)
+    return points.reshape(len(points), COARSE, -1).sum(2, dtype=np.int32)
 
 
 def near_pairs(points: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -130,6 +130,15 @@ def near(first: np.ndarray, second: np.ndarray, n_first: np.ndarray, n_second: n
     return 9 * np.minimum(first, second).sum(-1, dtype=np.int64) >= 4 * (n_first + n_second)
 
 
+def near_table(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, tops: np.ndarray, least: np.ndarray, only: np.ndarray) -> np.ndarray:
+    """``near`` and another label, of each of some points (rows) with each node or point (columns)."""
+    out = np.empty((len(points), len(tops)), bool)
+    for begin in range(0, len(tops), BLOCK):
+        part = slice(begin, begin + BLOCK)
+        out[:, part] = near(points[:, None], tops[None, part], sizes[:, None], least[None, part]) & (labels[:, None] != only[None, part])
+    return out
+
+
 def star_pairs(classes: DataFrame) -> DataFrame:
     """(a, b): each class b and the smallest class a that shares one of its minima, if their points allow a link."""
     minima = classes.select("rep", F.posexplode("stars").alias("i", "value"))
@@ -203,19 +212,18 @@ class Tree:
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Points of different labels whose summed minima allow a link, as places in what the tree was made from."""
-        for begin in range(0, len(self.points), 64):
-            query = slice(begin, begin + 64)
-            points, sizes, labels = self.points[query][:, None], self.sizes[query][:, None], self.labels[query][:, None]
+        for begin in range(0, len(self.points), ASKED):
+            query = slice(begin, begin + ASKED)
+            asked = self.points[query], self.sizes[query], self.labels[query]
             nodes = np.arange(len(self.levels[-1][0]))
             for depth in reversed(range(len(self.levels))):
-                tops, least, only = (x[nodes] for x in self.levels[depth])
-                open_ = (near(points, tops[None], sizes, least[None]) & (labels != only[None])).any(0)
+                open_ = near_table(*asked, *(x[nodes] for x in self.levels[depth])).any(0)
                 width, count = (FANOUT, len(self.levels[depth - 1][0])) if depth else (LEAF, len(self.points))
                 nodes = (nodes[open_][:, None] * width + np.arange(width)).ravel()
                 nodes = nodes[nodes < count]
             nodes = nodes[nodes > begin]  # each pair once
             if len(nodes):
-                fit = near(points, self.points[nodes][None], sizes, self.sizes[nodes][None]) & (labels != self.labels[nodes][None])
+                fit = near_table(*asked, self.points[nodes], self.sizes[nodes], self.labels[nodes])
                 i, j = np.nonzero(fit)
                 i, j = begin + i, nodes[j]
                 i, j = i[j > i], j[j > i]
@@ -263,7 +271,10 @@ def forest_pairs(classes: DataFrame, bits: int) -> DataFrame:
         met = np.unique(own[used])
         packed, stops = b"".join(rows.column("counts").to_pylist()), np.cumsum(np.concatenate(column("lengths", np.uint32)), dtype=np.int64)
         kind = np.uint16 if sizes.max() < 1 << 16 else np.uint32  # no count exceeds its set's size
-        points = np.array([unpack_plain(packed[stops[i - 1] if i else 0 : stops[i]], np.uint32).astype(kind) for i in met.tolist()], kind).reshape(-1, GROUPS)
+        points = np.empty((len(met), GROUPS), kind)
+        for row, i in enumerate(met.tolist()):
+            points[row] = unpack_plain(packed[stops[i - 1] if i else 0 : stops[i]], np.uint32)
+        del packed
         place = np.zeros(len(reps), np.int64)
         place[met] = np.arange(len(met))
         own, reps, sizes, labels = place[own], reps[met], sizes[met], labels[met]
