@@ -167,11 +167,12 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 2, small_grou
 
 
 def cluster_results(hits: DataFrame, vecs: DataFrame, eps: float = 0.5, min_samples: int = 2) -> DataFrame:
-    """Cluster each query's hits on their document vectors; adds ``cluster_id``."""
+    """Cluster each query's hits on their document vectors; adds ``cluster_id`` (G15), -1 for noise and documents without a vector."""
     pts = hits.select(F.col("query_id").alias("key"), F.col("doc_id").alias("pid"), F.col("rank").alias("pos")).join(
         vecs.select(F.col("doc_id").alias("pid"), F.col("dvec").alias("vec")), "pid")
     lab = dbscan(pts, eps, min_samples)
-    return hits.join(lab.select(F.col("key").alias("query_id"), F.col("pid").alias("doc_id"), "cluster_id"), ["query_id", "doc_id"], "left")
+    found = hits.join(lab.select(F.col("key").alias("query_id"), F.col("pid").alias("doc_id"), "cluster_id"), ["query_id", "doc_id"], "left")
+    return found.withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1).cast("bigint")))
 
 
 def collapse_clusters(hits: DataFrame) -> DataFrame:

@@ -16,8 +16,8 @@ Scale notes
 * Min-max normalisation is a tiny per-query aggregate joined back by broadcast.
   Documents a query never matched score 0 and take part in min/max (G2).
 * Exact vector scoring streams the document vectors through ``mapInPandas``
-  with a size-checked query block: per partition it emits per-query stats and
-  the per-query top candidates only, never the Q x N score matrix.
+  with a size-checked query block: a partition emits one row of stats and its k
+  best documents a query, never the Q x N score matrix (``CELLS`` at a time).
 * Per-query top-k uses ``row_number`` with a literal bound, which Spark plans
   as a partial ``WindowGroupLimit`` before the shuffle.
 """
@@ -28,7 +28,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,16 +146,6 @@ def kb_filter(pairs: DataFrame, queries: DataFrame, doc_source: DataFrame, max_b
 
 
 # G2
-def min_max(pairs: DataFrame, allowed: DataFrame, score: str = "raw", out: str = "norm", unmatched: float = 0.0) -> DataFrame:
-    """Per-query min-max normalisation; constant range -> 0.5.
-
-    ``allowed`` gives ``n_allowed`` per query; if fewer pairs than that were
-    materialised, the missing documents score ``unmatched`` and count in min/max.
-    """
-    st = stats_for(pairs, allowed, score, unmatched)
-    return pairs.join(st, "query_id").withColumn(out, normalized(F.col(score))).drop("mn", "mx")
-
-
 def stats_for(pairs: DataFrame, allowed: DataFrame, score: str = "raw", unmatched: float = 0.0) -> DataFrame:
     st = pairs.groupBy("query_id").agg(F.min(score).alias("mn0"), F.max(score).alias("mx0"), F.count(F.lit(1)).alias("m"))
     st = allowed.select("query_id", "n_allowed").join(st, "query_id", "left")
@@ -184,45 +173,141 @@ def top_k(df: DataFrame, k: int, score: str = "score", part: str = "query_id", t
     return ranked
 
 
-def first_ids(index: CorpusIndex, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id) for the k smallest doc ids each query may see: fill for queries with < k matches."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    per_src = index.docs.select("doc_id", "source").withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.lit(k))
-    global_first = index.docs.select("doc_id").orderBy("doc_id").limit(k)
-    first_arr = global_first.select(F.array_sort(F.collect_list("doc_id"))).scalar()
-    q = queries.select("query_id", F.coalesce("kb_ids", F.array().cast("array<string>")).alias("kb"))
-    unf = q.where(F.size("kb") == 0).select("query_id", F.explode(first_arr).alias("doc_id"))
-    filt = (
-        q.where(F.size("kb") > 0)
-        .select("query_id", F.explode(F.array_distinct("kb")).alias("source"))
-        .join(per_src, "source")
-        .select("query_id", "doc_id")
-    )
-    return unf.unionByName(filt)
+def unmatched_ids(short: DataFrame, pairs: DataFrame, index: CorpusIndex, k: int, max_queries: int = 50_000) -> DataFrame:
+    """(query_id, doc_id): the k smallest ids among the documents that each query of ``short(query_id, kb)`` may see and did not match.
+
+    The matches of those queries travel to their document (one list a document); each
+    partition reads its documents in id order and emits at most k a query.
+    """
+    hits = pairs.join(short.select("query_id"), "query_id", "left_semi").groupBy("doc_id").agg(F.collect_list("query_id").alias("hit_q"))
+    rows = index.docs.select("doc_id", "source").join(hits, "doc_id", "left").sortWithinPartitions("doc_id")
+    return _union([_unmatched_block(b, rows, k, 2 * max_queries) for b in _query_blocks(short, max_queries)])
+
+
+def _unmatched_block(short: DataFrame, rows: DataFrame, k: int, max_queries: int) -> DataFrame:
+    pq = collect_bounded(short.select("query_id", "kb"), max_queries, "queries").sort_values("query_id")
+    bc = rows.sparkSession.sparkContext.broadcast((pq["query_id"].to_numpy(np.int64), _kb_lists(pq)))
+
+    def fn(it):
+        ids, kb = bc.value
+        left = np.full(len(ids), k)
+        for pdf in it:
+            for part in _cell_blocks(pdf, len(ids)):
+                if not (left > 0).any():
+                    break
+                free = _allowed_mask(kb, part)
+                at, cols, _ = _hit_places(ids, part)
+                free[at, cols] = False
+                qi, di = np.nonzero(free & (np.cumsum(free, axis=1) <= left[:, None]))
+                left -= np.bincount(qi, minlength=len(ids))
+                yield pd.DataFrame({"query_id": ids[qi], "doc_id": part["doc_id"].to_numpy(np.int64)[di]})
+
+    return rows.mapInPandas(fn, "query_id long, doc_id long")
 
 
 # ---------------------------------------------------------------- vectors
 
-def _vector_payload(qv: pd.DataFrame, params: pd.DataFrame | None) -> dict:
-    mat = np.stack(qv["qvec"].map(lambda v: np.asarray(v, dtype=np.float64)).values) if len(qv) else np.zeros((0, 0))
-    kb = [None if (x is None or len(x) == 0) else np.asarray(list(x), dtype=object) for x in qv["kb"]]
-    out = {"ids": qv["query_id"].to_numpy(np.int64), "mat": mat, "kb": kb}
-    if params is not None:
-        p = qv[["query_id"]].merge(params, on="query_id", how="left")
-        for c in ("mn", "mx", "c0", "alpha"):
-            out[c] = p[c].to_numpy(np.float64)
-    return out
+#: Cells of a (queries x documents) block held at a time.
+CELLS = 1 << 20
+
+
+def _kb_lists(pq: pd.DataFrame) -> list:
+    return [None if (x is None or len(x) == 0) else np.asarray(list(x), dtype=object) for x in pq["kb"]]
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.map(lambda v: np.asarray(v, dtype=np.float64)).values) if len(vectors) else np.zeros((0, 0))
+
+
+def _query_payload(pq: pd.DataFrame) -> dict:
+    """Arrays of a block of queries in id order; ``mat`` holds the vectors of the queries (places ``has``) that have one."""
+    pq = pq.sort_values("query_id")
+    has = pq["qvec"].notna().to_numpy()
+    stats = {c: pq[c].to_numpy(np.float64) for c in ("bmn", "bmx", "smn", "smx") if c in pq}
+    return {"ids": pq["query_id"].to_numpy(np.int64), "kb": _kb_lists(pq), "has": np.flatnonzero(has), "mat": _matrix(pq["qvec"][has]), **stats}
+
 
+def _cell_blocks(pdf: pd.DataFrame, n_queries: int):
+    step = max(1, CELLS // max(1, n_queries))
+    return (pdf.iloc[begin:begin + step] for begin in range(0, len(pdf), step))
 
-def _scores_block(payload: dict, pdf: pd.DataFrame):
-    dmat = np.stack(pdf["dvec"].map(lambda v: np.asarray(v, dtype=np.float64)).values)
-    s = payload["mat"] @ dmat.T  # q x n, exact double inner products
+
+def _allowed_mask(kb: list, pdf: pd.DataFrame) -> np.ndarray:
     src = pdf["source"].to_numpy(object)
-    mask = np.ones(s.shape, dtype=bool)
-    for i, kb in enumerate(payload["kb"]):
-        if kb is not None:
-            mask[i] = np.isin(src, kb)
-    return s, mask
+    mask = np.ones((len(kb), len(pdf)), dtype=bool)
+    for i, names in enumerate(kb):
+        if names is not None:
+            mask[i] = np.isin(src, names)
+    return mask
+
+
+def _hit_places(ids: np.ndarray, pdf: pd.DataFrame):
+    """(query place, document place, place in the joined lists) of the matches in ``hit_q`` of this block's queries."""
+    lists = [np.asarray(() if x is None else x, dtype=np.int64) for x in pdf["hit_q"]]
+    cols, of = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([np.empty(0, np.int64), *lists])
+    at = np.searchsorted(ids, of)
+    own = np.flatnonzero(ids[np.minimum(at, len(ids) - 1)] == of) if len(ids) else np.empty(0, np.int64)
+    return at[own], cols[own], own
+
+
+def _unit(x: np.ndarray, mn: np.ndarray, mx: np.ndarray) -> np.ndarray:
+    """``normalized`` of a block, one row a query."""
+    span = (mx - mn)[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(span == 0, 0.5, (x - mn[:, None]) / span)
+
+
+def _round6(x: np.ndarray) -> np.ndarray:
+    return np.floor(x * 1e6 + 0.5) / 1e6
+
+
+def _fused_scores(p: dict, pdf: pd.DataFrame, alpha: float):
+    """Rounded (score, bm25, semantic) of every document for every query; a score that a query may not see is NaN."""
+    raw = np.zeros((len(p["ids"]), len(pdf)))
+    at, cols, own = _hit_places(p["ids"], pdf)
+    if len(own):
+        raw[at, cols] = np.concatenate([np.asarray(() if x is None else x, dtype=np.float64) for x in pdf["hit_raw"]])[own]
+    bm25, semantic = _unit(raw, p["bmn"], p["bmx"]), np.zeros(raw.shape)
+    filled = np.flatnonzero(pdf["dvec"].notna().to_numpy())
+    if len(filled) and len(p["has"]):
+        inner = p["mat"] @ _matrix(pdf["dvec"].iloc[filled]).T
+        semantic[np.ix_(p["has"], filled)] = _unit(inner, p["smn"][p["has"]], p["smx"][p["has"]])
+    score = np.where(_allowed_mask(p["kb"], pdf), _round6(alpha * bm25 + (1 - alpha) * semantic), np.nan)
+    return score, _round6(bm25), _round6(semantic)
+
+
+def fused_hits(params: DataFrame, rows: DataFrame, alpha: float, k: int, max_queries: int = 50_000) -> DataFrame:
+    """The k best of each partition's documents for each query: query_id, doc_id, score, bm25, semantic.
+
+    ``params``: query_id, kb, qvec, bmn, bmx, smn, smx; ``rows``: doc_id, source, dvec, hit_q, hit_raw.
+    Query sets above ``max_queries`` are processed in hash blocks, one bounded broadcast each.
+    """
+    return _union([_fused_block(b, rows, alpha, k, 2 * max_queries) for b in _query_blocks(params, max_queries)])
+
+
+def _fused_block(params: DataFrame, rows: DataFrame, alpha: float, k: int, max_queries: int) -> DataFrame:
+    bc = rows.sparkSession.sparkContext.broadcast(_query_payload(collect_bounded(params, max_queries, "queries")))
+
+    def fn(it):
+        p = bc.value
+        n = len(p["ids"])
+        floor = np.full(n, -np.inf)  # the k-th best score so far
+        best = [np.empty(0, np.int64), np.empty(0, np.int64), *(np.empty(0) for _ in range(3))]
+        for pdf in it:
+            for part in _cell_blocks(pdf, n):
+                scores = _fused_scores(p, part, alpha)
+                qi, di = np.nonzero(scores[0] >= floor[:, None])
+                new = [qi, part["doc_id"].to_numpy(np.int64)[di], *(x[qi, di] for x in scores)]
+                best = [np.concatenate(x) for x in zip(best, new)]
+                order = np.lexsort((best[1], -best[2], best[0]))
+                of = best[0][order]
+                place = np.arange(len(of)) - np.searchsorted(of, of)
+                best = [x[order[place < k]] for x in best]
+                last = place == k - 1
+                floor[of[last]] = best[2][place[place < k] == k - 1]
+        yield pd.DataFrame(dict(zip(("query_id", "doc_id", "score", "bm25", "semantic"), [p["ids"][best[0]], *best[1:]])))
+
+    return rows.select("doc_id", "source", "dvec", "hit_q", "hit_raw").mapInPandas(fn, "query_id long, doc_id long, score double, bm25 double, semantic double")
 
 
 def _query_blocks(qvecs: DataFrame, max_queries: int):
@@ -252,78 +337,26 @@ def semantic_stats(qvecs: DataFrame, dvecs: DataFrame, max_queries: int = 50_000
 
 def _semantic_stats_block(qvecs: DataFrame, dvecs: DataFrame, max_queries: int) -> DataFrame:
     spark = dvecs.sparkSession
-    qv = collect_bounded(qvecs.select("query_id", "qvec", "kb"), max_queries, "query vectors")
-    bc = spark.sparkContext.broadcast(_vector_payload(qv, None))
+    bc = spark.sparkContext.broadcast(_query_payload(collect_bounded(qvecs.select("query_id", "qvec", "kb").where("qvec is not null"), max_queries, "query vectors")))
 
     def fn(it):
         p = bc.value
+        n = len(p["ids"])
+        mn, mx, count = np.full(n, np.inf), np.full(n, -np.inf), np.zeros(n, np.int64)
         for pdf in it:
-            if len(pdf) == 0 or len(p["ids"]) == 0:
-                continue
-            s, mask = _scores_block(p, pdf)
-            cnt = mask.sum(axis=1)
-            mn = np.where(mask, s, np.inf).min(axis=1)
-            mx = np.where(mask, s, -np.inf).max(axis=1)
-            keep = cnt > 0
-            yield pd.DataFrame({"query_id": p["ids"][keep], "mn": mn[keep], "mx": mx[keep], "n": cnt[keep].astype(np.int64)})
+            for part in _cell_blocks(pdf[pdf["dvec"].notna()], n):
+                if n:
+                    inner, mask = p["mat"] @ _matrix(part["dvec"]).T, _allowed_mask(p["kb"], part)
+                    mn = np.minimum(mn, np.where(mask, inner, np.inf).min(axis=1))
+                    mx = np.maximum(mx, np.where(mask, inner, -np.inf).max(axis=1))
+                    count += mask.sum(axis=1)
+        keep = count > 0
+        yield pd.DataFrame({"query_id": p["ids"][keep], "mn": mn[keep], "mx": mx[keep], "n": count[keep]})
 
     part = dvecs.select("doc_id", "source", "dvec").mapInPandas(fn, "query_id long, mn double, mx double, n long")
     return part.groupBy("query_id").agg(F.min("mn").alias("mn"), F.max("mx").alias("mx"), F.sum("n").alias("n"))
 
 
-def semantic_candidates(qvecs: DataFrame, dvecs: DataFrame, params: DataFrame, k: int, max_queries: int = 50_000, band: float = 2e-6) -> DataFrame:
-    """Pass 2 over hash blocks of queries (see ``_semantic_candidates_block``)."""
-    return _union([_semantic_candidates_block(b, dvecs, params.join(b.select("query_id"), "query_id", "left_semi"), k, 2 * max_queries, band)
-                   for b in _query_blocks(qvecs, max_queries)])
-
-
-def _semantic_candidates_block(qvecs: DataFrame, dvecs: DataFrame, params: DataFrame, k: int, max_queries: int = 50_000, band: float = 2e-6) -> DataFrame:
-    """Pass 2: per partition, the top-k docs per query by the rank key
-    ``alpha*c0 + (1-alpha)*norm(sem)`` plus every doc within ``band`` below the
-    k-th key (so rounding to 6 digits in the final ranking cannot change the set).
-    ``params``: query_id, mn, mx, c0, alpha.  Emits (query_id, doc_id, sem)."""
-    spark = dvecs.sparkSession
-    qv = collect_bounded(qvecs.select("query_id", "qvec", "kb"), max_queries, "query vectors")
-    pr = collect_bounded(params.select("query_id", "mn", "mx", "c0", "alpha"), max_queries, "query params")
-    bc = spark.sparkContext.broadcast(_vector_payload(qv, pr))
-
-    def fn(it):
-        p = bc.value
-        for pdf in it:
-            if len(pdf) == 0 or len(p["ids"]) == 0:
-                continue
-            s, mask = _scores_block(p, pdf)
-            ids = pdf["doc_id"].to_numpy(np.int64)
-            rng = (p["mx"] - p["mn"])[:, None]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                semn = np.where(rng == 0, 0.5, (s - p["mn"][:, None]) / rng)
-            key = p["alpha"][:, None] * p["c0"][:, None] + (1 - p["alpha"][:, None]) * semn
-            out_q, out_d, out_s = [], [], []
-            for i in range(len(p["ids"])):
-                m = mask[i]
-                if not m.any():
-                    continue
-                kk, dd, ss = key[i][m], ids[m], s[i][m]
-                order = np.lexsort((dd, -kk))
-                top = order[:k]
-                kth = kk[top[-1]]
-                extra = np.nonzero((kk > kth - band) & (kk < kth))[0]
-                sel = np.union1d(top, extra)
-                out_q.append(np.full(len(sel), p["ids"][i], dtype=np.int64))
-                out_d.append(dd[sel])
-                out_s.append(ss[sel])
-            if out_q:
-                yield pd.DataFrame({"query_id": np.concatenate(out_q), "doc_id": np.concatenate(out_d), "sem": np.concatenate(out_s)})
-
-    return dvecs.select("doc_id", "source", "dvec").mapInPandas(fn, "query_id long, doc_id long, sem double")
-
-
-def pair_dot(pairs: DataFrame, qvecs: DataFrame, dvecs: DataFrame, max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Exact inner product for given (query_id, doc_id) pairs (JVM-side HOF)."""
-    q = bounded_broadcast(qvecs.select("query_id", "qvec"), max_broadcast_rows)
-    return pairs.join(q, "query_id").join(dvecs.select("doc_id", "dvec"), "doc_id").withColumn("sem", T.dot("qvec", "dvec")).drop("qvec", "dvec")
-
-
 # ---------------------------------------------------------------- search
 
 def _queries_norm(queries: DataFrame) -> DataFrame:
@@ -333,105 +366,73 @@ def _queries_norm(queries: DataFrame) -> DataFrame:
 
 
 def bm25_search(queries: DataFrame, docs: DataFrame, k: int = TOP_K, index: CorpusIndex | None = None) -> DataFrame:
-    """Full-text mode: normalised BM25, top-k per query (query_id, rank, doc_id, score)."""
+    """Full-text mode: normalised BM25, top-k per query (query_id, rank, doc_id, score).
+
+    Documents without a match score as raw 0 does.  Only queries with fewer than k
+    documents above that score need some of them: those with the smallest ids.
+    """
     q = _queries_norm(queries)
     index = index or corpus_index(docs)
-    allowed = _allowed_counts(q, index)
-    # matched pairs feed the per-query stats, the fill anti-join and the candidates: materialise once
+    # matched pairs feed the per-query stats, the fill and the candidates: materialise once
     pairs = materialize(kb_filter(bm25_scores(q, index), q, index.docs), "bm25_pairs")
-    st = stats_for(pairs, allowed)
-    fill = first_ids(index, q, k).join(pairs.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("raw", F.lit(0.0))
-    cands = pairs.unionByName(fill).join(st, "query_id")
-    scored = cands.select("query_id", "doc_id", round6(normalized(F.col("raw"))).alias("score"))
-    return top_k(scored, k).select("query_id", "rank", "doc_id", "score")
+    zero = round6(normalized(F.lit(0.0)))
+    st = materialize(stats_for(pairs, _allowed_counts(q, index)).withColumn("zero", zero), "bm25_stats")
+    scored = pairs.join(st, "query_id").select("query_id", "doc_id", round6(normalized(F.col("raw"))).alias("score"), "zero")
+    above = scored.where("score > zero").groupBy("query_id").agg(F.count(F.lit(1)).alias("above"))
+    short = q.join(above, "query_id", "left").where(F.coalesce("above", F.lit(0)) < k).select("query_id", F.col("kb_ids").alias("kb"))
+    fill = unmatched_ids(materialize(short, "bm25_short"), pairs, index, k).join(st, "query_id").select("query_id", "doc_id", F.col("zero").alias("score"))
+    return top_k(scored.drop("zero").unionByName(fill), k).select("query_id", "rank", "doc_id", "score")
 
 
 def semantic_search(queries: DataFrame, qvecs: DataFrame, dvecs: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Semantic mode: exact inner product, normalised per query, top-k."""
+    """Semantic mode: exact inner product, normalised per query, top-k of the documents that have a vector."""
     q = _queries_norm(queries)
-    qv = qvecs.join(q.select("query_id", F.col("kb_ids").alias("kb")), "query_id")
-    # per-query stats feed pass 2 and the final scores: one pass, written once (Q rows)
-    st = materialize(semantic_stats(qv, dvecs), "semantic_stats")
-    params = st.select("query_id", "mn", "mx", F.lit(0.0).alias("c0"), F.lit(0.0).alias("alpha"))
-    cands = semantic_candidates(qv, dvecs, params, k)
-    scored = cands.join(st.select("query_id", "mn", "mx"), "query_id").select(
-        "query_id", "doc_id", round6(normalized(F.col("sem"))).alias("score")
-    )
-    return top_k(scored, k).select("query_id", "rank", "doc_id", "score")
+    qv = q.select("query_id", F.col("kb_ids").alias("kb")).join(qvecs.select("query_id", "qvec").where("qvec is not null"), "query_id")
+    vectors = dvecs.where("dvec is not null")
+    stats = semantic_stats(qv, vectors).select("query_id", F.col("mn").alias("smn"), F.col("mx").alias("smx"))
+    params = materialize(qv.join(stats, "query_id").withColumns({"bmn": F.lit(0.0), "bmx": F.lit(0.0)}), "semantic_queries")
+    rows = vectors.withColumns({"hit_q": F.lit(None).cast("array<bigint>"), "hit_raw": F.lit(None).cast("array<double>")})
+    return top_k(fused_hits(params, rows, 0.0, k), k).select("query_id", "rank", "doc_id", "score")
 
 
 def hybrid_search(queries: DataFrame, docs: DataFrame, qvecs: DataFrame, dvecs: DataFrame, alpha: float = ALPHA, k: int = TOP_K,
-                  prune_above: int = 1_000_000) -> DataFrame:
-    """``alpha * bm25_norm + (1 - alpha) * semantic_norm`` over documents that have a vector.
-
-    Candidates: per query the top-k (with a rounding band) among all documents
-    under the score they would have with no BM25 match, the BM25 top-k, and every
-    BM25-matched document whose upper bound reaches the k-th best exact score of
-    those (threshold pruning).  Any document outside that set has k documents
-    ahead of it, so only surviving pairs are joined with the document vectors.
+                  index: CorpusIndex | None = None) -> DataFrame:
+    """``alpha * bm25_norm + (1 - alpha) * semantic_norm`` over every document a query may see.
+
+    A document without a BM25 match has the normalised value of raw 0.  A document or a
+    query without a vector has no semantic score: it stays out of the semantic minimum
+    and maximum, and its normalised semantic score is 0.
+
+    The matched raw scores travel to their document (one list a document, at most one
+    entry a query); one pass scores all documents in blocks and emits k a query and
+    partition, so neither pairs nor scores of the rest meet a shuffle.
     """
     q = _queries_norm(queries)
-    # document vectors with their KB (the scan is pruned to doc_id, source, vector; cheap to re-read)
-    dv = dvecs.join(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source")), "doc_id")
-    corpus = docs.join(dvecs.select("doc_id"), "doc_id", "left_semi")
-    index = corpus_index(corpus)
-    allowed = _allowed_counts(q, index)
+    index = index or corpus_index(docs)
     pairs = materialize(kb_filter(bm25_scores(q, index), q, index.docs), "bm25_pairs")
-    bst = stats_for(pairs, allowed).select("query_id", F.col("mn").alias("bmn"), F.col("mx").alias("bmx"))
-    qv = qvecs.join(q.select("query_id", F.col("kb_ids").alias("kb")), "query_id")
-    sst = materialize(semantic_stats(qv, dv), "semantic_stats")
-    c0 = F.when(F.col("bmx") == F.col("bmn"), F.lit(0.5)).otherwise((F.lit(0.0) - F.col("bmn")) / (F.col("bmx") - F.col("bmn")))
-    params = sst.join(bst, "query_id").select("query_id", "mn", "mx", c0.alias("c0"), F.lit(float(alpha)).alias("alpha"))
-    sem_c = semantic_candidates(qv, dv, params, k)
-    st = bst.join(sst.select("query_id", F.col("mn").alias("smn"), F.col("mx").alias("smx")), "query_id")
-    bn = normalized(F.col("raw"), "bmn", "bmx")
-    fused = F.lit(alpha) * bn + F.lit(1 - alpha) * normalized(F.col("sem"), "smn", "smx")
-
-    # Threshold pruning of BM25-matched pairs before they meet the document vectors:
-    # exact scores for a small seed set (BM25 top-k + semantic candidates) give a
-    # lower bound LB (k-th best rounded score) per query; a matched document whose
-    # upper bound alpha*bm25 + (1-alpha) is below LB - band cannot enter the top-k.
-    if pairs.count() <= prune_above:  # few matched pairs: score them all directly (cheaper than a seed stage)
-        matched = pair_dot(pairs, qvecs, dv)
-        extra = sem_c.join(matched.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("raw", F.lit(0.0))
-        cands = matched.select("query_id", "doc_id", "raw", "sem").unionByName(extra.select("query_id", "doc_id", "raw", "sem"))
-        return _fused_top_k(cands, st, alpha, k)
-    seed_ids = top_k(pairs, k, score="raw").select("query_id", "doc_id").unionByName(sem_c.select("query_id", "doc_id")).distinct()
-    seed = seed_ids.join(pairs.select("query_id", "doc_id", "raw"), ["query_id", "doc_id"], "left").fillna(0.0, ["raw"])
-    seed = materialize(pair_dot(seed, qvecs, dv), "hybrid_seed")
-    w = Window.partitionBy("query_id").orderBy(F.col("h").desc(), F.col("doc_id"))
-    lb = (seed.join(st, "query_id").withColumn("h", round6(fused)).withColumn("r", F.row_number().over(w))
-          .where(F.col("r") == F.lit(k)).select("query_id", F.col("h").alias("lb")))
-    band = 2e-6
-    survivors = (pairs.join(F.broadcast(st), "query_id").join(F.broadcast(lb), "query_id", "left")
-                 .where(F.col("lb").isNull() | (F.lit(alpha) * bn + F.lit(1 - alpha) >= F.col("lb") - F.lit(band)))
-                 .select("query_id", "doc_id", "raw")
-                 .join(seed_ids, ["query_id", "doc_id"], "left_anti"))
-    cands = seed.select("query_id", "doc_id", "raw", "sem").unionByName(pair_dot(survivors, qvecs, dv).select("query_id", "doc_id", "raw", "sem"))
-    return _fused_top_k(cands, st, alpha, k)
-
-
-def _fused_top_k(cands: DataFrame, st: DataFrame, alpha: float, k: int) -> DataFrame:
-    bn = normalized(F.col("raw"), "bmn", "bmx")
-    fused = F.lit(alpha) * bn + F.lit(1 - alpha) * normalized(F.col("sem"), "smn", "smx")
-    scored = cands.join(st, "query_id").select(
-        "query_id", "doc_id",
-        round6(normalized(F.col("raw"), "bmn", "bmx")).alias("bm25"),
-        round6(normalized(F.col("sem"), "smn", "smx")).alias("semantic"),
-        round6(fused).alias("score"),
-    )
-    return top_k(scored, k).select("query_id", "rank", "doc_id", "score", "bm25", "semantic")
+    bst = stats_for(pairs, _allowed_counts(q, index)).select("query_id", F.col("mn").alias("bmn"), F.col("mx").alias("bmx"))
+    vectors, source = dvecs.select("doc_id", "dvec").where("dvec is not null"), index.docs.select("doc_id", "source")
+    qv = q.select("query_id", F.col("kb_ids").alias("kb")).join(qvecs.select("query_id", "qvec"), "query_id", "left")
+    stats = semantic_stats(qv.where("qvec is not null"), vectors.join(source, "doc_id")).select("query_id", F.col("mn").alias("smn"), F.col("mx").alias("smx"))
+    params = materialize(qv.join(bst, "query_id").join(stats, "query_id", "left"), "hybrid_queries")
+    hits = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("query_id", "raw")).alias("hits"))
+    hits = hits.select("doc_id", F.col("hits.query_id").alias("hit_q"), F.col("hits.raw").alias("hit_raw"))
+    rows = source.join(vectors, "doc_id", "left").join(hits, "doc_id", "left")
+    return top_k(fused_hits(params, rows, alpha, k), k).select("query_id", "rank", "doc_id", "score", "bm25", "semantic")
 
 
 def search(queries: DataFrame, docs: DataFrame, qvecs: DataFrame | None = None, dvecs: DataFrame | None = None,
-           mode: str = "hybrid", alpha: float = ALPHA, k: int = TOP_K) -> DataFrame:
-    """Mode dispatch (P7): ``hybrid`` | ``semantic`` | ``bm25`` / ``fulltext``; documents attached after top-k."""
+           mode: str = "hybrid", alpha: float = ALPHA, k: int = TOP_K, index: CorpusIndex | None = None) -> DataFrame:
+    """Mode dispatch (P7): ``hybrid`` | ``semantic`` | ``bm25`` / ``fulltext``; documents attached after top-k.
+
+    An ``index`` made once by ``corpus_index`` can be given to any number of searches.
+    """
     if mode in ("bm25", "fulltext"):
-        hits = bm25_search(queries, docs, k)
+        hits = bm25_search(queries, docs, k, index)
     elif mode == "semantic":
         hits = semantic_search(queries, qvecs, dvecs.join(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source")), "doc_id"), k)
     elif mode == "hybrid":
-        hits = hybrid_search(queries, docs, qvecs, dvecs, alpha, k)
+        hits = hybrid_search(queries, docs, qvecs, dvecs, alpha, k, index)
     else:
         raise ValueError(f"unknown search mode {mode!r}")
     return attach_documents(hits, docs)

@@ -78,15 +78,17 @@ SELECT r.query_id, r.rank, r.doc_id, r.score, coalesce(d.source, '') AS source
 FROM r JOIN documents d USING (doc_id) WHERE r.rank <= 10"""
 
 HYBRID_CTES = f"""
-{bm25_ctes('(SELECT * FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))', ALL_QUERIES)},
+{bm25_ctes('documents', ALL_QUERIES)},
 {VEC_CTES},
 dense AS (
-  SELECT qv.query_id, dv.doc_id, coalesce(p.raw, 0.0) AS raw, list_inner_product(qv.v, dv.v) AS sem
-  FROM qv JOIN dv ON true
-  LEFT JOIN pairs p ON p.query_id = qv.query_id AND p.doc_id = dv.doc_id),
-nrm AS (SELECT query_id, doc_id, {_norm('raw')} AS bn, {_norm('sem')} AS sn FROM dense),
+  SELECT q.query_id, dl.doc_id, coalesce(p.raw, 0.0) AS raw,
+         CASE WHEN qv.v IS NOT NULL AND dv.v IS NOT NULL THEN list_inner_product(qv.v, dv.v) END AS sem
+  FROM q JOIN dl ON true LEFT JOIN qv USING (query_id) LEFT JOIN dv USING (doc_id)
+  LEFT JOIN pairs p ON p.query_id = q.query_id AND p.doc_id = dl.doc_id),
+nrm AS (SELECT query_id, doc_id, {_norm('raw')} AS bn, CASE WHEN sem IS NULL THEN 0.0 ELSE {_norm('sem')} END AS sn FROM dense),
 fused AS (SELECT query_id, doc_id, (floor((bn) * 1000000 + 0.5) / 1000000) AS bm25, (floor((sn) * 1000000 + 0.5) / 1000000) AS semantic, (floor((0.6 * bn + 0.4 * sn) * 1000000 + 0.5) / 1000000) AS score FROM nrm),
-hyb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused) WHERE rank <= 10)"""
+hyb_all AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused),
+hyb AS (SELECT * FROM hyb_all WHERE rank <= 10)"""
 
 SQL["hybrid_search"] = f"""
 WITH {HYBRID_CTES}
@@ -450,23 +452,35 @@ border AS (SELECT nb.a AS id, min(cid.cluster_id) AS cluster_id FROM nb JOIN com
 lab AS (SELECT comp.id, cid.cluster_id FROM comp JOIN cid USING (c) UNION ALL SELECT id, cluster_id FROM border)
 SELECT pts.id AS vec_id, coalesce(lab.cluster_id, -1)::BIGINT AS cluster_id FROM pts LEFT JOIN lab USING (id)"""
 
-SQL["collapsed_hits"] = f"""
-WITH RECURSIVE {HYBRID_CTES},
-hv AS (SELECT h.query_id, h.doc_id, h.rank, h.score, e.embedding::DOUBLE[] AS v FROM hyb h JOIN embeddings e ON e.vec_id = h.doc_id),
+
+
+def _collapsed(ctes: str, extra: str = "") -> str:
+    """Clusters of the hits in ``cand(query_id, rank, doc_id, score)``, one hit per cluster, the first 10 of them."""
+    return f"""
+WITH RECURSIVE {ctes},
+hv AS (SELECT h.query_id, h.doc_id, h.rank, e.embedding::DOUBLE[] AS v FROM cand h JOIN embeddings e ON e.vec_id = h.doc_id),
 nb AS (SELECT a.query_id, a.rank AS a, b.rank AS b FROM hv a JOIN hv b ON a.query_id = b.query_id AND a.rank <> b.rank
        AND list_distance(a.v, b.v) <= 1.1),
-deg AS (SELECT hv.query_id, hv.rank, 1 + count(nb.b) AS n FROM hv LEFT JOIN nb ON nb.query_id = hv.query_id AND nb.a = hv.rank GROUP BY ALL),
-core AS (SELECT query_id, rank FROM deg WHERE n >= 2),
-ce AS (SELECT nb.* FROM nb JOIN core c1 ON c1.query_id = nb.query_id AND c1.rank = nb.a JOIN core c2 ON c2.query_id = nb.query_id AND c2.rank = nb.b),
-reach(query_id, id, root) AS (SELECT query_id, rank, rank FROM core
-                              UNION SELECT ce.query_id, ce.b, reach.root FROM reach JOIN ce ON ce.query_id = reach.query_id AND ce.a = reach.id),
+reach(query_id, id, root) AS (SELECT DISTINCT query_id, a, a FROM nb
+                              UNION SELECT nb.query_id, nb.b, reach.root FROM reach JOIN nb ON nb.query_id = reach.query_id AND nb.a = reach.id),
 comp AS (SELECT query_id, id, min(root) AS c FROM reach GROUP BY query_id, id),
 cid AS (SELECT query_id, c, dense_rank() OVER (PARTITION BY query_id ORDER BY c) - 1 AS cluster_id FROM (SELECT DISTINCT query_id, c FROM comp)),
 lab AS (SELECT comp.query_id, comp.id AS rank, cid.cluster_id FROM comp JOIN cid USING (query_id, c)),
-x AS (SELECT hv.query_id, hv.rank, hv.doc_id, hv.score, coalesce(lab.cluster_id, -1)::BIGINT AS cluster_id
-      FROM hv LEFT JOIN lab USING (query_id, rank)),
-y AS (SELECT *, row_number() OVER (PARTITION BY query_id, cluster_id ORDER BY rank) AS rn FROM x)
-SELECT query_id, rank, doc_id, score, cluster_id FROM y WHERE cluster_id < 0 OR rn = 1"""
+x AS (SELECT cand.*, coalesce(lab.cluster_id, -1)::BIGINT AS cluster_id FROM cand LEFT JOIN lab USING (query_id, rank)),
+y AS (SELECT *, row_number() OVER (PARTITION BY query_id, cluster_id ORDER BY rank) AS rn FROM x),
+z AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM y WHERE cluster_id < 0 OR rn = 1)
+SELECT query_id, rank, doc_id, score, {extra}cluster_id FROM z WHERE rank <= 10"""
+
+
+SQL["collapsed_hits"] = _collapsed(f"{HYBRID_CTES}, cand AS (SELECT query_id, rank, doc_id, score FROM hyb_all WHERE rank <= 30)")
+
+SQL["search_flow"] = _collapsed(f"""{HYBRID_CTES},
+fb AS (SELECT doc_id, avg(greatest(1, 1 + 4 * quality - toxic)) / 5.0 AS fb FROM labels GROUP BY doc_id),
+ft AS (SELECT h.query_id, h.doc_id, h.score, coalesce(fb.fb, 0.9) AS fb,
+              coalesce(len(list_intersect(list_distinct({_ws('b.text')}), {_ws('d.text')})) / nullif(len(list_distinct({_ws('b.text')})), 0), 0.0) AS overlap
+       FROM hyb_all h JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = h.query_id LEFT JOIN fb USING (doc_id) WHERE h.rank <= 30),
+pr AS (SELECT query_id, doc_id, score, (floor((0.5::DOUBLE * score + 0.2::DOUBLE * overlap + 0.1::DOUBLE * 0.8::DOUBLE + 0.2::DOUBLE * fb) * 1000000 + 0.5) / 1000000) AS predicted FROM ft),
+cand AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY predicted DESC, doc_id) AS rank FROM pr)""", "predicted, ")
 
 SQL["eval_results"] = f"""
 WITH {EVAL_CTES}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions.numeric import round6
 
 from tessera.operators import retrieval as R
+from tessera.operators import search_flow as SF
 from tessera.plans import fixtures as fx
 from tessera.plans.catalog import register
 
@@ -76,24 +77,34 @@ def vector_clusters(spark, sf_dir):
     return C.dbscan(pts, eps=1.1, min_samples=2).select(F.col("pid").alias("vec_id"), "cluster_id")
 
 
+#: Hits of a query that are reranked or clustered before the cut.
+CANDIDATES = 30
+
+
 @register("collapsed_hits")
 def collapsed_hits(spark, sf_dir):
-    """Hybrid top-10 per query, clustered on document vectors (eps 1.1), one hit per cluster."""
-    from tessera.operators import clustering as C
+    """Hybrid candidates per query, clustered on document vectors (eps 1.1), one hit per cluster, then the top 10."""
+    docs, dv = fx.documents(spark, sf_dir), fx.doc_vectors(spark, sf_dir)
+    hits = R.hybrid_search(fx.search_queries(spark, sf_dir), docs, fx.query_vectors(spark, sf_dir), dv, k=CANDIDATES)
+    return SF.collapsed_top_k(hits, dv, 10, eps=1.1).select("query_id", "rank", "doc_id", "score", "cluster_id")
 
-    docs = fx.documents(spark, sf_dir)
-    dv = fx.doc_vectors(spark, sf_dir)
-    hits = R.hybrid_search(fx.search_queries(spark, sf_dir), docs, fx.query_vectors(spark, sf_dir), dv, k=10)
-    return C.collapse_clusters(C.cluster_results(hits, dv, eps=1.1, min_samples=2)).select("query_id", "rank", "doc_id", "score", "cluster_id")
+
+@register("search_flow")
+def search_flow(spark, sf_dir):
+    """The whole search with a fixed linear score in the forest's place: retrieve, rerank, cluster, collapse, cut to 10."""
+    predicted = round6(0.5 * F.col("score") + 0.2 * F.col("overlap") + 0.1 * F.col("freshness") + 0.2 * F.col("feedback"))
+    out = SF.search_pipeline(fx.search_queries(spark, sf_dir), fx.documents(spark, sf_dir), fx.query_vectors(spark, sf_dir), fx.doc_vectors(spark, sf_dir),
+                             fx.feedback_from_labels(spark, sf_dir), lambda f: f.withColumn("predicted", predicted), CANDIDATES, 10, eps=1.1)
+    return out.select("query_id", "rank", "doc_id", "score", "predicted", "cluster_id")
 
 
 @register("reranked_hits")
 def reranked_hits(spark, sf_dir):
-    """Reranker trained on labelled documents' feedback (1..5), applied to the hybrid top-10 (M2, M4, L2)."""
+    """Reranker trained on labelled documents' feedback (1..5), applied to the hybrid candidates, then cut to 10 (M2, M4, L2)."""
     docs = fx.documents(spark, sf_dir)
     q = fx.search_queries(spark, sf_dir)
     fb = fx.feedback_from_labels(spark, sf_dir)
-    hits = R.hybrid_search(q, docs, fx.query_vectors(spark, sf_dir), fx.doc_vectors(spark, sf_dir), k=10)
+    hits = R.hybrid_search(q, docs, fx.query_vectors(spark, sf_dir), fx.doc_vectors(spark, sf_dir), k=CANDIDATES)
     feats = R.rerank_features(hits.select("query_id", "doc_id", "score"), q, docs, fb)
     train = feats.join(fb.withColumnRenamed("score", "label"), "doc_id")
     model = R.fit_reranker(train, "label", trees=100, seed=42)

@@ -510,33 +510,67 @@ def test_embed_and_batch_invoke_hooks(spark):
     assert H.batch_invoke(calls, boom).collect()[0].response is None
 
 
-@pytest.mark.parametrize("prune_above", [0, 10**9])
-def test_hybrid_with_pruning_equals_brute_force(spark, prune_above):
+@pytest.mark.parametrize("words", ["abcdefghijkl", "abc"])  # three common words: mean idf and matched scores are negative
+def test_searches_equal_brute_force(spark, words):
     import numpy as np
 
-    rnd = random.Random(31)
-    rng = np.random.default_rng(31)
-    words = list("abcdefghijkl")
-    corpus = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 15))) for _ in range(80)]
-    vecs = rng.normal(size=(80, 6)).astype(np.float32)
-    queries = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4))) for _ in range(6)]
-    qv = rng.normal(size=(6, 6)).astype(np.float32)
-    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(corpus)], "doc_id long, text string, source string")
-    dvecs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "doc_id long, dvec array<float>")
-    q = spark.createDataFrame([(j, t, []) for j, t in enumerate(queries)], "query_id long, query string, kb_ids array<string>")
-    qvecs = spark.createDataFrame([(j, v.tolist()) for j, v in enumerate(qv)], "query_id long, qvec array<float>")
-    k = 5
-    got = {}
-    for r in R.hybrid_search(q, docs, qvecs, dvecs, alpha=0.6, k=k, prune_above=prune_above).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.doc_id, r.score))
+    rnd, rng = random.Random(31), np.random.default_rng(31)
+    n, n_queries, k = 80, 6, 5
+    longest = 15 if len(words) > 3 else 8
+    corpus = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, longest))) for _ in range(n)]
+    vecs, qv = rng.normal(size=(n, 6)).astype(np.float32), rng.normal(size=(n_queries, 6)).astype(np.float32)
+    queries = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4))) for _ in range(n_queries)]
+    has, qhas = [i % 3 != 0 for i in range(n)], [j != 4 for j in range(n_queries)]  # a third of the documents and a query have no vector
+    source = [f"s{i % 2}" for i in range(n)]
+    kbs = [["s1"] if j == 2 else [] for j in range(n_queries)]
+    docs = spark.createDataFrame(list(zip(range(n), corpus, source)), "doc_id long, text string, source string").repartition(5)
+    dvecs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs) if has[i]], "doc_id long, dvec array<float>")
+    q = spark.createDataFrame(list(zip(range(n_queries), queries, kbs)), "query_id long, query string, kb_ids array<string>")
+    qvecs = spark.createDataFrame([(j, v.tolist()) for j, v in enumerate(qv) if qhas[j]], "query_id long, qvec array<float>")
 
     def norm(x):
         lo, hi = min(x), max(x)
         return [0.5] * len(x) if hi == lo else [(v - lo) / (hi - lo) for v in x]
 
+    def r6(x):
+        return math.floor(x * 1e6 + 0.5) / 1e6
+
+    index = R.corpus_index(docs)
+    got = {name: {} for name in ("bm25", "hybrid", "semantic")}
+    for name, found in got.items():
+        for r in R.search(q, docs, qvecs, dvecs, mode=name, k=k, index=index).orderBy("query_id", "rank").collect():
+            found.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    negative = 0
     for j, text in enumerate(queries):
-        bm = norm(brute_bm25(corpus, text))
-        sem = norm([float(np.dot(qv[j].astype(np.float64), vecs[i].astype(np.float64))) for i in range(80)])
-        fused = [math.floor((0.6 * b + 0.4 * s) * 1e6 + 0.5) / 1e6 for b, s in zip(bm, sem)]
-        want = sorted(range(80), key=lambda i: (-fused[i], i))[:k]
-        assert [d for _, d, _ in sorted(got[j])] == want
+        seen = [i for i in range(n) if not kbs[j] or source[i] in kbs[j]]
+        raw = brute_bm25(corpus, text)
+        negative += min(raw) < 0
+        bm = dict(zip(seen, norm([raw[i] for i in seen])))
+        filled = [i for i in seen if has[i] and qhas[j]]
+        inner = [float(np.dot(qv[j].astype(np.float64), vecs[i].astype(np.float64))) for i in filled]
+        sem = dict(zip(filled, norm(inner))) if filled else {}
+        scores = {"bm25": bm, "hybrid": {i: 0.6 * bm[i] + 0.4 * sem.get(i, 0.0) for i in seen}, "semantic": sem}
+        for name, of in scores.items():
+            want = sorted(of, key=lambda i: (-r6(of[i]), i))[:k]
+            assert [d for d, _ in got[name].get(j, [])] == want, (name, j)
+            assert [s for _, s in got[name].get(j, [])] == pytest.approx([r6(of[i]) for i in want], abs=1.1e-6)
+    assert bool(negative) == (len(words) == 3)
+
+
+def test_best_text_match_without_a_vector_is_found(spark):
+    docs = spark.createDataFrame([(1, "rare word", "s"), (2, "other text", "s"), (3, "more text", "s"), (4, "even more", "s")], "doc_id long, text string, source string")
+    dvecs = spark.createDataFrame([(2, [1.0, 0.0]), (3, [0.0, 1.0])], "doc_id long, dvec array<float>")
+    q = spark.createDataFrame([(7, "rare word", None)], "query_id long, query string, kb_ids array<string>")
+    hits = R.hybrid_search(q, docs, spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, qvec array<float>"), dvecs, k=3).orderBy("rank").collect()
+    assert [(r.doc_id, r.score) for r in hits] == [(1, 0.6), (2, 0.4), (3, 0.0)]
+
+
+def test_search_flow_collapses_before_the_cut(spark):
+    from tessera.operators import search_flow as SF
+
+    docs = spark.createDataFrame([(i, "term " * (10 - i), "s") for i in range(1, 9)], "doc_id long, text string, source string")
+    near = [(1, [0.0, 0.0]), (2, [0.1, 0.0]), (3, [0.2, 0.0]), (4, [9.0, 0.0]), (5, [0.0, 9.0]), (6, [0.0, 9.1])]  # 7 and 8 have no vector
+    dvecs = spark.createDataFrame(near, "doc_id long, dvec array<float>")
+    hits = spark.createDataFrame([(1, r, r, 1.0 - r / 10) for r in range(1, 9)], "query_id long, rank long, doc_id long, score double")
+    out = SF.collapsed_top_k(hits, dvecs, 4, eps=0.5, min_samples=2).orderBy("rank").collect()
+    assert [(r.rank, r.doc_id, r.cluster_id) for r in out] == [(1, 1, 0), (2, 4, -1), (3, 5, 1), (4, 7, -1)]
