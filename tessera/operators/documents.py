@@ -82,14 +82,18 @@ def lines(c) -> "F.Column":
 
 
 def with_previous(versions: DataFrame) -> DataFrame:
-    """Previous content per document (``''`` for the first version).
+    """Previous content per document (``''`` for the first version); (doc_id, version) names a version.
 
     An ordered scan rather than ``lag`` over a per-document window, so a
-    document with a huge number of versions is split over partitions.
+    document with a huge number of versions is split over partitions.  The scan
+    carries version numbers only; an equi-join attaches the text.
     """
     from tessera.operators.sequence import lag_scan
 
-    return lag_scan(versions.select("doc_id", "version", "content"), "doc_id", ["version"], "content", "prev", "")
+    v = versions.select("doc_id", "version", "content")
+    order = lag_scan(v.select("doc_id", "version"), "doc_id", ["version"], "version", "before")
+    before = v.select("doc_id", F.col("version").alias("before"), F.col("content").alias("prev"))
+    return v.join(order, ["doc_id", "version"]).join(before, ["doc_id", "before"], "left").select("doc_id", "version", "content", F.coalesce("prev", F.lit("")).alias("prev"))
 
 
 # J2a / X1

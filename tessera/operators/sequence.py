@@ -37,16 +37,19 @@ ROWS_PER_RANGE = 500_000
 
 def ordered_partitions(df: DataFrame, key: str, order: list[str], n_parts: int | None = None,
                        rows_per_partition: int = ROWS_PER_RANGE) -> DataFrame:
-    """Range-partitioned, sorted, checkpointed copy with a ``_pid`` column.
+    """Range-partitioned, sorted, checkpointed copy with the columns ``_pid`` and ``_border``.
 
-    Without ``n_parts`` the range count follows the data (one count job):
-    about ``rows_per_partition`` rows per range, so partitions stay bounded at
-    any scale and a hot key spans as many ranges as its size needs.
+    Without ``n_parts`` the range count follows the data (one count job) and the cluster:
+    at least one range per core, and about ``rows_per_partition`` rows in a range at most,
+    so partitions stay bounded at any scale and a hot key spans as many ranges as its size needs.
+    ``_border`` is the key as text, by which neighbouring ranges tell whether a key goes
+    on; null keys are one key of their own.
     """
     if not n_parts:
-        n_parts = max(1, -(-df.count() // rows_per_partition))
-    s = df.repartitionByRange(n_parts, key, *order).sortWithinPartitions(key, *order).withColumn("_pid", F.spark_partition_id())
-    return cut_lineage(s)
+        n_parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_per_partition))
+    s = df.repartitionByRange(n_parts, key, *order).sortWithinPartitions(key, *order)
+    border = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("null"))
+    return cut_lineage(s.withColumns({"_pid": F.spark_partition_id(), "_border": border}))
 
 
 def _frames(it) -> pd.DataFrame | None:
@@ -68,13 +71,13 @@ def _segments(keys: np.ndarray):
 def run_scan(s: DataFrame, key: str, kernel, out_schema: str) -> DataFrame:
     """Summary pass -> carry composition -> apply pass, over ``ordered_partitions`` output."""
     spark = s.sparkSession
-    cols = list(dict.fromkeys([key, "_pid", *kernel.columns]))
+    cols = list(dict.fromkeys([key, "_pid", "_border", *kernel.columns]))
 
     def summarize(it):
         pdf = _frames(it)
         if pdf is None:
             return
-        segs = _segments(pdf[key].to_numpy())
+        segs = _segments(pdf["_border"].to_numpy())
         first, last = segs[0], segs[-1]
         payload = {"first": kernel.transfer(pdf.iloc[first[0]:first[1]])}
         if len(segs) > 1:
@@ -102,7 +105,7 @@ def run_scan(s: DataFrame, key: str, kernel, out_schema: str) -> DataFrame:
             return
         carry = bc.value.get(int(pdf["_pid"].iloc[0]))
         outs = []
-        for i, (a, b, _) in enumerate(_segments(pdf[key].to_numpy())):
+        for i, (a, b, _) in enumerate(_segments(pdf["_border"].to_numpy())):
             outs.append(kernel.apply(pdf.iloc[a:b].reset_index(drop=True), carry if i == 0 else None))
         yield pd.concat(outs, ignore_index=True)
 
@@ -288,18 +291,18 @@ class LagKernel:
         self.columns = list(dict.fromkeys([col, *keep]))
 
     def transfer(self, seg):
-        return {"last": seg[self.col].iloc[-1]}
+        return {"last": self.fresh_out(seg)}
 
     def fresh_out(self, seg):
-        return seg[self.col].iloc[-1]
+        value = seg[self.col].iloc[-1]
+        return value.item() if hasattr(value, "item") else value
 
     def compose(self, tr, incoming):
         return tr["last"]
 
     def apply(self, seg, carry):
         res = seg[self.keep].copy()
-        vals = seg[self.col].tolist()
-        res[self.out] = [self.default if carry is None else carry] + vals[:-1]
+        res[self.out] = pd.Series([self.default if carry is None else carry, *seg[self.col].tolist()[:-1]], index=res.index, dtype=object)
         return res
 
 
@@ -372,13 +375,13 @@ def ttl_cache_replay(req: DataFrame, key: str, ttl_seconds: int, ts: str = "ts",
 
 
 def admit_by_budget(req: DataFrame, budget: str, key: str = "day", ts: str = "ts", rid: str = "req_id",
-                    cost: str = "cost", spends: str | None = None, scale: int = 1_000_000, max_rounds: int = 64,
-                    n_parts: int | None = None) -> DataFrame:
+                    cost: str = "cost", spends: str | None = None, scale: int = 1_000_000, n_parts: int | None = None) -> DataFrame:
     """Admit iff ``spent + cost <= budget``; spent grows only on admitted rows (by ``spends`` if given).
 
-    Rounds of exclusive prefix sums: the first overflow at cost c rejects that
-    row and every later row of the key with cost >= c.  With K distinct costs
-    this ends within K+1 rounds; money is handled in exact integer units.
+    Rounds of exclusive prefix sums: what is left of the budget at a key's first overflow
+    only shrinks, so that row and every later row that costs more than it are rejected.
+    Every round rejects at least one further cost of each key that overflows, so the
+    rounds end; money is handled in exact integer units.
     """
     spark = req.sparkSession
     units = lambda c: F.round(F.col(c).cast("decimal(38,9)") * scale).cast("long")
@@ -391,21 +394,20 @@ def admit_by_budget(req: DataFrame, budget: str, key: str = "day", ts: str = "ts
     keep = ["_key", key, ts]
     schema = (f"_t long, {rid} long, _cost long, _key string, {key} {s.schema[key].dataType.simpleString()}, "
               f"{ts} {s.schema[ts].dataType.simpleString()}, cand boolean, spent_before long, overflow boolean")
-    for _ in range(max_rounds):
+    while True:
         kernel = PrefixSumKernel("_key", "_t", rid, "_cost", "_contrib", bud, rules, keep)
         out = run_scan(s, "_key", kernel, schema)
         first = (
             out.where("overflow").groupBy("_key")
-            .agg(F.min(F.struct("_t", rid, "_cost")).alias("f"))
-            .select("_key", "f._t", f"f.{rid}", "f._cost")
+            .agg(F.min(F.struct("_t", rid, "spent_before")).alias("f"))
+            .select("_key", "f._t", f"f.{rid}", "f.spent_before")
             .collect()  # at most one row per key (e.g. per day)
         )
         if not first:
             return out.select(key, rid, ts, (F.col("_cost") / F.lit(scale)).cast("decimal(18,6)").alias(cost),
                               F.col("cand").alias("admitted"), (F.col("spent_before") / F.lit(scale)).cast("decimal(18,6)").alias("spent_before"))
         for r in first:
-            rules.setdefault(r["_key"], []).append((int(r["_t"]), int(r[rid]), int(r["_cost"])))
-    raise RuntimeError("budget admission did not converge: costs are not from a small set; use a per-key fold")
+            rules.setdefault(r["_key"], []).append((int(r["_t"]), int(r[rid]), bud - int(r["spent_before"]) + 1))
 
 
 def session_starts(events: DataFrame, key: str, gap_seconds: int, ts: str = "ts", rid: str = "event_id",

@@ -69,12 +69,12 @@ def rerank_features(spark, sf_dir):
 
 @register("vector_clusters")
 def vector_clusters(spark, sf_dir):
-    """DBSCAN (eps 1.1, min_samples 2) over all embedding vectors as one result set in id order."""
+    """DBSCAN (eps 1.1, min_samples 2) over all embedding vectors as one result set in id order, by the distributed path."""
     from tessera.operators import clustering as C
 
     e = fx.table(spark, sf_dir, "embeddings")
     pts = e.select(F.lit(0).cast("bigint").alias("key"), F.col("vec_id").alias("pid"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))
-    return C.dbscan(pts, eps=1.1, min_samples=2).select(F.col("pid").alias("vec_id"), "cluster_id")
+    return C.dbscan(pts, eps=1.1, min_samples=2, small_group=0).select(F.col("pid").alias("vec_id"), "cluster_id")
 
 
 #: Hits of a query that are reranked or clustered before the cut.

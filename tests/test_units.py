@@ -574,3 +574,28 @@ def test_search_flow_collapses_before_the_cut(spark):
     hits = spark.createDataFrame([(1, r, r, 1.0 - r / 10) for r in range(1, 9)], "query_id long, rank long, doc_id long, score double")
     out = SF.collapsed_top_k(hits, dvecs, 4, eps=0.5, min_samples=2).orderBy("rank").collect()
     assert [(r.rank, r.doc_id, r.cluster_id) for r in out] == [(1, 1, 0), (2, 4, -1), (3, 5, 1), (4, 7, -1)]
+
+
+def test_sessions_with_null_keys_over_many_ranges(spark):
+    rows = [(i, None if i % 3 == 0 else 1, ts(i * 60)) for i in range(60)]
+    ev = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz").withColumn("event_type", F.lit("view"))
+    for parts in (1, 2, 3, 7):
+        got = {r.event_id: r.session_start for r in Bh.sessionize(ev, 1800, "salt", n_parts=parts).collect()}
+        assert got == {i: ts(0) if u is None else ts(60) for i, u, _ in rows}, parts
+
+
+def test_budget_with_many_descending_costs(spark):
+    reqs = [("d", i, i, 400 - i, True) for i in range(300)]
+    df = spark.createDataFrame([(d, ts(t), r, c / 1000.0, s) for d, t, r, c, s in reqs], "day string, ts timestamp_ntz, req_id long, cost double, spends boolean")
+    got = {r.req_id: r.admitted for r in S.admit_by_budget(df, "1.5", key="day", cost="cost", spends="spends", n_parts=4).collect()}
+    assert got == naive_budget(reqs, 1500)
+
+
+def test_components_of_a_long_chain(spark):
+    order = list(range(300))
+    random.Random(2).shuffle(order)
+    nodes = spark.createDataFrame([(0, i, i) for i in range(302)], "key long, pid long, label long")
+    links = [(0, a, b) for a, b in zip(order, order[1:])] + [(0, 300, 301)]
+    edges = spark.createDataFrame(links + [(k, b, a) for k, a, b in links], "key long, a long, b long")
+    got = {r.pid: r.label for r in C.connected_min_label(nodes, edges).collect()}
+    assert got == {i: 0 if i < 300 else 300 for i in range(302)}
