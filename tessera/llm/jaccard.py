@@ -269,12 +269,14 @@ def forest_pairs(classes: DataFrame, bits: int) -> DataFrame:
         begins, ends = begins[mixed], ends[mixed]
         # from here on only classes that meet another label, and their points
         met = np.unique(own[used])
-        packed, stops = b"".join(rows.column("counts").to_pylist()), np.cumsum(np.concatenate(column("lengths", np.uint32)), dtype=np.int64)
         kind = np.uint16 if sizes.max() < 1 << 16 else np.uint32  # no count exceeds its set's size
-        points = np.empty((len(met), GROUPS), kind)
-        for row, i in enumerate(met.tolist()):
-            points[row] = unpack_plain(packed[stops[i - 1] if i else 0 : stops[i]], np.uint32)
-        del packed
+        points, at = np.empty((len(met), GROUPS), kind), np.searchsorted(met, np.append(offsets, len(reps)))
+        for row, (counts, lengths) in enumerate(zip(rows.column("counts"), rows.column("lengths"))):
+            if at[row] < at[row + 1]:
+                counts, stops = counts.as_py(), np.cumsum(np.append(0, unpack_plain(lengths.as_py(), np.uint32)))
+                for i in range(at[row], at[row + 1]):
+                    own_place = met[i] - offsets[row]
+                    points[i] = unpack_plain(counts[stops[own_place] : stops[own_place + 1]], np.uint32)
         place = np.zeros(len(reps), np.int64)
         place[met] = np.arange(len(met))
         own, reps, sizes, labels = place[own], reps[met], sizes[met], labels[met]
