@@ -599,3 +599,9 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame(links + [(k, b, a) for k, a, b in links], "key long, a long, b long")
     got = {r.pid: r.label for r in C.connected_min_label(nodes, edges).collect()}
     assert got == {i: 0 if i < 300 else 300 for i in range(302)}
+
+
+def test_vector_functions(spark):
+    df = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0])], "a array<float>, b array<float>")
+    r = df.select(T.dot("a", "b").alias("dot"), T.cosine("a", "b").alias("cosine"), T.vector_mean("a").alias("mean")).first()
+    assert (r.dot, r.mean) == (11.0, 1.5) and r.cosine == pytest.approx(11 / (5 * math.sqrt(5)))
