@@ -6,7 +6,7 @@ A decision tree, grown on the small labelled table below, tells main text from t
 
 Defined results: a null or empty page, and one without main text, gives the empty
 string; pages are read to their end however they are cut off (an open tag or comment
-runs to the end); repeated rows give equal rows; other columns, whatever their names,
+runs to the end, an open title, script or style of the head to the head's end); repeated rows give equal rows; other columns, whatever their names,
 pass through; an empty table gives an empty table.
 """
 
@@ -26,17 +26,27 @@ from tessera.llm.words import slices
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|select|button|svg|iframe|object|title|head)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|textarea|title)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|(\Z))"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+#: Tags left out with all up to their end tag, and where to look for it no further: then the tag alone is left out (and a list's or button's own text).
+FRAME = r"</?(?:html|body|main|article|section|nav|header|footer|aside)\b"
+LEFT_OUT = {tag: re.compile(rf"</{tag}\s*>|(?={FRAME}{stop})", re.I) for tag, stop in {"select": r"|<select\b", "button": r"|<button\b", "iframe": "", "object": ""}.items()}
+OWN_TEXT = re.compile(r"[^<]*+(?:</?(?:option|optgroup|hr)\b[^>]*+>[^<]*+)*+", re.I)
+#: Where an <svg> ends, as in browsers: its end tag, or a tag of text that is not in a <foreignObject>.
+SVG_END = re.compile(rf"</svg\s*>|(<foreignobject\b.*?(?:</foreignobject\s*>|\Z))|(?={FRAME}|</?(?:p|div|h[1-6]|ul|ol|dl|table|blockquote|pre)\b)", re.S | re.I)
+#: What ends a head that an open <title> or <script> would run over.
+HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
 #: Tags within a line of text; all others end a block.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Tags that enclose blocks and are followed by their end tag.
 ENCLOSING = set("html body nav header footer aside form dialog menu article main section div ul ol dl table blockquote figure details fieldset".split())
 PLAIN_BOILER = {"nav", "footer", "aside", "form", "dialog", "menu", "fieldset"}
 MAIN_TAGS = {"article", "main"}
+#: Tags that hold the page or its main text: no class, id or attribute makes them boilerplate.
+NEVER_BOILER = {"html", "body", "article", "main"}
 #: Words in class, id and role that mark what is not, or is, main text.
 BOILER_NAMES = set(
     "nav navbar navigation menu footer sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent notice gdpr popup modal"
@@ -55,10 +65,19 @@ def marks(tag: str, attributes: str, in_main: bool) -> tuple[int, int]:
     if "=" in attributes:
         for found in ATTRIBUTE.finditer(attributes):
             names.update(x.lower() for x in NAME.findall(found[2] or found[3] or found[4] or ""))
-    boiler = tag in PLAIN_BOILER or bool(names & BOILER_NAMES) or tag == "header" and not in_main or ("hidden" in attributes.split())
+    boiler = tag not in NEVER_BOILER and (tag in PLAIN_BOILER or bool(names & BOILER_NAMES) or tag == "header" and not in_main or ("hidden" in attributes.split()))
     return int(boiler), int(tag in MAIN_TAGS or not boiler and bool(names & MAIN_NAMES) and tag in ("div", "section"))
 
 
+def after_svg(page: str, at: int) -> int:
+    """Where the drawing that ``at`` is in ends."""
+    while found := SVG_END.search(page, at):
+        if not found[1]:
+            return found.end()
+        at = found.end()
+    return len(page)
+
+
 def blocks(page: str) -> tuple[list[str], np.ndarray]:
     """Texts of the non-empty blocks of a page, and their features."""
     texts: list[str] = []
@@ -84,33 +103,54 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         linked = link_from = 0
 
     at = 0
-    for token in TOKEN.finditer(page):
+    in_head = True  # until an open <title> or <script> had to be ended by the head's end
+    no_end: dict[str, int] = {}  # up to where a tag has no end tag
+    while token := TOKEN.search(page, at):
         begin, end = token.span()
         if begin > at:
             parts.append(page[at:begin])
         at = end
         if token[1]:
-            if token[1].lower() in ("title", "head"):
+            if token[1].lower() == "title":
                 close()
             else:
                 parts.append(" ")
+            if token[2] is not None and in_head:
+                in_head = False
+                if ended := HEAD_END.search(page, begin):
+                    at = ended.start()
             continue
-        if not token[3]:
+        if not token[4]:
+            continue
+        tag = token[4].lower()
+        if tag == "svg" or tag in LEFT_OUT:
+            parts.append(" ")
+            if token[3] or token[5].endswith("/"):
+                continue
+            if tag == "svg":
+                at = after_svg(page, end)
+            elif begin >= no_end.get(tag, 0):
+                ended = LEFT_OUT[tag].search(page, end)
+                if ended and ended[0]:
+                    at = ended.end()
+                else:
+                    no_end[tag] = ended.start() if ended else len(page)
+            if tag in ("select", "button") and at == end:
+                at = OWN_TEXT.match(page, end).end()
             continue
-        tag = token[3].lower()
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
             elif tag == "a":
                 if in_link:
                     linked += words_of(parts[link_from:])
-                in_link, link_from = not token[2], len(parts)
+                in_link, link_from = not token[3], len(parts)
             continue
         close()
         if tag not in ENCLOSING:
             continue
-        if not token[2]:
-            b, m = marks(tag, token[4], bool(main))
+        if not token[3]:
+            b, m = marks(tag, token[5], bool(main))
             stack.append((tag, b, m))
             boiler, main = boiler + b, main + m
         elif any(x[0] == tag for x in stack):
@@ -151,6 +191,10 @@ LABELLED = (
     "<body><p>+No frame, no menu, and after this only paragraph of the page there is nothing else to be read",
     "<body><article><p>+Two words</p></article></body>",
     "<body><p><a href=/>Only a link</a></p></body>",
+    "<html><head><title>No end of the head</title><body class='home has-sidebar comments-open'><nav><a href=/>Home</a></nav><article class='post ad-free'><h1>+Salt</h1><p>+It was carried over the hills for as long as anyone remembers.</p>"
+    "<svg class=icon /><p>+Then came the railway.</p></article><div class=sidebar><p>Read more of what people liked this week</p></div></body>",
+    "<html class=no-widget><body><form><p>Find a page</p></form><main id=search-results><h1>+What was found</h1><p>+Three old maps of the valley, drawn by the same hand within a year.</p><object data=map.svg /><p>+Two more.</p></main>"
+    "<footer><p>All rights reserved by those who made this page</p></footer></body></html>",
 )
 
 

@@ -137,6 +137,40 @@ def test_main_text():
     assert [html.main_text(x) for x in (None, "", "<", "<p", "<!-- open", "<script>x")] == ["", "", "<", "", "", ""] or html.main_text("<") in ("", "<")
 
 
+ARTICLE = "<article><h1>Tides</h1><p>The water comes and goes twice a day, as it always did.</p>%s<p>Nobody had to be told so.</p></article>"
+TIDES = "Tides\nThe water comes and goes twice a day, as it always did.\nNobody had to be told so."
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>T</title><script>var a = '<body><p>no';</script><body>" + ARTICLE % "",
+    "<html><head><meta charset=utf-8><title>T</title>" + ARTICLE % "",
+    "<html><head><title>Never ended</head><body>" + ARTICLE % "",
+    "<html><head><title>T</title></head><body><svg class='logo' viewBox='0 0 1 1'/>" + ARTICLE % "<object data='a.svg' />",
+    "<body><svg><path d=''/>" + ARTICLE % "<svg><foreignObject><p>no</p></foreignObject></svg>",
+    "<body><button>Menu" + ARTICLE % "<iframe src='a'/>" + "<button>More</button>",
+    "<body><select><option>One<option>Two" + ARTICLE % "<object data=a>",
+    "<body class='has-sidebar'>" + ARTICLE % "",
+    "<html class='no-popup'><body class='home comments-open'><main id='search-results'>" + ARTICLE % "" + "</main>",
+    "<body>" + (ARTICLE % "").replace("<article", "<article class='post ad-free'"),
+])
+def test_ordinary_pages_keep_their_article(page):
+    assert html.main_text(page) == TIDES
+
+
+def test_comments_in_articles_of_their_own_are_no_main_text():
+    page = "<body>" + ARTICLE % "" + "<div id=comments><article class=comment><p>I saw it there only last week and it was low.</p></article></div>"
+    assert html.main_text(page) == TIDES
+
+
+def test_many_open_tags_take_linear_time():
+    import time
+
+    for tag in ("<object>", "<button>", "<select>", "<svg>", "<iframe>", "<head>", "<title>", "<script>"):
+        began = time.process_time()
+        html.main_text("<body>" + (tag + "x ") * 30_000)
+        assert time.process_time() - began < 5
+
+
 def test_tree_learns_its_table():
     x, y = html.examples()
     assert (html.classify(html.tree(), x) == y).all() and 0.3 < y.mean() < 0.7
