@@ -82,29 +82,32 @@ def lines(c) -> "F.Column":
 
 
 def with_previous(versions: DataFrame) -> DataFrame:
-    """Previous content per document (``''`` for the first version); (doc_id, version) names a version.
+    """Previous content per document (``''`` for the first version), one row out for each row in.
+
+    Null ids are one document, a null version comes first, and rows that repeat a
+    version follow each other by the hash of their content.
 
     An ordered scan rather than ``lag`` over a per-document window, so a
     document with a huge number of versions is split over partitions.  The scan
-    carries version numbers only; an equi-join attaches the text.
+    carries row numbers and hashes only; an equi-join on the row number, written
+    with the text so that it stays the same, attaches the text.
     """
     from tessera.operators.sequence import lag_scan
+    from tessera.session import materialize
 
-    v = versions.select("doc_id", "version", "content")
-    order = lag_scan(v.select("doc_id", "version"), "doc_id", ["version"], "version", "before")
-    before = v.select("doc_id", F.col("version").alias("before"), F.col("content").alias("prev"))
-    return v.join(order, ["doc_id", "version"]).join(before, ["doc_id", "before"], "left").select("doc_id", "version", "content", F.coalesce("prev", F.lit("")).alias("prev"))
+    v = materialize(versions.select("doc_id", "version", "content", F.monotonically_increasing_id().alias("row")), "versions")
+    order = lag_scan(v.select("doc_id", "version", F.xxhash64("content").alias("hash"), "row"), "doc_id", ["version", "hash", "row"], "row", "before").select("row", "before")
+    before = v.select(F.col("row").alias("before"), F.col("content").alias("prev"))
+    return v.join(order, "row").join(before, "before", "left").select("doc_id", "version", "content", F.coalesce("prev", F.lit("")).alias("prev"))
 
 
 # J2a / X1
 def version_line_delta(versions: DataFrame) -> DataFrame:
     """Bag difference of lines between consecutive versions: ``doc_id, version, line, change, n``."""
     v = with_previous(versions)
-    cur = v.select("doc_id", "version", F.explode_outer(lines("content")).alias("line")).where(F.col("line").isNotNull()).groupBy("doc_id", "version", "line").agg(F.count(F.lit(1)).alias("n_new"))
-    old = v.select("doc_id", "version", F.explode_outer(lines("prev")).alias("line")).where(F.col("line").isNotNull()).groupBy("doc_id", "version", "line").agg(F.count(F.lit(1)).alias("n_old"))
-    d = cur.join(old, ["doc_id", "version", "line"], "full_outer").select(
-        "doc_id", "version", "line", (F.coalesce("n_new", F.lit(0)) - F.coalesce("n_old", F.lit(0))).alias("diff")
-    )
+    sides = [v.select("doc_id", "version", F.explode_outer(lines(c)).alias("line"), F.lit(n).alias("n")) for c, n in (("content", 1), ("prev", -1))]
+    # one aggregate over both sides: null ids and versions group like any other, which a join on them would not do
+    d = sides[0].unionByName(sides[1]).where(F.col("line").isNotNull()).groupBy("doc_id", "version", "line").agg(F.sum("n").alias("diff"))
     return d.where(F.col("diff") != 0).select(
         "doc_id", "version", "line",
         F.when(F.col("diff") > 0, "added").otherwise("removed").alias("change"),

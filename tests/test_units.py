@@ -81,6 +81,22 @@ def test_version_delta_duplicates_and_moves(spark):
     assert out == [(1, "a", "added", 1), (1, "b", "added", 2), (2, "b", "removed", 1), (2, "c", "added", 1)]
 
 
+def test_version_delta_null_and_repeated_versions(spark):
+    rows = [(1, 1, "a"), (1, 2, "b"), (1, 2, "b"), (1, 3, "b\nc"), (2, None, "x"), (2, 1, "x\ny"), (None, 1, "n"), (None, 2, "n\nm"), (None, None, "k"), (3, 1, None), (3, 2, "z")]
+    v = spark.createDataFrame(rows, "doc_id long, version long, content string").repartition(3)
+    got = D.with_previous(v).collect()
+    key = lambda r: tuple((x is not None, x or 0) for x in r[:2]) + tuple(x or "" for x in r[2:])
+    assert sorted(map(tuple, got), key=key) == sorted([
+        (1, 1, "a", ""), (1, 2, "b", "a"), (1, 2, "b", "b"), (1, 3, "b\nc", "b"), (2, None, "x", ""), (2, 1, "x\ny", "x"),
+        (None, None, "k", ""), (None, 1, "n", "k"), (None, 2, "n\nm", "n"), (3, 1, None, ""), (3, 2, "z", ""),
+    ], key=key)
+    out = {(r.doc_id, r.version, r.line, r.change, r.n) for r in D.version_line_delta(v).collect()}
+    assert out == {
+        (1, 1, "a", "added", 1), (1, 2, "b", "added", 1), (1, 2, "a", "removed", 1), (1, 3, "c", "added", 1), (2, None, "x", "added", 1), (2, 1, "y", "added", 1),
+        (None, None, "k", "added", 1), (None, 1, "n", "added", 1), (None, 1, "k", "removed", 1), (None, 2, "m", "added", 1), (3, 2, "z", "added", 1),
+    }
+
+
 def test_skip_processed_copies_and_known(spark):
     new = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, "z")], "doc_id long, text string")
     done = spark.createDataFrame([(T_md5("z"),)], "file_hash string")
