@@ -110,6 +110,32 @@ def test_confident_patterns_discover_what_seeds_miss(spark):
     assert all(got[i] and got[i][0][0] == "phone" and got[i][0][3] for i, _ in seeds)
 
 
+def found(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if not s.base] for r in pii.find(docs).collect()}
+
+
+def test_discovery_with_many_unseen_spaced_and_second_round_identifiers(spark):
+    texts = [f"note {i}: please call +49 30 555-{1000 + i} before noon" for i in range(12)]
+    texts += [f"please call 030-555{4000 + i} before noon" for i in range(8)]  # 60 % seeds
+    texts += [f"you may dial 030-555{4000 + i} at night" for i in range(8)]  # no seed stands here
+    texts += ["you may dial 030-7770001 at night", "please call 030 555 4711 before noon.", "please call (030) 555 4712 before noon", "please call 030 5554713 before noon"]
+    texts += ["please call 20 before noon", "there were 030-7770002 of them", "in 2020 12 people came", "up to 7 80"]
+    got = found(spark, texts)
+    assert [got[i] for i in range(12, 20)] == [got[i] for i in range(20, 28)] == [[f"030-555{4000 + i}"] for i in range(8)]
+    assert [got[i] for i in range(28, 36)] == [["030-7770001"], ["030 555 4711"], ["030) 555 4712"], ["030 5554713"], [], [], [], []]
+    assert not any(got[i] for i in range(12))
+
+
+def test_misfits_and_other_kinds_speak_against_a_pattern(spark):
+    seeds = [f"see +49 30 555-{1000 + i} there" for i in range(8)]
+    misfits = [f"see {10 + i} there" for i in range(8)]
+    others = [f"see a{i}@b.de there" for i in range(8)]
+    assert found(spark, [*seeds, "see 030-5554711 there"])[8] == ["030-5554711"]
+    for against in (misfits, others):
+        assert found(spark, [*seeds, *against, "see 030-5554711 there"])[16] == []
+
+
 def test_personal_data_of_odd_rows(spark, odd_docs, no_docs):
     assert len(spans(odd_docs)) == odd_docs.count()
     assert pii.find(no_docs).count() == 0
