@@ -3,12 +3,14 @@
 A line's key is the line without white space ``[\\x20\\x09-\\x0D]`` at both ends, A-Z
 lower-cased.  A key of at least ``MIN_CHARS`` code points that several documents hold
 keeps its lines in the document with the smallest id only.  Keys are hashed twice to 64
-bits; the hashes are range-partitioned with document and position as further sort
-columns, so a line that a third of the documents share is spread over many ranges, and
-each range streams the first occurrences of its hashes in order.
+bits; the hashes are range-partitioned with document and position as further columns,
+so a line that a third of the documents share is spread over many ranges.  The first
+document of each hash is the least by aggregation, in each range first and then by hash;
+nothing is streamed in order, and the optimiser drops the sort within the ranges.
 
 ``keep_bitmaps`` returns words of 32 bits by document, bit i of word w for line
-32 * w + i, up to the last word that drops a line; documents that lose nothing have no
+32 * w + i, from word 0 up to the last word that drops a line, each in a long (the array
+is not compressed by itself); documents that lose nothing have no
 row.  ``apply_bitmaps`` puts them on the texts.
 
 Defined results: a null or empty text is one empty line; rows that repeat an id are
