@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import strip
-from tessera.plans.guards import collect_bounded
 
-MAX_DIMENSIONS = 10_000  # dimensions are a small table; more raise an error
+GRID_BUCKETS = 64  # parts by which models meet dimensions
 
 # A metric is a per-response Column over (response, expected) plus an aggregate.
 METRICS = {
@@ -27,18 +26,20 @@ def batch_evaluate(cases: DataFrame, responses: DataFrame, metrics: dict | None
     A case a model did not answer counts as a miss: the denominator is the
     number of cases in the dimension, not the number of responses.  Several
     responses to one case count as their mean.  A model has a row for every
-    dimension that has cases, with score 0 where it answered none (D10).
+    dimension that has cases, with score 0 where it answered none (D10); a null
+    dimension or model is one of its own.
     """
     metrics = metrics or METRICS
     n_cases = cases.groupBy(dim_col).agg(F.count(F.lit(1)).alias("n_cases"))
-    dims = collect_bounded(n_cases, MAX_DIMENSIONS, "evaluation dimensions")
     x = responses.join(cases.select("case_id", dim_col, "expected"), "case_id")
     means = [F.avg(F.coalesce(fn(F.col("response"), F.col("expected")), F.lit(0.0))).alias(name) for name, fn in metrics.items()]
     by_case = x.groupBy("model", dim_col, "case_id").agg(*means, F.count(F.lit(1)).alias("n"))
     got = by_case.groupBy("model", dim_col).agg(*[F.sum(n).alias(n) for n in metrics], F.sum("n").alias("n_responses"))
-    every = F.array(*[F.struct(F.lit(d).alias(dim_col), F.lit(int(n)).cast("long").alias("n_cases")) for d, n in dims.itertuples(index=False)])
-    grid = responses.select("model").distinct().select("model", F.explode(every).alias("d")).select("model", "d.*")
-    agg = grid.join(got, ["model", dim_col], "left").fillna(0.0, [*metrics]).fillna(0, ["n_responses"])
+    # every model meets every dimension, null too, by a shuffle join over buckets of dimensions
+    models = responses.select("model").distinct().withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(GRID_BUCKETS - 1))))
+    grid = models.join(n_cases.withColumn("_bucket", F.pmod(F.xxhash64(dim_col), F.lit(GRID_BUCKETS)).cast("int")), "_bucket").drop("_bucket").alias("g")
+    same = F.col("g.model").eqNullSafe(F.col("s.model")) & F.col(f"g.{dim_col}").eqNullSafe(F.col(f"s.{dim_col}"))
+    agg = grid.join(got.alias("s"), same, "left").select("g.*", *[F.col(f"s.{n}") for n in [*metrics, "n_responses"]]).fillna(0.0, [*metrics]).fillna(0, ["n_responses"])
     stack = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), (F.col(n) / F.col("n_cases")).alias("score")) for n in metrics]))
     return agg.select("model", F.col(dim_col).alias("dim"), "n_cases", "n_responses", stack.alias("m")).select(
         "model", "dim", "m.metric", "m.score", "n_cases", "n_responses"

@@ -307,6 +307,20 @@ def test_repeated_responses_average_and_unanswered_dimensions_lower_the_composit
     assert {r.model: r.composite for r in E.composite(scores, weights).collect()} == {"m": 0.5, "n": 0.75}
 
 
+def test_an_answered_null_dimension_keeps_its_score(spark):
+    cases = spark.createDataFrame([("c1", None, "x", "yes"), ("c2", "b", "y", "no")], "case_id string, category string, input string, expected string")
+    resp = spark.createDataFrame([("m", "c1", "yes"), ("m", "c2", "yes"), ("n", "c2", "no")], "model string, case_id string, response string")
+    out = {(r.model, r.dim): (r.score, r.n_cases, r.n_responses) for r in E.batch_evaluate(cases, resp).collect()}
+    assert out == {("m", None): (1.0, 1, 1), ("m", "b"): (0.0, 1, 1), ("n", None): (0.0, 1, 0), ("n", "b"): (1.0, 1, 1)}
+
+
+def test_more_dimensions_than_fit_a_small_table(spark):
+    cases = spark.range(10_500).selectExpr("concat('c', id) case_id", "concat('d', id) category", "'x' input", "'yes' expected")
+    resp = spark.createDataFrame([("m", "c7", "yes")], "model string, case_id string, response string")
+    rows = E.batch_evaluate(cases, resp).collect()
+    assert len(rows) == 10_500 and [r.dim for r in rows if r.score] == ["d7"]
+
+
 def test_one_failing_prompt_keeps_the_others(spark):
     from tessera.operators import hooks as H
     from tessera.operators import routing as Rt
