@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, contamination, exact, html, jaccard, lines, pii, quality, substrings, toxicity
+from tessera.llm import audit, bpe, contamination, exact, html, jaccard, licenses, lines, periods, pii, quality, substrings, toxicity
 from tessera.session import ensure_checkpoint_dir, ship_package
 
 #: The vocabulary of operator 1 (another rank file and pattern can be given to ``bpe``).
@@ -88,8 +88,51 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``n_base``, the first and last word and ``base_labels`` are of the phrases; ``labels`` and ``score`` of all templates."""
+    out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("matches", lambda m: m["template"] < len(licenses.PHRASES))
+    listed = lambda found: F.array_join(F.array_sort(F.array_distinct(found["label"])), ",")
+    starts = base["first_word"]
+    return out.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        listed(base).alias("base_labels"), listed(F.col("matches")).alias("labels"), F.coalesce(F.array_max(F.col("matches")["containment"]), F.lit(0.0)).alias("score"),
+    )
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The words that operator 13's query reads: of one document in ten (by a hash of its id) the words from some place on repeat."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % F.greatest(n, F.lit(1))
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int")))), " ")
+
+    # an array of one, so that the words are split once and not for every place
+    words = F.array(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    changed = (h % 10 == 0) & F.col("text").isNotNull()
+    return docs.select("doc_id", F.when(changed, F.get(F.transform(words, repeated), F.lit(0))).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periods.find(with_planted_runs(table(spark, sf_dir, "documents")))
+    out = out.withColumn("top", periods.best(F.col("runs")))
+    exponent = F.expr("1000 * top.length div top.period").alias("exponent_milli")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", exponent,
+        F.sha2(periods.written(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_toxicity, op3_jaccard, op4_quality, op5_pii, op6_exact, op7_html, op8_lines, op9_substrings, op10_contamination)
+    f.__name__: f for f in (op1_bpe, op2_toxicity, op3_jaccard, op4_quality, op5_pii, op6_exact, op7_html, op8_lines, op9_substrings, op10_contamination, op11_audit, op12_licenses, op13_periods)
 }
 
 

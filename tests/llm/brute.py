@@ -120,3 +120,103 @@ def personal(text):
                 continue
             out.append((kind, m.start(), m.end()))
     return out
+
+
+def audit(docs, labels):
+    """(part, order, step) -> (kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley), each order filtered anew; docs are (id, text, part)."""
+    from itertools import permutations
+
+    ids = {}
+    for i, t, _ in docs:
+        if i is not None:
+            ids.setdefault(t or "", []).append(i)
+    fails = []
+    for i, t, _ in docs:
+        t = t or ""
+        words = WORD.findall(t)
+        bad = set()
+        if len(words) < 100:
+            bad.add("A")
+        if 100 * len(set(words)) < 80 * len(words):
+            bad.add("B")
+        if 100 * len(re.findall("[A-Z]", t)) > 10 * len(t):
+            bad.add("C")
+        if re.search("[#$%&*|]", t):
+            bad.add("D")
+        if i is not None and min(ids[t]) < i:
+            bad.add("E")
+        fails.append(bad)
+    good, toxic = {i for i, q, _ in labels if q == 1} - {None}, {i for i, _, x in labels if x == 1} - {None}
+    out = {}
+    for part in {p or "" for _, _, p in docs}:
+        mine = [n for n, d in enumerate(docs) if (d[2] or "") == part]
+        sums = dict.fromkeys("ABCDE", 0)
+        for order in map("".join, permutations("ABCDE")):
+            left = mine
+            for step, f in enumerate(order, 1):
+                gone = [n for n in left if f in fails[n]]
+                left = [n for n in left if f not in fails[n]]
+                sums[f] += len(gone)
+                early = sum(f in fails[n] for n in mine) - len(gone)
+                alone = sum(fails[n] == {f} for n in mine)
+                out[part, order, step] = [len(left), len(gone), early, alone, sum(docs[n][0] in good for n in gone), sum(docs[n][0] in toxic for n in gone)]
+        for (p, order, step), row in out.items():
+            if p == part:
+                row.append(sums[order[step - 1]])
+    return {k: tuple(v) for k, v in out.items()}
+
+
+LICENSE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def license_matches(text, templates):
+    """{(template, first word, end word, containment)}: every window of every template judged."""
+    words = LICENSE_WORD.findall(lower(text))
+    out = set()
+    for number, t in enumerate(templates):
+        own = t.text.split()
+        for begin in range(0, max(1, len(words)), t.stride):
+            block = words[begin : begin + 2 * t.stride]
+            share = len(set(own) & set(block)) / len(set(own))
+            if share + 1e-9 < (1 if t.exact else t.least) or not set(t.must) <= set(block) or set(t.never) & set(block):
+                continue
+            if not t.exact:
+                out.add((number, begin, begin + len(block), share))
+        if t.exact:
+            out |= {(number, i, i + len(own), 1.0) for i in range(len(words)) if words[i : i + len(own)] == own}
+    return out
+
+
+def planted(doc_id, text):
+    """The words of operator 13's query."""
+    import zlib
+
+    words = WORD.findall(text or "")
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+
+
+def runs(words):
+    """[(start, length, smallest period)] of the maximal stretches that repeat four times and have six words, each period tried."""
+    out = {}
+    for q in range(1, len(words) // 4 + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            length = j - i + q
+            if length >= max(6, 4 * q):
+                out.setdefault((i, length), q)  # a multiple of the smallest period covers the same stretch
+            i = j + 1
+    return sorted(((s, n, q) for (s, n), q in out.items()), key=lambda r: (r[0], r[2]))
+
+
+def collapsed(words, found):
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
