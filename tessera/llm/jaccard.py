@@ -10,11 +10,16 @@ similarity of 0.8 needs an overlap of 4/9 of their sizes' sum.
 2. Classes that share a minimum of one of ``STARS`` hash orders are compared with the
    smallest of them: a first, linear pass that joins groups of near copies.
 3. A forest of R-trees finds what is left.  Two sets that similar share a shingle among
-   the first n - ceil(0.8 n) + 1 of each, in any common order; so every class goes to the
-   trees of those shingles, the rarest first.  A tree is packed by size; its nodes hold
-   the largest count of each group, the smallest size, and whether all below them are
-   in one component already.  A search leaves out nodes whose summed minima can't reach
-   the bound, and nodes of its own component.
+   the first n - ceil(0.8 n) + 1 of each, in any common order, the rarest first; so every
+   such shingle has a tree of the classes that hold it.  Only shingles that classes of
+   different components hold get one, only such classes send their points, and of
+   shingles that the same classes hold one is taken.  Trees of few classes share a task, up
+   to ``MEMBERS`` classes or so.  A tree of more is dealt into blocks of similar sizes (sets
+   that link differ by a quarter at most), and each pair of blocks within that reach is
+   a task, where one block's tree is searched for the points of the other.  A tree is
+   packed by size; its nodes hold the largest count of each group, the smallest size,
+   and whether all below them are in one component already.  A search leaves out nodes
+   whose summed minima can't reach the bound, and nodes of its own component.
 4. Surviving pairs are verified on the whole texts; components join all verified links.
 
 The order of shingles comes from how often they are in a random sample of documents.
@@ -51,7 +56,9 @@ COMPARED, ASKED, BLOCK = 4096, 64, 512
 SHARE, SAMPLE, OFTEN, LISTED = 0.1, 100_000, 3, 400_000
 #: Points of a leaf and children of a node; texts compared with one hub in a task; rows that say which texts to compare that are broadcast at most.
 LEAF, FANOUT, PER_HUB, BROADCAST = 32, 16, 2000, 300_000
-SKETCH = "doc_id long, n long, key binary, stars array<long>, counts binary, prefix binary"
+#: Classes whose points a task of the forest holds, about; sizes of sets of a block differ by this factor at most (above 1 / 0.8); pairs that a task sends at a time.
+MEMBERS, REACH, SENT = 20_000, 1.26, 100_000
+SKETCH = "doc_id long, n long, key binary, stars array<long>, counts binary, prefix array<long>"
 
 
 def frequent(docs: DataFrame, text: str = "text"):
@@ -100,8 +107,8 @@ def sketch(docs: DataFrame, listed, text: str = "text") -> DataFrame:
                 rows[1].append(xxh3_128_digest(held.tobytes()))
                 rows[2].append([int(mix(held ^ s).min().view(np.int64)) for s in salts] if len(held) else [])
                 rows[3].append(pack_plain(point(held)))
-                rows[4].append(prefix(held, listed.value).tobytes() if len(held) else b"")
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+                rows[4].append(prefix(held, listed.value).view(np.int64) if len(held) else [])
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *map(pa.array, rows, kinds)], ["doc_id", "n", "key", "stars", "counts", "prefix"])
 
     return docs.select("doc_id", text).mapInArrow(run, SKETCH)
@@ -210,94 +217,169 @@ class Tree:
             self.levels.append((tops, least, np.where(low == high, low, -1)))
             width = FANOUT
 
+    def met(self, fine: np.ndarray, sizes: np.ndarray, labels: np.ndarray, after: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Which of some points may link with which of the tree's (places in its order, beyond ``after``)."""
+        asked = coarse(fine), sizes, labels
+        nodes = np.arange(len(self.levels[-1][0]))
+        for depth in reversed(range(len(self.levels))):
+            open_ = near_table(*asked, *(x[nodes] for x in self.levels[depth])).any(0)
+            width, count = (FANOUT, len(self.levels[depth - 1][0])) if depth else (LEAF, len(self.points))
+            nodes = (nodes[open_][:, None] * width + np.arange(width)).ravel()
+            nodes = nodes[nodes < count]
+        nodes = nodes[nodes > after]
+        i, j = np.nonzero(near_table(*asked, self.points[nodes], self.sizes[nodes], self.labels[nodes]))
+        fit = np.empty(len(i), bool)
+        for begin in range(0, len(i), COMPARED):
+            part = slice(begin, begin + COMPARED)
+            own, other = i[part], nodes[j[part]]
+            fit[part] = near(fine[own], self.fine[other], sizes[own], self.sizes[other])
+        return i[fit], nodes[j[fit]]
+
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Points of different labels whose summed minima allow a link, as places in what the tree was made from."""
         for begin in range(0, len(self.points), ASKED):
             query = slice(begin, begin + ASKED)
-            asked = self.points[query], self.sizes[query], self.labels[query]
-            nodes = np.arange(len(self.levels[-1][0]))
-            for depth in reversed(range(len(self.levels))):
-                open_ = near_table(*asked, *(x[nodes] for x in self.levels[depth])).any(0)
-                width, count = (FANOUT, len(self.levels[depth - 1][0])) if depth else (LEAF, len(self.points))
-                nodes = (nodes[open_][:, None] * width + np.arange(width)).ravel()
-                nodes = nodes[nodes < count]
-            nodes = nodes[nodes > begin]  # each pair once
-            if len(nodes):
-                fit = near_table(*asked, self.points[nodes], self.sizes[nodes], self.labels[nodes])
-                i, j = np.nonzero(fit)
-                i, j = begin + i, nodes[j]
-                i, j = i[j > i], j[j > i]
-                fit = near_pairs(self.fine, self.sizes, i, j)
-                yield self.order[i[fit]], self.order[j[fit]]
+            i, j = self.met(self.fine[query], self.sizes[query], self.labels[query], begin)
+            i, j = begin + i[j > begin + i], j[j > begin + i]  # each pair once
+            yield self.order[i], self.order[j]
+
+    def search(self, points: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for other points: places in those, and in what the tree was made from."""
+        order = np.argsort(sizes, kind="stable")
+        for begin in range(0, len(order), ASKED):
+            query = order[begin : begin + ASKED]
+            i, j = self.met(points[query], sizes[query], labels[query])
+            yield query[i], self.order[j]
+
+
+def shared_shingles(classes: DataFrame, bits: int) -> DataFrame:
+    """h of the prefix shingles that classes of different labels hold.
+
+    A task sends the least and greatest label of each of its shingles, packed by part of
+    the hash space, so a shingle of very many classes is one entry a batch.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("prefix")
+            hashes = lists.flatten().to_numpy().view(np.uint64)
+            labels = np.repeat(batch.column("label").to_numpy(), lists.value_lengths().to_numpy())
+            rows: list[list] = [[], [], [], []]
+            if len(hashes):
+                hashes, low, high = spans(hashes, labels, labels)
+                for part, begin, end in part_cuts(hashes, bits, 64 - bits):
+                    least = low[begin:end]
+                    for column, value in zip(rows, (part, pack(hashes[begin:end]), pack_plain(least), pack_plain(high[begin:end] - least))):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], ["part", "hashes", "low", "more"])
+
+    def mixed(rows: pa.Table) -> pa.Table:
+        hashes = np.concatenate([unpack(x, np.uint64) for x in rows.column("hashes").to_pylist()])
+        low, more = (np.concatenate([unpack_plain(x, np.int64) for x in rows.column(c).to_pylist()]) for c in ("low", "more"))
+        hashes, low, high = spans(hashes, low, low + more)
+        return pa.table({"h": pa.array(hashes[low != high].view(np.int64))})
+
+    return classes.mapInArrow(deal, "part int, hashes binary, low binary, more binary").groupBy("part").applyInArrow(mixed, "h long")
+
+
+def spans(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, ascending, with the least of ``low`` and the greatest of ``high`` of each."""
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    begins = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1]))
+    return hashes[begins], np.minimum.reduceat(low[order], begins), np.maximum.reduceat(high[order], begins)
+
+
+def forest(classes: DataFrame, bits: int) -> DataFrame:
+    """task, side, h, rep, n, label: the classes of each tree, by the task that builds it; side 1 is searched for side 0 where there are both."""
+    shared = materialize(shared_shingles(classes, bits), "jaccard-shared")
+    held = materialize(classes.select("rep", F.explode("prefix").alias("h")).join(shared, "h"), "jaccard-held")
+    held = held.join(classes.select("rep", "n", "label"), "rep")
+    # shingles that the same classes hold need one tree
+    same = held.groupBy("h").agg(F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("members"))
+    trees = materialize(same.groupBy("x", "y", "members").agg(F.min("h").alias("h")).select("h", "members"), "jaccard-trees")
+    few, many = trees.where(F.col("members") <= MEMBERS), trees.where(F.col("members") > MEMBERS)
+    tasks = -(-few.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0] // MEMBERS)
+    together = held.join(few, "h").select(F.pmod(F.xxhash64("h"), F.lit(max(1, tasks))).cast("string").alias("task"), F.lit(0).alias("side"), "h", "rep", "n", "label")
+    return together.union(blocks(held.join(many, "h")))
+
+
+def blocks(held: DataFrame) -> DataFrame:
+    """The rows of ``forest`` for trees of many classes: a task for each two blocks whose sizes allow a link."""
+    sized = held.withColumn("size", F.floor(F.log("n") / F.log(F.lit(REACH))).cast("int"))
+    counts = materialize(sized.groupBy("h", "size").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts")), "jaccard-blocks")
+    for name, step in (("salts", 0), ("above", 1), ("below", -1)):
+        of = bounded_broadcast(counts.select("h", (F.col("size") - step).alias("size"), F.col("salts").alias(name)), BROADCAST)
+        sized = sized.join(of, ["h", "size"], "left")
+    sized = sized.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
+    task = lambda size, first, other, second: F.concat_ws("/", "h", size, first, other, second)
+    role = lambda name, side: F.struct(name.alias("task"), F.lit(side).alias("side"))
+    each = lambda n, f: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)).otherwise(F.array())
+    size, salt = F.col("size"), F.col("salt")
+    own = each("salts", lambda t: F.when(t >= salt, role(task(size, salt, size, t), 0)).otherwise(role(task(size, t, size, salt), 1)))
+    up = each("above", lambda t: role(task(size, salt, size + 1, t), 0))
+    down = each("below", lambda t: role(task(size - 1, t, size, salt), 1))
+    dealt = sized.select("h", "rep", "n", "label", F.explode(F.concat(own, up, down)).alias("role"))
+    return dealt.select("role.task", "role.side", "h", "rep", "n", "label")
 
 
 def forest_pairs(classes: DataFrame, bits: int) -> DataFrame:
     """(a, b) of classes of different labels that share a shingle of both prefixes, if their points allow a link."""
-    schema = "part int, hashes binary, own binary, reps binary, sizes binary, labels binary, counts binary, lengths binary"
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "prefix"):
-            prefixes = [np.frombuffer(x, np.uint64) for x in batch.column("prefix").to_pylist()]
-            hashes, own = np.concatenate(prefixes), np.repeat(np.arange(len(prefixes)), [len(x) for x in prefixes])
-            order = np.argsort(hashes, kind="stable")
-            hashes, own = hashes[order], own[order]
-            facts = [batch.column(c).to_numpy() for c in ("rep", "n", "label")]
-            counts = batch.column("counts").to_pylist()
-            lengths = np.fromiter(map(len, counts), np.uint32, len(counts))
-            rows: list[list] = [[] for _ in range(8)]
-            for part, begin, end in part_cuts(hashes, bits, 64 - bits):
-                used, local = np.unique(own[begin:end], return_inverse=True)
-                packed = [part, pack(hashes[begin:end]), pack_plain(local.astype(np.uint32)), *(pack_plain(x[used]) for x in facts), b"".join([counts[i] for i in used.tolist()]), pack_plain(lengths[used])]
-                for column, value in zip(rows, packed):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], ["part", "hashes", "own", "reps", "sizes", "labels", "counts", "lengths"])
-
-    def search(rows: pa.Table) -> pa.Table:
-        column = lambda name, kind: [unpack_plain(x, kind) for x in rows.column(name).to_pylist()]
-        hashes, own, reps = [unpack(x, np.uint64) for x in rows.column("hashes").to_pylist()], column("own", np.uint32), column("reps", np.int64)
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in reps])[:-1]])
-        own = np.concatenate([x.astype(np.int64) + o for x, o in zip(own, offsets)])
-        hashes, reps = np.concatenate(hashes), np.concatenate(reps)
-        sizes, labels = np.concatenate(column("sizes", np.int64)), np.concatenate(column("labels", np.int64))
+    def found(sides: np.ndarray, sizes: np.ndarray, labels: np.ndarray, points: np.ndarray, hashes: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         order = np.argsort(hashes, kind="stable")
         hashes, own = hashes[order], own[order]
         begins = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1]))
         ends = np.append(begins[1:], len(hashes))
-        of = labels[own]
-        mixed = np.minimum.reduceat(of, begins) != np.maximum.reduceat(of, begins)
-        used = np.repeat(mixed, ends - begins)
-        begins, ends = begins[mixed], ends[mixed]
-        # from here on only classes that meet another label, and their points
-        met = np.unique(own[used])
-        kind = np.uint16 if sizes.max() < 1 << 16 else np.uint32  # no count exceeds its set's size
-        points, at = np.empty((len(met), GROUPS), kind), np.searchsorted(met, np.append(offsets, len(reps)))
-        for row, (counts, lengths) in enumerate(zip(rows.column("counts"), rows.column("lengths"))):
-            if at[row] < at[row + 1]:
-                counts, stops = counts.as_py(), np.cumsum(np.append(0, unpack_plain(lengths.as_py(), np.uint32)))
-                for i in range(at[row], at[row + 1]):
-                    own_place = met[i] - offsets[row]
-                    points[i] = unpack_plain(counts[stops[own_place] : stops[own_place + 1]], np.uint32)
-        place = np.zeros(len(reps), np.int64)
-        place[met] = np.arange(len(met))
-        own, reps, sizes, labels = place[own], reps[met], sizes[met], labels[met]
-        twos = begins[ends - begins == 2]
-        found = []
+        twos = begins[(ends - begins == 2)]
         if len(twos):
             pair = np.unique(np.sort(np.stack([own[twos], own[twos + 1]], axis=1), axis=1), axis=0)
-            found.append(pair[near_pairs(points, sizes, pair[:, 0], pair[:, 1])])
-        seen: set[bytes] = set()
+            pair = pair[labels[pair[:, 0]] != labels[pair[:, 1]]]
+            fit = near_pairs(points, sizes, pair[:, 0], pair[:, 1])
+            yield pair[fit, 0], pair[fit, 1]
         for begin, end in zip(begins.tolist(), ends.tolist()):
             if end - begin > 2:
-                members = np.sort(own[begin:end])
-                if (name := xxh3_128_digest(members.tobytes())) not in seen:  # other shingles of the same classes need no tree
-                    seen.add(name)
-                    for i, j in Tree(points[members], sizes[members], labels[members]).pairs():
-                        found.append(np.stack([members[i], members[j]], axis=1))
-        both = reps[np.concatenate([np.empty((0, 2), np.int64), *found])]
-        both = np.unique(np.sort(both, axis=1), axis=0)
-        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
-
-    return classes.mapInArrow(deal, schema).groupBy("part").applyInArrow(search, "a long, b long").distinct()
+                members = own[begin:end]
+                first, second = members[sides[members] == 0], members[sides[members] == 1]
+                if len(second):
+                    tree = Tree(points[second], sizes[second], labels[second])
+                    yield from ((first[i], second[j]) for i, j in tree.search(points[first], sizes[first], labels[first]))
+                else:
+                    yield from ((first[i], first[j]) for i, j in Tree(points[first], sizes[first], labels[first]).pairs())
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: list[list] = [[], [], [], [], [], []]
+        for batch in batches:
+            sizes = batch.column("n").to_numpy()
+            lists = batch.column("hashes")
+            # no count exceeds its set's size
+            points = np.empty((batch.num_rows, GROUPS), np.uint16 if sizes.max(initial=0) < 1 << 16 else np.uint32)
+            for i, counts in enumerate(batch.column("counts")):
+                points[i] = unpack_plain(counts.as_py(), np.uint32)
+            own = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy()) + sum(map(len, columns[1]))
+            new = batch.column("side").to_numpy(), batch.column("rep").to_numpy(), sizes, batch.column("label").to_numpy(), points, np.stack([lists.flatten().to_numpy(), own])
+            for column, values in zip(columns, new):
+                column.append(values)
+        sides, reps, sizes, labels, points = (np.concatenate(x) for x in columns[:5])
+        hashes, own = np.concatenate(columns[5], axis=1)
+        columns.clear()
+        held: list[np.ndarray] = []
+
+        def sent() -> pa.RecordBatch:
+            both = np.unique(np.sort(np.concatenate(held, axis=1), axis=0), axis=1)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+        for i, j in found(sides, sizes, labels, points, hashes.view(np.uint64), own):
+            held.append(np.stack([reps[i], reps[j]]))
+            if sum(x.shape[1] for x in held) >= SENT:
+                yield sent()
+        if held:
+            yield sent()
+
+    members = forest(classes, bits).groupBy("task", "side", "rep").agg(F.collect_list("h").alias("hashes"), F.first("n").alias("n"), F.first("label").alias("label"))
+    with_points = members.join(classes.select("rep", "counts"), "rep")
+    return with_points.select("task", "side", "rep", "n", "label", "hashes", "counts").groupBy("task").applyInArrow(search, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -308,8 +390,9 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     classes = materialize(filled.groupBy("key").agg(smallest).select("key", F.col("r.doc_id").alias("rep"), "r.n", "r.stars", "r.counts", "r.prefix"), "jaccard-classes")
     first = materialize(components(materialize(verify(star_pairs(classes), docs, text), "jaccard-stars")), "jaccard-first")
     labelled = classes.join(first, classes.rep == first.node, "left").withColumn("label", F.coalesce("component", "rep"))
-    bits = part_bits(classes.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8, 1_000_000, 4)
-    pairs = materialize(forest_pairs(labelled.select("rep", "n", "label", "counts", "prefix"), bits), "jaccard-pairs")
+    labelled = materialize(labelled.select("key", "rep", "n", "label", "counts", "prefix"), "jaccard-labelled")
+    bits = part_bits(classes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0], 1_000_000, 4)
+    pairs = materialize(forest_pairs(labelled, bits), "jaccard-pairs")
     links = materialize(verify(pairs, docs, text), "jaccard-links")
     of = labelled.select("key", F.col("rep"), "label")
     for side in ("a", "b"):  # links between the components of the first pass

@@ -261,6 +261,38 @@ def test_the_forest_alone_finds_all_links(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard.join(frame(spark, rows)).collect()} == want
 
 
+def test_trees_of_many_classes_are_dealt_into_blocks(spark, monkeypatch):
+    """Documents that share a template, just below the threshold, with some linked pairs among them and sizes a quarter apart."""
+    monkeypatch.setattr(jaccard, "MEMBERS", 12)
+    monkeypatch.setattr(jaccard, "SENT", 3)
+    monkeypatch.setattr(jaccard, "star_pairs", lambda classes: spark.createDataFrame([], "a long, b long"))
+    rng = random.Random(4)
+    rows = []
+    for size in (40, 50, 62, 78):
+        for _ in range(25):
+            words = [f"t{i}" for i in range(size)] + [f"u{rng.randrange(10**6)}" for _ in range(size // 5)]
+            rows.append(" ".join(words))
+            if rng.random() < 0.4:
+                rows.append(" ".join(words[:-1] + ["last"]))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    assert {r.doc_id: r.component_id for r in jaccard.join(frame(spark, rows)).collect()} == components(rows)
+    classes = spark.createDataFrame([(i, 40 + i % 30, i, [7, 8], b"") for i in range(200)], "rep long, n long, label long, prefix array<long>, counts binary")
+    dealt = jaccard.forest(classes, 4).groupBy("task", "side").count().collect()
+    assert max(r["count"] for r in dealt) < 40 and len({r.task for r in dealt}) > 50
+
+
+def test_tree_search_for_other_points_is_complete():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 12, (30, jaccard.GROUPS))
+    points = np.concatenate([np.maximum(base + rng.integers(-1, 2, base.shape), 0) for _ in range(6)])
+    sizes, labels = points.sum(1), rng.integers(0, 120, len(points))
+    tree = jaccard.Tree(points[100:], sizes[100:], labels[100:])
+    got = {(i, j) for a, b in tree.search(points[:100], sizes[:100], labels[:100]) for i, j in zip(a.tolist(), b.tolist())}
+    both = [(i, j) for i in range(100) for j in range(len(points) - 100)]
+    assert got == {(i, j) for i, j in both if labels[i] != labels[100 + j] and 9 * np.minimum(points[i], points[100 + j]).sum() >= 4 * (sizes[i] + sizes[100 + j])}
+
+
 def test_tree_search_is_complete():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 12, (40, jaccard.GROUPS))
