@@ -9,11 +9,9 @@ DataFrames.  Shapes:
 
 Scale notes
 -----------
-* BM25 materialises only (query, doc) pairs that share a term.  Postings carry
-  ``tf`` and the document length, so scoring is one broadcast hash join of the
-  (size-checked) query terms against the postings stream plus one partial/final
-  aggregation on (query_id, doc_id).
-* Min-max normalisation is a tiny per-query aggregate joined back by broadcast.
+* BM25 and hybrid search run over the segments of ``segments.py``: bounds skip a segment
+  for a query, a task emits its k best, and no (query, document) pair is written.
+* Min-max normalisation needs the range of raw scores, an aggregate of the tasks' ranges.
   Documents a query never matched score 0 and take part in min/max (G2).
 * Exact vector scoring streams the document vectors through ``mapInPandas``
   with a size-checked query block: a partition emits one row of stats and its k
@@ -24,8 +22,6 @@ Scale notes
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -34,128 +30,20 @@ from pyspark.sql import functions as F
 from tessera.functions.numeric import round6
 
 from tessera.functions import text as T
-from tessera.plans.guards import bounded_broadcast, collect_bounded
+from tessera.operators.segments import SegmentIndex, build, fused_best, ranges, raw_best
+from tessera.plans.guards import collect_bounded
 from tessera.session import materialize
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
 ALPHA = 0.6
 TOP_K = 10
-
-
-@dataclass
-class CorpusIndex:
-    postings: DataFrame  # doc_id, term, tf, dl
-    terms: DataFrame  # term, df, idf
-    docs: DataFrame  # doc_id, source, dl
-    n_docs: Column  # literal
-    avgdl: Column  # literal
+MODES = ("hybrid", "semantic", "bm25", "fulltext")
 
 
 # G1
-def corpus_index(docs: DataFrame, k1: float = K1, b: float = B, eps: float = EPSILON) -> CorpusIndex:
-    """Okapi BM25 corpus statistics over whitespace tokens."""
-    toks = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("source"), T.ws_tokens("text").alias("toks"))
-    toks = toks.select("doc_id", "source", "toks", F.size("toks").alias("dl"))
-    # The index is read by the scoring join and by three scalar statistics:
-    # tokenise once and write postings / document lengths / terms as tables in
-    # the shared checkpoint folder (computed once, lineage cut, survives executor loss).
-    postings = (
-        # explode_outer + null filter: plain explode infers a size(toks) > 0 filter that Spark pushes
-        # below the scan-side repartition, tokenising the corpus twice
-        toks.select("doc_id", "dl", F.explode_outer("toks").alias("term")).where(F.col("term").isNotNull())
-        .groupBy("doc_id", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    postings = materialize(postings, "postings")
-    lengths = postings.groupBy("doc_id").agg(F.first("dl").alias("dl"))
-    doc_rows = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("source")).join(lengths, "doc_id", "left").select(
-        "doc_id", "source", F.coalesce("dl", F.lit(0)).alias("dl"))
-    doc_rows = materialize(doc_rows, "doc_lengths")
-    # corpus scalars computed once (one aggregate row) and used as literals, instead of
-    # scalar subqueries that every consuming plan would re-execute
-    n, mean_dl = doc_rows.agg(F.count(F.lit(1)), F.avg("dl")).collect()[0]
-    n_docs, avgdl = F.lit(int(n)), F.lit(mean_dl).cast("double")
-    df_t = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df_t.select("term", "df", (F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf_raw"))
-    mean_idf = F.lit(raw.agg(F.avg("idf_raw")).collect()[0][0]).cast("double")
-    terms = raw.select(
-        "term", "df", F.when(F.col("idf_raw") < 0, F.lit(eps) * mean_idf).otherwise(F.col("idf_raw")).alias("idf")
-    )
-    terms = materialize(terms, "terms")
-    return CorpusIndex(postings, terms, doc_rows, n_docs, avgdl)
-
-
-def corpus_stats(docs: DataFrame, k1: float = K1, b: float = B, eps: float = EPSILON) -> DataFrame:
+def corpus_stats(docs: DataFrame) -> DataFrame:
     """Per-term document frequency and idf, with corpus size and mean length."""
-    idx = corpus_index(docs, k1, b, eps)
-    return idx.terms.select("term", "df", "idf", idx.n_docs.alias("n_docs"), idx.avgdl.alias("avgdl"))
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, qtf): duplicate query tokens count once per occurrence."""
-    return (
-        queries.select("query_id", F.explode_outer(T.ws_tokens("query")).alias("term")).where(F.col("term").isNotNull())
-        .groupBy("query_id", "term")
-        .agg(F.count(F.lit(1)).alias("qtf"))
-    )
-
-
-# J5
-def bm25_scores(queries: DataFrame, index: CorpusIndex, k1: float = K1, b: float = B, max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Raw BM25 score of every (query, doc) pair sharing at least one term."""
-    raw_terms = query_terms(queries)
-    # Each (query, term) matches at most one vocabulary row, so the query-side
-    # count bounds the joined size without computing the corpus vocabulary.
-    small = raw_terms.count() <= max_broadcast_rows
-    qt = raw_terms.join(index.terms.select("term", "idf"), "term")
-    qt = F.broadcast(qt) if small else qt
-    tf, dl = F.col("tf"), F.col("dl")
-    contrib = F.col("qtf") * F.col("idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * dl / index.avgdl))
-    return (
-        index.postings.join(qt, "term")
-        .groupBy("query_id", "doc_id")
-        .agg(F.sum(contrib).alias("raw"))
-    )
-
-
-def _allowed_counts(queries: DataFrame, index: CorpusIndex) -> DataFrame:
-    """(query_id, n_allowed, filtered): number of documents each query may see."""
-    by_src = index.docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    q = queries.select("query_id", F.array_distinct(F.coalesce("kb_ids", F.array().cast("array<string>"))).alias("kb"))
-    filtered = (
-        q.where(F.size("kb") > 0)
-        .select("query_id", F.explode("kb").alias("source"))
-        .join(by_src, "source", "left")
-        .groupBy("query_id")
-        .agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_allowed"))
-    )
-    unfiltered = q.where(F.size("kb") == 0).select("query_id", index.n_docs.cast("bigint").alias("n_allowed"))
-    return filtered.withColumn("filtered", F.lit(True)).unionByName(unfiltered.withColumn("filtered", F.lit(False)))
-
-
-def kb_filter(pairs: DataFrame, queries: DataFrame, doc_source: DataFrame, max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Keep (query_id, doc_id, ...) rows whose document source is in the query's KB list."""
-    q = queries.select("query_id", F.coalesce("kb_ids", F.array().cast("array<string>")).alias("kb"))
-    q = bounded_broadcast(q, max_broadcast_rows)
-    return (
-        pairs.join(doc_source.select("doc_id", "source"), "doc_id")
-        .join(q, "query_id")
-        .where((F.size("kb") == 0) | F.array_contains("kb", F.col("source")))
-        .drop("kb", "source")
-    )
-
-
-# G2
-def stats_for(pairs: DataFrame, allowed: DataFrame, score: str = "raw", unmatched: float = 0.0) -> DataFrame:
-    st = pairs.groupBy("query_id").agg(F.min(score).alias("mn0"), F.max(score).alias("mx0"), F.count(F.lit(1)).alias("m"))
-    st = allowed.select("query_id", "n_allowed").join(st, "query_id", "left")
-    partial = F.col("m").isNull() | (F.col("m") < F.col("n_allowed"))
-    u = F.lit(unmatched)
-    return st.select(
-        "query_id",
-        F.when(partial, F.least(F.coalesce("mn0", u), u)).otherwise(F.col("mn0")).alias("mn"),
-        F.when(partial, F.greatest(F.coalesce("mx0", u), u)).otherwise(F.col("mx0")).alias("mx"),
-    )
+    index = build(docs)
+    return index.terms.select("term", "df", "idf", F.lit(index.n_docs).cast("bigint").alias("n_docs"), F.lit(index.avgdl).alias("avgdl"))
 
 
 def normalized(x: Column, mn: str = "mn", mx: str = "mx") -> Column:
@@ -164,45 +52,10 @@ def normalized(x: Column, mn: str = "mn", mx: str = "mx") -> Column:
 
 
 # W7 / L1
-def top_k(df: DataFrame, k: int, score: str = "score", part: str = "query_id", tie: str = "doc_id", top_k_col: str | None = None) -> DataFrame:
+def top_k(df: DataFrame, k: int, score: str = "score", part: str = "query_id", tie: str = "doc_id") -> DataFrame:
     """``row_number`` per query by (score desc, tie asc) with a literal bound -> WindowGroupLimit."""
     w = Window.partitionBy(part).orderBy(F.col(score).desc(), F.col(tie).asc())
-    ranked = df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(k)).withColumn("rank", F.col("rank").cast("bigint"))
-    if top_k_col:
-        ranked = ranked.where(F.col("rank") <= F.col(top_k_col))
-    return ranked
-
-
-def unmatched_ids(short: DataFrame, pairs: DataFrame, index: CorpusIndex, k: int, max_queries: int = 50_000) -> DataFrame:
-    """(query_id, doc_id): the k smallest ids among the documents that each query of ``short(query_id, kb)`` may see and did not match.
-
-    The matches of those queries travel to their document (one list a document); each
-    partition reads its documents in id order and emits at most k a query.
-    """
-    hits = pairs.join(short.select("query_id"), "query_id", "left_semi").groupBy("doc_id").agg(F.collect_list("query_id").alias("hit_q"))
-    rows = index.docs.select("doc_id", "source").join(hits, "doc_id", "left").sortWithinPartitions("doc_id")
-    return _union([_unmatched_block(b, rows, k, 2 * max_queries) for b in _query_blocks(short, max_queries)])
-
-
-def _unmatched_block(short: DataFrame, rows: DataFrame, k: int, max_queries: int) -> DataFrame:
-    pq = collect_bounded(short.select("query_id", "kb"), max_queries, "queries").sort_values("query_id")
-    bc = rows.sparkSession.sparkContext.broadcast((pq["query_id"].to_numpy(np.int64), _kb_lists(pq)))
-
-    def fn(it):
-        ids, kb = bc.value
-        left = np.full(len(ids), k)
-        for pdf in it:
-            for part in _cell_blocks(pdf, len(ids)):
-                if not (left > 0).any():
-                    break
-                free = _allowed_mask(kb, part)
-                at, cols, _ = _hit_places(ids, part)
-                free[at, cols] = False
-                qi, di = np.nonzero(free & (np.cumsum(free, axis=1) <= left[:, None]))
-                left -= np.bincount(qi, minlength=len(ids))
-                yield pd.DataFrame({"query_id": ids[qi], "doc_id": part["doc_id"].to_numpy(np.int64)[di]})
-
-    return rows.mapInPandas(fn, "query_id long, doc_id long")
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(k)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 # ---------------------------------------------------------------- vectors
@@ -365,23 +218,16 @@ def _queries_norm(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "query", F.coalesce(kb, F.array().cast("array<string>")).alias("kb_ids"))
 
 
-def bm25_search(queries: DataFrame, docs: DataFrame, k: int = TOP_K, index: CorpusIndex | None = None) -> DataFrame:
+def bm25_search(queries: DataFrame, docs: DataFrame | None, k: int = TOP_K, index: SegmentIndex | None = None) -> DataFrame:
     """Full-text mode: normalised BM25, top-k per query (query_id, rank, doc_id, score).
 
-    Documents without a match score as raw 0 does.  Only queries with fewer than k
-    documents above that score need some of them: those with the smallest ids.
+    Documents without a match score as raw 0 does.  One pass over the segments gives the
+    candidates and the range of the scores.
     """
-    q = _queries_norm(queries)
-    index = index or corpus_index(docs)
-    # matched pairs feed the per-query stats, the fill and the candidates: materialise once
-    pairs = materialize(kb_filter(bm25_scores(q, index), q, index.docs), "bm25_pairs")
-    zero = round6(normalized(F.lit(0.0)))
-    st = materialize(stats_for(pairs, _allowed_counts(q, index)).withColumn("zero", zero), "bm25_stats")
-    scored = pairs.join(st, "query_id").select("query_id", "doc_id", round6(normalized(F.col("raw"))).alias("score"), "zero")
-    above = scored.where("score > zero").groupBy("query_id").agg(F.count(F.lit(1)).alias("above"))
-    short = q.join(above, "query_id", "left").where(F.coalesce("above", F.lit(0)) < k).select("query_id", F.col("kb_ids").alias("kb"))
-    fill = unmatched_ids(materialize(short, "bm25_short"), pairs, index, k).join(st, "query_id").select("query_id", "doc_id", F.col("zero").alias("score"))
-    return top_k(scored.drop("zero").unionByName(fill), k).select("query_id", "rank", "doc_id", "score")
+    q = _queries_norm(queries).withColumnRenamed("kb_ids", "kb")
+    found = materialize(raw_best(index or build(docs), q, k), "bm25_best")
+    scored = found.select("query_id", "doc_id", "raw").join(ranges(found), "query_id")
+    return top_k(scored.select("query_id", "doc_id", round6(normalized(F.col("raw"), "bmn", "bmx")).alias("score")), k).select("query_id", "rank", "doc_id", "score")
 
 
 def semantic_search(queries: DataFrame, qvecs: DataFrame, dvecs: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -395,37 +241,26 @@ def semantic_search(queries: DataFrame, qvecs: DataFrame, dvecs: DataFrame, k: i
     return top_k(fused_hits(params, rows, 0.0, k), k).select("query_id", "rank", "doc_id", "score")
 
 
-def hybrid_search(queries: DataFrame, docs: DataFrame, qvecs: DataFrame, dvecs: DataFrame, alpha: float = ALPHA, k: int = TOP_K,
-                  index: CorpusIndex | None = None) -> DataFrame:
+def hybrid_search(queries: DataFrame, docs: DataFrame | None, qvecs: DataFrame, dvecs: DataFrame | None, alpha: float = ALPHA, k: int = TOP_K,
+                  index: SegmentIndex | None = None) -> DataFrame:
     """``alpha * bm25_norm + (1 - alpha) * semantic_norm`` over every document a query may see.
 
     A document without a BM25 match has the normalised value of raw 0.  A document or a
     query without a vector has no semantic score: it stays out of the semantic minimum
-    and maximum, and its normalised semantic score is 0.
-
-    The matched raw scores travel to their document (one list a document, at most one
-    entry a query); one pass scores all documents in blocks and emits k a query and
-    partition, so neither pairs nor scores of the rest meet a shuffle.
+    and maximum, and its normalised semantic score is 0.  The first pass over the
+    segments finds the ranges, the second the k best; both skip by their bounds.
     """
-    q = _queries_norm(queries)
-    index = index or corpus_index(docs)
-    pairs = materialize(kb_filter(bm25_scores(q, index), q, index.docs), "bm25_pairs")
-    bst = stats_for(pairs, _allowed_counts(q, index)).select("query_id", F.col("mn").alias("bmn"), F.col("mx").alias("bmx"))
-    vectors, source = dvecs.select("doc_id", "dvec").where("dvec is not null"), index.docs.select("doc_id", "source")
-    qv = q.select("query_id", F.col("kb_ids").alias("kb")).join(qvecs.select("query_id", "qvec"), "query_id", "left")
-    stats = semantic_stats(qv.where("qvec is not null"), vectors.join(source, "doc_id")).select("query_id", F.col("mn").alias("smn"), F.col("mx").alias("smx"))
-    params = materialize(qv.join(bst, "query_id").join(stats, "query_id", "left"), "hybrid_queries")
-    hits = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("query_id", "raw")).alias("hits"))
-    hits = hits.select("doc_id", F.col("hits.query_id").alias("hit_q"), F.col("hits.raw").alias("hit_raw"))
-    rows = source.join(vectors, "doc_id", "left").join(hits, "doc_id", "left")
-    return top_k(fused_hits(params, rows, alpha, k), k).select("query_id", "rank", "doc_id", "score", "bm25", "semantic")
+    q = _queries_norm(queries).withColumnRenamed("kb_ids", "kb")
+    index = index or build(docs, dvecs)
+    params = materialize(ranges(raw_best(index, q, 1, qvecs)), "hybrid_ranges")
+    return top_k(fused_best(index, q, qvecs, params, alpha, k), k).select("query_id", "rank", "doc_id", "score", "bm25", "semantic")
 
 
 def search(queries: DataFrame, docs: DataFrame, qvecs: DataFrame | None = None, dvecs: DataFrame | None = None,
-           mode: str = "hybrid", alpha: float = ALPHA, k: int = TOP_K, index: CorpusIndex | None = None) -> DataFrame:
+           mode: str = "hybrid", alpha: float = ALPHA, k: int = TOP_K, index: SegmentIndex | None = None) -> DataFrame:
     """Mode dispatch (P7): ``hybrid`` | ``semantic`` | ``bm25`` / ``fulltext``; documents attached after top-k.
 
-    An ``index`` made once by ``corpus_index`` can be given to any number of searches.
+    An ``index`` made once by ``segments.build`` can be given to any number of searches.
     """
     if mode in ("bm25", "fulltext"):
         hits = bm25_search(queries, docs, k, index)
@@ -438,6 +273,34 @@ def search(queries: DataFrame, docs: DataFrame, qvecs: DataFrame | None = None,
     return attach_documents(hits, docs)
 
 
+def search_each(queries: DataFrame, index: SegmentIndex, qvecs: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """Searches whose ``mode`` and ``top_k`` are columns of their query, all over one index.
+
+    ``queries``: query_id, query, kb_ids, mode, top_k.  Null or unknown modes and null or
+    negative top_k give no hits.  query_id, mode, rank, doc_id, score.
+    """
+    most = queries.agg(F.max("top_k")).first()[0] or 0
+    parts = []
+    for mode in MODES:
+        mine = queries.where(F.col("mode") == mode)
+        q = _queries_norm(mine).withColumnRenamed("kb_ids", "kb")
+        if mode in ("bm25", "fulltext"):
+            hits = bm25_search(mine, None, most, index)
+        elif mode == "hybrid":
+            hits = hybrid_search(mine, None, qvecs, None, alpha, most, index)
+        else:
+            params = materialize(ranges(raw_best(index, q, 1, qvecs)), "semantic_ranges")
+            hits = top_k(fused_best(index, q, qvecs, params, 0.0, most, only_vectors=True), most)
+        parts.append(hits.select("query_id", F.lit(mode).alias("mode"), "rank", "doc_id", "score") if most > 0 else None)
+    parts = [x for x in parts if x is not None]
+    if not parts:
+        return queries.sparkSession.createDataFrame([], "query_id long, mode string, rank long, doc_id long, score double")
+    hits = parts[0]
+    for x in parts[1:]:
+        hits = hits.unionByName(x)
+    return hits.join(queries.select("query_id", "mode", "top_k"), ["query_id", "mode"]).where(F.col("rank") <= F.col("top_k")).drop("top_k")
+
+
 # J8
 def attach_documents(hits: DataFrame, docs: DataFrame, cols: tuple[str, ...] = ("source",)) -> DataFrame:
     """Late materialisation: join document columns to the k hits only."""

@@ -23,7 +23,7 @@ def collapsed_top_k(hits: DataFrame, dvecs: DataFrame, k: int, eps: float = 0.5,
 
 def search_pipeline(queries: DataFrame, docs: DataFrame, qvecs: DataFrame, dvecs: DataFrame, feedback: DataFrame,
                     predict: Callable[[DataFrame], DataFrame], candidates: int = 50, top_k: int = R.TOP_K, eps: float = 0.5,
-                    min_samples: int = 2, index: R.CorpusIndex | None = None) -> DataFrame:
+                    min_samples: int = 2, index: R.SegmentIndex | None = None) -> DataFrame:
     """Hybrid ``candidates`` a query, reranked by ``predict``, clustered, collapsed, then cut to ``top_k``.
 
     ``predict`` adds a column ``predicted`` to the rerank features (a fitted forest's

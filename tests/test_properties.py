@@ -44,11 +44,12 @@ def test_bm25_equals_brute_force_and_scores_in_unit_range(spark, corpus, queries
     from test_units import brute_bm25
 
     from tessera.operators import retrieval as R
+    from tessera.operators import segments as SG
 
     docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(corpus)], "doc_id long, text string, source string")
     q = spark.createDataFrame([(j, t, []) for j, t in enumerate(queries)], "query_id long, query string, kb_ids array<string>")
-    idx = R.corpus_index(docs)
-    got = {(r.query_id, r.doc_id): r.raw for r in R.bm25_scores(q, idx).collect()}
+    found = SG.raw_best(SG.build(docs), q.withColumnRenamed("kb_ids", "kb"), 1000)
+    got = {(r.query_id, r.doc_id): r.raw for r in found.collect()}
     for j, text in enumerate(queries):
         want = brute_bm25(corpus, text)
         for d, s in enumerate(want):

@@ -19,6 +19,7 @@ from tessera.operators import documents as D
 from tessera.operators import evaluation as E
 from tessera.operators import governance as G
 from tessera.operators import retrieval as R
+from tessera.operators import segments as SG
 from tessera.operators import sequence as S
 from tessera.sources import files as FS
 from tessera.sources import stores as ST
@@ -134,8 +135,8 @@ def test_bm25_matches_brute_force(spark):
     corpus = ["a b c a", "b b d", "c e", "f g h", "a a a a b", ""]
     docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(corpus)], "doc_id long, text string, source string")
     q = spark.createDataFrame([(1, "a b b", []), (2, "zzz", [])], "query_id long, query string, kb_ids array<string>")
-    idx = R.corpus_index(docs)
-    got = {(r.query_id, r.doc_id): r.raw for r in R.bm25_scores(q, idx).collect()}
+    found = SG.raw_best(SG.build(docs), q.withColumnRenamed("kb_ids", "kb"), 100)
+    got = {(r.query_id, r.doc_id): r.raw for r in found.collect()}
     want = brute_bm25(corpus, "a b b")
     for d, s in enumerate(want):
         if s > 0:
@@ -565,7 +566,12 @@ def test_searches_equal_brute_force(spark, words):
     def r6(x):
         return math.floor(x * 1e6 + 0.5) / 1e6
 
-    index = R.corpus_index(docs)
+    # segments of a few documents, so that bounds skip some; built over two halves and appended
+    halves = [SG.build(docs.where(f"doc_id % 2 = {i}"), dvecs, most=4) for i in (0, 1)]
+    index = SG.append(*halves)
+    whole = SG.build(docs, dvecs)
+    assert (index.n_docs, index.n_tokens) == (whole.n_docs, whole.n_tokens)
+    assert sorted(index.terms.collect()) == sorted(whole.terms.collect())
     got = {name: {} for name in ("bm25", "hybrid", "semantic")}
     for name, found in got.items():
         for r in R.search(q, docs, qvecs, dvecs, mode=name, k=k, index=index).orderBy("query_id", "rank").collect():
@@ -587,6 +593,64 @@ def test_searches_equal_brute_force(spark, words):
     assert bool(negative) == (len(words) == 3)
 
 
+def test_modes_and_top_k_by_query_over_one_index(spark):
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(["a b", "a a", "b c", "c", None, ""])], "doc_id long, text string, source string")
+    dvecs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(3)], "doc_id long, dvec array<float>")
+    asked = [(1, "a", None, "bm25", 2), (2, "a b", ["s"], "hybrid", 3), (3, "c", None, "semantic", 9), (4, "c", None, "fulltext", 1), (5, "a", None, None, 3), (6, "a", None, "odd", 3), (7, "a", None, "bm25", None), (8, None, None, "bm25", 2)]
+    q = spark.createDataFrame(asked, "query_id long, query string, kb_ids array<string>, mode string, top_k int")
+    qvecs = spark.createDataFrame([(i, [1.0, 0.5]) for i in (2, 3)], "query_id long, qvec array<float>")
+    out = R.search_each(q, SG.build(docs, dvecs), qvecs).orderBy("query_id", "rank").collect()
+    got = {}
+    for r in out:
+        got.setdefault((r.query_id, r["mode"]), []).append(r.doc_id)
+    plain = q.drop("mode", "top_k")
+    hybrid = [r.doc_id for r in R.hybrid_search(plain.where("query_id = 2"), docs, qvecs, dvecs, k=3).orderBy("rank").collect()]
+    assert got == {(1, "bm25"): [1, 0], (2, "hybrid"): hybrid, (3, "semantic"): [2, 1, 0], (4, "fulltext"): [3], (8, "bm25"): [0, 1]}
+
+
+def test_bounds_of_segments_hold():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    toks = [[f"t{rng.integers(12)}" for _ in range(rng.integers(0, 20))] for _ in range(60)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "source": ["s"] * 60, "toks": toks})
+    names = [f"t{i}" for i in range(12)]
+    weights, terms, queries = rng.normal(size=30), rng.integers(0, 12, 30), rng.integers(0, 5, 30)
+    vectors = list(rng.normal(size=(5, 4)))
+    chunk = SG.Chunk(np.arange(5), [None] * 5, vectors, terms, queries, weights, np.ones(30), {}, 60, 12)
+    avgdl = float(np.mean([len(t) for t in toks]))
+    texts = list(SG._segments([batch], 8))
+    assert [len(x.column("doc_ids")[0]) for x in texts] == [8] * 7 + [4]
+    for x in texts:
+        places = list(range(0, len(x.column("doc_ids")[0]), 2))
+        held = [{"place": p, "dvec": rng.normal(size=4).tolist()} for p in places]
+        packed = next(SG._packed([pa.RecordBatch.from_pydict({"seg": x.column("seg"), "held": [held]})]))
+        row = pa.RecordBatch.from_arrays([*x.columns, *packed.columns[1:]], [*x.schema.names, *packed.schema.names[1:]])
+        (segment,) = SG._rows([row], names, avgdl, SG.K1, SG.B)
+        raw = segment.raw(chunk, np.ones(5, bool))
+        assert (raw.max(1) <= segment.bound(chunk) + 1e-9).all()
+        for place, doc in enumerate(segment.ids):
+            for j in range(5):
+                own = [(names[t], w) for t, j2, w in zip(terms, queries, weights) if j2 == j]
+                tf = [toks[doc].count(t) for t, _ in own]
+                want = sum(w * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len(toks[doc]) / avgdl)) for (_, w), f in zip(own, tf))
+                assert raw[j, place] == pytest.approx(want, abs=1e-9)
+        inner = chunk.matrix @ segment.matrix.T
+        low, high = segment.semantic_bound(chunk)
+        assert (inner.min(1) >= low).all() and (inner.max(1) <= high).all()
+
+
+def test_best_keeps_all_that_may_round_to_the_last_place():
+    import numpy as np
+
+    best = SG.Best(2, 2, np.array([0.1, 0.0]))
+    best.add(np.array([0, 0, 0, 0, 1, 1, 1]), np.array([9, 8, 7, 6, 5, 4, 3]), np.array([1.0, 0.95, 0.9, 0.5, 1.0, 1.0, 1.0]))
+    assert list(zip(best.query, best.doc)) == [(0, 9), (0, 8), (0, 7), (1, 3), (1, 4)]
+    best.add(np.array([0]), np.array([1]), np.array([2.0]))
+    assert list(zip(best.query, best.doc))[:3] == [(0, 1), (0, 9), (0, 8)]
+
+
 def test_best_text_match_without_a_vector_is_found(spark):
     docs = spark.createDataFrame([(1, "rare word", "s"), (2, "other text", "s"), (3, "more text", "s"), (4, "even more", "s")], "doc_id long, text string, source string")
     dvecs = spark.createDataFrame([(2, [1.0, 0.0]), (3, [0.0, 1.0])], "doc_id long, dvec array<float>")
