@@ -81,10 +81,11 @@ def _cuts(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 def _segments(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in SEGMENT.split(", ")]
     for batch in batches:
-        lengths = pc.list_value_length(batch.column("toks")).to_numpy(zero_copy_only=False).astype(np.int64)
+        toks = [(t or "").split() for t in batch.column("text").to_pylist()]
+        lengths = np.fromiter(map(len, toks), np.int64, len(toks))
         for begin, end in _cuts(lengths, most):
             part, sizes = batch.slice(begin, end - begin), lengths[begin:end]
-            words = part.column("toks").flatten().dictionary_encode()
+            words = pa.array([w for t in toks[begin:end] for w in t], pa.string()).dictionary_encode()
             key, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(sizes) + np.repeat(np.arange(len(sizes)), sizes), return_counts=True)
             dfs = np.bincount(key // len(sizes), minlength=len(words.dictionary)) if len(key) else np.empty(0, np.int64)
             values = [uuid.uuid4().hex], [part.column("doc_id")], [part.column("source")], [sizes], [words.dictionary], [dfs], [key % len(sizes)], [tf]
@@ -111,7 +112,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build(docs: DataFrame, vectors: DataFrame | None = None, eps: float = EPSILON, most: int = DOCS) -> SegmentIndex:
     """Index of ``docs`` (doc_id, text, source) and their ``vectors`` (doc_id, dvec), in segments of up to ``most`` (``DOCS`` at most)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce(T.ws_tokens("text"), F.array().cast("array<string>")).alias("toks"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), "text")
     segments = rows.mapInArrow(lambda batches: _segments(batches, min(most, DOCS)), SEGMENT)
     if vectors is None:
         none = {"filled": "array<int>", "matrix": "binary", "centre": "binary", "radius": "double"}
@@ -169,7 +170,8 @@ class Segment:
 
     def __init__(self, row: dict, terms: pa.Array, avgdl: float, k1: float, b: float):
         self.ids = np.array(row["doc_ids"], np.int64)
-        self.sources = np.array(row["sources"], object)
+        names = row["sources"].dictionary_encode()
+        self.sources, self.source = names.dictionary.to_pylist(), names.indices.to_numpy()
         self.filled, self.row, self._matrix = row["filled"], row, None
         known = pc.index_in(row["terms"], value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         of = np.repeat(known, row["dfs"])
@@ -191,7 +193,7 @@ class Segment:
         out = np.ones((len(chunk.ids), len(self.ids)), bool)
         for i, names in enumerate(chunk.sources):
             if names is not None:
-                out[i] = np.isin(self.sources, names)
+                out[i] = np.array([s in names for s in self.sources], bool)[self.source]
         return out
 
     def products(self, chunk: Chunk, terms: np.ndarray, live: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -277,7 +279,7 @@ def _chunks(spark, index: SegmentIndex, queries: DataFrame, vectors: DataFrame |
         of = {t: i for i, t in enumerate(names)}
         term = held["term"].map(of).to_numpy(np.int64) if len(held) else np.empty(0, np.int64)
         place = np.searchsorted(ids, held["query_id"].to_numpy(np.int64)) if len(held) else np.empty(0, np.int64)
-        kbs = [np.array(list(x), object) if x is not None and len(x) else None for x in head["kb"]]
+        kbs = [frozenset(x) if x is not None and len(x) else None for x in head["kb"]]
         vecs = [None if v is None else np.asarray(v, np.float64) for v in head["qvec"]] if "qvec" in head else [None] * len(ids)
         bounds = {c: head[c].to_numpy(np.float64) for c in ("bmn", "bmx", "smn", "smx") if c in head}
         step, chunks = max(1, CELLS // DOCS), []
@@ -301,9 +303,9 @@ def _rows(batches: Iterator[pa.RecordBatch], names: list[str], avgdl: float, k1:
     for batch in batches:
         for i in range(batch.num_rows):
             row = {c: batch.column(c)[i] for c in ("doc_ids", "sources", "filled", "matrix", "centre", "radius", "terms", "dfs", "places", "tfs", "lens")}
-            row |= {c: row[c].as_py() for c in ("matrix", "centre", "radius", "filled", "sources")}
+            row |= {c: row[c].as_py() for c in ("matrix", "centre", "radius", "filled")}
             row |= {c: row[c].values.to_numpy() for c in ("doc_ids", "dfs", "places", "tfs", "lens")}
-            yield Segment(row | {"terms": row["terms"].values}, terms, avgdl, k1, b)
+            yield Segment(row | {c: row[c].values for c in ("terms", "sources")}, terms, avgdl, k1, b)
 
 
 RAW = "query_id long, doc_id long, raw double, bmn double, bmx double, smn double, smx double"

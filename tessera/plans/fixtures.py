@@ -88,6 +88,12 @@ def kb_queries(spark, sf_dir) -> DataFrame:
     )
 
 
+def mixed_queries(spark, sf_dir) -> DataFrame:
+    """Queries with a mode (by id: hybrid, semantic, bm25) and a top_k (1 to 10) each."""
+    mode = F.element_at(F.array(F.lit("hybrid"), F.lit("semantic"), F.lit("bm25")), (F.col("query_id") % 3 + 1).cast("int"))
+    return search_queries(spark, sf_dir).withColumns({"mode": mode, "top_k": (F.col("query_id") % 10 + 1).cast("int")})
+
+
 def doc_vectors(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dvec"))
 

@@ -109,6 +109,17 @@ SQL["corpus_stats"] = f"""
 WITH {bm25_ctes('documents', ALL_QUERIES)}
 SELECT term, df, (floor((idf) * 1000000 + 0.5) / 1000000) AS idf, (SELECT n FROM cs) AS n_docs, (floor(((SELECT avgdl FROM cs)) * 1000000 + 0.5) / 1000000) AS avgdl FROM idf"""
 
+SQL["appended_index"] = SQL["corpus_stats"]
+
+SQL["mixed_search"] = f"""
+WITH {HYBRID_CTES},
+text AS (SELECT query_id, 'bm25' AS mode, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS rank, doc_id, bm25 AS score FROM fused),
+own AS (SELECT query_id, doc_id, (floor(({_norm('sem')}) * 1000000 + 0.5) / 1000000) AS score FROM dense WHERE sem IS NOT NULL),
+near AS (SELECT query_id, 'semantic' AS mode, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM own),
+every AS (SELECT query_id, 'hybrid' AS mode, rank, doc_id, score FROM hyb_all UNION ALL SELECT * FROM text UNION ALL SELECT * FROM near)
+SELECT query_id, mode, rank, doc_id, score FROM every
+WHERE rank <= query_id % 10 + 1 AND mode = ['hybrid', 'semantic', 'bm25'][query_id % 3 + 1]"""
+
 SQL["latest_feedback"] = """
 WITH fb AS (SELECT event_id, ts, user_id AS doc_id, (1 + event_id % 5)::INTEGER AS score FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts DESC, event_id DESC) AS rn,

@@ -8,6 +8,7 @@ from tessera.functions.numeric import round6
 
 from tessera.operators import retrieval as R
 from tessera.operators import search_flow as SF
+from tessera.operators import segments as SG
 from tessera.plans import fixtures as fx
 from tessera.plans.catalog import register
 
@@ -40,6 +41,22 @@ def hybrid_search(spark, sf_dir):
     return R.search(fx.search_queries(spark, sf_dir), docs, fx.query_vectors(spark, sf_dir), fx.doc_vectors(spark, sf_dir), mode="hybrid", k=10)
 
 
+@register("mixed_search")
+def mixed_search(spark, sf_dir):
+    """Hybrid, semantic and text searches with a top_k each, all over one index."""
+    index = SG.build(fx.documents(spark, sf_dir), fx.doc_vectors(spark, sf_dir))
+    return R.search_each(fx.mixed_queries(spark, sf_dir), index, fx.query_vectors(spark, sf_dir))
+
+
+@register("appended_index")
+def appended_index(spark, sf_dir):
+    """Corpus statistics of an index over the documents of even ids, appended with one over all others (G1)."""
+    docs = fx.documents(spark, sf_dir)
+    even = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
+    index = SG.append(SG.build(docs.where(even)), SG.build(docs.where(~even)))
+    return index.terms.select("term", "df", round6("idf").alias("idf"), F.lit(index.n_docs).cast("bigint").alias("n_docs"), round6(F.lit(index.avgdl)).alias("avgdl"))
+
+
 @register("corpus_stats")
 def corpus_stats(spark, sf_dir):
     s = R.corpus_stats(fx.documents(spark, sf_dir))

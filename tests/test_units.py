@@ -614,7 +614,7 @@ def test_bounds_of_segments_hold():
 
     rng = np.random.default_rng(9)
     toks = [[f"t{rng.integers(12)}" for _ in range(rng.integers(0, 20))] for _ in range(60)]
-    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "source": ["s"] * 60, "toks": toks})
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "source": ["s"] * 60, "text": [" ".join(t) for t in toks]})
     names = [f"t{i}" for i in range(12)]
     weights, terms, queries = rng.normal(size=30), rng.integers(0, 12, 30), rng.integers(0, 5, 30)
     vectors = list(rng.normal(size=(5, 4)))
