@@ -4,101 +4,252 @@ Shapes: ``points(key, pid, pos, vec)`` where ``key`` groups independent
 result sets (e.g. one query), ``pos`` is the result position (order of
 first appearance) and ``vec`` an ``array<float>``.
 
-* epsilon-neighbours (J11): per partition, a NumPy block distance computation
-  against the broadcast points of the same group (size-checked); only pairs
-  within ``eps`` are emitted, never all pairs.
-* core points: neighbours including self >= ``min_samples``.
-* clusters (G15): connected components of core points by iterated min-label
-  propagation over core-core edges; lineage is cut with reliable checkpoints.
+* epsilon-neighbours (J11): exact copies of a vector become one weighted point.  Points
+  go to the cell of the nearest of ``PIVOTS`` pivots; a cell of many points is dealt into
+  blocks of ``CELL`` or so.  A point meets the blocks of another cell only if its distance
+  to that pivot allows a neighbour there (``d <= d_home + 2 eps`` and ``d <= radius +
+  eps``), and of two blocks one receives the other's points as guests.  A task holds one
+  block at a time and streams its guests; it sends counts, edges of a spanning forest or
+  labels, never pairs, and no point passes through the driver but the pivots.
+* core points: weight of the neighbours including self >= ``min_samples``.
+* clusters (G15): connected components of core points over the spanning forests,
+  contracted by joins until one task can hold the rest.
 * groups proven small by a size check (one query's top-k) run in one task
   per group with the same rules; large groups use the distributed path.
 * border points take the earliest cluster among their core neighbours;
-  cluster ids are dense in order of each cluster's first core point;
-  noise is -1.  This is the labelling sequential DBSCAN produces.
+  cluster ids are dense in order of each cluster's first core point, numbered in
+  ranges with an offset each; noise is -1.  This is the labelling sequential DBSCAN produces.
+
+Defined results on both paths: null keys are one group; a point with a null vector is
+noise and nobody's neighbour.  ``pid`` and ``pos`` are unique within a group.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.plans.guards import collect_bounded
-from tessera.session import cut_lineage
+from tessera.session import materialize
 
 
-def neighbour_pairs(points: DataFrame, eps: float, max_block: int = 200_000) -> DataFrame:
-    """``(key, a, b)`` for every ordered pair a != b of the same group with Euclidean distance <= eps.
+#: Vectors that all points are measured against (they pass through the driver); points of a block; rows of a distance matrix.
+PIVOTS, CELL, ROWS = 64, 4000, 256
 
-    The candidate side is broadcast in hash blocks of at most ``max_block``
-    points (one pass per block, results unioned); the probe side streams.
-    """
-    n = points.count()
-    n_blocks = max(1, -(-n // max_block))
-    out = None
-    for blk in range(n_blocks):
-        side = points.where(F.pmod(F.xxhash64("pid"), F.lit(n_blocks)) == blk) if n_blocks > 1 else points
-        part = _pairs_against(points, side, eps, 2 * max_block)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _pairs_against(points: DataFrame, side: DataFrame, eps: float, max_points: int) -> DataFrame:
-    spark = points.sparkSession
-    pdf = collect_bounded(side.select("key", "pid", "vec"), max_points, "clustering block")
-    groups = {}
-    for k, g in pdf.groupby("key", sort=False):
-        groups[k] = (g["pid"].to_numpy(np.int64), np.stack(g["vec"].map(lambda v: np.asarray(v, dtype=np.float64)).values))
-    bc = spark.sparkContext.broadcast(groups)
-    eps2 = float(eps)
-
-    def fn(it):
-        gs = bc.value
-        for part in it:
-            outs = []
-            for k, g in part.groupby("key", sort=False):
-                if k not in gs:
-                    continue
-                ids_b, mat_b = gs[k]
-                ids_a = g["pid"].to_numpy(np.int64)
-                mat_a = np.stack(g["vec"].map(lambda v: np.asarray(v, dtype=np.float64)).values)
-                for s in range(0, len(ids_a), 256):
-                    blk = mat_a[s:s + 256]
-                    d2 = (blk ** 2).sum(1)[:, None] + (mat_b ** 2).sum(1)[None, :] - 2 * blk @ mat_b.T
-                    near = d2 <= (eps2 * 1.01) ** 2 + 1e-9  # loose filter, then exact distance on the few survivors
-                    ia, ib = np.nonzero(near)
-                    exact = np.sqrt(((blk[ia] - mat_b[ib]) ** 2).sum(axis=1)) <= eps2
-                    a, b = ids_a[s:s + 256][ia[exact]], ids_b[ib[exact]]
-                    keep = a != b
-                    if keep.any():
-                        outs.append(pd.DataFrame({"key": k, "a": a[keep], "b": b[keep]}))
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
-
-    return points.select("key", "pid", "vec").mapInPandas(fn, f"key {points.schema['key'].dataType.simpleString()}, a long, b long")
-
-
-def connected_min_label(nodes: DataFrame, edges: DataFrame, checkpoint_every: int = 2) -> DataFrame:
-    """``nodes(key, pid, label)``, undirected ``edges(key, a, b)`` -> the smallest label of each node's component.
-
-    Every round takes the smallest label of the neighbours, then that of the node the label
-    came from, so a chain shortens by a factor and not by one step.
+
+def _near(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
+    """Which rows of ``a`` and ``b`` are within ``eps``: by products, and exactly where those are too close to tell."""
+    d2 = (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T
+    scale = 1e-9 * (1 + (a**2).sum(1).max(initial=0) + (b**2).sum(1).max(initial=0))
+    near = d2 <= eps**2
+    i, j = np.nonzero(np.abs(d2 - eps**2) <= 0.02 * eps**2 + scale)
+    near[i, j] = np.sqrt(((a[i] - b[j]) ** 2).sum(axis=1)) <= eps
+    return near
+
+
+def _vectors(column: pd.Series) -> np.ndarray:
+    return np.stack(column.map(lambda v: np.asarray(v, dtype=np.float64)).values)
+
+
+class Degrees:
+    """Weight of the neighbours (self included) that each point has in a block."""
+
+    columns, schema = ["weight"], "n long"
+
+    def __init__(self, home: pd.DataFrame, eps: float):
+        self.home, self.mat, self.eps = home, _vectors(home["vec"]), eps
+        self.weight = home["weight"].to_numpy(np.int64)
+        self.n = np.concatenate([_near(self.mat[i : i + ROWS], self.mat, eps) @ self.weight for i in range(0, len(home), ROWS)])
+
+    def guests(self, guests: pd.DataFrame) -> pd.DataFrame:
+        near = _near(_vectors(guests["vec"]), self.mat, self.eps)
+        self.n += guests["weight"].to_numpy(np.int64) @ near
+        return pd.DataFrame({"pid": guests["pid"].to_numpy(), "n": near @ self.weight})
+
+    def end(self) -> pd.DataFrame:
+        return pd.DataFrame({"pid": self.home["pid"].to_numpy(), "n": self.n})
+
+
+class Forest:
+    """Edges that join the neighbours of a block: one for each time that two groups become one."""
+
+    columns, schema = [], "b long"
+
+    def __init__(self, home: pd.DataFrame, eps: float):
+        self.pid, self.mat, self.eps = home["pid"].to_numpy(np.int64), _vectors(home["vec"]), eps
+        self.root = np.arange(len(home))
+        self.edges: list[tuple[int, int]] = []
+        for begin in range(0, len(home), ROWS):
+            for row, near in enumerate(_near(self.mat[begin : begin + ROWS], self.mat, eps), begin):
+                self.join(int(self.pid[row]), np.flatnonzero(near))
+
+    def join(self, pid: int, members: np.ndarray) -> bool:
+        """All of ``members`` (near ``pid``) become one group."""
+        roots = np.unique(self.root[members])
+        self.edges += [(pid, int(self.pid[r])) for r in roots if int(self.pid[r]) != pid]
+        if len(roots) > 1:
+            self.root[np.isin(self.root, roots)] = roots[0]
+        return len(roots) > 0
+
+    def guests(self, guests: pd.DataFrame) -> pd.DataFrame:
+        for pid, near in zip(guests["pid"].tolist(), _near(_vectors(guests["vec"]), self.mat, self.eps)):
+            self.join(pid, np.flatnonzero(near))
+        return self.end()
+
+    def end(self) -> pd.DataFrame:
+        out = pd.DataFrame(self.edges, columns=["pid", "b"], dtype=np.int64)
+        self.edges = []
+        return out
+
+
+class Borders:
+    """Least cluster among the neighbours in a block of each point that has no cluster itself."""
+
+    columns, schema = ["cluster"], "cluster_id long"
+
+    def __init__(self, home: pd.DataFrame, eps: float):
+        self.home, self.mat, self.eps = home, _vectors(home["vec"]), eps
+        self.cluster = home["cluster"].to_numpy(np.float64)
+        parts = [self.least(_near(self.mat[i : i + ROWS], self.mat, eps), self.cluster) for i in range(0, len(home), ROWS)]
+        self.best = np.concatenate(parts)
+
+    @staticmethod
+    def least(near: np.ndarray, cluster: np.ndarray) -> np.ndarray:
+        return np.where(near & ~np.isnan(cluster), cluster, np.inf).min(axis=1, initial=np.inf)
+
+    def found(self, pids: pd.Series, own: np.ndarray, best: np.ndarray) -> pd.DataFrame:
+        mine = np.isnan(own) & np.isfinite(best)
+        return pd.DataFrame({"pid": pids.to_numpy()[mine], "cluster_id": best[mine].astype(np.int64)})
+
+    def guests(self, guests: pd.DataFrame) -> pd.DataFrame:
+        near, cluster = _near(_vectors(guests["vec"]), self.mat, self.eps), guests["cluster"].to_numpy(np.float64)
+        self.best = np.minimum(self.best, self.least(near.T, cluster))
+        return self.found(guests["pid"], cluster, self.least(near, self.cluster))
+
+    def end(self) -> pd.DataFrame:
+        return self.found(self.home["pid"], self.cluster, self.best)
+
+
+def _in_blocks(placed: DataFrame, kernel: type, eps: float) -> DataFrame:
+    """kk, pid and the kernel's column, for every block of ``placed`` with its guests streamed past it."""
+
+    def run(it):
+        at, home, state = None, [], None
+
+        def finished():
+            nonlocal state
+            if state is None and home:
+                state = kernel(pd.concat(home, ignore_index=True), eps)
+            home.clear()
+
+        for pdf in it:
+            out = []
+            marks = pdf[["kk", "cell", "salt", "role"]]
+            cuts = np.flatnonzero((marks != marks.shift()).any(axis=1).to_numpy())
+            for begin, end in zip(cuts, [*cuts[1:], len(pdf)]):
+                part = pdf.iloc[begin:end]
+                block = tuple(part[["kk", "cell", "salt"]].iloc[0])
+                if block != at:
+                    finished()
+                    if state is not None:
+                        out.append(state.end().assign(kk=at[0]))
+                    at, state = block, None
+                if part["role"].iloc[0] == 0:
+                    home.append(part)
+                else:
+                    finished()
+                    out += [] if state is None else [state.guests(part.iloc[i : i + ROWS]).assign(kk=at[0]) for i in range(0, len(part), ROWS)]
+            if out:
+                yield pd.concat(out, ignore_index=True)
+        finished()
+        if state is not None:
+            yield state.end().assign(kk=at[0])
+
+    rows = placed.select("kk", "cell", "salt", "role", "pid", "vec", *kernel.columns)
+    block = ["kk", "cell", "salt"]
+    return rows.repartition(*block).sortWithinPartitions(*block, "role").mapInPandas(run, f"pid long, {kernel.schema}, kk string")
+
+
+def _placed(points: DataFrame, eps: float) -> DataFrame:
+    """The blocks that each point is in (role 0, one) or a guest of (role 1)."""
+    pivots = points.select("pid", "kk", "vec").orderBy(F.xxhash64("kk", "pid"), "kk", "pid").limit(PIVOTS).toPandas()
+    mat = _vectors(pivots["vec"]) if len(pivots) else np.zeros((0, 0))
+
+    def assign(it):
+        for pdf in it:
+            if not len(pdf):
+                continue
+            own = _vectors(pdf["vec"])
+            d = np.stack([np.sqrt(((own - p) ** 2).sum(axis=1)) for p in mat], axis=1)
+            home = d.argmin(axis=1)
+            away = d[np.arange(len(d)), home]
+            near = [[{"other": int(j), "d": float(row[j])} for j in np.flatnonzero(row <= least + 2 * eps * (1 + 1e-9) + 1e-9)] for row, least in zip(d, away)]
+            yield pdf.assign(home=home.astype(np.int32), away=away, near=near)
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
+    near = materialize(points.mapInPandas(assign, f"{fields}, home int, away double, near array<struct<other:int,d:double>>"), "cluster-cells")
+    cells = near.groupBy("kk", F.col("home").alias("other")).agg(F.max("away").alias("radius"), F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("salts"))
+    cells = materialize(cells, "cluster-sizes")
+    own = cells.select("kk", F.col("other").alias("home"), F.col("salts").alias("own_salts"))
+    met = near.join(own, ["kk", "home"]).withColumn("own_salt", F.pmod(F.xxhash64("pid"), F.col("own_salts")).cast("int"))
+    met = met.withColumn("n", F.explode("near")).withColumn("other", F.col("n.other")).join(cells, ["kk", "other"])
+    met = met.where((F.col("other") >= F.col("home")) & ((F.col("other") == F.col("home")) | (F.col("n.d") <= F.col("radius") + eps * (1 + 1e-9) + 1e-9)))
+    met = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).where((F.col("other") > F.col("home")) | (F.col("salt") >= F.col("own_salt")))
+    role = F.when((F.col("other") == F.col("home")) & (F.col("salt") == F.col("own_salt")), 0).otherwise(1)
+    return materialize(met.select("kk", F.col("other").alias("cell"), "salt", role.alias("role"), "pid", "weight", "vec"), "cluster-blocks")
+
+
+#: Links that one task may hold; more are contracted by joins first.
+SOLVED = 500_000
+
+
+def connected_min_label(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes(key, pid, label)``, undirected ``edges(key, a, b)`` (both ways) -> the smallest label of each node's component.
+
+    While there are more than ``SOLVED`` edges, each round joins every node to the least of
+    itself and its neighbours in an order by hash (stars vanish in one round, chains
+    shrink by a share of their length) and keeps the edges between what was joined.  The
+    rest, of a proven size, is solved in one task.
     """
-    labels = nodes.select("key", "pid", F.col("label").alias("own"), "label")
-    rounds = 0
+    left = edges.select("key", "a", "b").where("a <> b")
+    owner = nodes.select("key", "pid", "label", F.col("pid").alias("at"))
+    rank = lambda c: F.struct(F.xxhash64("key", c).alias("h"), F.col(c).alias("v"))
+    while left.count() > SOLVED:
+        joined = left.groupBy("key", "a").agg(F.least(F.min(rank("b")), F.first(rank("a"))).alias("r"))
+        joined = materialize(joined.select("key", F.col("a").alias("at"), F.col("r.v").alias("to")), "cluster-joined")
+        owner = owner.join(joined, ["key", "at"], "left").select("key", "pid", "label", F.coalesce("to", "at").alias("at"))
+        to = lambda side: joined.select("key", F.col("at").alias(side), F.col("to").alias(f"to_{side}"))  # noqa: E731,B023
+        left = left.join(to("a"), ["key", "a"]).join(to("b"), ["key", "b"]).where("to_a <> to_b")
+        left = materialize(left.select("key", F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct(), "cluster-links")
+    solved = left.repartition(1).mapInPandas(_solve, f"key {left.schema['key'].dataType.simpleString()}, at long, to long")
+    owner = owner.join(solved, ["key", "at"], "left").select("key", "pid", "label", F.coalesce("to", "at").alias("at"))
+    owner = materialize(owner, "cluster-owners")
+    least = owner.groupBy("key", "at").agg(F.min("label").alias("least"))
+    return owner.join(least, ["key", "at"]).select("key", "pid", F.col("least").alias("label"))
+
+
+def _solve(it):
+    """Component of each node of at most ``SOLVED`` edges: (key, at, to), ``to`` being one of its nodes."""
+    held = pd.concat([pd.DataFrame({"key": [], "a": [], "b": []}), *it], ignore_index=True)
+    if not len(held):
+        return
+    held = held.astype({"a": np.int64, "b": np.int64})
+    codes, names = pd.factorize(pd.MultiIndex.from_arrays([held["key"].tolist() * 2, held["a"].tolist() + held["b"].tolist()]))
+    a, b = codes[: len(held)], codes[len(held):]
+    root = np.arange(len(names))
     while True:
-        rounds += 1
-        pushed = edges.join(labels.select("key", F.col("pid").alias("a"), "label"), ["key", "a"]).groupBy("key", F.col("b").alias("pid")).agg(F.min("label").alias("near"))
-        near = labels.join(pushed, ["key", "pid"], "left").select("key", "pid", "own", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        origin = near.groupBy("key", F.col("own").alias("label")).agg(F.min("label").alias("deeper"))
-        new = near.join(origin, ["key", "label"], "left").select("key", "pid", "own", "old", F.coalesce("deeper", "label").alias("label"))
-        if rounds % checkpoint_every == 0:
-            new = cut_lineage(new)
-        changed = new.where(F.col("label") < F.col("old")).limit(1).count()
-        labels = new.drop("old")
-        if not changed:
-            return labels.select("key", "pid", "label")
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    keys, pids = [n[0] for n in names], np.array([n[1] for n in names], dtype=np.int64)
+    yield pd.DataFrame({"key": keys, "at": pids, "to": pids[root]})
 
 
 def _dbscan_group(pos: np.ndarray, mat: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
@@ -139,37 +290,50 @@ def dbscan(points: DataFrame, eps: float = 0.5, min_samples: int = 2, small_grou
     query's top-k hits) are clustered inside one task per group; otherwise the
     distributed epsilon-join + connected-components path runs.
     """
-    largest = points.groupBy("key").count().select(F.max("count")).collect()[0][0] or 0
+    filled = points.select("key", "pid", "pos", "vec").where("vec is not null")
+    none = points.where("vec is null").select("key", "pid", F.lit(-1).cast("bigint").alias("cluster_id"))
+    largest = filled.groupBy("key").count().select(F.max("count")).collect()[0][0] or 0
     if largest <= small_group:
-        key_type = points.schema["key"].dataType.simpleString()
-
-        def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
-            mat = np.stack(pdf["vec"].map(lambda v: np.asarray(v, dtype=np.float64)).values)
-            lab = _dbscan_group(pdf["pos"].to_numpy(np.int64), mat, eps, min_samples)
-            return pd.DataFrame({"key": pdf["key"].to_numpy(), "pid": pdf["pid"].to_numpy(np.int64), "cluster_id": lab})
-
-        return points.select("key", "pid", "pos", "vec").groupBy("key").applyInPandas(
-            per_group, f"key {key_type}, pid long, cluster_id long")
-    pts = cut_lineage(points.select("key", "pid", "pos", "vec"))
-    nb = neighbour_pairs(pts, eps)
-    nb = cut_lineage(nb)
-    deg = nb.groupBy("key", "a").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("a", "pid")
-    core = pts.join(deg, ["key", "pid"], "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("key", "pid", "pos")
-    ce = nb.join(core.select("key", F.col("pid").alias("a")), ["key", "a"], "left_semi").join(
-        core.select("key", F.col("pid").alias("b")), ["key", "b"], "left_semi")
-    comp = connected_min_label(core.select("key", "pid", F.col("pos").alias("label")), ce)
-    # dense cluster ids per group, in order of each cluster's first core position
-    first = comp.groupBy("key", "label").agg(F.min("label").alias("first"))
-    w = Window.partitionBy("key").orderBy("first")
-    cid = first.withColumn("cluster_id", (F.dense_rank().over(w) - 1).cast("bigint")).select("key", "label", "cluster_id")
-    core_c = comp.join(cid, ["key", "label"]).select("key", "pid", "cluster_id")
-    # border points: the smallest cluster id among their core neighbours
-    border = (nb.join(core_c.select("key", F.col("pid").alias("b"), "cluster_id"), ["key", "b"])
-              .join(core.select("key", F.col("pid").alias("a")), ["key", "a"], "left_anti")
-              .groupBy("key", "a").agg(F.min("cluster_id").alias("cluster_id")).withColumnRenamed("a", "pid"))
-    labelled = core_c.unionByName(border)
-    return pts.select("key", "pid").join(labelled, ["key", "pid"], "left").select(
-        "key", "pid", F.coalesce("cluster_id", F.lit(-1).cast("bigint")).alias("cluster_id"))
+        key_type = points.schema["key"].dataType
+
+        def per_group(table: pa.Table) -> pa.Table:
+            mat = np.array(table.column("vec").to_pylist(), dtype=np.float64)
+            lab = _dbscan_group(table.column("pos").to_numpy(), mat, eps, min_samples)
+            return pa.table({"key": table.column("key"), "pid": table.column("pid").cast(pa.int64()), "cluster_id": pa.array(lab, pa.int64())})
+
+        small = filled.groupBy("key").applyInArrow(per_group, f"key {key_type.simpleString()}, pid long, cluster_id long")
+        return small.unionByName(none)
+    return _dbscan_cells(filled, eps, min_samples).unionByName(none)
+
+
+def _dbscan_cells(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
+    kk = F.coalesce(F.concat(F.lit("="), F.col("key").cast("string")), F.lit("null"))
+    pts = materialize(points.withColumn("kk", kk), "cluster-points")
+    # one point for all exact copies of a vector
+    one = pts.groupBy("kk", "vec").agg(F.min(F.struct("pos", "pid")).alias("r"), F.count(F.lit(1)).alias("weight"))
+    one = materialize(one.select("kk", "vec", "weight", "r.pos", F.col("r.pid").cast("long").alias("pid")), "cluster-distinct")
+    placed = _placed(one.select("kk", "pid", "weight", "vec"), eps)
+    core = _in_blocks(placed, Degrees, eps).groupBy("kk", "pid").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples)
+    core = materialize(one.join(core, ["kk", "pid"]).select("kk", "pid", "pos"), "cluster-core")
+    edges = _in_blocks(placed.join(core.select("kk", "pid"), ["kk", "pid"]), Forest, eps).select(F.col("kk").alias("key"), F.col("pid").alias("a"), "b")
+    edges = materialize(edges.unionByName(edges.select("key", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cluster-edges")
+    labels = connected_min_label(core.select(F.col("kk").alias("key"), "pid", F.col("pos").alias("label")), edges).withColumnRenamed("key", "kk")
+    labels = materialize(labels, "cluster-labels")
+    owned = labels.join(_numbered(labels.select("kk", "label").distinct()), ["kk", "label"]).select("kk", "pid", F.col("cluster_id").alias("cluster"))
+    border = _in_blocks(placed.join(owned, ["kk", "pid"], "left"), Borders, eps).groupBy("kk", "pid").agg(F.min("cluster_id").alias("cluster"))
+    found = one.select("kk", "pid", "vec").join(owned.unionByName(border.select("kk", "pid", "cluster")), ["kk", "pid"])
+    out = pts.join(found.select("kk", "vec", "cluster"), ["kk", "vec"], "left")
+    return out.select("key", F.col("pid").cast("long").alias("pid"), F.coalesce("cluster", F.lit(-1)).cast("bigint").alias("cluster_id"))
+
+
+def _numbered(labels: DataFrame) -> DataFrame:
+    """``labels`` (kk, label) with ``cluster_id``: 0, 1, ... by label within kk, in ranges whose offsets are added up."""
+    ranged = labels.repartitionByRange("kk", "label").withColumn("part", F.spark_partition_id())
+    ranged = materialize(ranged, "cluster-ranges")
+    before = Window.partitionBy("kk").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("kk", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("kk", "part").orderBy("label"))
+    return ranged.withColumn("place", place).join(offsets, ["kk", "part"]).select("kk", "label", (F.col("place") - 1 + F.col("offset")).cast("bigint").alias("cluster_id"))
 
 
 def cluster_results(hits: DataFrame, vecs: DataFrame, eps: float = 0.5, min_samples: int = 2) -> DataFrame:

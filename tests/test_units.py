@@ -390,6 +390,56 @@ def brute_dbscan(points, eps, min_samples):
     return [(-1 if l is None else l) for l in labels]
 
 
+
+
+@pytest.mark.parametrize("small_group", [0, 10_000])
+@pytest.mark.parametrize("min_samples", [2, 5])
+def test_dbscan_of_many_blocks_null_keys_and_copies(spark, monkeypatch, small_group, min_samples):
+    """Both paths: blocks of a few points, keys that are null, vectors that are null or repeat, the same pids under two keys."""
+    import numpy as np
+
+    monkeypatch.setattr(C, "CELL", 7)
+    monkeypatch.setattr(C, "PIVOTS", 5)
+    rng = np.random.default_rng(12)
+    rows = []
+    for key in (None, "a", "b"):
+        vecs = np.concatenate([rng.normal(c, 0.25, (25, 3)) for c in ((0, 0, 0), (2, 0, 0), (0, 3, 1))] + [rng.uniform(-3, 4, (20, 3)), np.zeros((30, 3))]).astype(np.float32)
+        rng.shuffle(vecs)
+        rows += [(key, i, i, v.tolist()) for i, v in enumerate(vecs)] + [(key, 1000, 1000, None)]
+    df = spark.createDataFrame(rows, "key string, pid long, pos long, vec array<float>").repartition(4)
+    got = {(r.key, r.pid): r.cluster_id for r in C.dbscan(df, eps=0.5, min_samples=min_samples, small_group=small_group).collect()}
+    want = {}
+    for key in (None, "a", "b"):
+        mine = [r for r in rows if r[0] == key and r[3] is not None]
+        labels = brute_dbscan([np.array(r[3], dtype=np.float64) for r in mine], 0.5, min_samples)
+        want |= {(key, r[1]): c for r, c in zip(mine, labels)} | {(key, 1000): -1}
+    assert got == want and len(set(want.values())) > 3
+
+
+@pytest.mark.parametrize("solved", [0, 100, 10_000])
+def test_components_by_contraction_and_in_one_task(spark, monkeypatch, solved):
+    monkeypatch.setattr(C, "SOLVED", solved)
+    links = [("=a", i, i + 1) for i in range(150)] + [("=b", 7, i) for i in range(40)] + [("=b", 100, 101)]
+    both = links + [(k, b, a) for k, a, b in links]
+    nodes = [("=a", i, 500 - i) for i in range(152)] + [("=b", i, i) for i in range(40)] + [("=b", 100, 8000), ("=b", 101, 9000)]
+    out = C.connected_min_label(spark.createDataFrame(nodes, "key string, pid long, label long"), spark.createDataFrame(both, "key string, a long, b long"))
+    got = {(r.key, r.pid): r.label for r in out.collect()}
+    assert got == {("=a", i): 350 for i in range(151)} | {("=a", 151): 349} | {("=b", i): 0 for i in range(40)} | {("=b", 100): 8000, ("=b", 101): 8000}
+
+
+def test_no_point_meets_a_block_that_is_too_far(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    vecs = np.concatenate([rng.normal(0, 0.1, (200, 4)), rng.normal(9, 0.1, (200, 4))])
+    pts = spark.createDataFrame([("k", i, 1, v.tolist()) for i, v in enumerate(vecs)], "kk string, pid long, weight long, vec array<double>")
+    placed = C._placed(pts, 0.3).collect()
+    sides = {}
+    for r in placed:
+        sides.setdefault((r.cell, r.salt), set()).add(r.pid < 200)
+    assert all(len(x) == 1 for x in sides.values()) and sum(r.role == 0 for r in placed) == 400
+
+
 @pytest.mark.parametrize("min_samples,small_group", [(2, 0), (4, 0), (2, 2000), (4, 2000)])
 def test_dbscan_matches_brute_force(spark, min_samples, small_group):
     rnd = random.Random(11)
