@@ -14,25 +14,34 @@ from tessera.functions import text as T
 LINE_BREAK = r"\r\n|\n|\r"
 
 
-# F8 (F4-F7)
-def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_length: int = 1000) -> DataFrame:
-    """``doc_id, chunk_no (1-based), chunk, n_chars``; structured texts split at headings, others by sentence packing.
+def _chunked(docs: DataFrame, keep: list[str], text_col: str, max_length: int) -> DataFrame:
+    """``keep``, the text and the array ``chunks``; structured texts split at headings, others by sentence packing.
 
     Sentences and chunk starts are separate projections, so the sentence
     split runs once per document (HOF lambdas get no common-subexpression
     elimination); one document is one row, no shuffle.
     """
-    x = docs.select(id_col, text_col, T.is_structured(text_col).alias("_st"))
-    x = x.select(id_col, text_col, "_st", F.when(~F.col("_st"), T.sentences(text_col)).alias("_sents"))
-    x = x.select(id_col, text_col, "_st", "_sents", T.chunk_starts("_sents", max_length).alias("_starts"))
+    x = docs.select(*keep, text_col, T.is_structured(text_col).alias("_st"))
+    x = x.select("*", F.when(~F.col("_st"), T.sentences(text_col)).alias("_sents"))
+    x = x.select("*", T.chunk_starts("_sents", max_length).alias("_starts"))
     chunks = F.when(F.col("_st"), T.structural_chunks(text_col)).otherwise(T.slice_chunks("_sents", "_starts"))
+    return x.select(*keep, text_col, chunks.alias("chunks"))
+
+
+def _chunk_rows(chunked: DataFrame, keep: list[str]) -> DataFrame:
     # posexplode_outer + null filter: a plain posexplode makes Spark infer a size(chunks) > 0 filter
     # that re-runs the whole chunking expression a second time
-    return x.select(id_col, F.posexplode_outer(chunks).alias("pos", "chunk")).where(F.col("pos").isNotNull()).select(
-        id_col, (F.col("pos") + 1).cast("bigint").alias("chunk_no"), "chunk", F.length("chunk").cast("bigint").alias("n_chars")
+    return chunked.select(*keep, F.posexplode_outer("chunks").alias("pos", "chunk")).where(F.col("pos").isNotNull()).select(
+        *keep, (F.col("pos") + 1).cast("bigint").alias("chunk_no"), "chunk", F.length("chunk").cast("bigint").alias("n_chars")
     )
 
 
+# F8 (F4-F7)
+def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_length: int = 1000) -> DataFrame:
+    """``doc_id, chunk_no (1-based), chunk, n_chars``."""
+    return _chunk_rows(_chunked(docs, [id_col], text_col, max_length), [id_col])
+
+
 # F9, F9b, F9c
 def extract_metadata(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Title (HTML ``<title>`` wins for HTML pages), author (always null), ISO date strings."""
@@ -122,23 +131,22 @@ def process_documents(docs: DataFrame, done_hashes: DataFrame, id_col: str = "do
 
     Returns ``(summary, chunks)``: one summary row per new content hash
     (representative id, title, dates, chunk count, quality features) and the
-    chunk rows of those documents.  Error rows from ingest should be split
-    off before (``where(error is null)``).
+    chunk rows of those documents (``file_hash`` and the id first).  The smallest id of
+    a hash represents it, a null one only if there is no other; rows that repeat an id
+    or a text are one document of that text.  Null texts have no hash and are left out.
+    Error rows from ingest should be split off before (``where(error is null)``).
     """
-    new = skip_processed(docs, done_hashes, id_col, text_col)
-    todo = docs.join(new.select(id_col, "file_hash", "n_copies"), id_col)
-    chunks = chunk_documents(todo, id_col, text_col, max_length)
-    n_chunks = chunks.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_chunks"))
-    meta = extract_metadata(todo, id_col, text_col)
-    qual = quality_features(todo, id_col, text_col)
-    summary = (
-        todo.select(id_col, "file_hash", "n_copies")
-        .join(meta, id_col)
-        .join(qual, id_col)
-        .join(n_chunks, id_col, "left")
-        .withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)).cast("bigint"))
-    )
-    return summary, chunks
+    new = skip_processed(docs, done_hashes, id_col, text_col).where("file_hash is not null")
+    new = new.select(F.col("file_hash").alias("_hash"), F.col(id_col).alias("_id"), "n_copies")
+    todo = docs.select(T.content_hash(text_col).alias("file_hash"), id_col, text_col)
+    todo = todo.join(new, (F.col("file_hash") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id"))).dropDuplicates(["file_hash"])
+    keep = ["file_hash", id_col, "n_copies"]
+    chunked = _chunked(todo, keep, text_col, max_length)
+    # every value comes from the row's own text: the rest of the row travels as one column, nothing is joined by id
+    facts = F.struct(*keep, T.title(text_col).alias("title"), F.lit(None).cast("string").alias("author"), T.iso_dates(text_col).alias("dates"),
+                     F.greatest(F.size("chunks"), F.lit(0)).cast("bigint").alias("n_chunks")).alias("facts")
+    summary = quality_features(chunked.select(facts, text_col), "facts", text_col).select("facts.*", "n_chars", "n_words", "stop_ratio", "repetition")
+    return summary, _chunk_rows(chunked, ["file_hash", id_col])
 
 
 # M1 / P8

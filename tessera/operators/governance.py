@@ -82,20 +82,26 @@ def format_tool_log(events: DataFrame, ts: str, tool: str, params: str, failed:
 
 
 def parse_tool_log(lines: DataFrame) -> DataFrame:
-    """``ts, logger, level, tool, outcome, detail`` from raw lines (``value``)."""
+    """``ts, logger, level, tool, outcome, detail`` from raw lines (``value``), a row for each line.
+
+    A line that misses the pattern, or a null one, has the outcome ``rejected``, the line as
+    its detail and null in the other columns.
+    """
     v = F.col("value")
+    fits = F.coalesce(v.rlike(LOG_PATTERN), F.lit(False))
+    given = lambda c: F.when(fits, c)
     msg = F.regexp_extract(v, LOG_PATTERN, 4)
     outcome = (F.when(msg.startswith("Invoking "), "invocation")
                .when(msg.rlike(r"^Tool \S+ executed successfully$"), "success")
                .when(msg.rlike(r"^Tool \S+ failed: "), "failure"))
     tool = F.coalesce(F.nullif(F.regexp_extract(msg, r"^Invoking (\S+) with params", 1), F.lit("")),
                       F.nullif(F.regexp_extract(msg, r"^Tool (\S+) ", 1), F.lit("")))
-    return lines.where(v.rlike(LOG_PATTERN)).select(
-        F.to_timestamp(F.regexp_extract(v, LOG_PATTERN, 1), "yyyy-MM-dd HH:mm:ss,SSS").alias("ts"),
-        F.regexp_extract(v, LOG_PATTERN, 2).alias("logger"),
-        F.regexp_extract(v, LOG_PATTERN, 3).alias("level"),
-        tool.alias("tool"), outcome.alias("outcome"),
-        F.regexp_extract(msg, r"^(?:Invoking \S+ with params |Tool \S+ failed: )(.*)$", 1).alias("detail"),
+    return lines.select(
+        given(F.to_timestamp(F.regexp_extract(v, LOG_PATTERN, 1), "yyyy-MM-dd HH:mm:ss,SSS")).alias("ts"),
+        given(F.regexp_extract(v, LOG_PATTERN, 2)).alias("logger"),
+        given(F.regexp_extract(v, LOG_PATTERN, 3)).alias("level"),
+        given(tool).alias("tool"), F.when(fits, outcome).otherwise("rejected").alias("outcome"),
+        F.when(fits, F.regexp_extract(msg, r"^(?:Invoking \S+ with params |Tool \S+ failed: )(.*)$", 1)).otherwise(v).alias("detail"),
     )
 
 
@@ -105,7 +111,7 @@ def read_tool_log(spark, path: str) -> DataFrame:
 
 # G17
 def tool_outcomes(log: DataFrame) -> DataFrame:
-    return log.groupBy("tool").agg(
+    return log.where("outcome is null or outcome <> 'rejected'").groupBy("tool").agg(
         F.count_if(F.col("outcome") == "invocation").alias("invocations"),
         F.count_if(F.col("outcome") == "success").alias("successes"),
         F.count_if(F.col("outcome") == "failure").alias("failures"),

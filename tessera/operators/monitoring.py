@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from tessera.operators import sequence as S
 
@@ -21,15 +22,19 @@ def search_metrics(log: DataFrame, by: str = "day") -> DataFrame:
 
 # W2
 def running_metrics(log: DataFrame, scope: str = "day", ts: str = "ts", rid: str = "event_id", value: str = "response_ms",
-                    decimals: int = 2) -> DataFrame:
+                    decimals: int | None = None) -> DataFrame:
     """Running count and mean per scope in time order (ordered parallel scan: a hot scope is split).
 
-    Values are summed as exact integers of ``10**-decimals`` units, so the
-    running mean does not depend on summation order.
+    Decimal columns are summed as exact integers in units of their own scale, others as
+    doubles; ``decimals`` says that a column of doubles holds so many decimals and is to be
+    summed exactly too (what lies beyond is rounded).  Rows without a value are left out.
     """
-    unit = 10 ** decimals
-    x = log.select(scope, ts, rid, value).withColumn("_a", F.lit(1.0)).withColumn(
-        "_b", F.round(F.col(value) * F.lit(unit)).cast("bigint").cast("double"))
+    kind = log.schema[value].dataType
+    decimals = kind.scale if decimals is None and isinstance(kind, DecimalType) else decimals
+    unit = 10 ** (decimals or 0)
+    x = log.where(F.col(value).isNotNull()).select(scope, ts, rid, value)
+    units = F.col(value) if decimals is None else F.round(F.col(value) * F.lit(unit)).cast("bigint")
+    x = x.withColumn("_a", F.lit(1.0)).withColumn("_b", units.cast("double"))
     out = S.affine_scan(x, scope, [ts, rid], "_a", "_b", 0.0, [scope, rid, ts])
     return out.select(scope, rid, ts, F.col("idx").alias("n"), (F.col("value") / F.col("idx") / F.lit(float(unit))).alias("running_avg"))
 

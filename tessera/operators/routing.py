@@ -115,17 +115,19 @@ def model_performance(calls: DataFrame, model: str = "model", ts: str = "ts", ri
     """Per call, in time order per model: calls so far, success-rate EWMA and mean latency, exactly as the recurrence.
 
     success: ``r <- 0.9 r + 0.1``; failure: ``r <- 0.9 r``; start 1.0.
-    latency (successes only, n counts every call): ``a <- (a (n-1) + x) / n``.
+    latency (successes only, n counts every call): ``a <- (a (n-1) + x) / n``.  A success
+    without a latency leaves the mean as it is; a null success is a failure.
     """
-    base = calls.select(model, ts, rid, "success", "latency")
+    base = calls.select(model, ts, rid, F.coalesce("success", F.lit(False)).alias("success"), "latency")
     ew = S.affine_scan(base.withColumn("_a", F.lit(0.9)).withColumn("_b", F.when(F.col("success"), 0.1).otherwise(0.0)),
                        model, [ts, rid], "_a", "_b", 1.0, [model, rid, ts, "success", "latency"])
     ew = ew.withColumnRenamed("value", "success_rate").withColumnRenamed("idx", "n")
     n = F.col("n").cast("double")
-    lat = ew.withColumn("_a", F.when(F.col("success"), (n - 1) / n).otherwise(1.0)).withColumn(
-        "_b", F.when(F.col("success"), F.col("latency") / n).otherwise(0.0))
+    ew = ew.withColumns({"_ok": F.col("success") & F.col("latency").isNotNull(), "latency": F.coalesce("latency", F.lit(0.0))})
+    lat = ew.withColumn("_a", F.when(F.col("_ok"), (n - 1) / n).otherwise(1.0)).withColumn(
+        "_b", F.when(F.col("_ok"), F.col("latency") / n).otherwise(0.0))
     out = S.affine_scan(lat, model, [ts, rid], "_a", "_b", 0.0, [model, rid, ts, "n", "success", "success_rate"],
-                        mean_of=("n", "latency", "success"))
+                        mean_of=("n", "latency", "_ok"))
     return out.withColumnRenamed("value", "avg_latency").drop("idx")
 
 

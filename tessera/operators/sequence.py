@@ -375,13 +375,14 @@ def ttl_cache_replay(req: DataFrame, key: str, ttl_seconds: int, ts: str = "ts",
 
 
 def admit_by_budget(req: DataFrame, budget: str, key: str = "day", ts: str = "ts", rid: str = "req_id",
-                    cost: str = "cost", spends: str | None = None, scale: int = 1_000_000, n_parts: int | None = None) -> DataFrame:
+                    cost: str = "cost", spends: str | None = None, scale: int = 1_000_000_000, n_parts: int | None = None) -> DataFrame:
     """Admit iff ``spent + cost <= budget``; spent grows only on admitted rows (by ``spends`` if given).
 
     Rounds of exclusive prefix sums: what is left of the budget at a key's first overflow
     only shrinks, so that row and every later row that costs more than it are rejected.
     Every round rejects at least one further cost of each key that overflows, so the
-    rounds end; money is handled in exact integer units.
+    rounds end; money is handled in exact integer units of 1 / ``scale`` (the nine decimals
+    of costs and budget).
     """
     spark = req.sparkSession
     units = lambda c: F.round(F.col(c).cast("decimal(38,9)") * scale).cast("long")
@@ -404,21 +405,25 @@ def admit_by_budget(req: DataFrame, budget: str, key: str = "day", ts: str = "ts
             .collect()  # at most one row per key (e.g. per day)
         )
         if not first:
-            return out.select(key, rid, ts, (F.col("_cost") / F.lit(scale)).cast("decimal(18,6)").alias(cost),
-                              F.col("cand").alias("admitted"), (F.col("spent_before") / F.lit(scale)).cast("decimal(18,6)").alias("spent_before"))
+            return out.select(key, rid, ts, (F.col("_cost") / F.lit(scale)).cast("decimal(28,9)").alias(cost),
+                              F.col("cand").alias("admitted"), (F.col("spent_before") / F.lit(scale)).cast("decimal(28,9)").alias("spent_before"))
         for r in first:
             rules.setdefault(r["_key"], []).append((int(r["_t"]), int(r[rid]), bud - int(r["spent_before"]) + 1))
 
 
 def session_starts(events: DataFrame, key: str, gap_seconds: int, ts: str = "ts", rid: str = "event_id",
                    n_parts: int | None = None) -> DataFrame:
-    """Every event with ``session_start_us`` (micros) of its inactivity session, as an ordered scan."""
+    """Every event with ``session_start_us`` (micros) of its inactivity session, as an ordered scan.
+
+    Events without a time take no part in the scan: their session start is null.
+    """
     x = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
-    s = ordered_partitions(x, key, ["_t", rid], n_parts)
+    untimed = events.where(F.col(ts).isNull()).withColumn("session_start_us", F.lit(None).cast("long"))
+    s = ordered_partitions(x.where(F.col("_t").isNotNull()), key, ["_t", rid], n_parts)
     keep = [c for c in x.columns]
     kernel = SessionKernel("_t", gap_seconds * 1_000_000, keep)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.select(*keep).schema.fields)
-    return run_scan(s, key, kernel, f"{schema}, session_start_us long").drop("_t")
+    return run_scan(s, key, kernel, f"{schema}, session_start_us long").drop("_t").unionByName(untimed)
 
 
 def lag_scan(df: DataFrame, key: str, order: list[str], col: str, out: str = "prev", default=None,

@@ -22,7 +22,7 @@ def search_metrics(spark, sf_dir):
 
 @register("running_metrics")
 def running_metrics(spark, sf_dir):
-    r = M.running_metrics(_log(spark, sf_dir), "day")
+    r = M.running_metrics(_log(spark, sf_dir), "day", decimals=2)
     return r.select("day", "event_id", "n", round6("running_avg").alias("running_avg"))
 
 

@@ -18,7 +18,9 @@ from tessera.operators import clustering as C
 from tessera.operators import documents as D
 from tessera.operators import evaluation as E
 from tessera.operators import governance as G
+from tessera.operators import monitoring as M
 from tessera.operators import retrieval as R
+from tessera.operators import routing as Rt
 from tessera.operators import segments as SG
 from tessera.operators import sequence as S
 from tessera.sources import files as FS
@@ -749,3 +751,45 @@ def test_vector_functions(spark):
     df = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0])], "a array<float>, b array<float>")
     r = df.select(T.dot("a", "b").alias("dot"), T.cosine("a", "b").alias("cosine"), T.vector_mean("a").alias("mean")).first()
     assert (r.dot, r.mean) == (11.0, 1.5) and r.cosine == pytest.approx(11 / (5 * math.sqrt(5)))
+
+
+def test_processed_documents_with_null_and_repeated_ids(spark):
+    rows = [(None, "one text. here"), (5, "other text"), (None, "one text. here"), (5, "other text"), (5, "third # text"), (7, "other text"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    summary, chunks = D.process_documents(docs, spark.createDataFrame([], "file_hash string"))
+    got = sorted((r.doc_id or -1, r.n_copies, r.n_chars, r.n_chunks) for r in summary.collect())
+    assert got == [(-1, 2, 14, 1), (5, 1, 12, 1), (5, 3, 10, 1)]
+    assert sorted((r.doc_id or -1, r.chunk) for r in chunks.collect()) == [(-1, "one text. here"), (5, "other text"), (5, "third # text")]
+
+
+def test_events_without_a_time_have_a_session_of_their_own(spark):
+    rows = [(1, 1, ts(0)), (2, 1, None), (3, 1, ts(60)), (4, None, None), (5, 2, None), (6, 1, None)]
+    ev = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz").withColumn("event_type", F.lit("view"))
+    got = {r.event_id: (r.session_start, r.session_id) for r in Bh.sessionize(ev, 1800, "x", n_parts=3).collect()}
+    assert got[1] == got[3] and got[1][0] == ts(0)
+    assert got[2] == got[6] and got[2][0] is None and len({got[i][1] for i in (1, 2, 4, 5)}) == 4
+
+
+def test_a_null_latency_leaves_the_mean(spark):
+    rows = [("m", ts(i), i, ok, lat) for i, (ok, lat) in enumerate([(True, 2.0), (True, None), (None, 9.0), (False, 5.0), (True, 4.0)])]
+    calls = spark.createDataFrame(rows, "model string, ts timestamp_ntz, req_id long, success boolean, latency double")
+    got = [r.avg_latency for r in Rt.model_performance(calls).orderBy("req_id").collect()]
+    assert got == pytest.approx([2.0, 2.0, 2.0, 2.0, (2.0 * 4 + 4.0) / 5])
+
+
+def test_small_costs_and_values_are_exact(spark):
+    reqs = [("d", ts(i), i, 0.0000004, True) for i in range(5)]
+    df = spark.createDataFrame(reqs, "day string, ts timestamp_ntz, req_id long, cost double, spends boolean")
+    out = S.admit_by_budget(df, "0.000001", key="day", cost="cost", spends="spends").orderBy("req_id").collect()
+    assert [r.admitted for r in out] == [True, True, False, False, False] and float(out[0].cost) == 4e-7
+    log = spark.createDataFrame([("d", ts(i), i, v) for i, v in enumerate([0.004, None, 0.008])], "day string, ts timestamp_ntz, event_id long, response_ms double")
+    assert [(r.n, r.running_avg) for r in M.running_metrics(log).orderBy("event_id").collect()] == [(1, pytest.approx(0.004)), (2, pytest.approx(0.006))]
+    exact = log.withColumn("response_ms", F.col("response_ms").cast("decimal(10,4)"))
+    assert [r.running_avg for r in M.running_metrics(exact).orderBy("event_id").collect()] == pytest.approx([0.004, 0.006])
+
+
+def test_log_lines_that_miss_the_pattern_are_rejected_rows(spark):
+    lines = spark.createDataFrame([("2024-01-01 10:00:00,123 - AgentTools - INFO - Invoking search with params {}",), ("garbage",), (None,)], "value string")
+    out = G.parse_tool_log(lines)
+    assert sorted((r.outcome, r.detail or "", r.tool or "") for r in out.collect()) == [("invocation", "{}", "search"), ("rejected", "", ""), ("rejected", "garbage", "")]
+    assert [(r.tool, r.invocations) for r in G.tool_outcomes(out).collect()] == [("search", 1)]
