@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, materialize
 
 SUMMARY_SCHEMA = "pid int, first_key string, last_key string, payload string"
 
@@ -70,7 +70,6 @@ def _segments(keys: np.ndarray):
 
 def run_scan(s: DataFrame, key: str, kernel, out_schema: str) -> DataFrame:
     """Summary pass -> carry composition -> apply pass, over ``ordered_partitions`` output."""
-    spark = s.sparkSession
     cols = list(dict.fromkeys([key, "_pid", "_border", *kernel.columns]))
 
     def summarize(it):
@@ -97,7 +96,12 @@ def run_scan(s: DataFrame, key: str, kernel, out_schema: str) -> DataFrame:
         else:
             cur_state = kernel.compose(p["first"], incoming)
         cur_key = row.last_key
-    bc = spark.sparkContext.broadcast(carries)
+    return apply_scan(s, kernel, carries, out_schema)
+
+
+def apply_scan(s: DataFrame, kernel, carries: dict[int, object], out_schema: str) -> DataFrame:
+    """Apply pass: every range from the state that enters it."""
+    bc = s.sparkSession.sparkContext.broadcast(carries)
 
     def apply(it):
         pdf = _frames(it)
@@ -183,65 +187,146 @@ class RunningMeanKernel(AffineKernel):
 class TTLKernel:
     """Cache replay: a miss stores for ``ttl``; hits inside it do not extend it; hit iff ``t < expiry``.
 
-    State = (expiry, id of the request that stored the entry).
+    State = (expiry, id of the request that stored the entry).  ``ttl_carries`` finds the
+    state that enters each range.
     """
 
     def __init__(self, t: str, rid: str, ttl: int, keep: list[str]):
         self.t, self.rid, self.ttl, self.keep = t, rid, ttl, keep
         self.columns = [t, rid, *keep]
 
-    def _chains(self, seg):
+    def _next(self, t: np.ndarray) -> np.ndarray:
+        """Of each request the first one that misses if it does; beyond the last: the length."""
+        return np.append(np.maximum(np.searchsorted(t, t + self.ttl, side="left"), np.arange(1, len(t) + 1)), len(t))
+
+    def ends(self, seg) -> tuple[np.ndarray, np.ndarray]:
+        """Expiry and id left at the end of the segment if a request misses, for each, by pointer doubling."""
+        t, ids = seg[self.t].to_numpy(np.int64), seg[self.rid].to_numpy(np.int64)
+        jump = self._next(t)
+        last = np.where(jump[:-1] < len(t), jump[:-1], np.arange(len(t)))
+        while True:
+            further = last[last]
+            if (further == last).all():
+                return t[last] + self.ttl, ids[last]
+            last = further
+
+    def bounds(self, seg) -> dict:
+        """Constant-size summary of a segment: first and last time, and what it leaves if its first request misses."""
         t = seg[self.t].to_numpy(np.int64)
-        ids = seg[self.rid].to_numpy(np.int64)
-        nxt = np.searchsorted(t, t + self.ttl, side="left")
-        n = len(t)
-        out_exp = np.empty(n, dtype=np.int64)
-        out_id = np.empty(n, dtype=np.int64)
-        for j in range(n - 1, -1, -1):
-            k = nxt[j]
-            if k < n:
-                out_exp[j], out_id[j] = out_exp[k], out_id[k]
-            else:
-                out_exp[j], out_id[j] = t[j] + self.ttl, ids[j]
-        return t, ids, nxt, out_exp, out_id
+        expiry, ids = self.ends(seg)
+        return {"t0": int(t[0]), "t1": int(t[-1]), "fresh": [int(expiry[0]), int(ids[0])]}
 
-    def transfer(self, seg):
-        t, ids, nxt, oe, oi = self._chains(seg)
-        h = min(int(nxt[0]) + 1, len(t))  # head: every possible first miss for an incoming expiry <= t0 + ttl
-        return {"t": t[:h].tolist(), "e": oe[:h].tolist(), "i": oi[:h].tolist(), "n": len(t)}
+    def heads(self, seg) -> pd.DataFrame:
+        """upto, expiry, sid: what the segment leaves for each expiry that may enter it.
 
-    def fresh_out(self, seg):
-        t, ids, nxt, oe, oi = self._chains(seg)
-        return [int(oe[0]), int(oi[0])]
-
-    def compose(self, tr, incoming):
-        if incoming is None:
-            return [tr["e"][0], tr["i"][0]]
-        j = int(np.searchsorted(np.asarray(tr["t"], dtype=np.int64), incoming[0], side="left"))
-        if j >= len(tr["t"]):
-            return incoming if len(tr["t"]) == tr["n"] else None  # head covers the segment -> all hits
-        return [tr["e"][j], tr["i"][j]]
+        An entering expiry is at most ``t0 + ttl``; one of at most ``upto`` (and above the row
+        before) leaves (``expiry``, ``sid``), one beyond all rows passes unchanged.
+        """
+        t = seg[self.t].to_numpy(np.int64)
+        n = min(int(np.searchsorted(t, t[0] + self.ttl, side="left")) + 1, len(t))
+        expiry, ids = (x[:n] for x in self.ends(seg))
+        change = np.append((expiry[1:] != expiry[:-1]) | (ids[1:] != ids[:-1]), True)
+        return pd.DataFrame({"upto": t[:n][change], "expiry": expiry[change], "sid": ids[change]}).drop_duplicates("upto", keep="first")
 
     def apply(self, seg, carry):
-        t, ids, nxt, _, _ = self._chains(seg)
-        n = len(t)
-        hit = np.ones(n, dtype=bool)
-        served = np.empty(n, dtype=np.int64)
-        j = 0
-        if carry is not None:
-            j = int(np.searchsorted(t, carry[0], side="left"))
-            served[:j] = carry[1]
-        while j < n:
-            k = int(nxt[j])
-            hit[j] = False
-            served[j:k] = ids[j]
-            j = k
+        t, ids = seg[self.t].to_numpy(np.int64), seg[self.rid].to_numpy(np.int64)
+        n, jump = len(t), self._next(t)
+        first = 0 if carry is None else int(np.searchsorted(t, carry[0], side="left"))
+        found = new = np.arange(first, min(first + 1, n))
+        while len(new):  # each pass doubles the misses found
+            new = jump[found]
+            new = new[new < n]
+            found, jump = np.concatenate([found, new]), jump[jump]
+        miss = np.zeros(n, dtype=bool)
+        miss[found] = True
+        stored = np.maximum.accumulate(np.where(miss, np.arange(n), -1))
         res = seg[self.keep].copy()
-        res["hit"] = hit
-        res["served_by"] = served
+        res["hit"] = ~miss
+        res["served_by"] = np.where(stored < 0, 0 if carry is None else carry[1], ids[stored])
         return res
 
 
+def ttl_carries(s: DataFrame, key: str, kernel: TTLKernel) -> dict[int, object]:
+    """The state (expiry, id) that enters each range of ``ordered_partitions``, for ``TTLKernel``.
+
+    The driver gets one row of constant size a range.  They tell all but the ranges that
+    one key fills from an earlier range to a later one.  What those leave for each expiry
+    is a table (``TTLKernel.heads``) whose rows point to each other: the expiry that a row
+    leaves meets one row of one later range of the chain.  Pointer doubling marks the rows
+    on the way from the start of each chain, at most one a range.
+    """
+    spark = s.sparkSession
+    cols = list(dict.fromkeys([key, "_pid", "_border", *kernel.columns]))
+
+    def summarize(it):
+        pdf = _frames(it)
+        if pdf is None:
+            return
+        segs = _segments(pdf["_border"].to_numpy())
+        last = kernel.bounds(pdf.iloc[segs[-1][0]:segs[-1][1]])
+        yield pd.DataFrame({"pid": [int(pdf["_pid"].iloc[0])], "first_key": [str(segs[0][2])], "last_key": [str(segs[-1][2])],
+                            "payload": [json.dumps(last | {"one": len(segs) == 1})]})
+
+    rows = sorted(s.select(*cols).mapInPandas(summarize, SUMMARY_SCHEMA).collect(), key=lambda r: r.pid)
+    carries: dict[int, object] = {}
+    chains: list[tuple[list[int], list]] = []  # ranges that one key enters from the range before, and the state that enters the first
+    of = {r.pid: json.loads(r.payload) for r in rows}
+    before = None
+    for row in rows:
+        if before is None or before.last_key != row.first_key:
+            carries[row.pid] = None
+        elif chains and chains[-1][0][-1] == before.pid and of[before.pid]["one"]:
+            chains[-1][0].append(row.pid)
+        else:
+            carries[row.pid] = of[before.pid]["fresh"]
+            chains.append(([row.pid], carries[row.pid]))
+        before = row
+    chains = [c for c in chains if len(c[0]) > 1]
+    if not chains:
+        return carries
+
+    through = {pid: c for c, (pids, _) in enumerate(chains) for pid in pids[:-1]}  # ranges whose outcome is wanted
+    tops = [np.array([of[p]["t1"] for p in pids[:-1]], dtype=np.int64) for pids, _ in chains]
+
+    def target(chain: int, after: int, expiry: np.ndarray) -> np.ndarray:
+        """Range of the chain behind place ``after`` that an expiry falls into (-1: none)."""
+        pids = np.array([*chains[chain][0][:-1], -1])
+        return pids[np.maximum(np.searchsorted(tops[chain], expiry, side="left"), min(after + 1, len(pids) - 1))]
+
+    def write(it):
+        pdf = _frames(it)
+        if pdf is None or int(pdf["_pid"].iloc[0]) not in through:
+            return
+        pid = int(pdf["_pid"].iloc[0])
+        out = kernel.heads(pdf)
+        chain = through[pid]
+        yield out.assign(pid=pid, to=target(chain, chains[chain][0].index(pid), out["expiry"].to_numpy()))
+
+    heads = materialize(s.select(*cols).mapInPandas(write, "pid int, upto long, expiry long, sid long, to int"), "ttl-heads")
+    starts = [(int(target(c, -1, np.array([state[0]]))[0]), int(state[0])) for c, (_, state) in enumerate(chains)]
+    asked = heads.where("to >= 0").select("to", F.col("expiry").alias("ask")).distinct()
+    asked = asked.union(spark.createDataFrame(starts, "to int, ask long").where("to >= 0")).distinct()
+
+    def meet(asks: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        upto = np.sort(there["upto"].to_numpy(np.int64))
+        ask = asks["ask"].to_numpy(np.int64)
+        return pd.DataFrame({"to": asks["to"], "ask": ask, "to_upto": upto[np.searchsorted(upto, ask, side="left")]})
+
+    met = materialize(asked.groupBy("to").cogroup(heads.select(F.col("pid").alias("to"), "upto").groupBy("to")).applyInPandas(meet, "to int, ask long, to_upto long"), "ttl-met")
+    jump = heads.join(met.withColumnRenamed("ask", "expiry"), ["to", "expiry"]).select("pid", "upto", "to", "to_upto")
+    on_way = spark.createDataFrame(starts, "to int, ask long").join(met, ["to", "ask"]).select(F.col("to").alias("pid"), F.col("to_upto").alias("upto")).distinct()
+    for _ in range(max(len(pids) for pids, _ in chains).bit_length()):
+        jump = materialize(jump, "ttl-jump")
+        on_way = materialize(on_way.union(on_way.join(jump, ["pid", "upto"]).select("to", "to_upto")).distinct(), "ttl-way")
+        further = jump.select(F.col("pid").alias("to"), F.col("upto").alias("to_upto"), F.col("to").alias("far"), F.col("to_upto").alias("far_upto"))
+        jump = jump.join(further, ["to", "to_upto"]).select("pid", "upto", F.col("far").alias("to"), F.col("far_upto").alias("to_upto"))
+    left = {r.pid: [r.expiry, r.sid] for r in heads.join(on_way, ["pid", "upto"]).select("pid", "expiry", "sid").collect()}  # at most one a range
+    for pids, state in chains:
+        for pid, after in zip(pids, pids[1:]):
+            state = carries[after] = left.get(pid, state)
+    return carries
+
+
 class SessionKernel:
     """Inactivity sessions: a gap ``>= gap`` since the key's previous event starts a session.
 
@@ -365,13 +450,17 @@ def affine_scan(df: DataFrame, key: str, order: list[str], a: str, b: str, init:
 
 
 def ttl_cache_replay(req: DataFrame, key: str, ttl_seconds: int, ts: str = "ts", rid: str = "req_id", n_parts: int | None = None) -> DataFrame:
-    """``hit`` and ``served_by`` (the request whose result was stored) per request."""
+    """``hit`` and ``served_by`` (the request whose result was stored) per request.
+
+    A request without a time takes no part in the cache: it is a miss that serves itself.
+    """
     x = req.select(key, rid, ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
-    s = ordered_partitions(x, key, ["_t", rid], n_parts)
+    untimed = x.where(F.col("_t").isNull()).select(key, rid, ts, F.lit(False).alias("hit"), F.col(rid).cast("long").alias("served_by"))
+    s = ordered_partitions(x.where(F.col("_t").isNotNull()), key, ["_t", rid], n_parts)
     keep = [key, rid, ts]
     kernel = TTLKernel("_t", rid, ttl_seconds * 1_000_000, keep)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.select(*keep).schema.fields)
-    return run_scan(s, key, kernel, f"{schema}, hit boolean, served_by long")
+    return apply_scan(s, kernel, ttl_carries(s, key, kernel), f"{schema}, hit boolean, served_by long").union(untimed)
 
 
 def admit_by_budget(req: DataFrame, budget: str, key: str = "day", ts: str = "ts", rid: str = "req_id",

@@ -219,6 +219,26 @@ def test_ttl_replay_equals_naive_loop_with_hot_key(spark):
     assert got[10_001] == (False, 10_001) and got[10_002] == (True, 10_001)
 
 
+@pytest.mark.parametrize("span, ttl", [(20_000, 7), (20_000, 900), (20_000, 30_000), (300, 1), (50, 0)])
+def test_ttl_replay_of_one_key_over_many_ranges(spark, span, ttl):
+    """One key fills 11 ranges: entries shorter than a range, longer than several, longer than all; ties."""
+    rnd = random.Random(span + ttl)
+    ev = [("hot", rnd.randint(0, span), rid) for rid in range(1500)] + [("a", 5, 5000), ("z", 5, 5001)]
+    df = spark.createDataFrame([(k, ts(t), r) for k, t, r in ev] + [("hot", None, 6000), (None, ts(4), 6001)], "key string, ts timestamp_ntz, req_id long")
+    got = {r.req_id: (r.hit, r.served_by) for r in S.ttl_cache_replay(df, "key", ttl, n_parts=11).collect()}
+    assert got == naive_ttl(ev, ttl) | {6000: (False, 6000), 6001: (False, 6001)}
+
+
+def test_ttl_summary_of_a_range_has_constant_size():
+    import pandas as pd
+
+    n = 20_000  # all in the first entry's time to live
+    seg = pd.DataFrame({"_t": range(10**15, 10**15 + n), "req_id": range(n)})
+    kernel = S.TTLKernel("_t", "req_id", 10**9, [])
+    assert len(json.dumps(kernel.bounds(seg))) < 1000
+    assert len(kernel.heads(seg)) == n  # a table of Spark's, not of the driver
+
+
 def naive_budget(reqs, budget):
     out, spent = {}, {}
     for day, t, rid, cost, spends in sorted(reqs, key=lambda r: (r[0], r[1], r[2])):
