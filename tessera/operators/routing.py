@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import sequence as S
 from tessera.plans.guards import bounded_broadcast
+from tessera.session import materialize
 
 QUALITY_THRESHOLD = 0.5
 CACHE_TTL = 3600
@@ -38,6 +39,27 @@ def fit_tfidf(corpus: DataFrame, col: str = "input", vocab: int = 1000):
     ]).fit(corpus)
 
 
+def tfidf_weights(corpus: DataFrame, key: str = "input_id", col: str = "input", vocab: int = 1000) -> DataFrame:
+    """F17 with its weights: ``key``, ``weights`` (term -> weight), one row per key.
+
+    The vocabulary is the ``vocab`` terms that occur most often in the corpus (ties by term).
+    A weight is the term's count times ``ln((1 + n) / (1 + df)) + 1``, then each row is scaled
+    to length 1.  Rows that repeat a key are one text; a null key is a key of its own; a text
+    that is null or has no term of the vocabulary has an empty map, and counts in n.
+    """
+    tokens = F.filter(F.split(F.coalesce(F.col(col), F.lit("")), r"\s+"), lambda t: t != "")
+    counts = corpus.select(key, F.explode_outer(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = materialize(counts, "tfidf-counts")
+    n = counts.agg(F.count_distinct(F.struct(key))).first()[0]
+    terms = counts.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    kept = terms.orderBy(F.desc("total"), "term").limit(vocab).select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    x = counts.join(bounded_broadcast(kept, 100_000), "term", "left")
+    weight = F.when(F.col("idf").isNotNull(), F.struct("term", (F.col("tf") * F.col("idf")).alias("w")))
+    by_key = x.groupBy(key).agg(F.array_sort(F.collect_list(weight)).alias("ws"))  # at most vocab terms a key
+    norm = F.sqrt(F.aggregate("ws", F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
+    return by_key.select(key, norm.alias("norm"), "ws").select(key, F.map_from_entries(F.transform("ws", lambda e: F.struct(e["term"], e["w"] / F.col("norm")))).alias("weights"))
+
+
 # M3
 def fit_selector(train: DataFrame, features: str = "embedding", label: str = "label", trees: int = 100, seed: int = 42):
     """Random forest over embedding vectors -> model class."""

@@ -373,6 +373,12 @@ SQL["workflow_runs"] = f"""
 WITH u AS ({USER_INPUTS})
 SELECT input_id, 'claude-2 response to preprocess:' || input || chr(10) || chr(10) || 'gpt-3.5 response to generate:' || input
        || chr(10) || chr(10) || 'palm-2 response to refine:' || input AS result, 3::BIGINT AS n_steps FROM u"""
+SQL["tfidf_weights"] = f"""
+WITH u AS ({USER_INPUTS}),
+tf AS (SELECT input_id, term, count(*) AS tf FROM (SELECT input_id, unnest({_ws('input')}) AS term FROM u) GROUP BY ALL),
+v AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(DISTINCT input_id) FROM u)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 1000),
+w AS (SELECT input_id, term, tf * idf AS w FROM tf JOIN v USING (term))
+SELECT input_id, term, {{r6}} AS weight FROM w JOIN (SELECT input_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY input_id) USING (input_id)""".replace("{r6}", "floor(w / norm * 1000000 + 0.5) / 1000000")
 SQL["input_features"] = rf"""
 WITH u AS ({USER_INPUTS})
 SELECT input_id, length(input)::BIGINT AS length, length(regexp_replace(input, '[\p{{L}}\p{{N}}]', '', 'g'))::BIGINT AS special_chars FROM u"""

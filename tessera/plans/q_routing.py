@@ -104,6 +104,13 @@ def tfidf_features(spark, sf_dir):
     return out.select("input_id", F.size(F.filter(vector_to_array("tfidf"), lambda v: v != 0)).cast("bigint").alias("n_terms"))
 
 
+@register("tfidf_weights")
+def tfidf_weights(spark, sf_dir):
+    """The weights themselves (1000 terms, smoothed idf, unit length), one row per user input and term."""
+    w = Rt.tfidf_weights(_user_inputs(spark, sf_dir), vocab=1000)
+    return w.select("input_id", F.explode("weights").alias("term", "weight")).select("input_id", "term", round6("weight").alias("weight"))
+
+
 @register("model_selector")
 def model_selector(spark, sf_dir):
     """Random forest on embeddings -> model index, name and confidence for every vector."""

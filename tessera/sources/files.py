@@ -107,11 +107,18 @@ INGEST_SCHEMA = "path string, ext string, file_hash string, content string, form
 
 
 def ingest_files(spark: SparkSession, glob: str, parsers: dict | None = None, max_bytes: int | None = None) -> DataFrame:
-    """One row per file: ``path, ext, file_hash, content, format_meta (JSON), error``."""
+    """One row per file: ``path, ext, file_hash, content, format_meta (JSON), error``.
+
+    A file of more than ``max_bytes`` is an error row; its content is not read.
+    """
     files = spark.read.format("binaryFile").load(glob)
-    if max_bytes is not None:
-        files = files.where(F.col("length") <= max_bytes)
-    return parse_binary_rows(files, parsers)
+    if max_bytes is None:
+        return parse_binary_rows(files, parsers)
+    none = F.lit(None).cast("string")
+    ext = F.lower(F.regexp_extract(F.substring_index("path", "/", -1), r"[^.](\.[^.]*)$", 1))
+    large = files.where(F.col("length") > max_bytes).select("path", ext.alias("ext"), none.alias("file_hash"), none.alias("content"), none.alias("format_meta"),
+                                                            F.format_string("%d bytes, more than %d", "length", F.lit(max_bytes)).alias("error"))
+    return parse_binary_rows(files.where(F.col("length") <= max_bytes), parsers).union(large)
 
 
 def parse_binary_rows(files: DataFrame, parsers: dict | None = None) -> DataFrame:

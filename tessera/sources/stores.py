@@ -6,8 +6,11 @@ exists), in parquet, to folders given by the caller.
 
 from __future__ import annotations
 
+import datetime as dt
+import time
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -27,11 +30,26 @@ SEARCH_LOG_SCHEMA = "ts timestamp, query string, mode string, kb_ids array<strin
 
 # S6
 def read_test_sets(spark: SparkSession, path: str) -> DataFrame:
-    """Test-set JSON files (``{test_set: [case, ...]}``) -> one row per case with its position."""
+    """Test-set JSON files (``{test_set: [case, ...]}``) -> one row per case with its position.
+
+    Files that can't be read as such are rows of ``rejected_test_sets``.
+    """
+    x = _test_set_files(spark, path).select(F.explode("sets").alias("test_set", "cases"))
+    return x.select("test_set", F.posexplode("cases").alias("pos", "case")).select("test_set", "pos", "case.*")
+
+
+def rejected_test_sets(spark: SparkSession, path: str) -> DataFrame:
+    """path, test_set, error of every file (test_set null) or test set of a file that gives no cases because it is malformed."""
+    files = _test_set_files(spark, path)
+    whole = files.where(F.col("sets").isNull()).select("path", F.lit(None).cast("string").alias("test_set"), F.lit("malformed test set file").alias("error"))
+    sets = files.select("path", F.explode("sets").alias("test_set", "cases")).where(F.col("cases").isNull())
+    return whole.union(sets.select("path", "test_set", F.lit("test set is not a list of cases").alias("error")))
+
+
+def _test_set_files(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True)
     m = F.from_json("value", Ty.MapType(Ty.StringType(), Ty.ArrayType(TEST_CASE)))
-    x = raw.select(F.explode(m).alias("test_set", "cases"))
-    return x.select("test_set", F.posexplode("cases").alias("pos", "case")).select("test_set", "pos", "case.*")
+    return raw.select(F.col("_metadata.file_path").alias("path"), m.alias("sets"))
 
 
 def missing(e: AnalysisException) -> bool:
@@ -64,6 +82,28 @@ def export_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
+# S11
+def run_logged(hits: DataFrame, sink, log: str, query: str, mode: str, kb_ids: list[str] | None = None, cache_hit: bool = False) -> dict:
+    """Run a search by ``sink`` (an action on its hits, such as a write) and append its log record.
+
+    The number of results is observed while the sink runs, so the search is not run again for
+    it.  A sink that fails leaves no record.  Returns the record (``SEARCH_LOG_SCHEMA``).
+    """
+    spark = hits.sparkSession
+    seen = Observation()
+    at, began = dt.datetime.now(dt.timezone.utc), time.monotonic()
+    sink(hits.observe(seen, F.count(F.lit(1)).alias("n_results")))
+    record = {"ts": at, "query": query, "mode": mode, "kb_ids": kb_ids, "n_results": seen.get["n_results"],
+              "duration_ms": (time.monotonic() - began) * 1000, "cache_hit": cache_hit}
+    append(spark.createDataFrame([tuple(record.values())], SEARCH_LOG_SCHEMA), log)
+    return record
+
+
+def read_search_log(spark: SparkSession, log: str) -> DataFrame:
+    """The records as input of the search metrics (``response_ms`` is the duration)."""
+    return spark.read.schema(SEARCH_LOG_SCHEMA).parquet(log).withColumn("response_ms", F.col("duration_ms"))
+
+
 # S7 / S10 / S11
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)

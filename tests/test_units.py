@@ -813,3 +813,55 @@ def test_log_lines_that_miss_the_pattern_are_rejected_rows(spark):
     out = G.parse_tool_log(lines)
     assert sorted((r.outcome, r.detail or "", r.tool or "") for r in out.collect()) == [("invocation", "{}", "search"), ("rejected", "", ""), ("rejected", "garbage", "")]
     assert [(r.tool, r.invocations) for r in G.tool_outcomes(out).collect()] == [("search", 1)]
+
+
+# ---------------------------------------------------------------- rejects, search log, TF-IDF weights
+
+def test_malformed_test_sets_are_rejects(spark, tmpdir_path):
+    from tessera.sources import stores
+
+    for name, body in (("a.json", '{"s": [{"input": "x", "expected": "y"}]}'), ("b.json", "{broken"), ("c.json", '{"t": "no list"}'), ("d.json", "")):
+        with open(os.path.join(tmpdir_path, name), "w") as fh:
+            fh.write(body)
+    assert [(r.test_set, r.pos, r.input) for r in stores.read_test_sets(spark, tmpdir_path).collect()] == [("s", 0, "x")]
+    rejects = {os.path.basename(r.path) for r in stores.rejected_test_sets(spark, tmpdir_path).collect()}
+    assert {"b.json", "c.json"} <= rejects and "a.json" not in rejects
+
+
+def test_files_above_max_bytes_are_error_rows(spark, tmpdir_path):
+    from tessera.sources import files
+
+    for name, body in (("a.txt", "short"), ("b.TXT", "x" * 100), ("c", "x" * 100)):
+        with open(os.path.join(tmpdir_path, name), "w") as fh:
+            fh.write(body)
+    rows = {os.path.basename(r.path): r for r in files.ingest_files(spark, tmpdir_path, max_bytes=50).collect()}
+    assert rows["a.txt"].content == "short" and rows["a.txt"].error is None
+    assert rows["b.TXT"].ext == ".txt" and rows["c"].ext == "" and "100 bytes" in rows["b.TXT"].error
+
+
+def test_search_metrics_read_the_log_that_a_search_wrote(spark, tmpdir_path):
+    from tessera.sources import stores
+
+    log, out = os.path.join(tmpdir_path, "log"), os.path.join(tmpdir_path, "hits")
+    for n, query, hit in ((7, "a", False), (0, "b", True)):
+        hits = spark.range(n).withColumnRenamed("id", "doc_id")
+        stores.run_logged(hits, lambda df: df.write.mode("overwrite").parquet(out), log, query, "hybrid", ["kb"], hit)
+        assert spark.read.parquet(out).count() == n
+    with pytest.raises(ZeroDivisionError):
+        stores.run_logged(spark.range(1), lambda df: 1 / 0, log, "c", "hybrid")
+    records = stores.read_search_log(spark, log)
+    assert sorted((r.query, r.mode, r.n_results, r.cache_hit) for r in records.collect()) == [("a", "hybrid", 7, False), ("b", "hybrid", 0, True)]
+    total = [r for r in M.search_metrics(records.withColumn("day", F.to_date("ts")), "day").collect() if r.day is None][0]
+    assert (total.total, total.cache_hits) == (2, 1) and total.avg_response_ms > 0
+
+
+def test_tfidf_weights_by_hand(spark):
+    rows = [("1", "a a b"), ("2", "a c"), ("3", None), ("3", ""), (None, "b  b"), ("4", "rare")]
+    got = {r.input_id: r.weights for r in Rt.tfidf_weights(spark.createDataFrame(rows, "input_id string, input string"), vocab=3).collect()}
+    idf = {t: math.log(6 / (1 + df)) + 1 for t, df in (("a", 2), ("b", 2), ("c", 1))}  # 5 keys; c before rare
+    one = {"a": 2 * idf["a"], "b": idf["b"]}
+    norm = math.sqrt(sum(v * v for v in one.values()))
+    assert got["1"] == pytest.approx({t: v / norm for t, v in one.items()})
+    assert got["3"] == {} and got["4"] == {} and got[None] == pytest.approx({"b": 1.0})
+    assert set(got["2"]) == {"a", "c"}
+    assert Rt.tfidf_weights(spark.createDataFrame([], "input_id string, input string")).count() == 0
