@@ -75,7 +75,7 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs))
+    out = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs, compressed=True))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

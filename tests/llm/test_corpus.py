@@ -8,6 +8,7 @@ from brute import audit as plain_audit
 from brute import collapsed, license_matches, planted, runs, sha
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import audit, licenses, periods, queries
 
@@ -180,3 +181,21 @@ def test_query_of_runs_equals_brute_force(spark, repeating):
         assert (r.n_runs, r.start, r.length, r.period) == (len(found), *top)
         assert r.exponent_milli == (1000 * r.length // r.period if found else None)
         assert r.runs_sha256 == sha("".join(f"{s},{n},{q}\n" for s, n, q in found)) and r.collapsed_sha256 == sha(collapsed(words, found))
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_beside_clashing_columns(spark):
+    """Columns with the names that stages or operators use inside come out as they went in."""
+    import corpus_pipeline as cp
+
+    docs = queries.table(spark, SF, "documents").limit(40)
+    names = ["_id", "n_lines", "n_dropped", "kept", "kept_text", "_score", "_lang", "_matches", "matches", "score", "component_id", "n_shingles", "key"]
+    for i, c in enumerate(names):
+        docs = docs.withColumn(c, F.col("doc_id") * 100 + i)
+    for _, stage in cp.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == r.doc_id * 100 + i for r in rows for i, c in enumerate(names))

@@ -9,6 +9,7 @@ import tiktoken
 from brute import components, kept_lines, kept_words, leaks, lower, sha, shingles
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, contamination, exact, jaccard, lines, queries, substrings
 from tessera.llm.graph import components as spark_components
@@ -174,6 +175,41 @@ def test_lines_of_odd_rows(spark, odd_docs, no_docs):
     assert lines.apply_bitmaps(no_docs, lines.keep_bitmaps(no_docs)).count() == 0
 
 
+def test_lines_in_many_ranges_against_brute_force(spark):
+    """One line in two thirds of all places and few distinct ones, over ranges that one hash fills."""
+    rng = random.Random(8)
+    rows = [(i, "\n".join("the same line again" if rng.random() < 0.66 else f"line number {rng.randrange(40)}" for _ in range(rng.randint(1, 60)))) for i in range(120)]
+    rows += [(500, "\n".join(f"line number {i}" for i in range(40))), (501, "x\n" * 5000 + "the same line again")]
+    docs = frame(spark, rows[::-1])
+    conf = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "23")
+    try:
+        bitmaps = lines.keep_bitmaps(docs, compressed=True)
+        got = lines.apply_bitmaps(docs, bitmaps).collect()
+        assert max(len(r.keep_bitmap) for r in bitmaps.collect() if r.doc_id == 501) == 1  # words that keep all take no room
+    finally:
+        spark.conf.set(conf, before)
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in got} == kept_lines(rows)
+
+
+def test_ranges_of_lines_are_read_in_order(spark, monkeypatch):
+    """The plan sorts each range and finds first occurrences by windows; nothing is grouped by hash."""
+    plans = []
+    keep = lines.materialize
+    monkeypatch.setattr(lines, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, name))
+    lines.lost_lines(frame(spark, [(1, "a line of text"), (2, "a line of text")])).collect()
+    assert plans[1].count("Window") >= 2 and "Aggregate" not in plans[1] and "RepartitionByExpression" in plans[1]
+
+
+def test_lines_beside_clashing_columns(spark):
+    docs = frame(spark, [(1, "a line of text"), (2, "a line of text\nown")])
+    for c in ("_id", "_key", "_own", "_dropped", "_bitmap", "part", "keeper", "h1"):
+        docs = docs.withColumn(c, F.col("doc_id"))
+    out = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs, compressed=True))
+    assert [(r._id, r._bitmap, r.kept_text) for r in out.orderBy("doc_id").collect()] == [(1, 1, "a line of text"), (2, 2, "own")]
+
+
 # --- operator 9
 
 
