@@ -9,6 +9,8 @@ stages before the last.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,18 +18,26 @@ from tessera.llm import bpe, contamination, jaccard, lines, queries, toxicity
 from tessera.session import materialize
 
 
+def unused() -> str:
+    """A column name that no input has."""
+    return f"_{uuid.uuid4().hex}"
+
+
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier of operator 2 doesn't reject (score below 0.5)."""
     learn = queries.fold(F.col("doc_id"), 5) != 0
     model = toxicity.train(docs, queries.table(spark, sf_dir, "labels"), learn)
-    return toxicity.score(docs, model, score="_score", lang="_lang").where(F.col("_score") < 0.5).select(*docs.columns)
+    score, lang = unused(), unused()
+    return toxicity.score(docs, model, score=score, lang=lang).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that operator 8 drops; n_chars counts the text that is left."""
-    kept = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs), kept="_kept")
-    changed = kept.drop("text", "n_lines", "n_dropped").withColumnRenamed("_kept", "text")
-    return changed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rest = unused()
+    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias(rest))
+    kept = lines.apply_bitmaps(packed, lines.keep_bitmaps(docs, compressed=True), kept="kept")
+    changed = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return kept.select(*(changed.get(c, F.col(rest)[c]).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +48,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which operator 10 finds no benchmark item."""
-    found = contamination.annotate(docs, queries.table(spark, sf_dir, "benchmark"), matches="_matches")
-    return found.where(F.size("_matches") == 0).select(*docs.columns)
+    matches = unused()
+    found = contamination.annotate(docs, queries.table(spark, sf_dir, "benchmark"), matches=matches)
+    return found.where(F.size(matches) == 0).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
