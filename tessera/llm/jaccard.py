@@ -43,7 +43,7 @@ from xxhash import xxh3_128_digest
 
 from tessera.llm.graph import components
 from tessera.llm.packed import pack, pack_plain, part_bits, part_cuts, unpack, unpack_plain
-from tessera.llm.words import MIX_2, as_bytes, mix, shingles, slices
+from tessera.llm.words import MIX_2, as_bytes, give_back, mix, shingles, slices
 from tessera.plans.guards import bounded_broadcast
 from tessera.session import materialize
 
@@ -162,6 +162,7 @@ def star_pairs(classes: DataFrame) -> DataFrame:
                 a, b = (np.array([unpack_plain(x, np.uint32) for x in part.column(f"counts_{s}").to_pylist()]) for s in "ab")
                 fit = near(a, b, n_a[begin : begin + COMPARED], n_b[begin : begin + COMPARED])
                 yield part.select(["a", "b"]).filter(pa.array(fit))
+        give_back()
 
     return pairs.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(run, "a long, b long")
 
@@ -272,6 +273,7 @@ def shared_shingles(classes: DataFrame, bits: int) -> DataFrame:
                     for column, value in zip(rows, (part, pack(hashes[begin:end]), pack_plain(least), pack_plain(high[begin:end] - least))):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], ["part", "hashes", "low", "more"])
+        give_back()
 
     def mixed(rows: pa.Table) -> pa.Table:
         hashes = np.concatenate([unpack(x, np.uint64) for x in rows.column("hashes").to_pylist()])
@@ -376,6 +378,8 @@ def forest_pairs(classes: DataFrame, bits: int) -> DataFrame:
                 yield sent()
         if held:
             yield sent()
+        del sides, reps, sizes, labels, points, hashes, own
+        give_back()
 
     members = forest(classes, bits).groupBy("task", "side", "rep").agg(F.collect_list("h").alias("hashes"), F.first("n").alias("n"), F.first("label").alias("label"))
     with_points = members.join(classes.select("rep", "counts"), "rep")

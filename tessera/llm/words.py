@@ -6,6 +6,7 @@ Words are runs of bytes other than ASCII white space (``[^\\x20\\x09-\\x0D]+``);
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,6 +86,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             end = max(begin + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(begin, end - begin)
             begin = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return what a finished task freed to the system, as Python workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
 
 
 def sum_range(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
