@@ -70,6 +70,7 @@ def frequent(docs: DataFrame, text: str = "text"):
             sets = [shingles(x, SIZE) for x in as_bytes(batch.column(text))]
             found, counts = np.unique(np.concatenate(sets), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts, pa.int64())], ["h", "seen"])
+        give_back()
 
     sample = docs.select(text).sample(min(SHARE, SAMPLE / max(1, rows)), seed=3)
     counted = sample.mapInArrow(run, "h long, seen long").groupBy("h").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= OFTEN)
@@ -110,6 +111,7 @@ def sketch(docs: DataFrame, listed, text: str = "text") -> DataFrame:
                 rows[4].append(prefix(held, listed.value).view(np.int64) if len(held) else [])
             kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *map(pa.array, rows, kinds)], ["doc_id", "n", "key", "stars", "counts", "prefix"])
+        give_back()
 
     return docs.select("doc_id", text).mapInArrow(run, SKETCH)
 
@@ -195,6 +197,7 @@ def verify(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
                             out[0].append(hub), out[1].append(doc)
                             break
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+        give_back()
 
     roles = spread.union(copies)  # a few numbers a pair; beyond the bound the texts are shuffled to them instead
     texts = docs.select("doc_id", text).join(bounded_broadcast(roles, BROADCAST), "doc_id")

@@ -86,7 +86,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             end = max(begin + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(begin, end - begin)
             begin = end
-    give_back()
 
 
 def give_back() -> None:
