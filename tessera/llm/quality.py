@@ -2,12 +2,11 @@
 
 A document is the average of learned vectors of its words, of pairs of consecutive
 words and of the character 3- and 4-grams of its words, all hashed into one table; a
-softmax layer of two classes reads it.  Trained in numpy by stochastic gradient
-descent on at most ``MAX_ROWS`` labelled rows of each class.  Rows that training has
-not seen set the cut between the classes, which the score puts at ``CUT``.
-
-Scoring needs no vectors: average and softmax are linear up to the last step, so each
-table row counts with the difference of its two class products.
+softmax layer of two classes reads the average and its squares (vectors start at
+random, so the average of a text that has few of them over and over is a long one).
+Vectors and layer are trained in numpy by stochastic gradient descent on at most
+``MAX_ROWS`` labelled rows of each class.  Rows that training has not seen set the cut
+between the classes, which the score puts at ``CUT``.
 
 Defined results: null, empty and word-less texts get the score of an average of
 nothing (the layer's offset alone); repeated rows get equal scores; labels of documents
@@ -32,11 +31,13 @@ from tessera.llm.words import CACHED_WORDS, as_bytes, slices
 #: Labelled rows of each class used to fit, chosen by a hash of the id (a documented bound).
 MAX_ROWS = 2000
 #: Rows of the table (a power of two), width of a vector, character n-grams, passes, first rate.
-BUCKETS, DIM, GRAMS, EPOCHS, RATE, SEED = 1 << 17, 8, (3, 4), 5, 0.5, 11
+BUCKETS, DIM, GRAMS, EPOCHS, RATE, SEED = 1 << 17, 16, (3, 4), 8, 0.5, 11
+#: Deviation of the vectors at the start, how much faster the layer learns than they do, and the most a vector moves at once.
+START, LAYER, MOST = 3.0, 30, 0.5
 #: Share of the chosen rows that sets the cut, and the score at the cut.
 HELD, CUT = 0.25, 0.7
-#: Words longer than this are hashed each time they occur.
-LONGEST = 64
+#: Words longer than this are hashed each time they occur; vectors are summed so many at a time.
+LONGEST, STRETCH = 64, 1 << 14
 #: Zero vectors that each average takes in, so that a few odd words don't decide on a short text.
 SMOOTH = 200
 PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -52,11 +53,9 @@ def subwords(word: bytes) -> list[int]:
 
 
 def pairs(words: list[bytes]) -> np.ndarray:
-    """Rows of the pairs of consecutive words; row 0 is that of any word and itself."""
+    """Rows of the pairs of consecutive words."""
     h = np.fromiter(map(crc32, words), np.uint64, len(words))
-    rows = ((h[:-1] * PAIR + h[1:]) * PAIR >> np.uint64(40)).astype(np.int64) & BUCKETS - 1
-    rows[h[:-1] == h[1:]] = 0
-    return rows
+    return ((h[:-1] * PAIR + h[1:]) * PAIR >> np.uint64(40)).astype(np.int64) & BUCKETS - 1
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -68,59 +67,97 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([np.array(rows, np.int64), pairs(words)]), return_counts=True)
 
 
-def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> tuple[np.ndarray, float, float, float]:
-    """What each table row adds to the logit, the offset, the cut, and the spread of logits around it."""
+class Model:
+    """The table of vectors and the softmax layer, with the cut and the spread of the logits around it."""
+
+    def __init__(self, rng: np.random.Generator) -> None:
+        self.table = rng.normal(0, START, (BUCKETS, DIM)).astype(np.float32)
+        self.layer, self.offset = rng.normal(0, 0.1, (2 * DIM, 2)), np.zeros(2)
+        self.cut, self.spread = 0.0, 1.0
+
+    def logit(self, total: np.ndarray, n: float) -> float:
+        """Of a text whose ``n`` vectors have this sum."""
+        hidden = total / (SMOOTH + n)
+        z = np.concatenate([hidden, hidden * hidden]) @ self.layer + self.offset
+        return float(z[1] - z[0])
+
+    def step(self, rows: np.ndarray, counts: np.ndarray, label: int, weight: float, rate: float) -> None:
+        share = counts / (SMOOTH + counts.sum())
+        hidden = share @ self.table[rows]
+        read = np.concatenate([hidden, hidden * hidden])
+        z = read @ self.layer + self.offset
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        p[label] -= 1
+        p *= weight
+        back = self.layer @ p
+        back = back[:DIM] + 2 * hidden * back[DIM:]
+        self.layer -= LAYER * rate * np.outer(read, p)
+        self.offset -= rate * p
+        # of the frequent rows the whole step, of the others in proportion; the sum stays that of the average
+        self.table[rows] -= np.clip(np.outer(share * (rate * min(len(rows), 50)), back), -MOST, MOST).astype(np.float32)
+
+
+def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
     rng = np.random.default_rng(SEED)
     order = rng.permutation(len(docs))
     held = max(1, int(len(docs) * HELD))
     learn, rest = order[held:], order[:held]
-    table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
-    out, offset = rng.normal(0, 0.3, (DIM, 2)), np.zeros(2)
-    weight = np.array([0.5 / max(1, (labels[learn] == y).mean()) if (labels[learn] == y).any() else 0 for y in (0, 1)])
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    model = Model(rng)
+    weight = [0.5 / (labels[learn] == y).mean() if (labels[learn] == y).any() else 0 for y in (0, 1)]
+    for epoch in range(epochs):
         for i in rng.permutation(learn):
-            rows, counts = docs[i]
-            share = counts / (SMOOTH + counts.sum())
-            hidden = share @ table[rows]
-            z = hidden @ out + offset
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[labels[i]] -= 1
-            p *= weight[labels[i]]
-            back = out @ p
-            out -= rate * np.outer(hidden, p)
-            offset -= rate * 0.1 * p
-            # of the frequent rows the whole step, of the others in proportion; the sum stays that of the average
-            table[rows] -= np.outer(share * (rate * min(len(rows), 50)), back)
-    adds, base = table @ (out[:, 1] - out[:, 0]), float(offset[1] - offset[0])
-    logits = np.array([counts / (SMOOTH + counts.sum()) @ adds[rows] for rows, counts in (docs[i] for i in rest)]) + base
-    cut = split(logits, labels[rest])
-    spread = float(np.std(logits)) or 1.0
-    return adds, base, cut, spread
+            model.step(*docs[i], labels[i], weight[labels[i]], RATE * (1 - epoch / epochs))
+    logits = np.array([model.logit(counts @ model.table[rows], counts.sum()) for rows, counts in (docs[i] for i in rest)])
+    model.cut, model.spread = split(logits, labels[rest]), float(np.std(logits)) or 1.0
+    return model
 
 
-class Added(dict):
-    """word -> (what its rows add, how many they are), packed in a complex number."""
-
-    def __init__(self, adds: np.ndarray) -> None:
-        self.adds = adds.tolist()
+def summed(table: np.ndarray, rows: np.ndarray | list[int]) -> np.ndarray:
+    parts = (table[rows[i : i + STRETCH]].sum(0, dtype=np.float64) for i in range(0, len(rows), STRETCH))
+    return sum(parts, np.zeros(table.shape[1]))
 
-    def __missing__(self, word: bytes) -> complex:
-        rows = subwords(word)
-        value = complex(sum(map(self.adds.__getitem__, rows)), len(rows))
-        if len(word) <= LONGEST:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = value
-        return value
 
-
-def logit(words: list[bytes], added: Added, adds: np.ndarray, base: float) -> float:
-    if not words:
-        return base
-    own = np.fromiter(map(added.__getitem__, words), np.complex128, len(words)).sum()
-    return float(own.real + adds[pairs(words)].sum()) / (SMOOTH + own.imag + len(words) - 1) + base
+class Added(dict):
+    """word -> where ``sums`` has the sum of its vectors, and how many they are."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.sums, self.used = model, np.zeros((CACHED_WORDS + STRETCH, DIM + 1)), 0
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        if self.used > CACHED_WORDS:
+            self.clear()
+            self.used = 0
+        new = [x for x in dict.fromkeys(words) if x not in self]
+        flat: list[int] = []
+        starts, long = [], []
+        for at, word in enumerate(new, self.used):
+            self[word] = at
+            starts.append(len(flat))
+            if len(word) <= LONGEST:
+                flat += subwords(word)
+            else:
+                flat.append(0)
+                long.append((at, word))
+        if new:
+            end = self.used + len(new)
+            np.add.reduceat(self.model.table[flat], starts, axis=0, dtype=np.float64, out=self.sums[self.used : end, :DIM])
+            self.sums[self.used : end, DIM] = np.diff(starts, append=len(flat))
+            self.used = end
+        for at, word in long:
+            rows = subwords(word)
+            self.sums[at, :DIM], self.sums[at, DIM] = summed(self.model.table, rows), len(rows)
+        found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        for _, word in long:
+            del self[word]
+        return found
+
+    def logit(self, words: list[bytes]) -> float:
+        total = np.zeros(DIM + 1)
+        for i in range(0, len(words), STRETCH):
+            total += self.sums[self.places(words[i : i + STRETCH])].sum(0)
+            total[:DIM] += summed(self.model.table, pairs(words[i : i + STRETCH + 1]))
+        return self.model.logit(total[:DIM], total[DIM] + max(0, len(words) - 1))
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS):
@@ -147,14 +184,13 @@ def score(docs: DataFrame, model, text: str = "text", score: str = "score") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted, prior = model.value
         if fitted is not None:
-            adds, base, cut, spread = fitted
-            added, at_cut = Added(adds), np.log(CUT / (1 - CUT))
+            added, at_cut = Added(fitted), np.log(CUT / (1 - CUT))
         for batch in slices(batches, text):
             if fitted is None:
                 values = np.full(batch.num_rows, prior)
             else:
-                z = np.array([logit(x.split(), added, adds, base) for x in as_bytes(batch.column(text))])
-                values = 1 / (1 + np.exp(-np.clip(4 * (z - cut) / spread + at_cut, -30, 30)))
+                z = np.array([added.logit(x.split()) for x in as_bytes(batch.column(text))])
+                values = 1 / (1 + np.exp(-np.clip(4 * (z - fitted.cut) / fitted.spread + at_cut, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, score])
 
     kept = docs.drop(score)

@@ -1,6 +1,9 @@
 """Classifiers by held-out accuracy, personal data and pages against plain versions, queries against DuckDB."""
 
+from zlib import crc32
+
 import duckdb
+import numpy as np
 import pytest
 from brute import components, kept_lines, leaks, personal, sha
 from conftest import SF_SMALL
@@ -34,7 +37,7 @@ def test_queries_match_duckdb(spark, duck, name):
 
 def test_all_queries_are_registered():
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and set(SQL) <= set(entry.oracle_sql())
 
 
@@ -58,6 +61,41 @@ def test_quality_on_held_out_rows(spark):
     assert n > 500 and accuracy > 0.98 and recall > 0.95
 
 
+def quality_balance(spark, epochs, grams_only=False):
+    """Mean of the two classes' hit rates on held-out rows of the labelled documents."""
+    docs, labels = (spark.read.parquet(f"{SF_MODEL}/{n}.parquet") for n in ("documents", "labels"))
+    rows = docs.join(labels.groupBy("doc_id").agg(F.max("quality").alias("y")), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").orderBy("doc_id").toPandas()
+    held = rows.doc_id.map(lambda i: crc32(str(i).encode()) % 4 == 2)
+    learn = rows[~held].groupby("y").head(quality.MAX_ROWS)
+    model = quality.fit([quality.features(t.encode()) for t in learn.text], learn.y.to_numpy(), epochs)
+    added = quality.Added(model)
+    good = np.array([added.logit(t.encode().split()) >= model.cut for t in rows[held].text])
+    y = rows[held].y.to_numpy()
+    return (good[y == 1].mean() + (~good[y == 0]).mean()) / 2
+
+
+def test_quality_comes_from_training_the_vectors_and_needs_no_pairs(spark, monkeypatch):
+    assert quality_balance(spark, quality.EPOCHS) > 0.95
+    assert quality_balance(spark, 0) < 0.9
+    monkeypatch.setattr(quality, "pairs", lambda words: np.zeros(0, np.int64))
+    assert quality_balance(spark, quality.EPOCHS) > 0.93
+
+
+def test_quality_sums_do_not_depend_on_the_cache(monkeypatch):
+    model = quality.Model(np.random.default_rng(1))
+    texts = [b"", b"one", b"a b a b " * 30, b"x" * 3000 + b" end", "ä ö ü".encode()]
+
+    def logits():
+        added = quality.Added(model)
+        return [added.logit(t.split()) for t in texts + texts]
+
+    plain = [model.logit(quality.features(t)[1] @ model.table[quality.features(t)[0]].astype(float), quality.features(t)[1].sum()) for t in texts]
+    assert np.allclose(logits(), plain * 2)
+    monkeypatch.setattr(quality, "STRETCH", 7)
+    monkeypatch.setattr(quality, "CACHED_WORDS", 3)
+    assert np.allclose(logits(), plain * 2)
+
+
 @pytest.mark.parametrize("module, label", [(toxicity, "toxic"), (quality, "quality")])
 def test_classifiers_on_odd_rows(spark, odd_docs, no_docs, module, label):
     labels = spark.createDataFrame([(i % 17, i % 2) for i in range(34)] + [(None, 1), (3, None), (999, 1)], f"doc_id long, {label} int")
