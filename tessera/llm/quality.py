@@ -31,7 +31,7 @@ from tessera.llm.words import CACHED_WORDS, as_bytes, slices
 #: Labelled rows of each class used to fit, chosen by a hash of the id (a documented bound).
 MAX_ROWS = 2000
 #: Rows of the table (a power of two), width of a vector, character n-grams, passes, first rate.
-BUCKETS, DIM, GRAMS, EPOCHS, RATE, SEED = 1 << 17, 16, (3, 4), 8, 0.5, 11
+BUCKETS, DIM, GRAMS, EPOCHS, RATE, SEED = 1 << 17, 8, (3, 4), 8, 0.5, 11
 #: Deviation of the vectors at the start, how much faster the layer learns than they do, and the most a vector moves at once.
 START, LAYER, MOST = 3.0, 30, 0.5
 #: Share of the chosen rows that sets the cut, and the score at the cut.
@@ -44,12 +44,12 @@ PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def subwords(word: bytes) -> list[int]:
-    """Rows of a word and of its character n-grams (of bytes, with ends marked)."""
+    """Hashes of a word and of its character n-grams (of bytes, with ends marked); their low bits are rows."""
     marked = b"<" + word + b">"
-    rows = [crc32(word, 1) & BUCKETS - 1]
+    found = [crc32(word, 1)]
     for n in GRAMS:
-        rows += [crc32(marked[i : i + n], n) & BUCKETS - 1 for i in range(len(marked) - n + 1)]
-    return rows
+        found += [crc32(marked[i : i + n], n) for i in range(len(marked) - n + 1)]
+    return found
 
 
 def pairs(words: list[bytes]) -> np.ndarray:
@@ -64,7 +64,7 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     rows: list[int] = []
     for word in words:
         rows += subwords(word)
-    return np.unique(np.concatenate([np.array(rows, np.int64), pairs(words)]), return_counts=True)
+    return np.unique(np.concatenate([np.array(rows, np.int64) & BUCKETS - 1, pairs(words)]), return_counts=True)
 
 
 class Model:
@@ -113,7 +113,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     return model
 
 
-def summed(table: np.ndarray, rows: np.ndarray | list[int]) -> np.ndarray:
+def summed(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     parts = (table[rows[i : i + STRETCH]].sum(0, dtype=np.float64) for i in range(0, len(rows), STRETCH))
     return sum(parts, np.zeros(table.shape[1]))
 
@@ -141,11 +141,11 @@ class Added(dict):
                 long.append((at, word))
         if new:
             end = self.used + len(new)
-            np.add.reduceat(self.model.table[flat], starts, axis=0, dtype=np.float64, out=self.sums[self.used : end, :DIM])
+            np.add.reduceat(self.model.table[np.array(flat, np.int64) & BUCKETS - 1], starts, axis=0, dtype=np.float64, out=self.sums[self.used : end, :DIM])
             self.sums[self.used : end, DIM] = np.diff(starts, append=len(flat))
             self.used = end
         for at, word in long:
-            rows = subwords(word)
+            rows = np.array(subwords(word), np.int64) & BUCKETS - 1
             self.sums[at, :DIM], self.sums[at, DIM] = summed(self.model.table, rows), len(rows)
         found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         for _, word in long:
