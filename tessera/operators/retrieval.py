@@ -225,7 +225,7 @@ def bm25_search(queries: DataFrame, docs: DataFrame | None, k: int = TOP_K, inde
     candidates and the range of the scores.
     """
     q = _queries_norm(queries).withColumnRenamed("kb_ids", "kb")
-    found = materialize(raw_best(index or build(docs), q, k), "bm25_best")
+    found = raw_best(index or build(docs), q, k)
     scored = found.select("query_id", "doc_id", "raw").join(ranges(found), "query_id")
     return top_k(scored.select("query_id", "doc_id", round6(normalized(F.col("raw"), "bmn", "bmx")).alias("score")), k).select("query_id", "rank", "doc_id", "score")
 

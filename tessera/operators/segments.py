@@ -40,11 +40,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.plans.guards import collect_bounded
-from tessera.session import materialize
+from tessera.session import LARGE_ROWS, materialize, small_batches
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Documents and tokens of a segment at most (one longer document has its own); cells of queries x documents, and products of postings and queries, held at a time.
-DOCS, TOKENS, CELLS, PRODUCTS = 512, 1 << 20, 1 << 20, 1 << 22
+DOCS, TOKENS, CELLS, PRODUCTS = 512, 1 << 20, 1 << 20, 1 << 19
+#: Documents, and segments (megabytes each), that a task reads at a time.
+TEXTS, SEGMENTS = 256, 4
 #: Share of the possible range within which scores may round to the same 6 decimals.
 SLACK = 2e-6
 #: Queries and query terms that a block sends to the tasks at most.
@@ -68,39 +70,43 @@ class SegmentIndex:
         return self.n_tokens / self.n_docs if self.n_docs else 0.0
 
 
-def _cuts(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of up to ``most`` documents and ``TOKENS`` tokens."""
-    ends, begin = np.cumsum(lengths), 0
-    while begin < len(lengths):
-        before = ends[begin - 1] if begin else 0
-        end = max(begin + 1, min(begin + most, int(np.searchsorted(ends, before + TOKENS, "right"))))
-        yield begin, end
-        begin = end
-
-
 def _segments(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """A row for every ``most`` documents or ``TOKENS`` tokens; texts are read one by one, and only term numbers are held."""
     names = [f.split()[0] for f in SEGMENT.split(", ")]
+    ids, sources, codes, words = [], [], [], {}
+
+    def segment() -> pa.RecordBatch:
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes))
+        key, tf = np.unique(np.concatenate(codes).astype(np.int64) * len(sizes) + np.repeat(np.arange(len(sizes)), sizes), return_counts=True)
+        dfs = np.bincount(key // len(sizes), minlength=len(words))
+        values = pa.array(ids, pa.int64()), pa.array(sources, pa.string()), sizes, pa.array(list(words), pa.string()), dfs, key % len(sizes), tf
+        columns = [pa.array([uuid.uuid4().hex])]
+        columns += [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v, k.value_type)) for v, k in zip(values, (LONG, TEXT, LONG, TEXT, INT, INT, INT))]
+        for held in (ids, sources, codes, words):
+            held.clear()
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    n_tokens = 0
     for batch in batches:
-        toks = [(t or "").split() for t in batch.column("text").to_pylist()]
-        lengths = np.fromiter(map(len, toks), np.int64, len(toks))
-        for begin, end in _cuts(lengths, most):
-            part, sizes = batch.slice(begin, end - begin), lengths[begin:end]
-            words = pa.array([w for t in toks[begin:end] for w in t], pa.string()).dictionary_encode()
-            key, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(sizes) + np.repeat(np.arange(len(sizes)), sizes), return_counts=True)
-            dfs = np.bincount(key // len(sizes), minlength=len(words.dictionary)) if len(key) else np.empty(0, np.int64)
-            values = [uuid.uuid4().hex], [part.column("doc_id")], [part.column("source")], [sizes], [words.dictionary], [dfs], [key % len(sizes)], [tf]
-            kinds = pa.string(), LONG, TEXT, LONG, TEXT, INT, INT, INT
-            columns = [pa.array(values[0], kinds[0])]
-            columns += [pa.ListArray.from_arrays(pa.array([0, len(v[0])], pa.int32()), v[0] if isinstance(v[0], pa.Array) else pa.array(v[0], k.value_type)) for v, k in zip(values[1:], kinds[1:])]
-            yield pa.RecordBatch.from_arrays(columns, names)
+        for doc_id, source, text in zip(*(batch.column(c) for c in ("doc_id", "source", "text"))):
+            tokens = (text.as_py() or "").split()
+            if codes and (len(codes) == most or n_tokens + len(tokens) > TOKENS):
+                yield segment()
+                n_tokens = 0
+            ids.append(doc_id.as_py())
+            sources.append(source.as_py())
+            codes.append(np.fromiter((words.setdefault(w, len(words)) for w in tokens), np.int32, len(tokens)))
+            n_tokens += len(tokens)
+    if codes:
+        yield segment()
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(seg, held) -> ``VECTORS``."""
     for batch in batches:
         rows: list[list] = [[], [], [], []]
-        for held in batch.column("held").to_pylist():
-            held = sorted(held, key=lambda x: x["place"])
+        for held in batch.column("held"):
+            held = sorted(held.as_py(), key=lambda x: x["place"])
             matrix = np.array([x["dvec"] for x in held], np.float64)
             centre = matrix.mean(0)
             radius = float(np.sqrt(((matrix - centre) ** 2).sum(1)).max())
@@ -118,19 +124,20 @@ def build(docs: DataFrame, vectors: DataFrame | None = None, eps: float = EPSILO
         none = {"filled": "array<int>", "matrix": "binary", "centre": "binary", "radius": "double"}
         segments = segments.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
     else:
-        segments = materialize(segments, "segments-text")
+        segments = materialize(segments, "segments-text", TEXTS, LARGE_ROWS)
         one = vectors.where("dvec is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("dvec").alias("dvec"))
         places = segments.select("seg", F.posexplode("doc_ids").alias("place", "doc_id")).join(one, "doc_id")
         held = places.groupBy("seg").agg(F.collect_list(F.struct("place", "dvec")).alias("held"))  # ``DOCS`` vectors at most
         segments = segments.join(held.mapInArrow(_packed, VECTORS), "seg", "left")
-    return read(materialize(segments, "segments"), eps)
+    return read(materialize(segments, "segments", TEXTS if vectors is None else SEGMENTS, LARGE_ROWS), eps)
 
 
 def read(segments: DataFrame, eps: float = EPSILON) -> SegmentIndex:
     """Merged statistics of segments, however many builds they come from."""
-    n_docs, n_tokens = segments.agg(F.coalesce(F.sum(F.size("doc_ids")), F.lit(0)), F.coalesce(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()
-    held = segments.select(F.explode(F.arrays_zip("terms", "dfs")).alias("t")).groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.dfs").alias("df"))
-    raw = materialize(held.withColumn("idf_raw", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "segment-terms")
+    with small_batches(segments.sparkSession, SEGMENTS):
+        n_docs, n_tokens = segments.agg(F.coalesce(F.sum(F.size("doc_ids")), F.lit(0)), F.coalesce(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()
+        held = segments.select(F.explode(F.arrays_zip("terms", "dfs")).alias("t")).groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.dfs").alias("df"))
+        raw = materialize(held.withColumn("idf_raw", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "segment-terms")
     mean = F.lit(raw.agg(F.avg("idf_raw")).first()[0]).cast("double")
     terms = raw.select("term", "df", F.when(F.col("idf_raw") < 0, F.lit(eps) * mean).otherwise(F.col("idf_raw")).alias("idf"))
     return SegmentIndex(segments, terms, n_docs, n_tokens)
@@ -241,12 +248,15 @@ class Best:
     def __init__(self, n: int, k: int, slack: np.ndarray):
         self.k, self.slack, self.last = k, slack, np.full(n, -np.inf)
         self.query, self.doc, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.parts: tuple[np.ndarray, ...] = ()
 
     @property
     def least(self) -> np.ndarray:
         return self.last - self.slack
 
-    def add(self, query: np.ndarray, doc: np.ndarray, score: np.ndarray) -> None:
+    def add(self, query: np.ndarray, doc: np.ndarray, score: np.ndarray, *parts: np.ndarray) -> None:
+        """``parts``: further values of these rows, the same number of them at each call."""
+        parts = tuple(map(np.concatenate, zip(self.parts, parts))) if self.parts else parts
         query, doc, score = np.concatenate([self.query, query]), np.concatenate([self.doc, doc]), np.concatenate([self.score, score])
         order = np.lexsort((doc, -score, query))
         query, doc, score = query[order], doc[order], score[order]
@@ -258,6 +268,7 @@ class Best:
         among_equal = at - np.maximum.accumulate(np.where(new, at, 0))
         keep = (score >= self.least[query]) & (among_equal < self.k)
         self.query, self.doc, self.score = query[keep], doc[keep], score[keep]
+        self.parts = tuple(x[order[keep]] for x in parts)
 
 
 def _chunks(spark, index: SegmentIndex, queries: DataFrame, vectors: DataFrame | None, params: DataFrame | None) -> Iterator:
@@ -345,7 +356,7 @@ def raw_best(index: SegmentIndex, queries: DataFrame, k: int, vectors: DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], [f.split()[0] for f in RAW.split(", ")])
 
     frames = [index.segments.mapInArrow(lambda batches, sent=sent: scan(sent, batches), RAW) for sent in _chunks(index.segments.sparkSession, index, queries, vectors, None)]
-    return _union(frames)
+    return materialize(_union(frames), "segments-raw", SEGMENTS)
 
 
 def ranges(found: DataFrame) -> DataFrame:
@@ -375,9 +386,8 @@ def fused_best(index: SegmentIndex, queries: DataFrame, vectors: DataFrame, para
     def scan(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, chunks = sent.value
         state = [Best(len(c.ids), k, np.zeros(len(c.ids))) for c in chunks]
-        kept: list[dict] = [{} for _ in chunks]
         for segment in _rows(batches, names, avgdl, k1, b):
-            for chunk, best, parts in zip(chunks, state, kept):
+            for chunk, best in zip(chunks, state):
                 n, bounds = len(chunk.ids), chunk.bounds
                 inner = np.zeros(n)
                 meets = bool(segment.filled) and len(chunk.has) > 0
@@ -402,18 +412,11 @@ def fused_best(index: SegmentIndex, queries: DataFrame, vectors: DataFrame, para
                 if only_vectors:
                     seen &= np.isin(np.arange(len(segment.ids)), segment.filled)
                 query, place = np.nonzero(seen & (score >= best.last[:, None]))
-                best.add(query, segment.ids[place], score[query, place])
-                found = zip(query.tolist(), segment.ids[place].tolist(), _round6(bm25[query, place]).tolist(), _round6(semantic[query, place]).tolist(), score[query, place].tolist())
-                parts |= {(q, d, s): (x, y) for q, d, x, y, s in found}
-                if len(parts) > 4 * len(best.query) + 1000:
-                    held = set(zip(best.query.tolist(), best.doc.tolist(), best.score.tolist()))
-                    for key in [x for x in parts if x not in held]:
-                        del parts[key]
-        for chunk, best, parts in zip(chunks, state, kept):
-            both = np.array([parts[x] for x in zip(best.query.tolist(), best.doc.tolist(), best.score.tolist())]).reshape(-1, 2)
-            values = [chunk.ids[best.query], best.doc, best.score, both[:, 0], both[:, 1]]
+                best.add(query, segment.ids[place], score[query, place], _round6(bm25[query, place]), _round6(semantic[query, place]))
+        for chunk, best in zip(chunks, state):
+            values = [chunk.ids[best.query], best.doc, best.score, *(best.parts or (np.empty(0), np.empty(0)))]
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names_out)
 
     schema = "query_id long, doc_id long, score double, bm25 double, semantic double"
     frames = [index.segments.mapInArrow(lambda batches, sent=sent: scan(sent, batches), schema) for sent in _chunks(index.segments.sparkSession, index, queries, vectors, params)]
-    return _union(frames)
+    return materialize(_union(frames), "segments-fused", SEGMENTS)

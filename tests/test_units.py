@@ -865,3 +865,89 @@ def test_tfidf_weights_by_hand(spark):
     assert got["3"] == {} and got["4"] == {} and got[None] == pytest.approx({"b": 1.0})
     assert set(got["2"]) == {"a", "c"}
     assert Rt.tfidf_weights(spark.createDataFrame([], "input_id string, input string")).count() == 0
+
+
+def test_segments_go_on_over_batches_and_hold_no_batch_of_words():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def batch(begin, n, text):
+        return pa.RecordBatch.from_pydict({"doc_id": list(range(begin, begin + n)), "source": ["s"] * n, "text": pa.array([text] * n, pa.string())})
+
+    found = list(SG._segments(iter([batch(0, 5, "b a b"), batch(5, 5, None), batch(10, 5, "a")]), 8))
+    assert [x.column("doc_ids")[0].as_py() for x in found] == [list(range(8)), list(range(8, 15))]
+    assert [x.column("terms")[0].as_py() for x in found] == [["b", "a"], ["a"]]
+    assert [x.column("dfs")[0].as_py() for x in found] == [[5, 5], [5]]
+    assert found[0].column("tfs")[0].as_py() == [2] * 5 + [1] * 5
+    large = batch(0, 4000, " ".join(f"word{i % 50}" for i in range(300)))
+    tracemalloc.start()
+    assert sum(len(x.column("doc_ids")[0]) for x in SG._segments(iter([large]), 512)) == 4000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # 67 MB and more for the words of the batch
+
+
+def test_segments_and_vectors_are_read_a_few_at_a_time(spark, monkeypatch):
+    import pandas as pd
+
+    from tessera import session
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    sizes = session.materialize(spark.range(0, 40, 1, 1).mapInArrow(lambda it: (b for b in it), "id long").mapInPandas(lambda it: (pd.DataFrame({"n": [len(x)]}) for x in it), "n long"), "sizes", 7)
+    assert max(r.n for r in sizes.collect()) <= 7
+    assert spark.conf.get(key) == before
+    held = {}
+
+    def spy(df, name, batch=None, options=None):
+        held[name] = batch
+        return session.materialize(df, name, batch, options)
+
+    for module in (SG, R, C):
+        monkeypatch.setattr(module, "materialize", spy)
+    docs = spark.createDataFrame([(1, "a b", "s"), (2, "a c", "s"), (3, "b", "s")], "doc_id long, text string, source string")
+    dvecs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "doc_id long, dvec array<float>")
+    qvecs = spark.createDataFrame([(7, [1.0, 0.5])], "query_id long, qvec array<float>")
+    q = spark.createDataFrame([(7, "a", None)], "query_id long, query string, kb_ids array<string>")
+    assert [r.doc_id for r in R.search(q, docs, qvecs, dvecs, mode="hybrid").orderBy("rank").collect()][0] == 1
+    assert [r.doc_id for r in R.search(q, docs, qvecs, dvecs, mode="semantic").orderBy("rank").collect()] == [1, 2]
+    pts = dvecs.selectExpr("0L key", "doc_id pid", "doc_id pos", "dvec vec")
+    assert [r.cluster_id for r in C.dbscan(pts, eps=2.0, min_samples=2, small_group=0).collect()] == [0, 0]
+    wanted = {"segments-text": SG.TEXTS, "segments": SG.SEGMENTS, "segments-raw": SG.SEGMENTS, "segments-fused": SG.SEGMENTS, "semantic_queries": R.VECTORS, "semantic_best": R.VECTORS,
+              "cluster-cells": C.READ, "cluster-core": C.READ, "cluster-edges": C.READ, "cluster-borders": C.READ}
+    assert {k: held.get(k) for k in wanted} == wanted
+
+
+def test_best_carries_the_parts_of_a_score():
+    import numpy as np
+
+    best = SG.Best(2, 1, np.zeros(2))
+    best.add(np.array([0, 1, 0]), np.array([5, 6, 7]), np.array([0.5, 0.7, 0.9]), np.array([1.0, 2.0, 3.0]), np.array([4.0, 5.0, 6.0]))
+    best.add(np.array([1]), np.array([8]), np.array([0.8]), np.array([7.0]), np.array([8.0]))
+    assert list(zip(best.query, best.doc, *best.parts)) == [(0, 7, 3.0, 6.0), (1, 8, 7.0, 8.0)]
+
+
+def test_near_and_solve_hold_little():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(64, 64)), rng.normal(size=(2000, 64))
+    a, b = (x / np.sqrt((x**2).sum(1))[:, None] for x in (a, b))
+    a[:, 2:], b[:, 2:] = a[:, 2:] * 1e-3, b[:, 2:] * 1e-3
+    a[:, :2], b[:, :2] = [0.0, 0.0], [1.0, 0.0]
+    tracemalloc.start()
+    near = C._near(a, b, 1.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (near == (np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2)) <= 1.0)).all()
+    assert peak < 50e6  # 131 MB and more for all pairs at once
+    edges = [("x", 1, 2), ("x", 2, 3), ("y", 1, 4), ("y", 9, 9), ("x", 8, 7)]
+    frames = [pd.DataFrame(edges[:2], columns=["key", "a", "b"]), pd.DataFrame(edges[2:], columns=["key", "a", "b"])]
+    out = pd.concat(C._solve(iter(frames)))
+    groups = out.groupby(["key", "to"])["at"].apply(lambda x: tuple(sorted(x)))
+    assert sorted((k[0], v) for k, v in groups.items()) == [("x", (1, 2, 3)), ("x", (7, 8)), ("y", (1, 4)), ("y", (9,))]
+    assert list(C._solve(iter([]))) == []
