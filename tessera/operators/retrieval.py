@@ -60,8 +60,8 @@ def top_k(df: DataFrame, k: int, score: str = "score", part: str = "query_id", t
 
 # ---------------------------------------------------------------- vectors
 
-#: Cells of a (queries x documents) block held at a time.
-CELLS = 1 << 20
+#: Cells of a (queries x documents) block held at a time; rows with a vector that a task reads at a time.
+CELLS, VECTORS = 1 << 17, 1024
 
 
 def _kb_lists(pq: pd.DataFrame) -> list:
@@ -236,9 +236,10 @@ def semantic_search(queries: DataFrame, qvecs: DataFrame, dvecs: DataFrame, k: i
     qv = q.select("query_id", F.col("kb_ids").alias("kb")).join(qvecs.select("query_id", "qvec").where("qvec is not null"), "query_id")
     vectors = dvecs.where("dvec is not null")
     stats = semantic_stats(qv, vectors).select("query_id", F.col("mn").alias("smn"), F.col("mx").alias("smx"))
-    params = materialize(qv.join(stats, "query_id").withColumns({"bmn": F.lit(0.0), "bmx": F.lit(0.0)}), "semantic_queries")
+    params = materialize(qv.join(stats, "query_id").withColumns({"bmn": F.lit(0.0), "bmx": F.lit(0.0)}), "semantic_queries", VECTORS)
     rows = vectors.withColumns({"hit_q": F.lit(None).cast("array<bigint>"), "hit_raw": F.lit(None).cast("array<double>")})
-    return top_k(fused_hits(params, rows, 0.0, k), k).select("query_id", "rank", "doc_id", "score")
+    found = materialize(fused_hits(params, rows, 0.0, k), "semantic_best", VECTORS)
+    return top_k(found, k).select("query_id", "rank", "doc_id", "score")
 
 
 def hybrid_search(queries: DataFrame, docs: DataFrame | None, qvecs: DataFrame, dvecs: DataFrame | None, alpha: float = ALPHA, k: int = TOP_K,
