@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from tessera.session import materialize
 
 
-#: Vectors that all points are measured against (they pass through the driver); points of a block; rows of a distance matrix.
-PIVOTS, CELL, ROWS = 64, 4000, 256
+#: Vectors that all points are measured against (they pass through the driver); points of a block; rows of a distance matrix; points that a task reads at a time; pairs whose distance is taken exactly at a time.
+PIVOTS, CELL, ROWS, READ, EXACT = 64, 4000, 64, 1024, 1 << 14
 
 
 def _near(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
@@ -45,7 +45,9 @@ def _near(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
     scale = 1e-9 * (1 + (a**2).sum(1).max(initial=0) + (b**2).sum(1).max(initial=0))
     near = d2 <= eps**2
     i, j = np.nonzero(np.abs(d2 - eps**2) <= 0.02 * eps**2 + scale)
-    near[i, j] = np.sqrt(((a[i] - b[j]) ** 2).sum(axis=1)) <= eps
+    for begin in range(0, len(i), EXACT):
+        p, q = i[begin : begin + EXACT], j[begin : begin + EXACT]
+        near[p, q] = np.sqrt(((a[p] - b[q]) ** 2).sum(axis=1)) <= eps
     return near
 
 
@@ -177,19 +179,21 @@ def _placed(points: DataFrame, eps: float) -> DataFrame:
     pivots = points.select("pid", "kk", "vec").orderBy(F.xxhash64("kk", "pid"), "kk", "pid").limit(PIVOTS).toPandas()
     mat = _vectors(pivots["vec"]) if len(pivots) else np.zeros((0, 0))
 
-    def assign(it):
-        for pdf in it:
-            if not len(pdf):
+    def assign(batches):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            own = _vectors(pdf["vec"])
+            own = np.array(batch.column("vec").to_pylist(), dtype=np.float64)
             d = np.stack([np.sqrt(((own - p) ** 2).sum(axis=1)) for p in mat], axis=1)
             home = d.argmin(axis=1)
             away = d[np.arange(len(d)), home]
-            near = [[{"other": int(j), "d": float(row[j])} for j in np.flatnonzero(row <= least + 2 * eps * (1 + 1e-9) + 1e-9)] for row, least in zip(d, away)]
-            yield pdf.assign(home=home.astype(np.int32), away=away, near=near)
+            row, other = np.nonzero(d <= (away + 2 * eps * (1 + 1e-9) + 1e-9)[:, None])
+            met = pa.StructArray.from_arrays([pa.array(other, pa.int32()), pa.array(d[row, other])], ["other", "d"])
+            near = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(d) + 1)), pa.int32()), met)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.int32()), pa.array(away), near], [*batch.schema.names, "home", "away", "near"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
-    near = materialize(points.mapInPandas(assign, f"{fields}, home int, away double, near array<struct<other:int,d:double>>"), "cluster-cells")
+    near = materialize(points.mapInArrow(assign, f"{fields}, home int, away double, near array<struct<other:int,d:double>>"), "cluster-cells", READ)
     cells = near.groupBy("kk", F.col("home").alias("other")).agg(F.max("away").alias("radius"), F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("salts"))
     cells = materialize(cells, "cluster-sizes")
     own = cells.select("kk", F.col("other").alias("home"), F.col("salts").alias("own_salts"))
@@ -201,8 +205,8 @@ def _placed(points: DataFrame, eps: float) -> DataFrame:
     return materialize(met.select("kk", F.col("other").alias("cell"), "salt", role.alias("role"), "pid", "weight", "vec"), "cluster-blocks")
 
 
-#: Links that one task may hold; more are contracted by joins first.
-SOLVED = 500_000
+#: Links that one task may hold; more are contracted by joins first.  Rows that it returns at a time.
+SOLVED, SLICE = 500_000, 50_000
 
 
 def connected_min_label(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -232,13 +236,18 @@ def connected_min_label(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _solve(it):
     """Component of each node of at most ``SOLVED`` edges: (key, at, to), ``to`` being one of its nodes."""
-    held = pd.concat([pd.DataFrame({"key": [], "a": [], "b": []}), *it], ignore_index=True)
-    if not len(held):
+    keys: dict = {}
+    parts = [(np.array([keys.setdefault(k, len(keys)) for k in pdf["key"]], np.int64), pdf["a"].to_numpy(np.int64), pdf["b"].to_numpy(np.int64)) for pdf in it]
+    if not sum(len(p[0]) for p in parts):
         return
-    held = held.astype({"a": np.int64, "b": np.int64})
-    codes, names = pd.factorize(pd.MultiIndex.from_arrays([held["key"].tolist() * 2, held["a"].tolist() + held["b"].tolist()]))
-    a, b = codes[: len(held)], codes[len(held):]
-    root = np.arange(len(names))
+    key, a, b = map(np.concatenate, zip(*parts))
+    n, key, pids = len(key), np.concatenate([key, key]), np.concatenate([a, b])
+    order = np.lexsort((pids, key))
+    new = np.append(True, (np.diff(key[order]) != 0) | (np.diff(pids[order]) != 0))
+    codes = np.empty(len(order), np.int64)
+    codes[order] = np.cumsum(new) - 1
+    key, pids, a, b = key[order[new]], pids[order[new]], codes[:n], codes[n:]
+    root = np.arange(len(pids))
     while True:
         low = np.minimum(root[a], root[b])
         new = root.copy()
@@ -248,8 +257,10 @@ def _solve(it):
         if (new == root).all():
             break
         root = new
-    keys, pids = [n[0] for n in names], np.array([n[1] for n in names], dtype=np.int64)
-    yield pd.DataFrame({"key": keys, "at": pids, "to": pids[root]})
+    names = np.array([*keys, None], dtype=object)
+    for begin in range(0, len(pids), SLICE):
+        own = slice(begin, begin + SLICE)
+        yield pd.DataFrame({"key": names[key[own]], "at": pids[own], "to": pids[root[own]]})
 
 
 def _dbscan_group(pos: np.ndarray, mat: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
@@ -314,13 +325,14 @@ def _dbscan_cells(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     one = materialize(one.select("kk", "vec", "weight", "r.pos", F.col("r.pid").cast("long").alias("pid")), "cluster-distinct")
     placed = _placed(one.select("kk", "pid", "weight", "vec"), eps)
     core = _in_blocks(placed, Degrees, eps).groupBy("kk", "pid").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples)
-    core = materialize(one.join(core, ["kk", "pid"]).select("kk", "pid", "pos"), "cluster-core")
+    core = materialize(one.join(core, ["kk", "pid"]).select("kk", "pid", "pos"), "cluster-core", READ)
     edges = _in_blocks(placed.join(core.select("kk", "pid"), ["kk", "pid"]), Forest, eps).select(F.col("kk").alias("key"), F.col("pid").alias("a"), "b")
-    edges = materialize(edges.unionByName(edges.select("key", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cluster-edges")
+    edges = materialize(edges.unionByName(edges.select("key", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cluster-edges", READ)
     labels = connected_min_label(core.select(F.col("kk").alias("key"), "pid", F.col("pos").alias("label")), edges).withColumnRenamed("key", "kk")
     labels = materialize(labels, "cluster-labels")
     owned = labels.join(_numbered(labels.select("kk", "label").distinct()), ["kk", "label"]).select("kk", "pid", F.col("cluster_id").alias("cluster"))
     border = _in_blocks(placed.join(owned, ["kk", "pid"], "left"), Borders, eps).groupBy("kk", "pid").agg(F.min("cluster_id").alias("cluster"))
+    border = materialize(border, "cluster-borders", READ)
     found = one.select("kk", "pid", "vec").join(owned.unionByName(border.select("kk", "pid", "cluster")), ["kk", "pid"])
     out = pts.join(found.select("kk", "vec", "cluster"), ["kk", "vec"], "left")
     return out.select("key", F.col("pid").cast("long").alias("pid"), F.coalesce("cluster", F.lit(-1)).cast("bigint").alias("cluster_id"))
