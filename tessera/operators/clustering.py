@@ -36,7 +36,7 @@ from tessera.session import materialize
 
 
 #: Vectors that all points are measured against (they pass through the driver); points of a block; rows of a distance matrix; points that a task reads at a time; pairs whose distance is taken exactly at a time.
-PIVOTS, CELL, ROWS, READ, EXACT = 64, 4000, 64, 1024, 1 << 14
+PIVOTS, CELL, ROWS, READ, EXACT = 64, 4000, 256, 1024, 1 << 14
 
 
 def _near(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
