@@ -30,10 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.words import as_bytes, slices
+from tessera.llm.words import as_bytes, give_back, slices
 
 #: A run has this many words and this many times its period at least.
 LEAST_WORDS, LEAST_PERIODS = 6, 4
+#: Documents that a task reads, and text bytes that it holds as words, at a time (a single longer text is held whole).
+READ, SLICE = 1024, 1 << 20
 RESULT = "n_words long, runs array<struct<start:long,length:long,period:long>>, collapsed string"
 
 
@@ -122,13 +124,14 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "length", "period")]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             words = [t.split() for t in as_bytes(batch.column(text))]
             runs = runs_of(words)
             kept = [collapse(w, r).decode() for w, r in zip(words, runs)]
             dicts = [[{"start": s, "length": n, "period": q} for s, n, q in r] for r in runs]
             new = [pa.array([len(w) for w in words], pa.int64()), pa.array(dicts, kind), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in passed], *new], [*passed, *names])
+        give_back()
 
     return rows.mapInArrow(scan, T.StructType([*[rows.schema[c] for c in passed], *added.fields]))
 

@@ -199,3 +199,18 @@ def test_stages_beside_clashing_columns(spark):
         assert out.columns == docs.columns
         rows = out.collect()
         assert rows and all(r[c] == r.doc_id * 100 + i for r in rows for i, c in enumerate(names))
+
+
+def test_periods_read_a_few_texts_at_a_time(spark, monkeypatch, folder):
+    from tessera import session
+
+    held = {}
+
+    def spy(df, name, batch=None, options=None):
+        held[name] = batch
+        return session.materialize(df, name, batch, options)
+
+    monkeypatch.setattr(queries, "materialize", spy, raising=False)
+    spark.createDataFrame([(1, "a b " * 9), (2, None)], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    assert {r.doc_id for r in queries.QUERIES["op13_periods"](spark, folder).collect()} == {1, 2}
+    assert held == {"periods": periods.READ}
