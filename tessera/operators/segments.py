@@ -43,10 +43,10 @@ from tessera.plans.guards import collect_bounded
 from tessera.session import LARGE_ROWS, materialize, small_batches
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Documents and tokens of a segment at most (one longer document has its own); cells of queries x documents, and products of postings and queries, held at a time.
-DOCS, TOKENS, CELLS, PRODUCTS = 512, 1 << 20, 1 << 20, 1 << 19
-#: Documents, and segments (megabytes each), that a task reads at a time.
-TEXTS, SEGMENTS = 256, 4
+#: Documents and tokens of a segment at most (one longer document has its own), so that a row is no large object to the JVM; cells of queries x documents, and products of postings and queries, held at a time.
+DOCS, TOKENS, CELLS, PRODUCTS = 64, 1 << 17, 1 << 17, 1 << 19
+#: Documents, and segments (150 KB or so each), that a task reads at a time.
+TEXTS, SEGMENTS = 256, 8
 #: Share of the possible range within which scores may round to the same 6 decimals.
 SLACK = 2e-6
 #: Queries and query terms that a block sends to the tasks at most.

@@ -888,6 +888,16 @@ def test_segments_go_on_over_batches_and_hold_no_batch_of_words():
     assert peak < 40e6  # 67 MB and more for the words of the batch
 
 
+def test_a_segment_is_a_small_row():
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{(37 * i + j) % 4000}" for j in range(300)) for i in range(600)]
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(600)), "source": ["s"] * 600, "text": texts})
+    found = list(SG._segments(iter([rows]), SG.DOCS))
+    assert [i for x in found for i in x.column("doc_ids")[0].as_py()] == list(range(600))
+    assert max(x.nbytes for x in found) < 512 << 10  # 1.3 MB for 512 documents
+
+
 def test_segments_and_vectors_are_read_a_few_at_a_time(spark, monkeypatch):
     import pandas as pd
 
