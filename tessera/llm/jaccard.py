@@ -45,7 +45,7 @@ from tessera.llm.graph import components
 from tessera.llm.packed import pack, pack_plain, part_bits, part_cuts, unpack, unpack_plain
 from tessera.llm.words import MIX_2, as_bytes, give_back, mix, shingles, slices
 from tessera.plans.guards import bounded_broadcast
-from tessera.session import materialize
+from tessera.session import materialize, small_batches
 
 SIZE, STARS = 5, 4
 #: Groups of a point, and groups that nodes of a tree tell apart (each the sum of several).
@@ -58,6 +58,8 @@ SHARE, SAMPLE, OFTEN, LISTED = 0.1, 100_000, 3, 400_000
 LEAF, FANOUT, PER_HUB, BROADCAST = 32, 16, 2000, 300_000
 #: Classes whose points a task of the forest holds, about; sizes of sets of a block differ by this factor at most (above 1 / 0.8); pairs that a task sends at a time.
 MEMBERS, REACH, SENT = 20_000, 1.26, 100_000
+#: Documents or points that a task reads at a time.
+READ = 1024
 SKETCH = "doc_id long, n long, key binary, stars array<long>, counts binary, prefix array<long>"
 
 
@@ -74,7 +76,8 @@ def frequent(docs: DataFrame, text: str = "text"):
 
     sample = docs.select(text).sample(min(SHARE, SAMPLE / max(1, rows)), seed=3)
     counted = sample.mapInArrow(run, "h long, seen long").groupBy("h").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= OFTEN)
-    listed = counted.orderBy(F.desc("seen"), "h").limit(LISTED).toPandas()
+    with small_batches(spark, READ):
+        listed = counted.orderBy(F.desc("seen"), "h").limit(LISTED).toPandas()
     hashes, seen = listed["h"].to_numpy(np.int64).view(np.uint64), listed["seen"].to_numpy(np.int64)
     order = np.argsort(hashes)
     return spark.sparkContext.broadcast((hashes[order], seen[order]))
@@ -284,7 +287,7 @@ def shared_shingles(classes: DataFrame, bits: int) -> DataFrame:
         hashes, low, high = spans(hashes, low, low + more)
         return pa.table({"h": pa.array(hashes[low != high].view(np.int64))})
 
-    return classes.mapInArrow(deal, "part int, hashes binary, low binary, more binary").groupBy("part").applyInArrow(mixed, "h long")
+    return classes.select("label", "prefix").mapInArrow(deal, "part int, hashes binary, low binary, more binary").groupBy("part").applyInArrow(mixed, "h long")
 
 
 def spans(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -391,16 +394,16 @@ def forest_pairs(classes: DataFrame, bits: int) -> DataFrame:
 
 def join(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    sketches = materialize(sketch(docs, frequent(docs, text), text), "jaccard-sketches")
+    sketches = materialize(sketch(docs, frequent(docs, text), text), "jaccard-sketches", READ)
     filled = sketches.where("n > 0 and doc_id is not null")
     smallest = F.min(F.struct("doc_id", "n", "stars", "counts", "prefix")).alias("r")
     classes = materialize(filled.groupBy("key").agg(smallest).select("key", F.col("r.doc_id").alias("rep"), "r.n", "r.stars", "r.counts", "r.prefix"), "jaccard-classes")
-    first = materialize(components(materialize(verify(star_pairs(classes), docs, text), "jaccard-stars")), "jaccard-first")
+    first = materialize(components(materialize(verify(star_pairs(classes), docs, text), "jaccard-stars", READ)), "jaccard-first")
     labelled = classes.join(first, classes.rep == first.node, "left").withColumn("label", F.coalesce("component", "rep"))
     labelled = materialize(labelled.select("key", "rep", "n", "label", "counts", "prefix"), "jaccard-labelled")
     bits = part_bits(classes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0], 1_000_000, 4)
-    pairs = materialize(forest_pairs(labelled, bits), "jaccard-pairs")
-    links = materialize(verify(pairs, docs, text), "jaccard-links")
+    pairs = materialize(forest_pairs(labelled, bits), "jaccard-pairs", READ)
+    links = materialize(verify(pairs, docs, text), "jaccard-links", READ)
     of = labelled.select("key", F.col("rep"), "label")
     for side in ("a", "b"):  # links between the components of the first pass
         links = links.join(first.select(F.col("node").alias(side), F.col("component").alias(f"to_{side}")), side, "left").withColumn(side, F.coalesce(f"to_{side}", side)).drop(f"to_{side}")

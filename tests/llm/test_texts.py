@@ -350,3 +350,19 @@ def test_components_of_long_chains(spark):
     links = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1000, 1002), (5, 5)]
     got = {r.node: r.component for r in spark_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(301), 0), **dict.fromkeys((1000, 1001, 1002), 1000)}
+
+
+def test_jaccard_reads_a_few_texts_at_a_time(spark, monkeypatch):
+    from tessera import session
+
+    held = {}
+
+    def spy(df, name, batch=None, options=None):
+        held[name] = batch
+        return session.materialize(df, name, batch, options)
+
+    monkeypatch.setattr(jaccard, "materialize", spy)
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text), (2, text + " end"), (3, "else")]
+    assert {r.doc_id: r.component_id for r in jaccard.join(frame(spark, rows)).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {k: held.get(k) for k in ("jaccard-sketches", "jaccard-stars", "jaccard-pairs", "jaccard-links")} == dict.fromkeys(("jaccard-sketches", "jaccard-stars", "jaccard-pairs", "jaccard-links"), jaccard.READ)
