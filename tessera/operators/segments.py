@@ -2,6 +2,7 @@
 
 A segment holds up to ``DOCS`` documents in one row: ids, sources, lengths, a dictionary
 of terms with their postings, and the documents' vectors with a centre and a radius.
+Terms and postings are stored as bytes, a few values a row to the JVM and not one an entry.
 Document count, total length and document frequencies of segments add up, so an index
 over new documents is appended to one over old ones (``append``) and statistics are
 merged on read; no segment is ever rewritten.
@@ -46,12 +47,16 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Documents and tokens of a segment at most (one longer document has its own), so that a row is no large object to the JVM; cells of queries x documents, and products of postings and queries, held at a time.
 DOCS, TOKENS, CELLS, PRODUCTS = 64, 1 << 17, 1 << 17, 1 << 19
 #: Documents, and segments (150 KB or so each), that a task reads at a time.
-TEXTS, SEGMENTS = 256, 8
+TEXTS, SEGMENTS = 128, 4
 #: Share of the possible range within which scores may round to the same 6 decimals.
 SLACK = 2e-6
 #: Queries and query terms that a block sends to the tasks at most.
 QUERIES, TERMS = 50_000, 2_000_000
+#: Dictionary entries whose document frequencies a task sums at a time, and sums that it sends at a time.
+COUNTED, SENT = 1 << 16, 1 << 13
 SEGMENT = "seg string, doc_ids array<long>, sources array<string>, lens array<long>, terms array<string>, dfs array<int>, places array<int>, tfs array<int>"
+#: The same as it is stored: the terms joined, and where each ends; numbers of 4 bytes.
+STORED = "seg string, doc_ids array<long>, sources array<string>, lens array<long>, terms binary, ends binary, dfs binary, places binary, tfs binary"
 VECTORS = "seg string, filled array<int>, matrix binary, centre binary, radius double"
 INT, LONG, TEXT = pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string())
 
@@ -101,6 +106,41 @@ def _segments(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
         yield segment()
 
 
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``SEGMENT`` -> ``STORED``."""
+    for batch in batches:
+        lists = {c: [batch.column(c)[i].values for i in range(batch.num_rows)] for c in ("terms", "dfs", "places", "tfs")}
+        numbers = {c: [x.to_numpy(zero_copy_only=False).astype(np.int32).tobytes() for x in lists[c]] for c in ("dfs", "places", "tfs")}
+        ends = [np.cumsum(pc.binary_length(x).to_numpy(zero_copy_only=False)).astype(np.int32).tobytes() for x in lists["terms"]]
+        terms = pc.binary_join(batch.column("terms"), "").cast(pa.binary())
+        columns = [*(batch.column(c) for c in ("seg", "doc_ids", "sources", "lens")), terms, *(pa.array(x, pa.binary()) for x in (ends, *numbers.values()))]
+        yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in STORED.split(", ")])
+
+
+def _terms(data: bytes, ends: bytes) -> pa.Array:
+    """The terms of a stored segment."""
+    offsets = np.concatenate([np.zeros(1, np.int32), np.frombuffer(ends, np.int32)])
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(terms, ends, dfs) of stored segments -> term, df; summed over ``COUNTED`` entries or so of a task at a time."""
+    held: list[pa.Table] = []
+
+    def summed() -> list[pa.RecordBatch]:
+        found = pa.concat_tables(held).group_by("term").aggregate([("df", "sum")])
+        held.clear()
+        return pa.table({"term": found["term"], "df": found["df_sum"]}).to_batches(max_chunksize=SENT)
+
+    for batch in batches:
+        for terms, ends, dfs in zip(*(batch.column(c).to_pylist() for c in ("terms", "ends", "dfs"))):
+            held.append(pa.table({"term": _terms(terms, ends), "df": pa.array(np.frombuffer(dfs, np.int32), pa.int64())}))
+            if sum(map(len, held)) >= COUNTED:
+                yield from summed()
+    if held:
+        yield from summed()
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(seg, held) -> ``VECTORS``."""
     for batch in batches:
@@ -119,7 +159,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build(docs: DataFrame, vectors: DataFrame | None = None, eps: float = EPSILON, most: int = DOCS) -> SegmentIndex:
     """Index of ``docs`` (doc_id, text, source) and their ``vectors`` (doc_id, dvec), in segments of up to ``most`` (``DOCS`` at most)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), "text")
-    segments = rows.mapInArrow(lambda batches: _segments(batches, min(most, DOCS)), SEGMENT)
+    segments = rows.mapInArrow(lambda batches: _stored(_segments(batches, min(most, DOCS))), STORED)
     if vectors is None:
         none = {"filled": "array<int>", "matrix": "binary", "centre": "binary", "radius": "double"}
         segments = segments.withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
@@ -136,7 +176,7 @@ def read(segments: DataFrame, eps: float = EPSILON) -> SegmentIndex:
     """Merged statistics of segments, however many builds they come from."""
     with small_batches(segments.sparkSession, SEGMENTS):
         n_docs, n_tokens = segments.agg(F.coalesce(F.sum(F.size("doc_ids")), F.lit(0)), F.coalesce(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()
-        held = segments.select(F.explode(F.arrays_zip("terms", "dfs")).alias("t")).groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.dfs").alias("df"))
+        held = segments.select("terms", "ends", "dfs").mapInArrow(_frequencies, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
         raw = materialize(held.withColumn("idf_raw", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "segment-terms")
     mean = F.lit(raw.agg(F.avg("idf_raw")).first()[0]).cast("double")
     terms = raw.select("term", "df", F.when(F.col("idf_raw") < 0, F.lit(eps) * mean).otherwise(F.col("idf_raw")).alias("idf"))
@@ -315,8 +355,9 @@ def _rows(batches: Iterator[pa.RecordBatch], names: list[str], avgdl: float, k1:
         for i in range(batch.num_rows):
             row = {c: batch.column(c)[i] for c in ("doc_ids", "sources", "filled", "matrix", "centre", "radius", "terms", "dfs", "places", "tfs", "lens")}
             row |= {c: row[c].as_py() for c in ("matrix", "centre", "radius", "filled")}
-            row |= {c: row[c].values.to_numpy() for c in ("doc_ids", "dfs", "places", "tfs", "lens")}
-            yield Segment(row | {c: row[c].values for c in ("terms", "sources")}, terms, avgdl, k1, b)
+            row |= {c: row[c].values.to_numpy() if pa.types.is_list(row[c].type) else np.frombuffer(row[c].as_py(), np.int32) for c in ("doc_ids", "dfs", "places", "tfs", "lens")}
+            row |= {"terms": row["terms"].values if pa.types.is_list(row["terms"].type) else _terms(row["terms"].as_py(), batch.column("ends")[i].as_py())}
+            yield Segment(row | {"sources": row["sources"].values}, terms, avgdl, k1, b)
 
 
 RAW = "query_id long, doc_id long, raw double, bmn double, bmx double, smn double, smx double"

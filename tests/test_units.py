@@ -962,3 +962,24 @@ def test_near_and_solve_hold_little():
     groups = out.groupby(["key", "to"])["at"].apply(lambda x: tuple(sorted(x)))
     assert sorted((k[0], v) for k, v in groups.items()) == [("x", (1, 2, 3)), ("x", (7, 8)), ("y", (1, 4)), ("y", (9,))]
     assert list(C._solve(iter([]))) == []
+
+
+def test_segments_are_stored_as_bytes_and_counted_by_task(spark):
+    import pyarrow as pa
+
+    texts = ["b a b", "a \u00fc", None, "", "c a"]
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(5)), "source": ["s"] * 5, "text": pa.array(texts, pa.string())})
+    found = list(SG._segments(iter([rows]), 2))
+    stored = list(SG._stored(iter(found)))
+    for x, y in zip(found, stored, strict=True):
+        assert SG._terms(y.column("terms")[0].as_py(), y.column("ends")[0].as_py()).to_pylist() == x.column("terms")[0].as_py()
+    empty = {c: pa.array([None], t) for c, t in (("filled", pa.list_(pa.int32())), ("matrix", pa.binary()), ("centre", pa.binary()), ("radius", pa.float64()))}
+    for x, y in zip(found, stored, strict=True):
+        one, two = (next(SG._rows([pa.RecordBatch.from_arrays([*z.columns, *empty.values()], [*z.schema.names, *empty])], ["a", "b"], 1.0, SG.K1, SG.B)) for z in (x, y))
+        assert (one.term.tolist(), one.place.tolist(), one.impact.tolist()) == (two.term.tolist(), two.place.tolist(), two.impact.tolist())
+    counted = [r for b in SG._frequencies(iter(stored)) for r in zip(b.column("term").to_pylist(), b.column("df").to_pylist())]
+    assert sorted(counted) == [("a", 3), ("b", 1), ("c", 1), ("\u00fc", 1)]  # a row a term of the task, not of the segment
+    index = SG.build(spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string"))
+    kinds = dict(index.segments.dtypes)
+    assert {c: kinds[c] for c in ("terms", "dfs", "places", "tfs")} == dict.fromkeys(("terms", "dfs", "places", "tfs"), "binary")
+    assert (index.n_docs, index.n_tokens, {r.term: r.df for r in index.terms.collect()}) == (5, 7, dict(counted))
