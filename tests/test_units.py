@@ -983,3 +983,19 @@ def test_segments_are_stored_as_bytes_and_counted_by_task(spark):
     kinds = dict(index.segments.dtypes)
     assert {c: kinds[c] for c in ("terms", "dfs", "places", "tfs")} == dict.fromkeys(("terms", "dfs", "places", "tfs"), "binary")
     assert (index.n_docs, index.n_tokens, {r.term: r.df for r in index.terms.collect()}) == (5, 7, dict(counted))
+
+
+def test_rerank_features_sends_the_hits_to_the_texts(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c"), (2, "a")], "doc_id long, text string")
+    queries = spark.createDataFrame([(7, "a")], "query_id long, query string")
+    hits = spark.createDataFrame([(7, 1, 0.5), (7, 2, 0.25)], "query_id long, doc_id long, score double")
+    feedback = spark.createDataFrame([(1, 5)], "doc_id long, score int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = R.rerank_features(hits, queries, docs, feedback)
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 1  # the texts stay where they are
+        assert sorted((r.doc_id, r.score, r.overlap, r.feedback) for r in out.collect()) == [(1, 0.5, 1.0, 1.0), (2, 0.25, 0.0, 0.9), (2, 0.25, 1.0, 0.9)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
