@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from tessera.llm.words import SLICE_BYTES, slices
+from tessera.llm.words import SLICE_BYTES, give_back, slices
 
 #: Ranks in one word of the lower bitmap (as a power of two); the upper one has a bit per word.
 SHIFT = 9
@@ -315,6 +315,7 @@ def encode(docs: DataFrame, vocabulary, pattern: str, text: str = "text", ids: s
                 columns.append(pa.array([_joined(table, np.frombuffer(x, np.int32).tolist()) for x in found], pa.binary()))
                 names.append(decoded)
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
+        give_back()
 
     kept = docs.drop(ids, *([decoded] if decoded else []))
     new = {ids: F.lit(None).cast("array<int>")} | ({decoded: F.lit(None).cast("binary")} if decoded else {})
@@ -333,6 +334,7 @@ def decode(tokens: DataFrame, vocabulary, ids: str = "ids", decoded: str = "deco
                 part = batch.slice(begin, step)
                 out = [_joined(table, x or []) for x in part.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, decoded])
+        give_back()
 
     schema = tokens.drop(decoded).withColumn(decoded, F.lit(None).cast("binary")).schema
     return tokens.drop(decoded).mapInArrow(run, schema)

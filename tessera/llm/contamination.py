@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import as_bytes, shingles, slices
+from tessera.llm.words import as_bytes, give_back, shingles, slices
 from tessera.session import materialize
 
 SIZE, NUM, DEN = 5, 4, 5
@@ -79,6 +79,7 @@ def item_blocks(items: DataFrame, text: str = "text", block_bytes: int = BLOCK_B
         for batch in slices(batches, text):
             rows = [shingles(x, SIZE).tobytes() for x in as_bytes(batch.column(text))]
             yield pa.RecordBatch.from_arrays([batch.column("item_id").cast(pa.int64()), pa.array(rows, pa.binary())], ["item_id", "shingles"])
+        give_back()
 
     sets = materialize(items.select("item_id", text).mapInArrow(run, "item_id long, shingles binary"), "items")
     total = sets.agg(F.coalesce(F.sum(F.octet_length("shingles")), F.lit(0))).first()[0]
@@ -105,6 +106,7 @@ def _annotate(docs: DataFrame, block, text: str, matches: str, kind: pa.DataType
             new = [before + sketches.matches(shingles(x, SIZE)) for x, before in zip(as_bytes(batch.column(text)), old)]
             columns = [pa.array(new, kind) if name == matches else batch.column(name) for name in batch.schema.names]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

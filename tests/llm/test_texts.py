@@ -366,3 +366,25 @@ def test_jaccard_reads_a_few_texts_at_a_time(spark, monkeypatch):
     rows = [(1, text), (2, text + " end"), (3, "else")]
     assert {r.doc_id: r.component_id for r in jaccard.join(frame(spark, rows)).collect()} == {1: 1, 2: 1, 3: 3}
     assert {k: held.get(k) for k in ("jaccard-sketches", "jaccard-stars", "jaccard-pairs", "jaccard-links")} == dict.fromkeys(("jaccard-sketches", "jaccard-stars", "jaccard-pairs", "jaccard-links"), jaccard.READ)
+
+
+def test_tasks_of_the_pipeline_return_freed_memory(spark, monkeypatch):
+    """Python workers stay for later tasks, so each step gives back what it freed."""
+    import pyarrow as pa
+
+    from tessera.llm import bpe, contamination, queries, toxicity
+
+    back, tasks = [], []
+    for module in (bpe, contamination, toxicity):
+        monkeypatch.setattr(module, "give_back", lambda name=module.__name__: back.append(name), raising=False)
+    docs = frame(spark, [(1, "one two three four five six")])
+    held = type("Held", (), {"value": contamination.Sketches([])})()
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: tasks.append(f) or self)
+    bpe.encode(docs, queries.vocabulary(spark), queries.PATTERN)
+    bpe.decode(docs.withColumn("ids", F.array(F.lit(1))), queries.vocabulary(spark))
+    toxicity.score(docs, spark.sparkContext.broadcast((None, {}, 0.0)))
+    contamination._annotate(docs.withColumn("matches", F.array().cast(contamination.MATCH)), held, "text", "matches", pa.list_(pa.struct([("item_id", pa.int64()), ("n_shingles", pa.int64()), ("n_common", pa.int64())])))
+    for task in tasks:
+        rows = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["one two three four five six"], "ids": [[1]], "matches": [[]]})
+        assert len(list(task(iter([rows])))) == 1
+    assert sorted(back) == ["tessera.llm.bpe"] * 2 + ["tessera.llm.contamination", "tessera.llm.toxicity"]
