@@ -58,8 +58,8 @@ SHARE, SAMPLE, OFTEN, LISTED = 0.1, 100_000, 3, 400_000
 LEAF, FANOUT, PER_HUB, BROADCAST = 32, 16, 2000, 300_000
 #: Classes whose points a task of the forest holds, about; sizes of sets of a block differ by this factor at most (above 1 / 0.8); pairs that a task sends at a time.
 MEMBERS, REACH, SENT = 20_000, 1.26, 100_000
-#: Documents or points that a task reads at a time.
-READ = 1024
+#: Documents or points that a task reads at a time; prefix shingles that it sends at a time, and those of a part of the hash space, about.
+READ, DEALT, PART = 1024, 1 << 19, 500_000
 SKETCH = "doc_id long, n long, key binary, stars array<long>, counts binary, prefix array<long>"
 
 
@@ -263,29 +263,43 @@ def shared_shingles(classes: DataFrame, bits: int) -> DataFrame:
     """h of the prefix shingles that classes of different labels hold.
 
     A task sends the least and greatest label of each of its shingles, packed by part of
-    the hash space, so a shingle of very many classes is one entry a batch.
+    the hash space, so a shingle of very many classes is one entry of ``DEALT`` or so.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def sent() -> pa.RecordBatch:
+            hashes, labels = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            hashes, low, high = spans(hashes, labels, labels)
+            rows: list[list] = [[], [], [], []]
+            for part, begin, end in part_cuts(hashes, bits, 64 - bits):
+                least = low[begin:end]
+                for column, value in zip(rows, (part, pack(hashes[begin:end]), pack_plain(least), pack_plain(high[begin:end] - least))):
+                    column.append(value)
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], ["part", "hashes", "low", "more"])
+
         for batch in batches:
             lists = batch.column("prefix")
-            hashes = lists.flatten().to_numpy().view(np.uint64)
             labels = np.repeat(batch.column("label").to_numpy(), lists.value_lengths().to_numpy())
-            rows: list[list] = [[], [], [], []]
-            if len(hashes):
-                hashes, low, high = spans(hashes, labels, labels)
-                for part, begin, end in part_cuts(hashes, bits, 64 - bits):
-                    least = low[begin:end]
-                    for column, value in zip(rows, (part, pack(hashes[begin:end]), pack_plain(least), pack_plain(high[begin:end] - least))):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], ["part", "hashes", "low", "more"])
+            if len(labels):
+                held.append((lists.flatten().to_numpy().view(np.uint64), labels))
+            if sum(len(x) for x, _ in held) >= DEALT:
+                yield sent()
+        if held:
+            yield sent()
         give_back()
 
     def mixed(rows: pa.Table) -> pa.Table:
         hashes = np.concatenate([unpack(x, np.uint64) for x in rows.column("hashes").to_pylist()])
-        low, more = (np.concatenate([unpack_plain(x, np.int64) for x in rows.column(c).to_pylist()]) for c in ("low", "more"))
-        hashes, low, high = spans(hashes, low, low + more)
-        return pa.table({"h": pa.array(hashes[low != high].view(np.int64))})
+        low, high = (np.concatenate([unpack_plain(x, np.int64) for x in rows.column(c).to_pylist()]) for c in ("low", "more"))
+        high += low
+        hashes, low, high = spans(hashes, low, high)
+        found = pa.array(hashes[low != high].view(np.int64))
+        del hashes, low, high
+        give_back()
+        return pa.table({"h": found})
 
     return classes.select("label", "prefix").mapInArrow(deal, "part int, hashes binary, low binary, more binary").groupBy("part").applyInArrow(mixed, "h long")
 
@@ -300,7 +314,7 @@ def spans(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.nda
 
 def forest(classes: DataFrame, bits: int) -> DataFrame:
     """task, side, h, rep, n, label: the classes of each tree, by the task that builds it; side 1 is searched for side 0 where there are both."""
-    shared = materialize(shared_shingles(classes, bits), "jaccard-shared")
+    shared = materialize(shared_shingles(classes, bits), "jaccard-shared", READ)
     held = materialize(classes.select("rep", F.explode("prefix").alias("h")).join(shared, "h"), "jaccard-held")
     held = held.join(classes.select("rep", "n", "label"), "rep")
     # shingles that the same classes hold need one tree
@@ -401,7 +415,7 @@ def join(docs: DataFrame, text: str = "text") -> DataFrame:
     first = materialize(components(materialize(verify(star_pairs(classes), docs, text), "jaccard-stars", READ)), "jaccard-first")
     labelled = classes.join(first, classes.rep == first.node, "left").withColumn("label", F.coalesce("component", "rep"))
     labelled = materialize(labelled.select("key", "rep", "n", "label", "counts", "prefix"), "jaccard-labelled")
-    bits = part_bits(classes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0], 1_000_000, 4)
+    bits = part_bits(classes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0], PART, 4)
     pairs = materialize(forest_pairs(labelled, bits), "jaccard-pairs", READ)
     links = materialize(verify(pairs, docs, text), "jaccard-links", READ)
     of = labelled.select("key", F.col("rep"), "label")

@@ -388,3 +388,25 @@ def test_tasks_of_the_pipeline_return_freed_memory(spark, monkeypatch):
         rows = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["one two three four five six"], "ids": [[1]], "matches": [[]]})
         assert len(list(task(iter([rows])))) == 1
     assert sorted(back) == ["tessera.llm.bpe"] * 2 + ["tessera.llm.contamination", "tessera.llm.toxicity"]
+
+
+def test_shared_shingles_are_dealt_some_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tessera import session
+
+    monkeypatch.setattr(jaccard, "DEALT", 8)
+    tasks, held = [], {}
+    classes = spark.createDataFrame([(1, [1])], "label long, prefix array<long>")
+    with monkeypatch.context() as m:
+        m.setattr(type(classes), "mapInArrow", lambda self, f, schema: tasks.append(f) or self.selectExpr("1 part"))
+        jaccard.shared_shingles(classes, 4)
+    batches = [pa.RecordBatch.from_pydict({"label": [i, i + 1], "prefix": pa.array([[3 * i + 1, 7], [-5, 7 - i]] if i < 9 else [[], []], pa.list_(pa.int64()))}) for i in range(10)]
+    sent = list(tasks[0](iter(batches)))
+    assert [sum(len(unpack(x, np.uint64)) <= 8 for x in b.column("hashes").to_pylist()) == b.num_rows for b in sent] == [True] * 5  # four shingles a batch, 36 in all
+    assert not list(tasks[0](iter(batches[9:])))
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name, batch=None, options=None: held.update({name: batch}) or session.materialize(df, name, batch, options))
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text), (2, text + " end"), (3, "else"), (4, None)]
+    assert {r.doc_id: r.component_id for r in jaccard.join(frame(spark, rows)).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert held["jaccard-shared"] == jaccard.READ
