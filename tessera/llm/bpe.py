@@ -22,6 +22,7 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,12 +33,13 @@ from tessera.llm.words import SLICE_BYTES, give_back, slices
 #: Ranks in one word of the lower bitmap (as a power of two); the upper one has a bit per word.
 SHIFT = 9
 LOW = (1 << SHIFT) - 1
-#: Words and pre-tokens that a worker remembers besides those of the slice at hand; longer pre-tokens merge one by one and are not remembered.
+#: Words and pre-tokens that a worker remembers, or those of the slice at hand if there are more; longer pre-tokens merge one by one, and neither they nor such words are remembered.
 CACHED, LONGEST = 100_000, 64
-#: Text bytes that are split into words at a time.
-ENCODED_BYTES = 2 << 20
-#: White space of any kind before a space: there a text can't be cut at its spaces.
-SPACED = re.compile("[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000] ")
+#: Text bytes that are split into words at a time, and that are handed on at a time.
+ENCODED_BYTES, SENT_BYTES = 3 << 20, 1 << 20
+#: White space of any kind, and some before a space: there a text can't be cut at its spaces.
+BLANK = re.compile("[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+SPACED = re.compile(BLANK.pattern + " ")
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -118,6 +120,7 @@ class Vocabulary:
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        self.column = pa.array(self.tokens, pa.binary())
         self.byte_ids = np.array([ranks.get(bytes([x]), 0) for x in range(256)], np.int64)
         pairs = {}
         for token, rank in ranks.items():
@@ -132,7 +135,7 @@ class Vocabulary:
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge rank of each pair of ids, -1 where there is none."""
         key = left << 32 | right
-        at = np.searchsorted(self.pairs, key)
+        at = self.pairs.searchsorted(key)
         return np.where(self.pairs[at] == key, self.pair_ranks[at], -1)
 
 
@@ -159,13 +162,13 @@ def merge_many(pieces: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
 
     def push(positions: np.ndarray, upper: int) -> int:
         ranks = waiting[positions]
-        order = np.argsort(ranks, kind="stable")
-        order = order[np.searchsorted(ranks[order], 0) :]
-        if not len(order):
+        paired = ranks >= 0
+        ranks, positions = ranks[paired], positions[paired]
+        if not len(ranks):
             return upper
+        order = ranks.argsort(kind="stable")
         ranks, positions = ranks[order], positions[order]
-        cuts = np.flatnonzero(np.diff(ranks)) + 1
-        begins = [0, *cuts.tolist()]
+        begins = [0, *((ranks[1:] != ranks[:-1]).nonzero()[0] + 1).tolist()]
         for rank, begin, end in zip(ranks[begins].tolist(), begins, [*begins[1:], len(ranks)]):
             if rank in buckets:
                 buckets[rank].append(positions[begin:end])
@@ -184,7 +187,8 @@ def merge_many(pieces: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
         i = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
         i = i[waiting[i] == rank]
         if len(i) > 1:
-            first = np.append(True, word[i[1:]] != word[i[:-1]])
+            first = np.ones(len(i), bool)
+            first[1:] = word[i[1:]] != word[i[:-1]]
             if not first.all():
                 buckets[rank] = [i[~first]]
                 i = i[first]
@@ -200,12 +204,11 @@ def merge_many(pieces: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
         ids[j] = waiting[i] = waiting[j] = -1
         after[i] = k
         before[k] = i
-        right = i[k < n]
-        waiting[right] = vocabulary.rank(ids[right], ids[after[right]])
         left = before[i]
-        left = left[left < n]
-        waiting[left] = vocabulary.rank(ids[left], ids[after[left]])
-        upper = push(np.concatenate([right, left]), upper)
+        beside = np.concatenate([i[k < n], left[left < n]])
+        if len(beside):
+            waiting[beside] = vocabulary.rank(ids[beside], ids[after[beside]])
+            upper = push(beside, upper)
     alive = ids[:n] >= 0
     out = ids[:n][alive].astype(np.int32)
     ends = np.cumsum(np.bincount(word[:n][alive], minlength=len(pieces))) * 4
@@ -238,32 +241,71 @@ class Encoder:
         if short:
             self.pieces.update(zip((x for x, _ in short), merge_many([x for _, x in short], self.vocabulary)))
 
+    def split(self, words: list[str]) -> tuple[list[str], list[int]]:
+        """Pre-tokens of all words with a space before each, and where each word's end; words without white space are split in one pass."""
+        found = [] if "" in words or BLANK.search("".join(words)) else self.find("".join(" " + word for word in words))
+        ends = [*(i for i, piece in enumerate(found) if i and piece[0] == " "), *([len(found)] if found else [])]
+        if len(ends) != len(words):  # white space, or a pattern under which words don't start pre-tokens
+            found, ends = [], []
+            for word in words:
+                found += self.find(" " + word)
+                ends.append(len(found))
+        return found, ends
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text.  A space between two other characters always starts a pre-token, so words are looked up one by one."""
-        split, used, pieces = [], set(), set()
-        for text in texts:
-            if not text:
-                split.append(([], []))
-            elif SPACED.search(text):
-                split.append((self.find(text), []))
-            else:
-                first, *rest = text.split(" ")
-                split.append((self.find(first), rest))
-                used.update(rest)
-            pieces.update(split[-1][0])
-        parts = {word: self.find(" " + word) for word in used if word not in self.words}
-        for found in parts.values():
+        """Ids of each text."""
+        ends, ids = self.encode_all(texts)
+        data, begin, out = ids.tobytes(), 0, []
+        for end in (ends * 4).tolist():
+            out.append(data[begin:end])
+            begin = end
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each text end, and the ids of all.
+
+        A space between two other characters always starts a pre-token, so the distinct
+        words are looked up one by one; only a text's first word has no space before it.
+        """
+        whole = [bool(text and SPACED.search(text)) for text in texts]
+        parts = pc.split_pattern(pa.array(["" if not text or alone else text for text, alone in zip(texts, whole)], pa.string()), " ")
+        starts = parts.offsets.to_numpy()
+        rest = np.ones(len(parts.values), bool)
+        rest[starts[:-1]] = False
+        coded = parts.values.filter(pa.array(rest)).dictionary_encode()
+        del parts
+        used = coded.dictionary.to_pylist()
+        heads = [self.find(text if alone else text.split(" ", 1)[0]) if text else [] for text, alone in zip(texts, whole)]
+        new = [word for word in used if word not in self.words]
+        if len(self.words) + len(new) > CACHED:
+            self.words = {word: self.words[word] for word in used if word in self.words}
+        new.sort(key=lambda word: not word or BLANK.search(word) is not None)
+        odd = next((i for i, word in enumerate(new) if not word or BLANK.search(word)), len(new))  # these need a pass each
+        pieces = set().union(*heads)
+        split = [(words, *self.split(words)) for words in (new[:odd], new[odd:])]
+        for _, found, _ in split:
             pieces.update(found)
-        self.learn(pieces - self.pieces.keys())
+        if len(self.pieces) + len(pieces) > CACHED:
+            self.pieces = {x: self.pieces[x] for x in pieces if x in self.pieces}
+        fresh = pieces - self.pieces.keys()
+        self.learn(fresh)
+        del pieces
         get = self.pieces.__getitem__
-        for word, found in parts.items():
-            self.words[word] = get(found[0]) if len(found) == 1 else b"".join(map(get, found))
-        out = [b"".join([*map(get, head), *map(self.words.__getitem__, rest)]) for head, rest in split]
-        if len(self.words) > CACHED:
-            self.words = {x: y for x, y in self.words.items() if x in used and len(x) <= LONGEST}
-        if len(self.pieces) > CACHED:
-            self.pieces = {x: self.pieces[x] for x in pieces if len(x) <= LONGEST}
-        return out
+        for words, found, ends in split:
+            for word, begin, end in zip(words, [0, *ends], ends):
+                self.words[word] = get(found[begin]) if end - begin == 1 else b"".join(map(get, found[begin:end]))
+        del split
+        known = [*map(self.words.__getitem__, used), *(b"".join(map(get, head)) for head in heads)]
+        for held, added in ((self.words, new), (self.pieces, fresh)):
+            for x in added:
+                if len(x) > LONGEST:
+                    del held[x]
+        del new, fresh, used
+        places = np.empty(len(rest), np.int64)
+        places[rest], places[~rest] = coded.indices.to_numpy(), np.arange(len(coded.dictionary), len(known))
+        table = pa.ListArray.from_arrays(_bounded(known, 4), pa.array(np.frombuffer(b"".join(known), np.int32)))
+        taken = table.take(pa.array(places))
+        return taken.offsets.to_numpy()[starts[1:]].astype(np.int64), taken.values.to_numpy()
 
 
 _CODERS: dict[tuple, object] = {}
@@ -285,7 +327,8 @@ def _encoder(data, pattern: str) -> Encoder:
 
 
 def _bounded(parts: list[bytes], width: int) -> pa.Array:
-    return pa.array(np.concatenate([[0], np.cumsum([len(x) // width for x in parts])]).astype(np.int32))
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // width
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
 
 
 def vocabulary_bytes(spark, path: str):
@@ -306,15 +349,16 @@ def encode(docs: DataFrame, vocabulary, pattern: str, text: str = "text", ids: s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, table = _encoder(vocabulary, pattern), _vocabulary(vocabulary).tokens
+        encoder, table = _encoder(vocabulary, pattern), _vocabulary(vocabulary).column
         for batch in slices(batches, text, ENCODED_BYTES):
-            found = encoder.encode(batch.column(text).to_pylist())
-            flat = pa.array(np.frombuffer(b"".join(found), np.int32))
-            columns, names = [pa.ListArray.from_arrays(_bounded(found, 4), flat)], [ids]
+            ends, flat = encoder.encode_all(batch.column(text).to_pylist())
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            columns, names = [pa.ListArray.from_arrays(offsets, pa.array(flat))], [ids]
             if decoded:
-                columns.append(pa.array([_joined(table, np.frombuffer(x, np.int32).tolist()) for x in found], pa.binary()))
+                columns.append(pc.binary_join(pa.ListArray.from_arrays(offsets, table.take(pa.array(flat))), b""))
                 names.append(decoded)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
+            found = pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
+            yield from slices(iter([found]), text, SENT_BYTES)
         give_back()
 
     kept = docs.drop(ids, *([decoded] if decoded else []))

@@ -73,6 +73,15 @@ def test_encoder_on_any_text(texts):
     assert [np.frombuffer(x, np.int32).tolist() for x in found] == [LIBRARY.encode_ordinary(x) for x in texts]
 
 
+def test_encoder_splits_new_words_in_one_pass():
+    encoder, calls = bpe.Encoder(VOCABULARY, queries.PATTERN), []
+    find, encoder.find = encoder.find, lambda text: calls.append(text) or find(text)
+    texts = ["", None, " ".join(f"wörd{i}'s, x{i}" for i in range(500)), "a\tb c\td " * 3, "a  b", "it's 's \xa0 'll", "end "]
+    found = [np.frombuffer(x, np.int32).tolist() for x in encoder.encode(texts)]
+    assert found == [LIBRARY.encode_ordinary(x or "") for x in texts]
+    assert len(calls) < 20
+
+
 def test_both_merges_agree():
     rng = random.Random(5)
     pieces = [bytes(rng.choice(b"aeinrsth \xc3\xa9") for _ in range(rng.randint(1, 40))) for _ in range(2000)] + [b"a" * 64, b"e" * 63]
@@ -410,3 +419,11 @@ def test_shared_shingles_are_dealt_some_at_a_time(spark, monkeypatch):
     rows = [(1, text), (2, text + " end"), (3, "else"), (4, None)]
     assert {r.doc_id: r.component_id for r in jaccard.join(frame(spark, rows)).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
     assert held["jaccard-shared"] == jaccard.READ
+
+
+def test_encoder_forgets_long_words():
+    encoder = bpe.Encoder(VOCABULARY, queries.PATTERN)
+    texts = ["a " + "x" * 100 + " b " + "y-" * 100, "a " + "x" * 100]
+    for _ in range(2):
+        assert [np.frombuffer(x, np.int32).tolist() for x in encoder.encode(texts)] == [LIBRARY.encode_ordinary(x) for x in texts]
+        assert max(map(len, [*encoder.words, *encoder.pieces])) <= bpe.LONGEST
