@@ -31,6 +31,8 @@ from tessera.session import materialize
 SHARD_KEYS = 16_000
 #: Keys of one bucket, on average, and displacements tried at a time.
 BUCKET_KEYS, TRIED = 4, 64
+#: Texts that a task reads at a time.
+TEXTS = 1024
 
 
 def digests(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -186,15 +188,15 @@ def lookup(incoming: DataFrame, index: DataFrame, shards: int) -> DataFrame:
 
 def dedup(incoming: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """A row for each row of history and incoming: doc_id, digest, keep_id, group_size, kept."""
-    new = materialize(digests(incoming), "exact-new")
+    new = materialize(digests(incoming), "exact-new", TEXTS)
     rows = new
     merged = groups(new)
     if history is not None:
-        old = materialize(digests(history), "exact-old")
+        old = materialize(digests(history), "exact-old", TEXTS)
         rows = old.unionByName(new)
         known = materialize(groups(old), "exact-known")
         index, shards = build(known)
-        found = materialize(lookup(merged, materialize(index, "exact-index"), shards), "exact-found")
+        found = materialize(lookup(merged, index, shards), "exact-found")
         # slots that got new copies count with these; the others stay; nonmembers are groups of their own
         untouched = known.join(found.where("member").select("digest"), "digest", "left_anti")
         merged = untouched.select("digest", "winner", "copies").union(found.select("digest", "winner", "copies"))

@@ -421,6 +421,17 @@ def test_shared_shingles_are_dealt_some_at_a_time(spark, monkeypatch):
     assert held["jaccard-shared"] == jaccard.READ
 
 
+def test_exact_dedup_reads_few_texts_at_a_time(spark, monkeypatch):
+    from tessera import session
+
+    held = {}
+    monkeypatch.setattr(exact, "materialize", lambda df, name, batch=None, options=None: held.update({name: batch}) or session.materialize(df, name, batch, options))
+    got = exact.dedup(frame(spark, [(3, "Same"), (4, "new"), (5, None)]), frame(spark, [(1, "same"), (2, "old")]))
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.collect()) == [(1, 3, 2, False), (2, 2, 1, True), (3, 3, 2, True), (4, 4, 1, True), (5, 5, 1, True)]
+    assert held["exact-new"] <= 1024 and held["exact-old"] <= 1024
+    assert "exact-index" not in held  # it is read once
+
+
 def test_encoder_forgets_long_words():
     encoder = bpe.Encoder(VOCABULARY, queries.PATTERN)
     texts = ["a " + "x" * 100 + " b " + "y-" * 100, "a " + "x" * 100]
