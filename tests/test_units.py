@@ -999,3 +999,14 @@ def test_rerank_features_sends_the_hits_to_the_texts(spark):
         assert sorted((r.doc_id, r.score, r.overlap, r.feedback) for r in out.collect()) == [(1, 0.5, 1.0, 1.0), (2, 0.25, 0.0, 0.9), (2, 0.25, 1.0, 0.9)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_materialized_tables_have_no_marker_file(spark):
+    from urllib.parse import urlparse
+
+    from tessera import session
+
+    back = session.materialize(spark.range(10), "unmarked")
+    assert back.count() == 10
+    (folder,) = {os.path.dirname(urlparse(x).path) for x in back.inputFiles()}
+    assert not [x for x in os.listdir(folder) if "_SUCCESS" in x]
