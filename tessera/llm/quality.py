@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.toxicity import chosen, split
+from tessera.llm.toxicity import labelled, split
 from tessera.llm.words import CACHED_WORDS, as_bytes, slices
 
 #: Labelled rows of each class used to fit, chosen by a hash of the id (a documented bound).
@@ -160,6 +160,16 @@ class Added(dict):
         return self.model.logit(total[:DIM], total[DIM] + max(0, len(words) - 1))
 
 
+def chosen(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_rows: int = MAX_ROWS) -> DataFrame:
+    """At most ``max_rows`` rows (text, y) of each class whose document may be learned from, by a hash of doc_id."""
+    one = labelled(labels, label, learn)
+    ids = None
+    for y in (0, 1):
+        part = one.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+        ids = part if ids is None else ids.union(part)
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "y")  # 2 * max_rows ids
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS):
     """Broadcast of (fitted or None, share of label 1); the chosen rows come to the driver as hashed features."""
     spark = docs.sparkSession

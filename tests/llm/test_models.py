@@ -56,6 +56,38 @@ def test_toxicity_on_held_out_rows(spark):
     assert n > 500 and accuracy > 0.97 and recall > 0.9
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """2,700 rows a class, in several shards: none is left out of the counts, the folds or the thresholds."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 2000)
+    n = 5400
+    docs = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.when(F.col("id") % 2 == 0, "vile").otherwise("kind"), F.lit(" w"), F.col("id") % 300).alias("text"))
+    labels = spark.range(n).selectExpr("id doc_id", "int(id % 2 = 0 or id % 9 = 0) toxic")
+    data = [toxicity.Shard(*r) for r in toxicity.shards(docs, labels, F.lit(True)).collect()]
+    assert len(data) == 3 and sum(len(x.texts) for x in data) == n
+    assert all(set(x.fold) == set(range(toxicity.FOLDS)) for x in data)
+    kept = []
+    monkeypatch.setattr(toxicity, "thresholds", lambda logits, y, spoken, was=toxicity.thresholds: kept.append(len(logits)) or was(logits, y, spoken))
+    model = toxicity.train(docs, labels, F.lit(True))
+    toxic = sum(i % 2 == 0 or i % 9 == 0 for i in range(n))
+    assert toxic > 2500 and model.value[2] == toxic / n and kept == [n]
+    wrong = toxicity.score(docs, model).where("(score >= 0.5) <> (doc_id % 2 = 0)").count()
+    assert wrong == 0
+
+
+def test_toxicity_in_shards_on_held_out_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 800)
+    accuracy, recall, n = held_out(spark, "op2_toxicity", "toxic", 1)
+    assert n > 500 and accuracy > 0.96 and recall > 0.88
+
+
+def test_toxicity_takes_one_row_of_a_repeated_document(spark):
+    docs = spark.createDataFrame([(i % 40, f"text {'bad' if i % 40 < 20 else 'good'} {i % 40}") for i in range(120)] + [(None, "bad"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)] * 2 + [(77, 1), (None, 0), (5, None)], "doc_id long, toxic int")
+    (row,) = toxicity.shards(docs, labels, F.lit(True)).collect()
+    shard = toxicity.Shard(*row)
+    assert len(shard.texts) == 40 and shard.labels.tolist() == [1] * 20 + [0] * 20 and len(shard.texts[4]) == 3
+
+
 def test_quality_on_held_out_rows(spark):
     accuracy, recall, n = held_out(spark, "op4_quality", "quality", 0)
     assert n > 500 and accuracy > 0.98 and recall > 0.95
