@@ -6,11 +6,14 @@ first appearance) and ``vec`` an ``array<float>``.
 
 * epsilon-neighbours (J11): exact copies of a vector become one weighted point.  Points
   go to the cell of the nearest of ``PIVOTS`` pivots; a cell of many points is dealt into
-  blocks of ``CELL`` or so.  A point meets the blocks of another cell only if its distance
-  to that pivot allows a neighbour there (``d <= d_home + 2 eps`` and ``d <= radius +
-  eps``), and of two blocks one receives the other's points as guests.  A task holds one
-  block at a time and streams its guests; it sends counts, edges of a spanning forest or
-  labels, never pairs, and no point passes through the driver but the pivots.
+  blocks of ``CELL`` or so.  Each block alone, with ``SHARED`` points that all have, finds
+  most core points and joins them.  Only what that leaves open meets others: points
+  without enough neighbours so far, then core points outside the largest component, then
+  the others that have a neighbour.  These are put in blocks; points are guests of those
+  blocks where the distances to the pivots allow a neighbour (``d <= d_home + 2 eps`` and
+  ``d <= radius + eps``).  A task holds one block at a time and streams its guests; it
+  sends counts, links of a spanning forest or labels, never pairs, and no point passes
+  through the driver but the pivots and the shared ones.
 * core points: weight of the neighbours including self >= ``min_samples``.
 * clusters (G15): connected components of core points over the spanning forests,
   contracted by joins until one task can hold the rest.
@@ -35,103 +38,143 @@ from pyspark.sql import functions as F
 from tessera.session import materialize
 
 
-#: Vectors that all points are measured against (they pass through the driver); points of a block; rows of a distance matrix; points that a task reads at a time; pairs whose distance is taken exactly at a time.
-PIVOTS, CELL, ROWS, READ, EXACT = 64, 4000, 256, 1024, 1 << 14
-
-
-def _near(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
-    """Which rows of ``a`` and ``b`` are within ``eps``: by products, and exactly where those are too close to tell."""
-    d2 = (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T
-    scale = 1e-9 * (1 + (a**2).sum(1).max(initial=0) + (b**2).sum(1).max(initial=0))
-    near = d2 <= eps**2
-    i, j = np.nonzero(np.abs(d2 - eps**2) <= 0.02 * eps**2 + scale)
-    for begin in range(0, len(i), EXACT):
-        p, q = i[begin : begin + EXACT], j[begin : begin + EXACT]
-        near[p, q] = np.sqrt(((a[p] - b[q]) ** 2).sum(axis=1)) <= eps
-    return near
+#: Vectors that all points are measured against, and points that every block has besides its own (both pass through the driver); points of a block; rows of a distance matrix; points that a task reads at a time; pairs whose distance is taken exactly at a time.
+PIVOTS, SHARED, CELL, ROWS, READ, EXACT = 64, 1024, 4000, 256, 1024, 1 << 14
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``a`` and ``b`` within ``eps``: by products (in single precision, if that tells most), and exactly where those are too close to tell."""
+    aa, bb = (a**2).sum(1), (b**2).sum(1)
+    most = aa[np.isfinite(aa)].max(initial=0) + bb[np.isfinite(bb)].max(initial=0)
+    slack = 2.0**-22 * (a.shape[1] + 8) * most + 1e-6 * eps**2
+    kind = np.float32
+    if not (slack <= 0.05 * eps**2 and most < 1e30 and eps > 1e-12):
+        kind, slack = np.float64, 0.02 * eps**2 + 1e-9 * (1 + most)
+    d2 = (-2 * a).astype(kind) @ b.T.astype(kind)
+    d2 += aa.astype(kind)[:, None]
+    d2 += bb.astype(kind)[None, :]
+    i, j = np.nonzero(d2 <= kind(eps**2 + slack))
+    near = d2[i, j] < eps**2 - slack
+    open_ = np.flatnonzero(~near)
+    for begin in range(0, len(open_), EXACT):
+        at = open_[begin : begin + EXACT]
+        near[at] = np.sqrt(((a[i[at]] - b[j[at]]) ** 2).sum(axis=1)) <= eps
+    return i[near], j[near]
+
+
+def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``root`` (the least member's place for each group) with the groups of each ``i`` and ``j`` made one."""
+    while True:
+        a, b = root[i], root[j]
+        differ = a != b
+        if not differ.any():
+            return root
+        i, j, a, b = i[differ], j[differ], a[differ], b[differ]
+        to = np.arange(len(root))
+        np.minimum.at(to, np.maximum(a, b), np.minimum(a, b))
+        while (to[to] != to).any():
+            to = to[to]
+        root = to[root]
 
 
 def _vectors(column: pd.Series) -> np.ndarray:
     return np.stack(column.map(lambda v: np.asarray(v, dtype=np.float64)).values)
 
 
+def _local(home: pd.DataFrame, shared: pd.DataFrame, eps: float, min_samples: int) -> pd.DataFrame:
+    """pid, n, b: weight of the neighbours among the points of a block and ``shared``, and for the sure core points one of their component."""
+    shared = shared[(shared["kk"] == home["kk"].iloc[0]) & ~shared["pid"].isin(home["pid"])]
+    pid = np.concatenate([home["pid"], shared["pid"]]).astype(np.int64)
+    weight = np.concatenate([home["weight"], shared["weight"]]).astype(np.int64)
+    mat = np.concatenate([_vectors(home["vec"]), *([_vectors(shared["vec"])] if len(shared) else [])])
+    n = np.where(np.isfinite(mat).all(axis=1), weight, 0)  # others aren't near themselves
+    for begin in range(0, len(mat), ROWS):
+        i, j = _pairs(mat[begin : begin + ROWS], mat[begin:], eps)
+        i, j = i[i < j] + begin, j[i < j] + begin
+        n += np.bincount(i, weight[j], len(n)).astype(np.int64) + np.bincount(j, weight[i], len(n)).astype(np.int64)
+    root, core = np.arange(len(mat)), n >= min_samples
+    for begin in range(0, len(mat), ROWS):
+        i, j = _pairs(mat[begin : begin + ROWS], mat[begin:], eps)
+        i, j = i + begin, j + begin
+        both = core[i] & core[j] & (i < j)
+        root = _joined(root, i[both], j[both])
+    own = np.arange(len(mat)) < len(home)
+    keep = own | core
+    return pd.DataFrame({"pid": pid[keep], "n": np.where(own, n, 0)[keep], "b": pd.array(pid[root][keep], "Int64").copy()}).assign(b=lambda x: x["b"].mask(~core[keep]), kk=home["kk"].iloc[0])
+
+
 class Degrees:
-    """Weight of the neighbours (self included) that each point has in a block."""
+    """Weight of the guests that each point of a block has for neighbours."""
 
     columns, schema = ["weight"], "n long"
 
     def __init__(self, home: pd.DataFrame, eps: float):
         self.home, self.mat, self.eps = home, _vectors(home["vec"]), eps
-        self.weight = home["weight"].to_numpy(np.int64)
-        self.n = np.concatenate([_near(self.mat[i : i + ROWS], self.mat, eps) @ self.weight for i in range(0, len(home), ROWS)])
+        self.n = np.zeros(len(home), np.int64)
 
-    def guests(self, guests: pd.DataFrame) -> pd.DataFrame:
-        near = _near(_vectors(guests["vec"]), self.mat, self.eps)
-        self.n += guests["weight"].to_numpy(np.int64) @ near
-        return pd.DataFrame({"pid": guests["pid"].to_numpy(), "n": near @ self.weight})
+    def guests(self, guests: pd.DataFrame) -> None:
+        i, j = _pairs(_vectors(guests["vec"]), self.mat, self.eps)
+        self.n += np.bincount(j, guests["weight"].to_numpy(np.int64)[i], len(self.n)).astype(np.int64)
 
     def end(self) -> pd.DataFrame:
         return pd.DataFrame({"pid": self.home["pid"].to_numpy(), "n": self.n})
 
 
 class Forest:
-    """Edges that join the neighbours of a block: one for each time that two groups become one."""
+    """Links between the components of a block's points and of its guests: one for each time that two become one; those known to be one aren't compared."""
 
-    columns, schema = [], "b long"
+    columns, schema = ["label"], "b long"
 
     def __init__(self, home: pd.DataFrame, eps: float):
-        self.pid, self.mat, self.eps = home["pid"].to_numpy(np.int64), _vectors(home["vec"]), eps
-        self.root = np.arange(len(home))
+        self.mat, self.eps = _vectors(home["vec"]), eps
+        self.label = home["label"].to_numpy(np.int64)
+        self.to: dict[int, int] = {}
         self.edges: list[tuple[int, int]] = []
-        for begin in range(0, len(home), ROWS):
-            for row, near in enumerate(_near(self.mat[begin : begin + ROWS], self.mat, eps), begin):
-                self.join(int(self.pid[row]), np.flatnonzero(near))
-
-    def join(self, pid: int, members: np.ndarray) -> bool:
-        """All of ``members`` (near ``pid``) become one group."""
-        roots = np.unique(self.root[members])
-        self.edges += [(pid, int(self.pid[r])) for r in roots if int(self.pid[r]) != pid]
-        if len(roots) > 1:
-            self.root[np.isin(self.root, roots)] = roots[0]
-        return len(roots) > 0
-
-    def guests(self, guests: pd.DataFrame) -> pd.DataFrame:
-        for pid, near in zip(guests["pid"].tolist(), _near(_vectors(guests["vec"]), self.mat, self.eps)):
-            self.join(pid, np.flatnonzero(near))
-        return self.end()
+
+    def find(self, x: int) -> int:
+        while x in self.to:
+            x = self.to[x]
+        return x
+
+    def found(self, labels: np.ndarray) -> np.ndarray:
+        distinct, at = np.unique(labels, return_inverse=True)
+        return np.array([self.find(x) for x in distinct.tolist()], np.int64)[at]
+
+    def guests(self, guests: pd.DataFrame) -> None:
+        labels, mat = self.found(guests["label"].to_numpy(np.int64)), _vectors(guests["vec"])
+        distinct, n = np.unique(labels, return_counts=True)
+        common = distinct[n.argmax()]
+        for some, mine in ((labels == common, np.flatnonzero(self.label != common)), (labels != common, np.arange(len(self.mat)))):
+            if not some.any() or not len(mine):
+                continue
+            i, j = _pairs(mat[some], self.mat[mine], self.eps)
+            for a, b in {(a, b) for a, b in zip(labels[some][i].tolist(), self.label[mine][j].tolist()) if a != b}:
+                x, y = sorted((self.find(a), self.find(b)))
+                if x != y:
+                    self.to[y] = x
+                    self.edges.append((x, y))
+            self.label = self.found(self.label)
 
     def end(self) -> pd.DataFrame:
-        out = pd.DataFrame(self.edges, columns=["pid", "b"], dtype=np.int64)
-        self.edges = []
-        return out
+        return pd.DataFrame(self.edges, columns=["pid", "b"], dtype=np.int64)
 
 
 class Borders:
-    """Least cluster among the neighbours in a block of each point that has no cluster itself."""
+    """Least cluster among the guests that each point of a block has for neighbours."""
 
     columns, schema = ["cluster"], "cluster_id long"
 
     def __init__(self, home: pd.DataFrame, eps: float):
         self.home, self.mat, self.eps = home, _vectors(home["vec"]), eps
-        self.cluster = home["cluster"].to_numpy(np.float64)
-        parts = [self.least(_near(self.mat[i : i + ROWS], self.mat, eps), self.cluster) for i in range(0, len(home), ROWS)]
-        self.best = np.concatenate(parts)
-
-    @staticmethod
-    def least(near: np.ndarray, cluster: np.ndarray) -> np.ndarray:
-        return np.where(near & ~np.isnan(cluster), cluster, np.inf).min(axis=1, initial=np.inf)
-
-    def found(self, pids: pd.Series, own: np.ndarray, best: np.ndarray) -> pd.DataFrame:
-        mine = np.isnan(own) & np.isfinite(best)
-        return pd.DataFrame({"pid": pids.to_numpy()[mine], "cluster_id": best[mine].astype(np.int64)})
+        self.best = np.full(len(home), np.iinfo(np.int64).max)
 
-    def guests(self, guests: pd.DataFrame) -> pd.DataFrame:
-        near, cluster = _near(_vectors(guests["vec"]), self.mat, self.eps), guests["cluster"].to_numpy(np.float64)
-        self.best = np.minimum(self.best, self.least(near.T, cluster))
-        return self.found(guests["pid"], cluster, self.least(near, self.cluster))
+    def guests(self, guests: pd.DataFrame) -> None:
+        i, j = _pairs(_vectors(guests["vec"]), self.mat, self.eps)
+        np.minimum.at(self.best, j, guests["cluster"].to_numpy(np.int64)[i])
 
     def end(self) -> pd.DataFrame:
-        return self.found(self.home["pid"], self.cluster, self.best)
+        found = self.best < np.iinfo(np.int64).max
+        return pd.DataFrame({"pid": self.home["pid"].to_numpy()[found], "cluster_id": self.best[found]})
 
 
 def _in_blocks(placed: DataFrame, kernel: type, eps: float) -> DataFrame:
@@ -139,13 +182,6 @@ def _in_blocks(placed: DataFrame, kernel: type, eps: float) -> DataFrame:
 
     def run(it):
         at, home, state = None, [], None
-
-        def finished():
-            nonlocal state
-            if state is None and home:
-                state = kernel(pd.concat(home, ignore_index=True), eps)
-            home.clear()
-
         for pdf in it:
             out = []
             marks = pdf[["kk", "cell", "salt", "role"]]
@@ -154,18 +190,19 @@ def _in_blocks(placed: DataFrame, kernel: type, eps: float) -> DataFrame:
                 part = pdf.iloc[begin:end]
                 block = tuple(part[["kk", "cell", "salt"]].iloc[0])
                 if block != at:
-                    finished()
                     if state is not None:
                         out.append(state.end().assign(kk=at[0]))
-                    at, state = block, None
+                    at, state, home = block, None, []
                 if part["role"].iloc[0] == 0:
                     home.append(part)
-                else:
-                    finished()
-                    out += [] if state is None else [state.guests(part.iloc[i : i + ROWS]).assign(kk=at[0]) for i in range(0, len(part), ROWS)]
+                    continue
+                if state is None and home:
+                    state, home = kernel(pd.concat(home, ignore_index=True), eps), []
+                if state is not None:
+                    for i in range(0, len(part), ROWS):
+                        state.guests(part.iloc[i : i + ROWS])
             if out:
                 yield pd.concat(out, ignore_index=True)
-        finished()
         if state is not None:
             yield state.end().assign(kk=at[0])
 
@@ -174,8 +211,8 @@ def _in_blocks(placed: DataFrame, kernel: type, eps: float) -> DataFrame:
     return rows.repartition(*block).sortWithinPartitions(*block, "role").mapInPandas(run, f"pid long, {kernel.schema}, kk string")
 
 
-def _placed(points: DataFrame, eps: float) -> DataFrame:
-    """The blocks that each point is in (role 0, one) or a guest of (role 1)."""
+def _cells(points: DataFrame, eps: float) -> DataFrame:
+    """``points`` with their cell (``home``), the distance to its pivot (``away``) and the cells where they may have neighbours (``near``)."""
     pivots = points.select("pid", "kk", "vec").orderBy(F.xxhash64("kk", "pid"), "kk", "pid").limit(PIVOTS).toPandas()
     mat = _vectors(pivots["vec"]) if len(pivots) else np.zeros((0, 0))
 
@@ -193,16 +230,43 @@ def _placed(points: DataFrame, eps: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.int32()), pa.array(away), near], [*batch.schema.names, "home", "away", "near"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
-    near = materialize(points.mapInArrow(assign, f"{fields}, home int, away double, near array<struct<other:int,d:double>>"), "cluster-cells", READ)
-    cells = near.groupBy("kk", F.col("home").alias("other")).agg(F.max("away").alias("radius"), F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("salts"))
-    cells = materialize(cells, "cluster-sizes")
-    own = cells.select("kk", F.col("other").alias("home"), F.col("salts").alias("own_salts"))
-    met = near.join(own, ["kk", "home"]).withColumn("own_salt", F.pmod(F.xxhash64("pid"), F.col("own_salts")).cast("int"))
-    met = met.withColumn("n", F.explode("near")).withColumn("other", F.col("n.other")).join(cells, ["kk", "other"])
-    met = met.where((F.col("other") >= F.col("home")) & ((F.col("other") == F.col("home")) | (F.col("n.d") <= F.col("radius") + eps * (1 + 1e-9) + 1e-9)))
-    met = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).where((F.col("other") > F.col("home")) | (F.col("salt") >= F.col("own_salt")))
-    role = F.when((F.col("other") == F.col("home")) & (F.col("salt") == F.col("own_salt")), 0).otherwise(1)
-    return materialize(met.select("kk", F.col("other").alias("cell"), "salt", role.alias("role"), "pid", "weight", "vec"), "cluster-blocks")
+    return materialize(points.mapInArrow(assign, f"{fields}, home int, away double, near array<struct<other:int,d:double>>"), "cluster-cells", READ)
+
+
+def _shared_blocks(cells: pd.DataFrame) -> pd.DataFrame:
+    """The cells (other, radius, n, to) of a key with the block that each is in (cell) and in how many parts that comes (salts)."""
+    at = {c: k for k, c in enumerate(sorted(cells["other"]))}
+    cells = cells.sort_values("other", ignore_index=True)
+    links = [(k, at[c]) for k, to in enumerate(cells["to"]) for c in to if c in at]
+    root = _joined(np.arange(len(cells)), *np.array(links, np.int64).reshape(-1, 2).T)
+    before = cells.groupby(root)["n"].cumsum() - cells["n"]
+    block = pd.DataFrame({"root": root, "k": before // CELL, "n": cells["n"]}).groupby(["root", "k"])["n"]
+    return cells[["kk", "other", "radius"]].assign(cell=block.ngroup(), salts=-(-block.transform("sum") // CELL))
+
+
+def _met(homes: DataFrame, guests: DataFrame, eps: float) -> DataFrame:
+    """Blocks (kk, cell, salt) of ``homes`` (role 0, each in one), and the ``guests`` that may be near some of a block (role 1); both as of ``_cells``, with the same columns.
+
+    Cells of few points that may have neighbours in one another share a block, so that the guests are sent to few.
+    """
+    sizes = homes.groupBy("kk", F.col("home").alias("other")).agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n"))
+    links = homes.select("kk", F.col("home").alias("other"), F.explode("near.other").alias("to")).groupBy("kk", "other").agg(F.collect_set("to").alias("to"))
+    sizes = sizes.join(links, ["kk", "other"]).groupBy("kk").applyInPandas(_shared_blocks, "kk string, other int, radius double, cell int, salts int")
+    sizes = materialize(sizes, "cluster-sizes")
+    rest = [c for c in homes.columns if c not in ("home", "away", "near")]
+    salt = F.pmod(F.xxhash64("pid"), F.col("salts")).cast("int").alias("salt")
+    own = homes.withColumnRenamed("home", "other").join(sizes, ["kk", "other"]).select("cell", salt, F.lit(0).alias("role"), *rest)
+    reach = guests.select("kk", "pid", F.explode("near").alias("n")).select("kk", "pid", F.col("n.other").alias("other"), F.col("n.d").alias("d")).join(sizes, ["kk", "other"])
+    reach = reach.where(F.col("d") <= F.col("radius") + eps * (1 + 1e-9) + 1e-9).groupBy("kk", "pid").agg(F.collect_set(F.struct("cell", "salts")).alias("cells"))
+    sent = guests.select(*rest).join(reach, ["kk", "pid"]).withColumn("c", F.explode("cells")).withColumn("cell", F.col("c.cell"))
+    sent = sent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("c.salts") - 1))).select("cell", "salt", F.lit(1).alias("role"), *rest)
+    return own.unionByName(sent)
+
+
+def _placed(points: DataFrame, eps: float) -> DataFrame:
+    """The block that each point is in (role 0) and those where it is a guest (role 1)."""
+    cells = _cells(points, eps)
+    return _met(cells, cells, eps)
 
 
 #: Links that one task may hold; more are contracted by joins first.  Rows that it returns at a time.
@@ -323,15 +387,38 @@ def _dbscan_cells(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     # one point for all exact copies of a vector
     one = pts.groupBy("kk", "vec").agg(F.min(F.struct("pos", "pid")).alias("r"), F.count(F.lit(1)).alias("weight"))
     one = materialize(one.select("kk", "vec", "weight", "r.pos", F.col("r.pid").cast("long").alias("pid")), "cluster-distinct")
-    placed = _placed(one.select("kk", "pid", "weight", "vec"), eps)
-    core = _in_blocks(placed, Degrees, eps).groupBy("kk", "pid").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples)
+    cells = _cells(one.select("kk", "pid", "weight", "vec"), eps)
+    shared = cells.select("kk", "pid", "weight", "vec").orderBy(F.xxhash64("kk", "pid", F.lit(1)), "kk", "pid").limit(SHARED).toPandas()
+
+    sizes = cells.groupBy("kk", "home").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("salts"))
+    blocks = cells.select("kk", "pid", "weight", "vec", "home").join(sizes, ["kk", "home"]).withColumn("salt", F.pmod(F.xxhash64("pid"), F.col("salts")).cast("int"))
+    seen = blocks.groupBy("kk", "home", "salt").applyInPandas(lambda home: _local(home, shared, eps, min_samples), "pid long, n long, b long, kk string")
+    seen = materialize(seen, "cluster-local", READ).groupBy("kk", "pid").agg(F.max("n").alias("n"), F.collect_set("b").alias("bs"))
+    seen = materialize(seen, "cluster-seen", READ)
+    # points without enough neighbours so far meet all that may be near
+    left = seen.where(F.size("bs") == 0).select("kk", "pid")
+    weighed = _in_blocks(_met(cells.join(left, ["kk", "pid"]), cells, eps), Degrees, eps).groupBy("kk", "pid").agg(F.sum("n").alias("n"))
+    weighed = materialize(weighed, "cluster-degrees", READ)
+    core = seen.where(F.size("bs") > 0).select("kk", "pid").unionByName(weighed.where(F.col("n") >= min_samples).select("kk", "pid"))
     core = materialize(one.join(core, ["kk", "pid"]).select("kk", "pid", "pos"), "cluster-core", READ)
-    edges = _in_blocks(placed.join(core.select("kk", "pid"), ["kk", "pid"]), Forest, eps).select(F.col("kk").alias("key"), F.col("pid").alias("a"), "b")
-    edges = materialize(edges.unionByName(edges.select("key", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cluster-edges", READ)
+    both = lambda df: df.unionByName(df.select("key", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    inner = both(seen.select(F.col("kk").alias("key"), F.col("pid").alias("a"), F.explode("bs").alias("b")).where("a <> b"))
+    so_far = connected_min_label(core.select(F.col("kk").alias("key"), "pid", F.col("pid").alias("label")), materialize(inner, "cluster-inner"))
+    so_far = materialize(so_far.withColumnRenamed("key", "kk"), "cluster-so-far")
+    # all but the largest component so far of each key meet all that may be near
+    largest = so_far.groupBy("kk", "label").count().groupBy("kk").agg(F.max(F.struct("count", "label")).alias("m")).select("kk", F.col("m.label").alias("label"))
+    known = cells.join(so_far, ["kk", "pid"])
+    few = known.join(largest, ["kk", "label"], "left_anti").select(*known.columns)
+    edges = _in_blocks(_met(few, known, eps), Forest, eps).select(F.col("kk").alias("key"), F.col("pid").alias("a"), "b")
+    tree = so_far.select(F.col("kk").alias("key"), F.col("pid").alias("a"), F.col("label").alias("b")).where("a <> b")
+    edges = materialize(both(edges.unionByName(tree)), "cluster-edges", READ)
     labels = connected_min_label(core.select(F.col("kk").alias("key"), "pid", F.col("pos").alias("label")), edges).withColumnRenamed("key", "kk")
     labels = materialize(labels, "cluster-labels")
     owned = labels.join(_numbered(labels.select("kk", "label").distinct()), ["kk", "label"]).select("kk", "pid", F.col("cluster_id").alias("cluster"))
-    border = _in_blocks(placed.join(owned, ["kk", "pid"], "left"), Borders, eps).groupBy("kk", "pid").agg(F.min("cluster_id").alias("cluster"))
+    # a point whose only neighbour is itself is no border point
+    lone = weighed.where(F.col("n") < min_samples).join(one.select("kk", "pid", "weight"), ["kk", "pid"]).where("n > weight").select("kk", "pid")
+    edge = cells.join(lone, ["kk", "pid"]).withColumn("cluster", F.lit(None).cast("bigint"))
+    border = _in_blocks(_met(edge, cells.join(owned, ["kk", "pid"]), eps), Borders, eps).groupBy("kk", "pid").agg(F.min("cluster_id").alias("cluster"))
     border = materialize(border, "cluster-borders", READ)
     found = one.select("kk", "pid", "vec").join(owned.unionByName(border.select("kk", "pid", "cluster")), ["kk", "pid"])
     out = pts.join(found.select("kk", "vec", "cluster"), ["kk", "vec"], "left")

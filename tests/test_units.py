@@ -462,6 +462,40 @@ def test_no_point_meets_a_block_that_is_too_far(spark):
     assert all(len(x) == 1 for x in sides.values()) and sum(r.role == 0 for r in placed) == 400
 
 
+def test_points_known_to_be_of_one_component_are_not_compared(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    compared = []
+    monkeypatch.setattr(C, "_pairs", lambda a, b, eps, was=C._pairs: compared.append((len(a), len(b))) or was(a, b, eps))
+    rows = lambda label, at: pd.DataFrame({"pid": range(50), "vec": [np.array([at, k / 50]) for k in range(50)], "label": label})
+    home = rows([1] * 49 + [3], 0.0)
+    block = C.Forest(home, 0.5)
+    block.guests(rows(1, 0.1))
+    assert compared == [(50, 1)] and block.edges == [(1, 3)]
+    block.guests(rows(1, 0.1))
+    block.guests(rows(2, 0.2))
+    block.guests(rows(2, 0.2))
+    assert compared == [(50, 1), (50, 50)] and block.end().values.tolist() == [[1, 3], [1, 2]]
+
+
+def test_pairs_within_eps_are_exact():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    unit = rng.normal(size=(60, 8))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    for offset, eps in ((0, 1.1), (1000, 1.1), (1e8, 0.5), (0, 1e-7), (0, 1e18)):
+        a = rng.normal(size=(60, 8)) * eps + offset
+        b = a + unit * eps * (1 + rng.choice([-1e-3, -1e-7, -1e-12, 0, 1e-12, 1e-7, 1e-3], 60))[:, None]
+        a[3], b[5] = np.nan, np.inf
+        with np.errstate(invalid="ignore"):
+            want = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2)) <= eps
+            got = np.zeros_like(want)
+            got[C._pairs(a, b, eps)] = True
+        assert (got == want).all()
+
+
 @pytest.mark.parametrize("min_samples,small_group", [(2, 0), (4, 0), (2, 2000), (4, 2000)])
 def test_dbscan_matches_brute_force(spark, min_samples, small_group):
     rnd = random.Random(11)
