@@ -42,8 +42,8 @@ from tessera.session import materialize
 PIVOTS, SHARED, CELL, ROWS, READ, EXACT = 64, 1024, 4000, 256, 1024, 1 << 14
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``a`` and ``b`` within ``eps``: by products (in single precision, if that tells most), and exactly where those are too close to tell."""
+def _near(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
+    """Which rows of ``a`` and ``b`` are within ``eps``: by products (in single precision, if that tells most), and exactly where those are too close to tell."""
     aa, bb = (a**2).sum(1), (b**2).sum(1)
     most = aa[np.isfinite(aa)].max(initial=0) + bb[np.isfinite(bb)].max(initial=0)
     slack = 2.0**-22 * (a.shape[1] + 8) * most + 1e-6 * eps**2
@@ -53,13 +53,18 @@ def _pairs(a: np.ndarray, b: np.ndarray, eps: float) -> tuple[np.ndarray, np.nda
     d2 = (-2 * a).astype(kind) @ b.T.astype(kind)
     d2 += aa.astype(kind)[:, None]
     d2 += bb.astype(kind)[None, :]
-    i, j = np.nonzero(d2 <= kind(eps**2 + slack))
-    near = d2[i, j] < eps**2 - slack
-    open_ = np.flatnonzero(~near)
-    for begin in range(0, len(open_), EXACT):
-        at = open_[begin : begin + EXACT]
-        near[at] = np.sqrt(((a[i[at]] - b[j[at]]) ** 2).sum(axis=1)) <= eps
-    return i[near], j[near]
+    near = d2 <= kind(eps**2 + slack)
+    i, j = np.nonzero(near)
+    unsure = d2[i, j] >= eps**2 - slack
+    i, j = i[unsure], j[unsure]
+    for begin in range(0, len(i), EXACT):
+        p, q = i[begin : begin + EXACT], j[begin : begin + EXACT]
+        near[p, q] = np.sqrt(((a[p] - b[q]) ** 2).sum(axis=1)) <= eps
+    return near
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    return np.nonzero(_near(a, b, eps))
 
 
 def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
